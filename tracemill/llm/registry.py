@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tracemill.llm import quality_rules
+from tracemill.llm import quality_rules, simhash
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op6_simhash": simhash.op6_simhash,
 }
 ORACLE_SQL = {
     "op1_quality_rules": quality_rules.ORACLE_SQL,
