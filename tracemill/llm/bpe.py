@@ -32,14 +32,14 @@ WITH RECURSIVE step(word, pos, tok, turn) AS (
   SELECT word, pos, tok, 0 FROM fresh
   UNION ALL
   (WITH pairs AS MATERIALIZED (
-     SELECT q.word, q.pos, q.tok, q.turn, q.prior, m.merged * 1048576 + q.pos AS choice
+     SELECT q.word, q.pos, q.tok, q.turn, q.prior, m.merged * 1099511627776 + q.pos AS choice
      FROM (SELECT word, pos, tok, turn, lead(tok) OVER w AS after, lag(pos) OVER w AS prior
            FROM step WINDOW w AS (PARTITION BY word ORDER BY pos)) q
      LEFT JOIN merges m ON m.a = q.tok AND m.b = q.after),
    best AS (SELECT word, min(choice) AS choice FROM pairs WHERE choice IS NOT NULL GROUP BY word)
-   SELECT p.word, p.pos, CASE WHEN p.choice = b.choice THEN b.choice // 1048576 ELSE p.tok END, p.turn + 1
+   SELECT p.word, p.pos, CASE WHEN p.choice = b.choice THEN b.choice // 1099511627776 ELSE p.tok END, p.turn + 1
    FROM pairs p JOIN best b ON b.word = p.word
-   WHERE p.prior IS NULL OR p.prior <> b.choice % 1048576)
+   WHERE p.prior IS NULL OR p.prior <> b.choice % 1099511627776)
 )
 SELECT s.word, list(s.tok ORDER BY s.pos) AS ids
 FROM step s JOIN (SELECT word, max(turn) AS turn FROM step GROUP BY word) last
