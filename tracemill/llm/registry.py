@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from tracemill.llm import bpe, html_extraction, quality_rules, simhash
+from tracemill.llm import bpe, html_extraction, quality_rules, simhash, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op4_warc": warc.op4_warc,
     "op6_simhash": simhash.op6_simhash,
     "op9_bpe": bpe.op9_bpe,
     "op10_html_extraction": html_extraction.op10_html_extraction,
 }
 ORACLE_SQL = {
     "op1_quality_rules": quality_rules.ORACLE_SQL,
+    "op4_warc": warc.ORACLE_SQL,
 }
