@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tracemill.llm import bpe, html_extraction, quality_rules, simhash, warc
+from tracemill.llm import bpe, html_extraction, quality_rules, simhash, toxicity, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op4_warc": warc.op4_warc,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_simhash": simhash.op6_simhash,
     "op9_bpe": bpe.op9_bpe,
     "op10_html_extraction": html_extraction.op10_html_extraction,
