@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tracemill.llm import bpe, html_extraction, quality_rules, simhash, toxicity, warc
+from tracemill.llm import bpe, html_extraction, lm_scoring, quality_rules, simhash, toxicity, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op2_lm_scoring": lm_scoring.op2_lm_scoring,
     "op4_warc": warc.op4_warc,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_simhash": simhash.op6_simhash,
