@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracemill.llm import bpe, html_extraction, lm_scoring, quality_rules, simhash, toxicity, warc
+from tracemill.llm import bpe, html_extraction, lm_scoring, quality_rules, simhash, suffix_dedup, toxicity, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_warc": warc.op4_warc,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_simhash": simhash.op6_simhash,
+    "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
     "op9_bpe": bpe.op9_bpe,
     "op10_html_extraction": html_extraction.op10_html_extraction,
 }
