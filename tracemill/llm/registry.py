@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from tracemill.llm import bpe, html_extraction, lm_scoring, quality_rules, simhash, suffix_dedup, toxicity, warc
+from tracemill.llm import bpe, decontamination, html_extraction, lm_scoring, quality_rules, sharding, simhash, suffix_dedup, toxicity, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_lm_scoring": lm_scoring.op2_lm_scoring,
+    "op3_decontamination": decontamination.op3_decontamination,
     "op4_warc": warc.op4_warc,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_simhash": simhash.op6_simhash,
     "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
+    "op8_sharding": sharding.op8_sharding,
     "op9_bpe": bpe.op9_bpe,
     "op10_html_extraction": html_extraction.op10_html_extraction,
 }
 ORACLE_SQL = {
     "op1_quality_rules": quality_rules.ORACLE_SQL,
     "op4_warc": warc.ORACLE_SQL,
+    "op8_sharding": sharding.ORACLE_SQL,
 }
