@@ -95,7 +95,9 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whol
     bits = F.lit(0).cast("long")
     for name, rule in RULES:
         bits = bits.bitwiseOR(F.when(F.expr(rule), F.lit(BIT[name]).cast("long")).otherwise(F.lit(0).cast("long")))
-    return out.select(key, *MEASURES, bits.alias("failure_bits"))
+    # never negative: a filter on the bits stays above them instead of measuring again for each use
+    once = F.when(F.monotonically_increasing_id() < 0, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))
+    return out.select(key, *MEASURES, bits.bitwiseOR(once).alias("failure_bits"))
 
 
 def apply_policy(rows: DataFrame, policy: Policy, out_col: str = "kept") -> DataFrame:
