@@ -1,4 +1,8 @@
 """The registered queries of the signal operators and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from tracemill.plans.base import ORACLE_SQL, QUERIES
+from tracemill.plans import borders, metrics, segmentation, sequences, series  # noqa: F401  (they register themselves)
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
