@@ -31,7 +31,7 @@ from tracemill.llm.common import chunk_count, whole_text
 LENGTH = 100
 GRAM = 36
 #: Grams that occur more often than this are settled by aggregation instead of within one task.
-HOT = 1500
+HOT = 20_000
 #: Text bytes that are hashed at once within a task.
 PIECE = 2 << 20
 
