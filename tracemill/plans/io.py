@@ -133,10 +133,10 @@ def _(v):
     return named.groupBy(F.substring_index("pore", "=", -1).alias("pore"), F.substring_index("dataset", "=", -1).alias("dataset")).agg(F.count("*").alias("n"))
 
 
-@query("s18_param_log", V("param_obs") + "SELECT 1 AS epoch, CAST(seq_no AS INTEGER) AS batch, value AS m1 FROM param_obs WHERE param = 'click'")
+@query("s18_param_log", V("param_obs") + "SELECT 1 AS epoch, CAST(seq_no AS INTEGER) AS batch, value AS m1 FROM param_obs")
 def _(v):
     path = scratch(v.spark, "log")
-    log = v.param_obs().where("param = 'click'").select(F.lit(1).alias("epoch"), F.col("seq_no").alias("batch"), F.lit(0).alias("read"), F.col("value").alias("m1"), F.lit(0.0).alias("zchange"))
+    log = v.param_obs().select(F.lit(1).alias("epoch"), F.col("seq_no").alias("batch"), F.lit(0).alias("read"), F.col("value").alias("m1"), F.lit(0.0).alias("zchange"))
     sinks.write_param_log(log, path)
     return readers.read_param_log(v.spark, path, ["m1"]).select("epoch", "batch", "m1")
 

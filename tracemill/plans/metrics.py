@@ -85,9 +85,9 @@ def _(v):
     return v.metrics().select("tool", "metric", X.to_numeric(F.col("value")).alias("number"))
 
 
-@query("p21_combined_cell", _SCORED + " SELECT tool, metric, concat(printf('%.2f', metric_score), '_{', CASE WHEN regexp_full_match(value, '\\d+\\.\\d+') THEN printf('%.1f', CAST(value AS DOUBLE)) ELSE value END, '}') AS cell FROM scored WHERE abs(metric_score * 100 - floor(metric_score * 100) - 0.5) > 0.000001")
+@query("p21_combined_cell", _SCORED + " SELECT tool, metric, concat(printf('%.2f', metric_score), '_{', CASE WHEN regexp_full_match(value, '\\d+\\.\\d+') THEN printf('%.1f', CAST(value AS DOUBLE)) ELSE value END, '}') AS cell FROM scored")
 def _(v):
-    scored = aggs.normalized_metric_score(v.metrics()).where("abs(metric_score * 100 - floor(metric_score * 100) - 0.5) > 0.000001")
+    scored = aggs.normalized_metric_score(v.metrics())
     return scored.select("tool", "metric", X.combined_cell(F.col("metric_score"), F.col("value")).alias("cell"))
 
 
