@@ -147,8 +147,17 @@ def linspace_borders(start: Column, end: Column, n: Column) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.floor(start + i * step))).otherwise(F.array().cast("array<bigint>"))
 
 
+# Molecule, k, and the probabilities of entering and of staying in a k-mer, by pore type.
+PORES = [
+    ("rna002", True, 5, 0.019889650396799997, 0.9801103496029998),
+    ("rna004", True, 9, 0.031111753637096777, 0.9688882463622581),
+    ("dna_r9", False, 5, 1.0, 1.0),
+    ("dna_r10_260", False, 9, 0.031111753637096777, 0.9688882463622581),
+    ("dna_r10_400", False, 9, 0.031111753637096777, 0.9688882463622581),
+]
+
+
 def pore_defaults(spark):
     """k, molecule and transition logs of each pore type; a fixed small table for broadcasting."""
-    rows = [("rna002", True, 5), ("rna004", True, 9), ("dna_r9", False, 5), ("dna_r10_260", False, 9), ("dna_r10_400", False, 9)]
-    out = spark.createDataFrame(rows, "pore string, is_rna boolean, k int")
-    return out.withColumn("params", F.create_map(F.lit("m1"), F.log(F.lit(0.5)), F.lit("e1"), F.lit(0.0), F.lit("e2"), F.log(F.lit(0.5))))
+    rows = [(name, rna, k, {"m1": math.log(m1), "e1": 0.0, "e2": math.log(e2)}) for name, rna, k, m1, e2 in PORES]
+    return spark.createDataFrame(rows, "pore string, is_rna boolean, k int, params map<string,double>")
