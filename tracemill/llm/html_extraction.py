@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracemill.llm.common import materialise
+
 #: A subtree is template when it occurs in this many different pages of a host at least ...
 MIN_PAGES = 5
 #: ... and in this share of the host's different pages.
@@ -52,6 +54,10 @@ _TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)
 _ATTR = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 
 
+def _digest(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+
+
 class Page:
     """The elements of a page in order of their opening tags, and its text runs."""
 
@@ -152,25 +158,25 @@ class Page:
             yield e
             e = self.parent[e]
 
-    def subtrees(self) -> dict[int, str]:
+    def subtrees(self) -> dict[int, int]:
         """Hash of each element that may be template: containers, and outside articles text blocks too."""
         inside = {x for e in self.region() if self.tag[e] in ROOTS for x in range(e, self.end[e])}
         own: dict[int, list[str]] = {}
         for e, text in self.runs:
             if text is not None and (t := text.strip()):
                 own.setdefault(e, []).append(t)
-        done, out = [""] * len(self.tag), {}
-        children: dict[int, list[str]] = {}
+        done, out = [0] * len(self.tag), {}
+        children: dict[int, list[int]] = {}
         for e in range(len(self.tag) - 1, 0, -1):
-            content = "\x1f".join([self.tag[e], " ".join(self.attrs[e].split()), *own.get(e, ()), *reversed(children.get(e, ()))])
-            done[e] = hashlib.blake2b(content.encode("utf-8", "replace"), digest_size=12).hexdigest()
+            content = "\x1f".join([self.tag[e], " ".join(self.attrs[e].split()), *own.get(e, ()), *map(str, reversed(children.get(e, ())))])
+            done[e] = _digest(content)
             children.setdefault(self.parent[e], []).append(done[e])
             tag = self.tag[e]
             if tag in BLOCK and tag not in ROOTS and not (tag in TEXTUAL and e in inside):
                 out[e] = done[e]
         return out
 
-    def text(self, template: Iterable[str] = ()) -> str:
+    def text(self, template: Iterable[int] = ()) -> str:
         """The blocks of the article, joined by newlines."""
         template, gone = set(template), [False] * len(self.tag)
         by_hash = self.subtrees() if template else {}
@@ -205,16 +211,16 @@ def subtree_hashes(pages: DataFrame) -> DataFrame:
         for batch in batches:
             ids, hosts, digests, hashes = [], [], [], []
             for page_id, url, source in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                digest, host = hashlib.blake2b(source.encode("utf-8", "replace"), digest_size=12).hexdigest(), host_of(url)
+                digest, host = _digest(source), host_of(url)
                 for h in set(Page(source).subtrees().values()):
                     ids.append(page_id)
                     hosts.append(host)
                     digests.append(digest)
                     hashes.append(h)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hosts, pa.string()), pa.array(digests, pa.string()), pa.array(hashes, pa.string())], ["page_id", "host", "digest", "hash"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hosts, pa.string()), pa.array(digests, pa.int64()), pa.array(hashes, pa.int64())], ["page_id", "host", "digest", "hash"])
 
     rows = pages.select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).alias("html"))
-    return rows.mapInArrow(run, "page_id long, host string, digest string, hash string")
+    return rows.mapInArrow(run, "page_id long, host string, digest long, hash long")
 
 
 def site_templates(hashes: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
@@ -236,7 +242,7 @@ def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
     Repeated rows stay repeated; columns besides page_id, url and html are not read; an empty
     table gives no rows.
     """
-    hashes = subtree_hashes(pages)
+    hashes = materialise(subtree_hashes(pages), "subtrees")
     found = hashes.join(site_templates(hashes, min_pages, min_share), ["host", "hash"])
     per_page = found.groupBy("page_id").agg(F.collect_set("hash").alias("template"))
     rows = pages.select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).alias("html")).join(per_page, "page_id", "left")
