@@ -20,7 +20,7 @@ def plain_quality(t):
         "n_words": len(w), "word_chars": sum(map(len, w)), "n_symbols": sum(t.count(c) for c in "#*$%&|<>"), "n_lines": len(lines), "n_dup_lines": len(lines) - len(set(lines)),
         "n_repeat_words": len({k + d for k in range(len(w) - 2) if tri[tuple(w[k : k + 3])] > 1 for d in (0, 1, 2)}), "n_upper": sum(c.isupper() for c in t), "n_lower": sum(c.islower() for c in t),
     }
-    return not any(eval(rule, {}, env) for _, rule in quality_rules.RULES)
+    return not any(eval(rule.replace(" AND ", " and "), {}, env) for _, rule in quality_rules.RULES)
 
 
 def test_pipeline(spark, small):

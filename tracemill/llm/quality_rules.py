@@ -21,7 +21,7 @@ RULES = (
     ("few_words", "n_words < 50"),
     ("repeated_words", "100 * n_repeat_words > 50 * n_words"),
     ("symbols", "10 * n_symbols > 3 * n_words"),
-    ("repeated_lines", "100 * n_dup_lines > 30 * n_lines"),
+    ("repeated_lines", "n_dup_lines > 3 AND 2 * n_dup_lines > n_lines"),
     ("shouting", "n_upper > n_lower"),
     ("long_words", "word_chars > 20 * n_words"),
     ("short_words", "word_chars < 2 * n_words"),
