@@ -34,11 +34,12 @@ RUN = 3
 #: Words whose hash a worker remembers.
 REMEMBERED = 400_000
 #: Words of text that are looked at at once.
-WORDS_AT_ONCE = 400_000
+WORDS_AT_ONCE = 1_000_000
 
 _U = np.uint64
 _EDGE = "\"'`.,;:!?()[]{}<>*#$%&|-–—…«»„“”‘’¡¿"
 _known: dict[str, int] = {}
+_hashes = np.zeros(REMEMBERED, np.uint64)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -47,19 +48,22 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def word_hashes(text: str) -> list[int]:
+def word_hashes(text: str) -> np.ndarray:
     """Hashes of the words of a text, lower-cased, without punctuation at the ends; bare punctuation is no word."""
-    out = []
-    for raw in text.split():
-        h = _known.get(raw)
-        if h is None:
-            if len(_known) >= REMEMBERED:
-                _known.clear()
+    words = text.split()
+    if len(_known) + len(words) > REMEMBERED:
+        _known.clear()
+    if len(words) > REMEMBERED:
+        return np.concatenate([word_hashes(" ".join(words[k : k + REMEMBERED // 2])) for k in range(0, len(words), REMEMBERED // 2)])
+    ids = list(map(_known.get, words))
+    if None in ids:
+        for raw in {w for w, i in zip(words, ids, strict=True) if i is None}:
             w = raw.lower().strip(_EDGE)
-            h = _known[raw] = (xxhash.xxh64_intdigest(w) | 1) if w else 0
-        if h:
-            out.append(h)
-    return out
+            _known[raw] = len(_known)
+            _hashes[_known[raw]] = (xxhash.xxh64_intdigest(w) | 1) if w else 0
+        ids = list(map(_known.get, words))
+    found = _hashes[np.array(ids, np.int64)]
+    return found[found != 0]
 
 
 def allowed(n: int, similarity: float = SIMILARITY) -> int:
@@ -88,20 +92,18 @@ def embed_samples(sequences: np.ndarray, repeats: int = REPEATS, samples: int =
     count, n = sequences.shape
     padded = np.concatenate((sequences, np.zeros((count, 1), np.uint64)), axis=1)
     rng = np.random.default_rng(n)
-    keys = np.empty((count, repeats), np.uint64)
-    rows = np.arange(count)
-    for r in range(repeats):
-        places = np.sort(rng.choice(3 * n, samples, replace=False))
-        at = np.zeros(count, np.int64)
-        key = np.full(count, r * 1000 + n, np.uint64)
-        bits = None
-        for j in range(int(places[-1]) + 1):
-            if j % 64 == 0:
-                bits = _mix(padded ^ _U(rng.integers(1, 1 << 63)))
-            if j in places:
-                key = _mix(key ^ padded[rows, at])
-            at = np.minimum(at + ((bits[rows, at] >> _U(j % 64)) & _U(1)).astype(np.int64), n)
-        keys[:, r] = key
+    places = np.stack([rng.choice(3 * n, min(samples, 3 * n), replace=False) for _ in range(repeats)])
+    seeds = rng.integers(1, 1 << 63, (3 * n // 64 + 1, repeats)).astype(np.uint64)
+    rows, walks = np.arange(count)[:, None], np.arange(repeats)[None, :]
+    at = np.zeros((count, repeats), np.int64)
+    keys = np.broadcast_to((np.arange(repeats) * 1000 + n).astype(np.uint64), (count, repeats)).copy()
+    bits = np.zeros((0, 0, 0), np.uint64)
+    for j in range(int(places.max()) + 1):
+        if j % 64 == 0:
+            bits = _mix(padded[:, None, :] ^ seeds[j // 64][None, :, None])
+        if (sampled := (places == j).any(axis=1)).any():
+            keys[:, sampled] = _mix(keys[:, sampled] ^ padded[rows, at[:, sampled]])
+        at = np.minimum(at + ((bits[rows, walks, at] >> _U(j % 64)) & _U(1)).astype(np.int64), n)
     return keys
 
 
@@ -135,7 +137,7 @@ class Items:
 def prepare(rows: list[tuple[int, str | None]], similarity: float = SIMILARITY) -> Items:
     ids, words = [], []
     for item_id, text in rows:
-        w = np.array(word_hashes(text or ""), np.uint64)
+        w = word_hashes(text or "")
         if len(w) and item_id is not None:
             ids.append(item_id)
             words.append(w)
@@ -196,8 +198,8 @@ def find(items: Items, docs: list[np.ndarray]) -> list[dict[int, tuple[int, int,
     windows = np.unique(np.concatenate(windows), axis=0)
     for n in np.unique(windows[:, 0]):
         own = windows[windows[:, 0] == n]
-        for k in range(0, len(own), 20_000):
-            _, start, doc = own[k : k + 20_000].T
+        for k in range(0, len(own), 2_000):
+            _, start, doc = own[k : k + 2_000].T
             place = start[:, None] + np.arange(n)
             inside = (place >= begin[doc][:, None]) & (place < end[doc][:, None])
             seq = np.where(inside, flat[np.clip(place, 0, len(flat) - 1)], _U(0))
@@ -261,7 +263,7 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILAR
                 while k < len(texts):
                     words, total, end = [], 0, k
                     while end < len(texts) and (end == k or total < WORDS_AT_ONCE):
-                        words.append(np.array(word_hashes(texts[end]), np.uint64))
+                        words.append(word_hashes(texts[end]))
                         total += len(words[-1])
                         end += 1
                     hits = [
