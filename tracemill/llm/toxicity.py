@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tracemill.llm.common import whole_text
 
 #: The classifier is fitted on so many labelled documents of each class at most, those with the least
-#: hash of their id among those of at most TRAIN_CHARS characters.
+#: hash of their id; of these, documents of more than TRAIN_CHARS characters are left out.
 TRAIN_DOCS = 3000
 TRAIN_CHARS = 50_000
 THRESHOLD = 0.7
@@ -270,20 +270,24 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_
     """
     labelled = labels.where(F.col("toxic").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     share = labelled.agg(F.avg("toxic")).first()[0]
-    texts = docs.select("doc_id", whole_text().alias("text")).where(F.length("text") <= train_chars).join(labelled, "doc_id")
     sample = None
     for y in (0, 1):
-        own = texts.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(train_docs)
+        own = labelled.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
         sample = own if sample is None else sample.unionByName(own)
+    # two rows for each of train_docs at most
+    sample = docs.select("doc_id", whole_text().alias("text")).where(F.length("text") <= train_chars).join(F.broadcast(sample), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-        field = train(rows, float(share or 0.0))
-        nonzero = np.flatnonzero(field.weight)
-        model = pickle.dumps((nonzero.astype(np.int32), field.weight[nonzero].astype(np.float32), field.bias, field.trans, field.doc))
-        yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], ["model"])
+        rows = sorted(r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array([dump(train(rows, float(share or 0.0)))], pa.binary())], ["model"])
 
-    return sample.select("text", "toxic").coalesce(1).mapInArrow(run, "model binary").first()[0]
+    made = sample.select("text", "toxic").coalesce(1).mapInArrow(run, "model binary").first()
+    return made[0] if made else dump(train([], 0.0))  # no partition at all
+
+
+def dump(field: Field) -> bytes:
+    at = np.flatnonzero(field.weight)
+    return pickle.dumps((at.astype(np.int32), field.weight[at].astype(np.float32), field.bias, field.trans, field.doc))
 
 
 def load(model: bytes) -> Field:
