@@ -103,6 +103,22 @@ def test_bloom_levels_are_never_too_low():
     assert (found >= lm_scoring.levels_of(counts)).all() and (found == lm_scoring.levels_of(counts)).mean() > 0.9
 
 
+def test_lm_filter_grows_with_the_ngrams(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "MOST_BITS", 1 << 18, raising=False)  # no cap may decide
+    monkeypatch.setattr(lm_scoring, "BUCKET_BYTES", 1 << 16, raising=False)
+    monkeypatch.setattr(lm_scoring, "CHUNK_BYTES", 1 << 16, raising=False)
+    model = lm_scoring.fit(docs_of(spark, [(k, " ".join(f"w{k * 1000 + j}" for j in range(1000))) for k in range(60)]))
+    rows = lm_scoring.score(docs_of(spark, [(0, " ".join(f"w{j}" for j in range(1000))), *((k, " ".join(f"u{k * 1000 + j}" for j in range(1000))) for k in range(1, 4))]), model).orderBy("doc_id").collect()
+    assert [r.n_known for r in rows] == [1001, 1, 1, 1] and rows[0].train_tokens == 60_060
+    for r in rows[1:]:  # words that were never met: log10 of 0.6 / (N + V + 1) each
+        assert r.score == pytest.approx(1000 * math.log10(0.6 / (60_060 + 60_001 + 1)), rel=0.01)
+
+
+def test_lm_probabilities_end_at_one(spark):
+    df = docs_of(spark, [(0, "x " * (1 << 15))])
+    assert lm_scoring.score(df, lm_scoring.fit(df)).first().score <= 0
+
+
 def test_decontamination_recall_and_precision(spark):
     rng = np.random.default_rng(3)
     vocab = [f"w{k}" for k in range(2000)]

@@ -2,11 +2,11 @@
 
 Counts of words and word pairs are quantised to powers of two; an n-gram of level q is put into the
 filter q times, once for each level up to its own. Probing levels until one is missing gives the
-count back within a factor of two, and never too small a level. The filter is made in segments, one
-n-gram's bits all in one, so each task that has summed a segment's counts also makes its bits; it
-has a fixed largest size and is broadcast. The exact word counts of the add-one base score would
-grow with the corpus, so they are never broadcast: they are joined to the distinct words of each
-chunk of documents.
+count back within a factor of two, and never too small a level. N-grams are dealt to buckets by the
+top bits of their hashes. The task that has summed a bucket's counts knows how many levels it holds
+and gives its filter that many times LEVEL_BITS, so the rate of false levels is the same for every
+size of corpus. The filter grows with the corpus, so it is never gathered nor broadcast: each chunk
+of documents sends its distinct n-grams to the buckets and gets levels and exact word counts back.
 """
 
 from __future__ import annotations
@@ -19,12 +19,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import chunk_count, materialise, whole_text
+from tracemill.llm.common import materialise, whole_text
 
-#: Bits of the filter: this many for each byte of text, within bounds. 2^29 bits are 64 MB.
-BITS_PER_BYTE = 2
-LEAST_BITS, MOST_BITS = 1 << 18, 1 << 29
-#: Bits of a segment: as many tasks as segments can share the counting.
+#: Text for each bucket of n-grams, and for each chunk of documents that is scored.
+BUCKET_BYTES, CHUNK_BYTES = 16 << 20, 24 << 20
+#: Bits of the filter for each level put in: with three probes 17% are set, 0.5% of levels are false.
+LEVEL_BITS = 16
+#: Bits of a segment: those of one n-gram are all in one.
 SEGMENT_BITS = 1 << 13
 PROBES = 3
 MOST_LEVELS = 48
@@ -149,109 +150,141 @@ def _batches(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Itera
         yield texts
 
 
-def ngram_counts(docs: DataFrame) -> DataFrame:
-    """``(pair, gram, n)``: counts of word hashes and of pair hashes, summed within each task only."""
+def _bucket_count(docs: DataFrame) -> int:
+    """A power of two that follows the text."""
+    text_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(4, 1 << (text_bytes // BUCKET_BYTES).bit_length())
+
+
+def _edges(gram: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each bucket starts in sorted n-grams, and their end."""
+    first = np.arange(buckets, dtype=np.uint64) << _U(65 - buckets.bit_length())
+    return np.append(np.searchsorted(gram, first), len(gram))
+
+
+def _cut(values: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """The bytes of an array in pieces."""
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer((edges * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _joined(pieces: pa.ChunkedArray, dtype: type) -> np.ndarray:
+    return np.frombuffer(b"".join(pieces.to_pylist()), dtype)
+
+
+def ngram_counts(docs: DataFrame, buckets: int) -> DataFrame:
+    """``(bucket, words, word_n, pairs, pair_n)``: sorted hashes and their counts, summed within each task only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for texts in _batches(batches, 0, COUNT_BYTES):
-            tokens = Tokens(texts)
-            for pair, keys in ((False, tokens.hash), (True, pair_key(tokens.before, tokens.hash))):
+            tokens, columns, some = Tokens(texts), [pa.array(np.arange(buckets, dtype=np.int32))], np.zeros(buckets, bool)
+            for keys in (tokens.hash, pair_key(tokens.before, tokens.hash)):
                 gram, n = np.unique(keys, return_counts=True)
-                for k in range(0, len(gram), 100_000):
-                    own = gram[k : k + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), pair)), pa.array(own.view(np.int64)), pa.array(n[k : k + 100_000])], ["pair", "gram", "n"])
+                edges = _edges(gram, buckets)
+                columns += [_cut(gram, edges), _cut(n.astype(np.uint32), edges)]
+                some |= np.diff(edges) > 0
+            yield pa.RecordBatch.from_arrays(columns, ["bucket", "words", "word_n", "pairs", "pair_n"]).filter(pa.array(some))
 
-    return docs.select(whole_text().alias("text")).mapInArrow(run, "pair boolean, gram long, n long")
+    return docs.select(whole_text().alias("text")).mapInArrow(run, "bucket int, words binary, word_n binary, pairs binary, pair_n binary")
 
 
 class Model:
-    """The broadcast filter, the exact word counts as a table, and the training totals."""
+    """The filters and the exact word counts, a row for each bucket, and the training totals."""
 
-    def __init__(self, data: bytes, size: int, words: DataFrame, n: int, v: int):
-        self.data, self.size, self.words, self.n, self.v = data, size, words, n, v
+    def __init__(self, table: DataFrame, buckets: int, n: int, v: int):
+        self.table, self.buckets, self.n, self.v = table, buckets, n, v
 
 
 def fit(docs: DataFrame) -> Model:
     """Count the words and pairs of all documents given, and make the filter."""
-    text_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    size = LEAST_BITS
-    while size < BITS_PER_BYTE * text_bytes and size < MOST_BITS:
-        size *= 2
-    counts = ngram_counts(docs).withColumn("segment", F.col("gram").bitwiseAND(F.lit(size // SEGMENT_BITS - 1)).cast("int"))
-    summed = counts.repartition("segment").groupBy("segment", "pair", "gram").agg(F.sum("n").alias("n"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = Segments(size)
-        for batch in batches:
-            pair, gram, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2, 3))
-            made.add(gram.view(np.uint64), n)
-            words = ~pair
-            if words.any():
-                k = int(words.sum())
-                yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.array(gram[words]), pa.array(n[words])], ["segment", "bits", "gram", "n"])
-        segment, bits = made.rows()
-        if k := len(segment):
-            yield pa.RecordBatch.from_arrays([pa.array(segment, pa.int32()), pa.array(bits, pa.binary()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], ["segment", "bits", "gram", "n"])
-
-    table = materialise(summed.select("segment", "pair", "gram", "n").mapInArrow(run, "segment int, bits binary, gram long, n long"), "ngrams")
-    words = table.where("bits IS NULL").select("gram", "n")
-    n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    data = np.zeros(size // 8, np.uint8)  # MOST_BITS at most
-    width = SEGMENT_BITS // 8
-    for row in table.where("bits IS NOT NULL").select("segment", "bits").toLocalIterator():
-        data[row.segment * width : (row.segment + 1) * width] |= np.frombuffer(row.bits, np.uint8)
-    return Model(data.tobytes(), size, words, int(n), int(v))
+    buckets = _bucket_count(docs)
+
+    def summed(group: pa.Table, grams: str, counts: str) -> tuple[np.ndarray, np.ndarray]:
+        gram, back = np.unique(_joined(group.column(grams), np.uint64), return_inverse=True)
+        return gram, np.bincount(back, _joined(group.column(counts), np.uint32), len(gram)).astype(np.int64)
+
+    def make(group: pa.Table) -> pa.Table:
+        parts = [summed(group, "words", "word_n"), summed(group, "pairs", "pair_n")]
+        levels = sum(int(levels_of(n).sum()) for _, n in parts)
+        size = SEGMENT_BITS * -(-LEVEL_BITS * levels // SEGMENT_BITS)
+        made, data, width = Segments(size), np.zeros(size // 8, np.uint8), SEGMENT_BITS // 8
+        for gram, n in parts:
+            made.add(gram, n)
+        for segment, bits in zip(*made.rows(), strict=True):
+            data[segment * width : (segment + 1) * width] = np.frombuffer(bits, np.uint8)
+        words, n = parts[0]
+        return pa.table({"bucket": group.column("bucket")[:1], "bits": [data.tobytes()], "words": [words.tobytes()], "word_n": [n.tobytes()], "total": [int(n.sum())], "distinct": [len(words)]})
+
+    counts = ngram_counts(docs, buckets).repartition(buckets, "bucket")
+    table = materialise(counts.groupBy("bucket").applyInArrow(make, "bucket int, bits binary, words binary, word_n binary, total long, distinct long"), "ngrams")
+    n, v = table.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
+    return Model(table.drop("total", "distinct"), buckets, int(n), int(v))
+
+
+def _tokens(texts: list[str]) -> tuple[list[Tokens], list[np.ndarray], np.ndarray, np.ndarray]:
+    """The tokens and pairs of texts, slice by slice, and the sorted distinct words and pairs of all."""
+    tokens = [Tokens(own) for own in _slices(texts)]
+    pairs = [pair_key(t.before, t.hash) for t in tokens]
+    none = np.zeros(0, np.uint64)
+    return tokens, pairs, np.unique(np.concatenate([none, *(np.unique(t.hash) for t in tokens)])), np.unique(np.concatenate([none, *map(np.unique, pairs)]))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``(doc_id, n_tokens, n_known, train_tokens, base_score, score)`` for each row of ``docs``.
 
     ``score`` is the sum over tokens of log10 of ``(1 - w) * (c + 1) / (N + V + 1)`` plus ``w`` times
-    the pair's count over the count of the token before, counts from the filter. Null texts are
-    empty: one token, the end. Rows are kept as they come; only doc_id and text are read.
+    the pair's count over the count of the token before, counts from the filter, and no probability
+    above 1. Null texts are empty: one token, the end. Rows are kept as they come; only doc_id and
+    text are read.
     """
-    n_chunks = chunk_count(docs)
+    text_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_chunks = max(4, -(-text_bytes // CHUNK_BYTES))
     dealt = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_chunks)).cast("int").alias("chunk"), F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).repartition(n_chunks, "chunk")
-
-    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            chunk = batch.column(0).to_numpy()
-            texts = batch.column(2)
-            for c in np.unique(chunk):
-                parts = [np.unique(Tokens(own).hash) for own in _slices(texts.filter(pa.array(chunk == c)).to_pylist())]
-                gram = np.unique(np.concatenate(parts)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), c, np.int32)), pa.array(gram)], ["chunk", "gram"])
-
-    known = dealt.mapInArrow(wanted, "chunk int, gram long").join(model.words, "gram").select("chunk", "gram", "n")
-    shared = docs.sparkSession.sparkContext.broadcast(model.data)  # MOST_BITS at most
-    size, total, rows = model.size, model.n, model.n + model.v + 1
+    buckets, total, rows = model.buckets, model.n, model.n + model.v + 1
+
+    def wanted(group: pa.Table) -> pa.Table:
+        _, _, words, pairs = _tokens(group.column("text").to_pylist())
+        at = [_edges(words, buckets), _edges(pairs, buckets)]
+        chunk = np.full(buckets, group.column("chunk")[0].as_py(), np.int32)
+        found = pa.table({"chunk": chunk, "bucket": np.arange(buckets, dtype=np.int32), "words": _cut(words, at[0]), "pairs": _cut(pairs, at[1])})
+        return found.filter(pa.array((np.diff(at[0]) > 0) | (np.diff(at[1]) > 0)))
+
+    def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
+        words, pairs = _joined(asked.column("words"), np.uint64), _joined(asked.column("pairs"), np.uint64)
+        levels, n = [np.zeros(len(x), np.uint8) for x in (words, pairs)], np.zeros(len(words), np.int64)
+        if len(known):
+            data = _joined(known.column("bits"), np.uint8)
+            bloom = Filter(8 * len(data), data)
+            levels = [bloom.levels(x).astype(np.uint8) for x in (words, pairs)]
+            gram, count = _joined(known.column("words"), np.uint64), _joined(known.column("word_n"), np.int64)
+            if len(gram):
+                at = np.minimum(np.searchsorted(gram, words), len(gram) - 1)
+                n = np.where(gram[at] == words, count[at], 0)
+        ends = [np.cumsum([0, *(len(x) // 8 for x in asked.column(c).to_pylist())]) for c in ("words", "pairs")]
+        return pa.table({"chunk": asked.column("chunk"), "bucket": asked.column("bucket"), "word_level": _cut(levels[0], ends[0]), "word_n": _cut(n, ends[0]), "pair_level": _cut(levels[1], ends[1])})
+
+    asked = dealt.groupBy("chunk").applyInArrow(wanted, "chunk int, bucket int, words binary, pairs binary").repartition(buckets, "bucket")
+    answered = asked.groupBy("bucket").cogroup(model.table.repartition(buckets, "bucket").groupBy("bucket")).applyInArrow(answer, "chunk int, bucket int, word_level binary, word_n binary, pair_level binary")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, texts = left.column("doc_id"), left.column("text").to_pylist()
-        gram, n = right.column("gram").to_numpy().view(np.uint64), right.column("n").to_numpy()
-        gram, first = np.unique(gram, return_index=True)
-        gram, n = np.append(gram, _U(0xFFFFFFFFFFFFFFFF)), np.append(n[first], 0)
-        bloom = Filter(size, np.frombuffer(shared.value, np.uint8))
+        right = right.sort_by("bucket")  # the order of the n-grams
+        tokens, pairs, word, distinct = _tokens(left.column("text").to_pylist())
+        seen, exact = count_of(_joined(right.column("word_level"), np.uint8)), _joined(right.column("word_n"), np.int64)
+        seen_pair = count_of(_joined(right.column("pair_level"), np.uint8))
         out: list[list[np.ndarray]] = [[], [], [], []]
-        for own in _slices(texts):
-            tokens = Tokens(own)
-            at = np.minimum(np.searchsorted(gram, tokens.hash), len(gram) - 1)
-            c = np.where(gram[at] == tokens.hash, n[at], 0)
-            word, back = np.unique(tokens.hash, return_inverse=True)
-            seen = count_of(bloom.levels(word))
-            single = seen[back]
+        for own, keys in zip(tokens, pairs, strict=True):
+            at = np.searchsorted(word, own.hash)
+            c, single = exact[at], seen[at]
             context = np.concatenate((seen[np.searchsorted(word, END)][None], single[:-1]))
-            pairs, back = np.unique(pair_key(tokens.before, tokens.hash), return_inverse=True)
-            pair = count_of(bloom.levels(pairs))[back]
+            pair = seen_pair[np.searchsorted(distinct, keys)]
             ratio = np.where(context > 0, np.minimum(pair / np.maximum(context, 1), 1.0), 0.0)
-            p = (1 - PAIR_WEIGHT) * (single + 1) / rows + PAIR_WEIGHT * ratio
-            for k, x in enumerate((tokens.count, np.add.reduceat((c > 0).astype(np.int64), tokens.first), np.add.reduceat(np.log10((c + 1) / rows), tokens.first), np.add.reduceat(np.log10(p), tokens.first))):
+            p = np.minimum((1 - PAIR_WEIGHT) * (single + 1) / rows + PAIR_WEIGHT * ratio, 1.0)
+            for k, x in enumerate((own.count, np.add.reduceat((c > 0).astype(np.int64), own.first), np.add.reduceat(np.log10((c + 1) / rows), own.first), np.add.reduceat(np.log10(p), own.first))):
                 out[k].append(x)
-        a, b, base, own = (np.concatenate(x) if x else np.zeros(0) for x in out)
-        return pa.table({"doc_id": ids.cast(pa.int64()), "n_tokens": pa.array(a, pa.int64()), "n_known": pa.array(b, pa.int64()), "train_tokens": pa.array(np.full(len(a), total), pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(own, pa.float64())})
+        a, b, base, scores = (np.concatenate(x) if x else np.zeros(0) for x in out)
+        return pa.table({"doc_id": left.column("doc_id").cast(pa.int64()), "n_tokens": pa.array(a, pa.int64()), "n_known": pa.array(b, pa.int64()), "train_tokens": pa.array(np.full(len(a), total), pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(scores, pa.float64())})
 
     schema = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return dealt.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(run, schema)
+    return dealt.groupBy("chunk").cogroup(answered.repartition(n_chunks, "chunk").groupBy("chunk")).applyInArrow(run, schema)
 
 
 def _slices(texts: list[str], most: int = 2 << 20) -> Iterator[list[str]]:
