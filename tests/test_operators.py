@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import os
 
 import numpy as np
 import pytest
@@ -10,7 +11,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tracemill.functions import exprs as X
-from tracemill.operators import aggs, filters, joins, segment, windows
+from tracemill.operators import aggs, evaluate, filters, joins, segment, windows
+from tracemill.plans import registry
+from tracemill.plans.views import Views
 from tracemill.sources import readers, sinks
 
 
@@ -222,3 +225,39 @@ def test_vcf_and_fit(spark, tmp_path):
     seen = {s[k : k + 2] for _, s, _ in reads for k in range(11)} - {"AA"}
     off = [abs(r.level_mean - levels[r.kmer]) for r in new.collect() if r.kmer in seen]
     assert np.mean(off) < 0.3
+
+
+def edits_loop(a, b):
+    row = list(range(len(b) + 1))
+    for x in a:
+        left = [row[0] + 1]
+        for k, y in enumerate(b):
+            left.append(min(row[k] + (x != y), row[k + 1] + 1, left[k] + 1))
+        row = left
+    return row[-1]
+
+
+def test_edits_of_whole_sequences(spark, small):
+    rng = np.random.default_rng(3)
+    text = "".join(rng.choice(list("ACGT"), 400))
+    rows = [(1, text, text[:50] + text[53:]), (2, text, "".join(rng.choice(list("ACGT"), 390))), (3, text, ""), (4, "", ""), (5, text, text)]
+    rows.append((6, "A" * 3000, "C" * 2900))  # nothing in common
+    got = {r.readid: r.edits for r in evaluate.edit_distance(spark.createDataFrame(rows, "readid long, seq string, segmented_seq string")).collect()}
+    assert got == {**{i: edits_loop(a, b) for i, a, b in rows[:5]}, 6: 3000}
+    for _ in range(200):
+        a, b = ("".join(rng.choice(list("ACGé"), rng.integers(0, 30))) for _ in range(2))
+        assert X.edit_count(a, b) == edits_loop(a, b)
+    want, pairs = {}, Views(spark, small).pairs().collect()
+    for r in (r for r in pairs if r.present):
+        a, b = r.seq, r.segmented_seq
+        k = len(os.path.commonprefix([a, b]))
+        a, b = a[k:], b[k:]
+        k = len(os.path.commonprefix([a[::-1], b[::-1]]))  # what both share costs nothing
+        want[r.readid] = edits_loop(a[: len(a) - k], b[: len(b) - k])
+    assert {r.readid: r.edits for r in registry.QUERIES["e7_sequence_edits"](spark, small).collect()} == want
+    counts = registry.QUERIES["g6_read_recovery_edits"](spark, small).first()
+    assert counts.nt_changed == sum(want.values()) > 0 and counts.total == len(pairs)
+    report = {r.metric: r.value for r in registry.QUERIES["e5_evaluate_reads"](spark, small).collect()}
+    lengths = [len(r.segmented_seq) for r in pairs if r.present]
+    assert report["nt_changed"] == counts.nt_changed and report["missing"] == len(pairs) - len(want)
+    assert report["mean_length"] == pytest.approx(np.mean(lengths)) and report["max_length"] == max(lengths)

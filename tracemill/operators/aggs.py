@@ -221,5 +221,5 @@ def read_recovery_stats(pairs: DataFrame) -> DataFrame:
     both = F.col("present")
     return pairs.agg(
         F.count("*").alias("total"), F.count_if(both).alias("present"), F.count_if(~both).alias("missing"), F.count_if(both & (F.col("seq") == F.col("segmented_seq"))).alias("identical"),
-        F.count_if(both & (F.length("segmented_seq") < F.length("seq"))).alias("truncated"), F.coalesce(F.sum(F.when(both, F.levenshtein("seq", "segmented_seq"))), F.lit(0)).cast("long").alias("nt_changed"),
+        F.count_if(both & (F.length("segmented_seq") < F.length("seq"))).alias("truncated"), F.coalesce(F.sum(F.when(both, X.edits(F.col("seq"), F.col("segmented_seq")))), F.lit(0)).cast("long").alias("nt_changed"),
     )

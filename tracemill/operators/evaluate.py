@@ -60,4 +60,13 @@ def metric_report(metrics: DataFrame, names: list[str]) -> DataFrame:
 
 def edit_distance(pairs: DataFrame, a: str = "seq", b: str = "segmented_seq") -> DataFrame:
     """Edit distance of whole sequences, with unit costs."""
-    return pairs.withColumn("edits", F.levenshtein(F.col(a), F.col(b)))
+    return pairs.withColumn("edits", X.edits(F.col(a), F.col(b)))
+
+
+def evaluate_reads(basecalled: DataFrame, segmented: DataFrame) -> DataFrame:
+    """``(metric, value)``: recovery counts and edits over the basecalled reads, length statistics of the recovered ones."""
+    pairs = joins.presence(basecalled, segmented)
+    counts = aggs.read_recovery_stats(pairs)
+    counts = counts.select(*[F.col(c).cast("double").alias(c) for c in counts.columns]).unpivot([], counts.columns, "metric", "value")
+    lengths = pairs.where("present").select(F.lit("segmented").alias("grp"), F.length("segmented_seq").alias("len"))
+    return counts.unionByName(aggs.length_stats(lengths).select(F.concat("metric", F.lit("_length")).alias("metric"), "value"))

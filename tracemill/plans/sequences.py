@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracemill.functions import exprs as X
-from tracemill.operators import aggs, filters, joins
+from tracemill.operators import aggs, evaluate, filters, joins
 from tracemill.plans.base import query
 from tracemill.plans.views import with_views as V
 
@@ -162,6 +162,24 @@ def _(v):
     return aggs.read_recovery_stats(v.pairs()).drop("nt_changed")
 
 
+@query("g6_read_recovery_edits")
+def _(v):
+    """All recovery statistics, with the edits; whole sequences are too slow for the SQL engine, the tests have a brute-force version."""
+    return aggs.read_recovery_stats(v.pairs())
+
+
+@query("e7_sequence_edits")
+def _(v):
+    """Edit distance of each whole basecalled sequence to its segmented one."""
+    return evaluate.edit_distance(v.pairs().where("present")).select("readid", F.col("edits").cast("long").alias("edits"))
+
+
+@query("e5_evaluate_reads")
+def _(v):
+    p = v.pairs()
+    return evaluate.evaluate_reads(p.select("readid", "seq"), p.where("present").select("readid", F.col("segmented_seq").alias("seq")))
+
+
 @query("g26_segments_to_sequence", V("triples") + "SELECT readid, string_agg(base, '' ORDER BY n DESC) AS seq FROM triples GROUP BY readid")
 def _(v):
     p = v.points()
