@@ -246,6 +246,22 @@ def test_simhash(spark, texts, unit_rows, monkeypatch):
     assert got == Counter((i, fps[k], least[label[k]]) for k, (i, _) in enumerate(rows))
 
 
+def test_split_units_hold_the_whole_budget(spark):
+    bit = lambda *at: sum(1 << k for k in at)
+    # 16 groups of two fingerprints that differ in the four bits 0, 9, 20 and 33, the most balanced ones; the upper bits put all in one unit
+    rng = np.random.default_rng(5)
+    high = [bit(*(k for k in range(38) if k not in (0, 9, 20, 33) and rng.random() < 0.3)) for _ in range(16)]
+    fps = [h ^ x for h in high for x in (0, bit(0, 9, 20, 33))]
+    links = simhash.near_fingerprints(spark.createDataFrame([(x,) for x in fps], "fp long"), 4, 8).collect()
+    joined = common.connected_components(spark.createDataFrame([(r.a, r.b) for r in links], "a long, b long")).collect()
+    got = {r.node: r.component for r in joined}
+    label = classes(len(fps), lambda i, j: bin(fps[i] ^ fps[j]).count("1") <= 4)
+    least = {}
+    for k, x in enumerate(fps):
+        least[label[k]] = min(x, least.get(label[k], x))
+    assert [got.get(x, x) for x in fps] == [least[label[k]] for k in range(len(fps))]
+
+
 def test_trie_with_a_large_group():
     rng = np.random.default_rng(1)
     fp = np.full(3000, 1 << 40, np.uint64)

@@ -11,6 +11,7 @@ spanning forest of its links, never all pairs, and the forests meet in connected
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 from itertools import combinations
 
 import numpy as np
@@ -145,12 +146,12 @@ def _prefix(bits: Column) -> Column:
     return F.aggregate(F.transform(bits, lambda b, k: F.call_function("shiftleft", F.getbit("fp", b).cast("long"), k)), F.lit(0).cast("long"), lambda a, x: a + x)
 
 
-def _split(rows: DataFrame, hot: DataFrame) -> DataFrame:
-    """Units in ``hot`` dealt into node pairs of the trie over their most balanced bits."""
+def _split(rows: DataFrame, hot: DataFrame, budget: int) -> DataFrame:
+    """Units in ``hot`` dealt into node pairs of the trie over their most balanced bits, as far apart as the budget lets them be."""
     rows = rows.join(hot, "unit")
     sums = rows.groupBy("unit").agg(F.array(*[F.struct(F.abs(F.sum(F.getbit("fp", F.lit(k))) * 2 - F.count("*")).alias("off"), F.lit(k).alias("bit")) for k in range(64)]).alias("s"))
     bits = sums.select("unit", F.transform(F.slice(F.sort_array("s"), 1, SPLIT_BITS), lambda x: x["bit"]).alias("bits"))
-    masks = [0] + [1 << k for k in range(SPLIT_BITS)] + [1 << j | 1 << k for j in range(SPLIT_BITS) for k in range(j)]
+    masks = [sum(1 << k for k in chosen) for n in range(min(budget, SPLIT_BITS) + 1) for chosen in combinations(range(SPLIT_BITS), n)]
     p, q = F.col("p"), F.col("p").bitwiseXOR(F.col("m"))
     out = rows.join(bits, "unit").withColumn("p", _prefix(F.col("bits"))).withColumn("m", F.explode(F.array(*[F.lit(m).cast("long") for m in masks])))
     swap = F.when(F.col("crossing"), F.col("side") == 1).otherwise(p > q)
@@ -162,7 +163,7 @@ def _split(rows: DataFrame, hot: DataFrame) -> DataFrame:
     )
 
 
-def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _walk(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.RecordBatch]:
     """All units of a partition at once; returns the links of each fingerprint to its root."""
     found = list(batches)
     if not found:
@@ -179,7 +180,7 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pairs = [np.column_stack((starts[own], ends[own], starts[own], ends[own]))]
     two = np.flatnonzero(cross[starts[:-1]] & (unit[starts[:-1]] == unit[starts[1:]]))
     pairs.append(np.column_stack((starts[two], ends[two], starts[two + 1], ends[two + 1])))
-    root = trie_links(fp, np.concatenate(pairs))
+    root = trie_links(fp, np.concatenate(pairs), budget)
     linked = np.flatnonzero(root != np.arange(len(fp)))
     a, b = fp[linked].view(np.int64), fp[root[linked]].view(np.int64)
     for k in range(0, len(a), 50_000):
@@ -197,10 +198,10 @@ def near_fingerprints(fps: DataFrame, budget: int = BUDGET, unit_rows: int = UNI
         cold = rows
         if split := depth < 64 // SPLIT_BITS and hot.limit(1).count() > 0:
             cold = rows.join(hot, "unit", "left_anti")
-        links.append(cold.select("fp", "unit", "side", "crossing").repartition("unit").mapInArrow(_walk, "a long, b long"))
+        links.append(cold.select("fp", "unit", "side", "crossing").repartition("unit").mapInArrow(partial(_walk, budget=budget), "a long, b long"))
         if not split:
             break
-        rows = materialise(_split(rows, hot), "units")
+        rows = materialise(_split(rows, hot, budget), "units")
     out = links[0]
     for more in links[1:]:
         out = out.unionByName(more)
