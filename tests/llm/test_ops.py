@@ -350,12 +350,45 @@ def test_bpe_is_tiktokens(spark, texts):
     want = sorted(((i, ref.encode_ordinary(t or ""), bytearray((t or "").encode())) for i, t in rows), key=lambda r: f"Row(doc_id={r[0]}, ids={r[1]}, decoded={r[2]!r})")
     assert [tuple(r) for r in got] == want
     coder = bpe.coder(path, P.PATTERN)
-    seqs = [np.array(ref.encode_ordinary("hello world 🎉")), np.zeros(0, int)]
-    assert coder.decode(seqs) == ["hello world 🎉".encode(), b""]
+    seq = np.array(ref.encode_ordinary("hello world 🎉"))
+    raw, size = coder.decode(np.concatenate((seq, seq[:2])), np.array([0, len(seq), 0, 2, 0]))
+    assert raw.tobytes() == ("hello world 🎉".encode() + ref.decode_bytes(seq[:2].tolist())) and size.tolist() == [0, 16, 0, len(ref.decode_bytes(seq[:2].tolist())), 0]
     d = {r.doc_id: r for r in bpe.digests(docs_of(spark, [(1, "héllo")])).collect()}[1]
     assert d.ids_sha256 == hashlib.sha256(np.array(ref.encode_ordinary("héllo"), "<u4").tobytes()).hexdigest()
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken"])
+def test_bpe_of_long_words_is_tiktokens(name, monkeypatch):
+    import public_tokenizers as P
+    import tiktoken
+
+    rng = np.random.default_rng(11)
+    words = ["a" * 5000, "ab" * 2000, "aab" * 900, "日本語テキスト" * 60, "".join(rng.choice(list("etaoinshr"), 700)), "".join(rng.choice(list("aàb "), 300)), "Don't" * 30, "1" * 777, "\n" * 500, "=-" * 400, "é" * 131]
+    coder = bpe.Coder(P.path(name), P.PATTERN)
+    ref = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=coder.ranks, special_tokens={})
+    monkeypatch.setattr(bpe, "REMEMBERED", 50)  # forgets all the time
+    monkeypatch.setattr(bpe, "CHARS_AT_ONCE", 1200)  # longer texts go word by word
+    monkeypatch.setattr(bpe, "WORDS_AT_ONCE", 100)
+    texts = [*words, "", *("".join(rng.choice(list("abc'd  é,.\n9漢"), 300)) for _ in range(4))]
+    for t, (ids, raw) in zip(texts, coder.both(texts), strict=True):
+        assert ids.tolist() == ref.encode_ordinary(t) and raw.tobytes() == t.encode()
+    monkeypatch.setattr(bpe, "LONG", 2)  # the rule for long words gives the same for short ones
+    coder._forget()
+    for t, (ids, _) in zip(texts[7:], coder.both(texts[7:]), strict=True):
+        assert ids.tolist() == ref.encode_ordinary(t)
+
+
+def test_bpe_takes_rows_in_any_order(monkeypatch):
+    import public_tokenizers as P
+
+    coder = bpe.Coder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    words = [b" corpus", b"tokenisation", b"", b"aaaaaaaa"]
+    want = [x.tolist() for x in coder.encode_words(words)]
+    table = coder._table
+    monkeypatch.setattr(coder, "_table", lambda name, rows: table(name, rows.take(list(range(len(rows)))[::-1]) if name == "fresh" else rows))
+    assert [x.tolist() for x in coder.encode_words(words)] == want
+
+
 def page(body, k=0):
     return f'<!DOCTYPE html><html><head><title>t{k}</title><style>p{{}}</style><script>var t="</p>";</script></head><body>{body}</body></html>'
 
