@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import whole_text
+from tracemill.llm.common import releasing, whole_text
 
 #: The classifier is fitted on so many labelled documents of each class at most, those with the least
 #: hash of their id; of these, documents of more than TRAIN_CHARS characters are left out.
@@ -33,7 +33,9 @@ MIN_CONTEXTS = 8
 MIN_RATIO = 20.0
 FEATURES = 1 << 18
 WINDOW = 48
+#: Passes over the tagged windows; more of them where that would be fewer steps than STEPS.
 EPOCHS = 5
+STEPS = 150
 #: Words whose weight a worker remembers.
 REMEMBERED = 300_000
 #: Token places that one forward-backward handles.
@@ -163,6 +165,7 @@ class Field:
                     slots[w] = [_slot(f) for f in features(w)]
             n = [len(slots[w]) for w in words]
             placed.append((np.repeat(np.arange(len(words)), n), np.array([s for w in words for s in slots[w]])))
+        epochs = max(epochs, -(-STEPS // max(1, -(-len(sequences) // batch))))
         gw, gb, gt = np.full(FEATURES, 1e-8), 1e-8, np.full((2, 2), 1e-8)
         rng = np.random.default_rng(0)
         for _ in range(epochs):
@@ -258,30 +261,34 @@ def train(rows: list[tuple[str, int]], prior: float) -> Field:
 
 
 def _remainder(divisor: int):
-    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(divisor))
+    """Of a document's id; a null id is read as the empty text."""
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(divisor))
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_chars: int = TRAIN_CHARS) -> bytes:
     """A field, pickled, from at most ``train_docs`` labelled documents of each class.
 
-    Rows with a null label are left out; a document labelled twice counts with each label. The
-    sample is made of the smallest id hashes, so it doesn't depend on the partitioning. One task
-    fits the model; its input is bounded by the two parameters.
+    Rows with a null label or id are left out; a document labelled twice counts with each label, of
+    several texts under one id one counts (that with the least hash). The sample is made of the
+    smallest id hashes, so it doesn't depend on the partitioning. Spark joins it to the texts in many
+    tasks; one task fits the model, and its input is bounded by the two parameters.
     """
-    labelled = labels.where(F.col("toxic").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    labelled = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     share = labelled.agg(F.avg("toxic")).first()[0]
     sample = None
     for y in (0, 1):
         own = labelled.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
         sample = own if sample is None else sample.unionByName(own)
     # two rows for each of train_docs at most
-    sample = docs.select("doc_id", whole_text().alias("text")).where(F.length("text") <= train_chars).join(F.broadcast(sample), "doc_id")
+    sample = docs.select("doc_id", whole_text().alias("text")).where(F.length("text") <= train_chars).join(F.broadcast(sample.distinct()), "doc_id")
+    sample = sample.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted(r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
         yield pa.RecordBatch.from_arrays([pa.array([dump(train(rows, float(share or 0.0)))], pa.binary())], ["model"])
 
-    made = sample.select("text", "toxic").coalesce(1).mapInArrow(run, "model binary").first()
+    made = sample.select("text", "toxic").repartition(1).mapInArrow(run, "model binary").first()
     return made[0] if made else dump(train([], 0.0))  # no partition at all
 
 
@@ -309,6 +316,7 @@ def score(docs: DataFrame, model: bytes, threshold: float = THRESHOLD, offsets:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES weights at most
     key = zlib.crc32(model)
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _LOADED:
             _LOADED.clear()
