@@ -11,13 +11,14 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import materialise
+from tracemill.llm.common import materialise, releasing
 
 #: A subtree is template when it occurs in this many different pages of a host at least ...
 MIN_PAGES = 5
@@ -50,7 +51,13 @@ NAMES = re.compile(
     r"related|recommended|widget|login|search|toolbar|pagination|pager|legal|copyright|skip|hidden|tags|meta|byline)(?:$|[\s_-])",
     re.I,
 )
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.S)
+#: The same within an article, where other words may name its parts: adverts, reader comments, menus, sidebars and calls to sign up or share.
+ARTICLE_NAMES = re.compile(
+    r"(?:^|[\s_-])(?:ads?|adv|advert\w*|adsense|adslot|sponsor\w*|promo|cookies?|consent|gdpr|popup|modal|overlay|newsletter|subscribe|signup|"
+    r"share|sharing|social|sidebar|nav|navbar|navigation|breadcrumbs?|comments?|commentlist|disqus|respond|replies)(?:$|[\s_-])",
+    re.I,
+)
+_TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+)>", re.S)
 _ATTR = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 
 
@@ -61,12 +68,17 @@ def _digest(text: str) -> int:
 class Page:
     """The elements of a page in order of their opening tags, and its text runs."""
 
-    __slots__ = ("tag", "attrs", "parent", "runs", "end")
+    __slots__ = ("tag", "attrs", "parent", "runs", "end", "_open_at", "_holds", "_in_article", "_roots")
 
     def __init__(self, source: str):
         self.tag, self.attrs, self.parent = ["#"], [""], [-1]
         self.end: list[int] = [0]  # one past the last descendant
         self.runs: list[tuple[int, str | None]] = []  # (element, text); None marks a block border
+        # depths of the open elements by name, and of the open containers: no tag walks the whole stack
+        self._open_at: dict[str, list[int]] = {}
+        self._holds: list[int] = []
+        self._in_article = [False]
+        self._roots: list[int] | None = None
         stack, at, n = [0], 0, len(source)
         find = _TAG.search
         while at < n:
@@ -96,14 +108,14 @@ class Page:
 
     def _open(self, stack: list[int], name: str, attrs: str) -> None:
         if name in BLOCK:
-            ended = CLOSES.get(name, ())
-            for k in range(len(stack) - 1, 0, -1):
-                open_tag = self.tag[stack[k]]
-                if open_tag == "p" or open_tag in ended:
-                    self._pop(stack, k)
-                elif open_tag in HOLDS:
-                    break
-        if name in BLOCK:
+            floor = self._holds[-1] if self._holds else 0
+            ended = []
+            for open_tag in ("p", *CLOSES.get(name, ())):
+                at = self._open_at.get(open_tag, [])
+                if (k := bisect_right(at, floor)) < len(at):
+                    ended.append(at[k])
+            if ended:
+                self._pop(stack, min(ended))
             self.runs.append((stack[-1], None))
         elif name == "br":
             self.runs.append((stack[-1], " "))
@@ -111,30 +123,34 @@ class Page:
         self.tag.append(name)
         self.attrs.append(attrs)
         self.parent.append(stack[-1])
+        self._in_article.append(self.tag[stack[-1]] == "article" or self._in_article[stack[-1]])
         self.end.append(e + 1)
         if name not in VOID:
+            self._open_at.setdefault(name, []).append(len(stack))
+            if name in HOLDS:
+                self._holds.append(len(stack))
             stack.append(e)
 
     def _close(self, stack: list[int], name: str) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            tag = self.tag[stack[k]]
-            if tag == name:
-                self._pop(stack, k)
-                return
-            if tag in HOLDS and name not in HOLDS:
-                return  # the end tag of something that isn't open in this container
+        at = self._open_at.get(name)
+        # the end tag of something that isn't open in this container is passed over
+        if at and (name in HOLDS or not self._holds or at[-1] > self._holds[-1]):
+            self._pop(stack, at[-1])
 
     def _pop(self, stack: list[int], k: int) -> None:
         if any(self.tag[e] in BLOCK for e in stack[k:]):
             self.runs.append((stack[k - 1], None))
         for e in stack[k:]:
             self.end[e] = len(self.tag)
+            self._open_at[self.tag[e]].pop()
+            if self.tag[e] in HOLDS:
+                self._holds.pop()
         del stack[k:]
 
     def furniture(self, e: int) -> bool:
         """Marked as no part of an article by its name, role, class, id or being hidden."""
         tag = self.tag[e]
-        if tag in FURNITURE:
+        if tag in FURNITURE and not (tag == "header" and self._in_article[e]):  # an article's own header has its title
             return True
         raw = self.attrs[e]
         if not raw or tag in ROOTS and tag != "article":
@@ -143,20 +159,33 @@ class Page:
         if "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower():
             return True
         names = f"{found.get('class', '')} {found.get('id', '')}"
-        return found.get("role", "").lower() in ROLES or bool(NAMES.search(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", names)))
+        known = ARTICLE_NAMES if self._in_article[e] else NAMES
+        return found.get("role", "").lower() in ROLES or bool(known.search(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", names)))
 
     def region(self) -> list[int]:
-        """The elements that hold the article: articles, else main, else the whole page."""
-        for name in ("article", "main"):
-            found = [e for e, t in enumerate(self.tag) if t == name and not any(self.furniture(x) for x in self._line(e))]
-            if found:
-                return found
-        return [0]
-
-    def _line(self, e: int) -> Iterator[int]:
-        while e > 0:
-            yield e
+        """The outermost elements that hold the article: articles, else main, else the whole page."""
+        if self._roots is None:
+            self._roots, marked = [0], {0: False}
+            for name in ("article", "main"):
+                found, last = [], 0
+                for e, t in enumerate(self.tag):
+                    if t == name and e >= last and not self._marked(e, marked):
+                        found.append(e)
+                        last = self.end[e]
+                if found:
+                    self._roots = found
+                    break
+        return self._roots
+
+    def _marked(self, e: int, known: dict[int, bool]) -> bool:
+        """Whether an element or one that it is in is furniture; ``known`` is added to."""
+        line = []
+        while e not in known:
+            line.append(e)
             e = self.parent[e]
+        for x in reversed(line):
+            known[x] = known[self.parent[x]] or self.furniture(x)
+        return known[line[0] if line else e]
 
     def subtrees(self) -> dict[int, int]:
         """Hash of each element that may be template: containers, and outside articles text blocks too."""
@@ -198,29 +227,28 @@ class Page:
         return "\n".join(blocks)
 
 
-def host_of(url: str | None) -> str:
-    """Lower-case host of a URL; empty where there is none."""
-    m = re.match(r"(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", url or "")
-    return m[1].lower() if m else ""
+def _keyed(pages: DataFrame) -> DataFrame:
+    """Pages with their lower-case host (empty where there is none) and a hash of their source."""
+    source = F.coalesce("html", F.lit(""))
+    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
+    return pages.select(F.col("page_id").cast("long"), "url", host.alias("host"), F.xxhash64(source).alias("digest"), source.alias("html"))
 
 
 def subtree_hashes(pages: DataFrame) -> DataFrame:
-    """``(page_id, host, digest, hash)`` for each distinct container subtree; digest is the page's own."""
+    """``(host, digest, hash)`` for each distinct container subtree; digest is the page's own."""
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, hosts, digests, hashes = [], [], [], []
-            for page_id, url, source in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                digest, host = _digest(source), host_of(url)
+            hosts, digests, hashes = [], [], []
+            for host, digest, source in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 for h in set(Page(source).subtrees().values()):
-                    ids.append(page_id)
                     hosts.append(host)
                     digests.append(digest)
                     hashes.append(h)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hosts, pa.string()), pa.array(digests, pa.int64()), pa.array(hashes, pa.int64())], ["page_id", "host", "digest", "hash"])
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(digests, pa.int64()), pa.array(hashes, pa.int64())], ["host", "digest", "hash"])
 
-    rows = pages.select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).alias("html"))
-    return rows.mapInArrow(run, "page_id long, host string, digest long, hash long")
+    return _keyed(pages).select("host", "digest", "html").mapInArrow(run, "host string, digest long, hash long")
 
 
 def site_templates(hashes: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
@@ -239,14 +267,17 @@ def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
     """``(page_id, url, text, n_chars)`` for each page.
 
     A null or empty page has the empty text; a null url belongs to the host with the empty name.
+    A page is known by its host and source, so a page_id may be null or occur on several hosts.
     Repeated rows stay repeated; columns besides page_id, url and html are not read; an empty
-    table gives no rows.
+    table gives no rows. On a host of fewer than ``min_pages`` different pages nothing recurs often
+    enough to be a template; there only the elements' own marks tell furniture from text.
     """
     hashes = materialise(subtree_hashes(pages), "subtrees")
     found = hashes.join(site_templates(hashes, min_pages, min_share), ["host", "hash"])
-    per_page = found.groupBy("page_id").agg(F.collect_set("hash").alias("template"))
-    rows = pages.select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).alias("html")).join(per_page, "page_id", "left")
+    per_page = found.groupBy("host", "digest").agg(F.collect_set("hash").alias("template"))
+    rows = _keyed(pages).join(per_page, ["host", "digest"], "left")
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [Page(s).text(t or ()) for s, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
