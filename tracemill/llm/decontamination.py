@@ -6,9 +6,10 @@ of the word and the step. Word sequences at a small edit distance give outputs a
 distance, so sampled output places are often all equal; REPEATS walks with SAMPLES places each reach
 the target recall. Windows that fall into an item's bucket are verified by an exact edit distance.
 
-A window within the distance shares a run of words with its item, because the edits are too few to
-break every run of that length (pigeonhole); windows without such a run are not embedded. That test
-loses nothing, and everything else goes through the embedding.
+A window within the distance shares runs of words with its item: each edit breaks at most as many
+runs as one has words, so a known number of the item's runs must turn up in the text, in places that
+the edits can have shifted only so far. Windows with fewer are not embedded. That test loses nothing,
+and everything else goes through the embedding.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import whole_text
+from tracemill.llm.common import releasing
 
 SIMILARITY = 0.8
 REPEATS = 32
@@ -35,6 +36,8 @@ RUN = 3
 REMEMBERED = 400_000
 #: Words of text that are looked at at once.
 WORDS_AT_ONCE = 1_000_000
+#: Pairs of places, or of windows and items, that are looked at at once.
+PAIRS_AT_ONCE = 1_000_000
 
 _U = np.uint64
 _EDGE = "\"'`.,;:!?()[]{}<>*#$%&|-–—…«»„“”‘’¡¿"
@@ -92,8 +95,10 @@ def embed_samples(sequences: np.ndarray, repeats: int = REPEATS, samples: int =
     count, n = sequences.shape
     padded = np.concatenate((sequences, np.zeros((count, 1), np.uint64)), axis=1)
     rng = np.random.default_rng(n)
-    places = np.stack([rng.choice(3 * n, min(samples, 3 * n), replace=False) for _ in range(repeats)])
-    seeds = rng.integers(1, 1 << 63, (3 * n // 64 + 1, repeats)).astype(np.uint64)
+    # a walk ends after about 2n places, with a spread of about the root of 2n; beyond it there is only padding
+    reach = max(n, int(2 * n - 2 * np.sqrt(2 * n)))
+    places = np.stack([rng.choice(reach, min(samples, reach), replace=False) for _ in range(repeats)])
+    seeds = rng.integers(1, 1 << 63, (reach // 64 + 1, repeats)).astype(np.uint64)
     rows, walks = np.arange(count)[:, None], np.arange(repeats)[None, :]
     at = np.zeros((count, repeats), np.int64)
     keys = np.broadcast_to((np.arange(repeats) * 1000 + n).astype(np.uint64), (count, repeats)).copy()
@@ -110,15 +115,15 @@ def embed_samples(sequences: np.ndarray, repeats: int = REPEATS, samples: int =
 def edit_distances(a: np.ndarray, b: np.ndarray, b_len: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each row the least edit distance of ``a`` to any stretch of ``b``, and where the best one ends."""
     count, m = b.shape
-    cols = np.arange(m + 1)
+    cols = np.arange(m + 1, dtype=np.int32)
     valid = cols <= b_len[:, None]
-    row = np.zeros((count, m + 1), np.int64)  # a stretch may begin anywhere
+    row = np.zeros((count, m + 1), np.int32)  # a stretch may begin anywhere
     for i in range(a.shape[1]):
         new = np.empty_like(row)
         new[:, 0] = i + 1
         new[:, 1:] = np.minimum(row[:, 1:] + 1, row[:, :-1] + (b != a[:, i : i + 1]))
         row = np.minimum.accumulate(new - cols, axis=1) + cols
-    row = np.where(valid, row, np.iinfo(np.int64).max)
+    row = np.where(valid, row, np.iinfo(np.int32).max)
     end = row.argmin(axis=1)
     return row[np.arange(count), end], end
 
@@ -162,26 +167,44 @@ def prepare(rows: list[tuple[int, str | None]], similarity: float = SIMILARITY)
     return Items(ids, words, run_hash, buckets, similarity)
 
 
-def _expand(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs (place in keys, place in sorted_keys) of equal keys."""
+def _expanded(sorted_keys: np.ndarray, keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs (place in keys, place in sorted_keys) of equal keys, about PAIRS_AT_ONCE at a time."""
     lo, hi = np.searchsorted(sorted_keys, keys), np.searchsorted(sorted_keys, keys, "right")
-    n = hi - lo
-    left = np.repeat(np.arange(len(keys)), n)
-    return left, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-
-
-def find(items: Items, docs: list[np.ndarray]) -> list[dict[int, tuple[int, int, int]]]:
-    """For each document its items, with the best match: (distance, first word, words)."""
-    found: list[dict[int, tuple[int, int, int]]] = [{} for _ in docs]
-    if not docs or not items.ids:
-        return found
-    flat = np.concatenate([np.asarray(d, np.uint64) for d in docs])
-    size = np.array([len(d) for d in docs])
-    end = np.cumsum(size)
-    begin = end - size
-    owner = np.repeat(np.arange(len(docs)), size)
+    some = np.flatnonzero(hi > lo)
+    lo, n = lo[some], (hi - lo)[some]
+    until = np.cumsum(n)
+    k = 0
+    while k < len(some):
+        end = max(k + 1, int(np.searchsorted(until, until[k] - n[k] + PAIRS_AT_ONCE)))
+        m = n[k:end]
+        yield np.repeat(some[k:end], m), np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(lo[k:end], m)
+        k = end
+
+
+def _likely(items: Items, run: int, doc: np.ndarray, item: np.ndarray, shift: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Which matches of a run stand with so many others of the same document and item, at shifts that differ
+    by so little, that the item may be there within the distance."""
+    slack = np.array([allowed(int(n), items.similarity) for n in range(int(lengths.max(initial=0)) + 1)])
+    e = slack[lengths[item]]
+    need = np.maximum(1, lengths[item] - run + 1 - e * run)
+    order = np.lexsort((shift, item, doc))
+    d, i, s, e, need = doc[order], item[order], shift[order], e[order], need[order]
+    group = np.cumsum(np.r_[0, (d[1:] != d[:-1]) | (i[1:] != i[:-1])])
+    place = group * (int(s.max() - s.min()) + 2 * int(e.max()) + 2) + (s - s.min())
+    end = np.searchsorted(place, place + 2 * e, "right")
+    full = np.flatnonzero(end - np.arange(len(place)) >= need)
+    mark = np.zeros(len(place) + 1, np.int64)
+    np.add.at(mark, full, 1)
+    np.add.at(mark, end[full], -1)
+    out = np.zeros(len(order), bool)
+    out[order] = np.cumsum(mark[:-1]) > 0
+    return out
+
+
+def _windows(items: Items, flat: np.ndarray, owner: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Rows (words, start, document) of the windows that may be within the distance of some item."""
     lengths = np.array([len(w) for w in items.words])
-    windows = []
+    found = [np.zeros((0, 3), np.int64)]
     for run, (hashes, item, at) in items.run_hash.items():
         if len(flat) < run:
             continue
@@ -190,39 +213,58 @@ def find(items: Items, docs: list[np.ndarray]) -> list[dict[int, tuple[int, int,
         maybe[(hashes & _U((1 << 20) - 1)).astype(np.int64)] = True
         q = np.flatnonzero(maybe[(h & _U((1 << 20) - 1)).astype(np.int64)])
         q = q[q + run <= end[owner[q]]]
-        a, b = _expand(hashes, h[q])
-        q, b = q[a], b
-        windows.append(np.column_stack((lengths[item[b]], q - at[b], owner[q])))
-    if not windows:
+        longest = int(lengths.max()) * 2 + 2
+        before: list[tuple[np.ndarray, np.ndarray]] = []  # matches that may belong with the next piece's
+        for a, b in _expanded(hashes, h[q]):
+            before.append((q[a], b))
+            place, b = (np.concatenate(x) for x in zip(*before, strict=True))
+            doc, own, shift = owner[place], item[b], place - at[b]
+            keep = _likely(items, run, doc, own, shift, lengths)
+            found.append(np.unique(np.column_stack((lengths[own], shift, doc))[keep], axis=0))
+            near = place >= place[-1] - longest
+            before = [(place[near], b[near])]
+    return np.unique(np.concatenate(found), axis=0)
+
+
+def find(items: Items, docs: list[np.ndarray]) -> list[dict[int, tuple[int, int, int]]]:
+    """For each document its items, with the best match: (distance, first word, words).
+
+    Of equal distances the match that begins first counts. Pairs of windows and items are verified
+    in pieces, so many items that open alike, or a text that repeats an opening, take time but no
+    more memory.
+    """
+    found: list[dict[int, tuple[int, int, int]]] = [{} for _ in docs]
+    if not docs or not items.ids:
         return found
-    windows = np.unique(np.concatenate(windows), axis=0)
+    flat = np.concatenate([np.asarray(d, np.uint64) for d in docs])
+    size = np.array([len(d) for d in docs])
+    end = np.cumsum(size)
+    begin = end - size
+    windows = _windows(items, flat, np.repeat(np.arange(len(docs)), size), end)
     for n in np.unique(windows[:, 0]):
         own = windows[windows[:, 0] == n]
+        slack = allowed(int(n), items.similarity)
+        keys, held = items.buckets[int(n)]
         for k in range(0, len(own), 2_000):
             _, start, doc = own[k : k + 2_000].T
             place = start[:, None] + np.arange(n)
             inside = (place >= begin[doc][:, None]) & (place < end[doc][:, None])
             seq = np.where(inside, flat[np.clip(place, 0, len(flat) - 1)], _U(0))
-            keys, held = items.buckets[int(n)]
-            w, b = _expand(keys, embed_samples(seq).ravel())
-            pair = np.unique(np.column_stack((w // REPEATS, held[b])), axis=0)
-            if not len(pair):
-                continue
-            slack = allowed(int(n), items.similarity)
-            place = start[pair[:, 0], None] - slack + np.arange(n + 2 * slack)
-            d = doc[pair[:, 0]]
-            lo = np.maximum(start[pair[:, 0]] - slack, begin[d])
-            place = lo[:, None] + np.arange(n + 2 * slack)
-            room = np.minimum(end[d] - lo, n + 2 * slack)
-            text = np.where(place < end[d][:, None], flat[np.clip(place, 0, len(flat) - 1)], _U(0))
-            wanted = np.stack([items.words[i] for i in pair[:, 1]])
-            dist, stop = edit_distances(wanted, text, room)
-            for (_, i), x, e, s, dd in zip(pair.tolist(), dist.tolist(), stop.tolist(), lo.tolist(), d.tolist(), strict=True):
-                if x <= slack:
-                    first = max(0, s + e - int(n) - int(begin[dd]))
-                    best = found[dd].get(items.ids[i])
-                    if best is None or (x, first) < best[:2]:
-                        found[dd][items.ids[i]] = (x, first, int(n))
+            pairs = [np.unique(w // REPEATS * len(items.ids) + held[b]) for w, b in _expanded(keys, embed_samples(seq).ravel())]
+            pairs = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
+            for j in range(0, len(pairs), 20_000):
+                w, i = np.divmod(pairs[j : j + 20_000], len(items.ids))
+                d = doc[w]
+                lo = np.maximum(start[w] - slack, begin[d])
+                place = lo[:, None] + np.arange(n + 2 * slack)
+                text = np.where(place < end[d][:, None], flat[np.clip(place, 0, len(flat) - 1)], _U(0))
+                dist, stop = edit_distances(np.stack([items.words[x] for x in i]), text, np.minimum(end[d] - lo, n + 2 * slack))
+                for x in np.flatnonzero(dist <= slack).tolist():
+                    first = max(0, int(lo[x] + stop[x] - n - begin[d[x]]))
+                    item_id, own_hits = items.ids[i[x]], found[d[x]]
+                    best = own_hits.get(item_id)
+                    if best is None or (int(dist[x]), first) < best[:2]:
+                        own_hits[item_id] = (int(dist[x]), first, int(n))
     return found
 
 
@@ -250,20 +292,21 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILAR
     of at most ``(1 - similarity) * n_words``. Null or empty texts have no hits, an item without words is
     in no document, an item given twice counts once. Empty tables give no hits or no rows.
     """
-    out = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), whole_text().alias("text"), F.array().cast(_HITS).alias("hits"))
+    out = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.array().cast(_HITS).alias("hits"))
     kind = out.schema["row"].dataType.simpleString()
     context = docs.sparkSession.sparkContext
     for block in _blocks(benchmark):
         shared = context.broadcast(prepare(block, similarity))  # about BLOCK_WORDS words at most
 
+        @releasing
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             items = shared.value
             for batch in batches:
-                texts, before, k = batch.column(1).to_pylist(), batch.column(2).to_pylist(), 0
+                texts, before, k = batch.column(0).field("text").to_pylist(), batch.column(1).to_pylist(), 0
                 while k < len(texts):
                     words, total, end = [], 0, k
                     while end < len(texts) and (end == k or total < WORDS_AT_ONCE):
-                        words.append(word_hashes(texts[end]))
+                        words.append(word_hashes(texts[end] or ""))
                         total += len(words[-1])
                         end += 1
                     hits = [
@@ -271,11 +314,11 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILAR
                         for old, new in zip(before[k:end], find(items, words), strict=True)
                     ]
                     part = batch.slice(k, end - k)
-                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(hits, _HIT)], ["row", "text", "hits"])
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(hits, _HIT)], ["row", "hits"])
                     k = end
 
-        out = out.mapInArrow(run, f"row {kind}, text string, hits {_HITS}")
-    return out.select("row", "hits")
+        out = out.mapInArrow(run, f"row {kind}, hits {_HITS}")
+    return out
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
