@@ -200,6 +200,36 @@ def test_toxicity():
     assert 0 <= toxicity.train([], 0.1).document_score(np.zeros(0)) <= 1
 
 
+def test_toxicity_query(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    vocab = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(400)]
+    rows, labels = [], []
+    for k in range(900):
+        w = list(rng.choice(vocab, rng.integers(20, 80)))
+        bad = k % 5 == 0
+        if bad:
+            for _ in range(4):
+                w.insert(int(rng.integers(len(w))), str(rng.choice(["nasty", "Vile,", "grim"])))
+        rows.append((k, " ".join(w)))
+        labels.append((k, 1, int(bad)))
+    rows += [(None, "nasty words without an id"), (2000, None), (2001, ""), (2002, rows[0][1]), (2002, rows[0][1]), (2003, " ".join(rng.choice(vocab, 40_000)))]
+    labels += [(None, 1, 1), (5, 1, None), (3000, 1, 0)]
+    docs = docs_of(spark, rows, extra=True).withColumn("toxic", F.lit(1)).withColumn("score", F.lit("x")).withColumn("spans", F.lit("x"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = registry.QUERIES["op5_toxicity"](spark, str(tmp_path)).collect()
+    assert Counter(r.doc_id for r in got) == Counter(i for i, _ in rows)
+    held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 3 == 1
+    assert all(r.held_out == held(r.doc_id) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in got)
+    unseen = [r for r in got if r.held_out and r.doc_id is not None and r.doc_id < 900]
+    assert len(unseen) > 200 and np.mean([r.predicted == (r.doc_id % 5 == 0) for r in unseen]) >= 0.98
+    text = dict(rows)
+    words = Counter(text[r.doc_id][s.start : s.end] for r in unseen for s in r.spans)
+    assert words["nasty"] and words["Vile,"] and words["grim"] and sum(words[w] for w in ("nasty", "Vile,", "grim")) >= 0.95 * words.total()
+    empty = {r.doc_id: r for r in got if r.doc_id in (2000, 2001)}
+    assert empty[2000].score == empty[2001].score < 0.7 and not empty[2000].spans
+
+
 def test_marginals_against_all_taggings():
     import itertools
 
@@ -417,6 +447,33 @@ def test_site_templates(spark):
     assert all(got[100 + k] == "copied page" for k in range(20))
 
 
+def test_article_parts_stay(spark):
+    body = "<header>site</header><article><header><h1>Real title</h1></header><p title='it's > odd'>Body</p><div class='legal'><p>The court held</p></div><div class=tags>kept</div><ul class='comments'><li>first!</ul><p a=\"x>y\">tail</p></article>"
+    assert html_extraction.Page(page(body)).text() == "Real title\nodd'>Body\nThe court held\nkept\ntail"
+    deep = "<div><b>" * 20_000 + "<p>x<p>y" + "</b>" * 20_000
+    assert html_extraction.Page(deep).text() == "x\ny" and html_extraction.Page("<article>" * 5000 + "z").text() == "z"
+
+
+def test_templates_by_brute_force(spark):
+    rng = np.random.default_rng(4)
+    shared = [f"shared {k}" for k in range(6)]
+    rows, tree = [], {}
+    for k in range(120):
+        host = f"h{k % 4}.org"
+        parts = [str(rng.choice(shared)) if rng.random() < 0.6 else f"own {rng.integers(40)}" for _ in range(rng.integers(1, 6))]
+        page_id = [k, None, k % 7][k % 3]  # also null ids, and the same id on several hosts
+        rows.append((page_id, f"http://{host}/{k}", "".join(f"<div><p>{p}</p></div>" for p in parts), "x", "y"))
+        tree[k] = (page_id, host, parts)
+    html_of = {k: rows[k][2] for k in tree}
+    want = Counter()
+    for page_id, host, parts in tree.values():
+        pages = {html_of[k] for k, (_, h, _) in tree.items() if h == host}
+        often = {p for p in parts if sum(f"<p>{p}</p>" in h for h in pages) >= max(html_extraction.MIN_PAGES, html_extraction.MIN_SHARE * len(pages))}
+        want[page_id, "\n".join(p for p in parts if p not in often)] += 1
+    df = spark.createDataFrame(rows, PAGES + ", digest string, host string")  # names that are used inside
+    assert Counter((r.page_id, r.text) for r in html_extraction.main_text(df).collect()) == want
+
+
 def test_components(spark):
     rng = np.random.default_rng(0)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(1000 + k, 1001 + k) for k in range(40)] + [(2000, 2001 + k) for k in range(50)]

@@ -288,7 +288,8 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(path, pattern)
         for batch in batches:
-            rows, texts = batch.column(0), batch.column(1).to_pylist()
+            rows = batch.column(0)
+            texts = [t or "" for t in rows.field(text_col).to_pylist()]
             k = 0
             while k < len(texts):
                 end, chars = k, 0
@@ -301,7 +302,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
                 yield pa.RecordBatch.from_arrays([rows.slice(k, end - k), lists, pa.array([r.tobytes() for r in raw], pa.binary())], ["row", "ids", "decoded"])
                 k = end
 
-    out = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), whole_text(text_col).alias("text")).mapInArrow(run, schema)
+    out = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row")).mapInArrow(run, schema)
     return out.select("row.*", F.col("ids").alias(ids_col), F.col("decoded").alias(decoded_col))
 
 

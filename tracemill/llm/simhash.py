@@ -6,10 +6,16 @@ fingerprints as a binary trie, two nodes at a time, adds up the bits in which th
 drops a node pair as soon as the budget is spent. Units with too many fingerprints are first split
 on their most balanced bits into node pairs of their own, as often as it takes. A unit returns a
 spanning forest of its links, never all pairs, and the forests meet in connected components.
+
+The pipeline's stage asks for five-word shingles and a similarity of 0.8, at which fingerprints differ
+in far more bits than such blocks can bear. It uses wide fingerprints, whose differing bits estimate the
+similarity closely, and units of fingerprints that agree in a random sample of bits, TABLES of them;
+within a unit the same trie walk finds the links.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial
 from itertools import combinations
@@ -20,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import connected_components, materialise, whole_text
+from tracemill.llm.common import connected_components, materialise, releasing, whole_text
 
 BUDGET = 2
 #: A unit of work with more fingerprints than this is split.
@@ -31,6 +37,15 @@ SPLIT_BITS = 6
 FRONTIER = 400_000
 SEED = 42
 
+#: The stage's near copies: word shingles of this size with at least this Jaccard similarity.
+SHINGLE, SIMILARITY = 5, 0.8
+#: 64-bit words of a wide fingerprint.
+WORDS = 4
+#: Samples of bits, and the bits of each: fingerprints that agree in one sample meet in a unit.
+TABLES, TABLE_BITS = 48, 18
+#: Fingerprints that a salted part of a unit holds; also those that are walked together.
+PART_ROWS, WALK_ROWS = 1500, 50_000
+
 
 def fingerprint_of(text: str | None, shingle: int = 3) -> int:
     """The 64-bit fingerprint of one text; 0 where it has no words."""
@@ -59,6 +74,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     read; an empty table gives no rows.
     """
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint_of(t) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
@@ -83,15 +99,19 @@ def trie_links(fp: np.ndarray, nodes: np.ndarray, budget: int = BUDGET) -> np.nd
     """Forest over the fingerprints: for each place its parent's, itself for a root.
 
     ``nodes`` has rows (lo1, hi1, lo2, hi2): pairs of sorted runs of ``fp`` that are walked against
-    each other; both the same for a self-join.
+    each other; both the same for a self-join. A fingerprint is a number or a row of numbers, the
+    most significant first. Neighbours within the budget are linked beforehand, and node pairs within
+    one tree of the forest are dropped, so a crowd of near copies isn't walked pair by pair.
     """
     parent = np.arange(len(fp))
+    fp = fp.reshape(len(fp), -1)
+    top = 64 * fp.shape[1] - 1
 
     def link(i: np.ndarray, j: np.ndarray) -> None:
         while len(i):
             i, j = root(i), root(j)
-            apart = i != j
-            i, j = i[apart], j[apart]
+            differ = i != j
+            i, j = i[differ], j[differ]
             np.minimum.at(parent, np.maximum(i, j), np.minimum(i, j))
 
     def root(i: np.ndarray) -> np.ndarray:
@@ -102,9 +122,34 @@ def trie_links(fp: np.ndarray, nodes: np.ndarray, budget: int = BUDGET) -> np.nd
             parent[i] = parent[up]
             i = up
 
-    stack = [(63, np.column_stack([nodes, np.full(len(nodes), budget)]))] if len(nodes) else []
+    def apart(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(fp[i] ^ fp[j]).sum(axis=1, dtype=np.int64)
+
+    def ends_of_trees() -> tuple[np.ndarray, np.ndarray]:
+        """Each place's root, and the next place with another one."""
+        tree = root(np.arange(len(fp)))
+        change = np.flatnonzero(np.r_[tree[1:] != tree[:-1], True]) + 1
+        return tree, np.repeat(change, np.diff(np.r_[0, change]))
+
+    own = nodes[(nodes[:, 0] == nodes[:, 2]) & (nodes[:, 1] - nodes[:, 0] > 8)] if len(nodes) else nodes
+    if len(own):  # neighbours at several distances, within the runs that are joined with themselves
+        begin = np.repeat(own[:, 0], own[:, 1] - own[:, 0])
+        place = np.arange(len(begin)) - np.repeat(np.cumsum(own[:, 1] - own[:, 0]) - (own[:, 1] - own[:, 0]), own[:, 1] - own[:, 0])
+        size = np.repeat(own[:, 1] - own[:, 0], own[:, 1] - own[:, 0])
+        for step in (1, 2, 5, 11):
+            i = begin + place
+            j = i + step
+            i, j = i[place + step < size], j[place + step < size]
+            near = apart(i, j) <= budget
+            link(i[near], j[near])
+    tree, until = ends_of_trees()
+    stack = [(top, np.column_stack([nodes, np.full(len(nodes), budget)]))] if len(nodes) else []
     while stack:
         bit, pairs = stack.pop()
+        one_tree = (tree[pairs[:, 0]] == tree[pairs[:, 2]]) & (until[pairs[:, 0]] >= pairs[:, 1]) & (until[pairs[:, 2]] >= pairs[:, 3])
+        pairs = pairs[~one_tree]
+        if not len(pairs):
+            continue
         if len(pairs) > FRONTIER:
             stack += [(bit, pairs[: len(pairs) // 2]), (bit, pairs[len(pairs) // 2 :])]
             continue
@@ -112,8 +157,10 @@ def trie_links(fp: np.ndarray, nodes: np.ndarray, budget: int = BUDGET) -> np.nd
         same = l1 == l2
         done = ~same & (h1 - l1 == 1) & (h2 - l2 == 1)
         if done.any():
-            near = np.bitwise_count(fp[l1[done]] ^ fp[l2[done]]) <= budget
+            near = apart(l1[done], l2[done]) <= budget
             link(l1[done][near], l2[done][near])
+            if near.any():
+                tree, until = ends_of_trees()
         if bit < 0:
             # the same fingerprint more than once
             for a, b, c, d, _ in pairs[~done & ~(same & (h1 - l1 == 1))]:
@@ -125,7 +172,8 @@ def trie_links(fp: np.ndarray, nodes: np.ndarray, budget: int = BUDGET) -> np.nd
             continue
         l1, h1, l2, h2, left = pairs.T
         same = l1 == l2
-        m1, m2 = _split_points(fp, l1, h1, bit), _split_points(fp, l2, h2, bit)
+        column, low = fp[:, (top - bit) // 64], bit % 64
+        m1, m2 = _split_points(column, l1, h1, low), _split_points(column, l2, h2, low)
         children = [np.column_stack(x) for x in ((l1, m1, l2, m2, left), (m1, h1, m2, h2, left), (l1, m1, m2, h2, left - 1))]
         children.append(np.column_stack((m1, h1, l2, m2, left - 1))[~same])
         down = np.concatenate(children)
@@ -227,7 +275,151 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def wide_budget(similarity: float = SIMILARITY, words: int = WORDS) -> int:
+    """Differing bits up to which wide fingerprints link.
+
+    Sets of a Jaccard similarity s have the cosine 2s / (1 + s), and each bit differs with the angle's
+    share of a half turn. One standard deviation more lets most pairs at exactly s link as well.
+    """
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(64 * words * share + math.sqrt(64 * words * share * (1 - share)))
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def wide_fingerprints(texts: list[str | None], shingle: int = SHINGLE, words: int = WORDS) -> np.ndarray:
+    """A row of ``words`` numbers for each text, from its different shingles of lower-cased words.
+
+    A text of fewer words is one shingle; one without words has the fingerprint zero.
+    """
+    out = np.zeros((len(texts), words), np.uint64)
+    seen: dict[bytes, int] = {}
+    for k, text in enumerate(texts):
+        split = (text or "").encode("utf-8", "replace").lower().split()
+        if not split:
+            continue
+        hashes = np.array([seen[w] if w in seen else seen.setdefault(w, xxhash.xxh64_intdigest(w, SEED)) for w in split], np.uint64)
+        size = min(shingle, len(split))
+        h = hashes[: len(hashes) - size + 1].copy()
+        for j in range(1, size):
+            h = h * np.uint64(0x9E3779B97F4A7C15) + hashes[j : len(hashes) - size + 1 + j]
+        h = np.unique(_mix(h))
+        counts = np.zeros(64 * words, np.int64)
+        for a in range(0, len(h), 1 << 14):
+            bits = np.stack([_mix(h[a : a + (1 << 14)] + np.uint64((j + 1) * 0xC2B2AE3D27D4EB4F % (1 << 64))) for j in range(words)], axis=1)
+            counts += np.unpackbits(bits.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out[k] = np.packbits(counts * 2 > len(h), bitorder="little").view(np.uint64)
+        if len(seen) > 200_000:
+            seen.clear()
+    return out
+
+
+def _samples(fp: np.ndarray, tables: int, bits: int) -> np.ndarray:
+    """(rows, tables): the unit of each fingerprint in each table; sampled places are fixed by the table."""
+    flat = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8).reshape(len(fp), -1), axis=1, bitorder="little")
+    rng = np.random.default_rng(SEED)
+    weight = np.uint64(1) << np.arange(bits, dtype=np.uint64)
+    return np.stack([(flat[:, rng.choice(flat.shape[1], bits, replace=False)] * weight).sum(axis=1, dtype=np.uint64) + np.uint64(t << 40) for t in range(tables)], axis=1)
+
+
+_UNIT = "unit long, salt int, node long, fp binary"
+
+
+def _sampled_units(batches: Iterator[pa.RecordBatch], tables: int, bits: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(0, len(batch), 2000):
+            part = batch.slice(k, 2000)
+            fp = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint64).reshape(len(part), -1)
+            units = _samples(fp, tables, bits).view(np.int64)
+            again = pa.array(np.repeat(np.arange(len(part)), tables))
+            yield pa.RecordBatch.from_arrays([pa.array(units.ravel()), pa.array(np.zeros(units.size, np.int32)), part.column(0).take(again), part.column(1).take(again)], ["unit", "salt", "node", "fp"])
+
+
+def _walk_units(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.RecordBatch]:
+    """Links of each unit to the roots of its forest. Units come one after another; few are held at once."""
+
+    def walk(rows: pa.Table) -> pa.RecordBatch:
+        unit = rows.column("unit").to_numpy() * 1_000_003 + rows.column("salt").to_numpy()
+        border = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]])
+        size = np.diff(np.r_[border, len(unit)])
+        many = np.flatnonzero(np.repeat(size, size) > 1)  # most fingerprints are alone in their units
+        node = rows.column("node").to_numpy()[many]
+        fp = np.frombuffer(b"".join(rows.column("fp").take(pa.array(many)).to_pylist()), np.uint64).reshape(len(many), -1)
+        number = np.repeat(np.arange(len(size)), size)[many]
+        order = np.lexsort((*fp.T[::-1], number))
+        fp, node, number = fp[order], node[order], number[order]
+        starts = np.flatnonzero(np.r_[True, number[1:] != number[:-1]]) if len(number) else np.zeros(0, np.int64)
+        ends = np.r_[starts[1:], len(number)][: len(starts)]
+        root = trie_links(fp, np.column_stack((starts, ends, starts, ends)), budget)
+        linked = np.flatnonzero(root != np.arange(len(fp)))
+        return pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[root[linked]])], ["a", "b"])
+
+    held: list[pa.RecordBatch] = []
+    count = 0
+    for batch in batches:
+        held.append(batch)
+        count += len(batch)
+        if count >= WALK_ROWS:
+            rows = pa.Table.from_batches(held)
+            unit, salt = rows.column("unit").to_numpy(), rows.column("salt").to_numpy()
+            last = int(np.flatnonzero(np.r_[True, (unit[1:] != unit[:-1]) | (salt[1:] != salt[:-1])])[-1])
+            if last:
+                yield walk(rows.slice(0, last))
+                held = rows.slice(last).combine_chunks().to_batches()
+                count = len(rows) - last
+    if held:
+        yield walk(pa.Table.from_batches(held))
+
+
+def wide_links(nodes: DataFrame, budget: int, tables: int = TABLES, bits: int = TABLE_BITS, part_rows: int = PART_ROWS) -> DataFrame:
+    """Links ``(a, b)`` between the ``nodes(node, fp)``, one row for each different wide fingerprint.
+
+    Two fingerprints meet where they agree in one of ``tables`` samples of ``bits`` bits. A unit of more
+    than ``part_rows`` fingerprints is dealt into parts at random, differently in each table; the least
+    fingerprint of the unit is in all of its parts and ties them. A part gives a forest, never all pairs.
+    """
+    units = nodes.select("node", "fp").mapInArrow(partial(_sampled_units, tables=tables, bits=bits), _UNIT)
+    counted = units.groupBy("unit").agg(F.count("*").alias("n"), F.min(F.struct("node", "fp")).alias("least")).where(F.col("n") > part_rows)
+    hot = materialise(counted.select("unit", F.ceil(F.col("n") / part_rows).cast("int").alias("parts"), "least"), "hot-units")
+    if hot.limit(1).count():
+        salted = units.join(hot.select("unit", "parts"), "unit").select("unit", F.pmod(F.xxhash64("node", "unit"), F.col("parts")).cast("int").alias("salt"), "node", "fp")
+        ties = hot.select("unit", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), "least.node", "least.fp")
+        units = units.join(hot.select("unit"), "unit", "left_anti").unionByName(salted).unionByName(ties)
+    return units.repartition("unit", "salt").sortWithinPartitions("unit", "salt").mapInArrow(partial(_walk_units, budget=budget), "a long, b long")
+
+
+def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
+    """Near copies by wide fingerprints: ``(row, fp, uid)``, and ``(fp, component, first)`` for each different fp.
+
+    The documents are stored once with their fingerprints and a number of their own, so that repeated
+    rows, repeated ids and null ids stay apart. ``first`` is the first document of a fingerprint, a struct
+    with its uid: least doc_id, nulls last, of equal ids the one stored first; the least ``first`` of a
+    component is that of the class. Null and blank texts are alike. An empty table gives no rows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = wide_fingerprints(batch.column(0).field("text").to_pylist(), shingle)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in fps], pa.binary())], ["row", "fp"])
+
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    marked = whole.mapInArrow(releasing(run), f"row {whole.schema['row'].dataType.simpleString()}, fp binary")
+    rows = materialise(marked.withColumn("uid", F.monotonically_increasing_id()), "fingerprinted")
+    order = F.struct(F.col("row.doc_id").isNull().alias("no_id"), F.col("row.doc_id").alias("id"), "uid")
+    nodes = materialise(rows.groupBy("fp").agg(F.min(order).alias("first")).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    classes = connected_components(wide_links(nodes, wide_budget(similarity)))
+    return rows, nodes.join(classes, "node", "left").select("fp", F.coalesce("component", "node").alias("component"), "first")
+
+
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each class of near-duplicates the document with the smallest id stays."""
-    keep = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi")
+    """Pipeline stage: of each class of near copies (five-word shingles, similarity 0.8) the first document stays.
+
+    A document with a null id is kept like any other unless it is a copy; see ``near_copies`` for ties.
+    """
+    rows, classes = near_copies(docs)
+    firsts = classes.groupBy("component").agg(F.min("first").alias("first")).select("first.uid")
+    return rows.join(firsts, "uid", "left_semi").select("row.*")
