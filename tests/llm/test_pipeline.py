@@ -6,10 +6,12 @@ from collections import Counter
 
 import corpus_pipeline
 import numpy as np
+import pytest
 import tiktoken
-from test_ops import classes, plain_fingerprint
+from pyspark.sql import functions as F
+from test_ops import DOCS, classes, docs_of
 
-from tracemill.llm import decontamination, quality_rules
+from tracemill.llm import decontamination, quality_rules, simhash
 
 
 def plain_quality(t):
@@ -23,14 +25,107 @@ def plain_quality(t):
     return not any(eval(rule.replace(" AND ", " and "), {}, env) for _, rule in quality_rules.RULES)
 
 
+def plain_wide(t):
+    """The 256-bit fingerprint, bit by bit."""
+    import xxhash
+
+    top = (1 << 64) - 1
+
+    def mix(x):
+        x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & top
+        x = ((x ^ x >> 27) * 0x94D049BB133111EB) & top
+        return x ^ x >> 31
+
+    w = (t or "").encode().lower().split()
+    size, out = min(5, len(w)), 0
+    grams = {tuple(w[k : k + size]) for k in range(len(w) - size + 1)} if w else set()
+    hashes = []
+    for g in grams:
+        h = 0
+        for x in g:
+            h = (h * 0x9E3779B97F4A7C15 + xxhash.xxh64_intdigest(x, 42)) & top
+        h = mix(h)
+        hashes.append(sum(mix((h + (j + 1) * 0xC2B2AE3D27D4EB4F) & top) << 64 * j for j in range(4)))
+    for b in range(256 if hashes else 0):
+        out |= (2 * sum(h >> b & 1 for h in hashes) > len(hashes)) << b
+    return out
+
+
+def near(docs):
+    fps = [plain_wide(t) for _, t in docs]
+    return lambda i, j: (fps[i] ^ fps[j]).bit_count() <= 39
+
+
+def shingles(t):
+    w = t.lower().split()
+    return {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+
+
+@pytest.mark.parametrize("part_rows", [1500, 12])
+def test_near_copies(spark, part_rows, monkeypatch):
+    """One row stays of each class: also with null and repeated ids, repeated rows, and a crowd of near copies."""
+    rng = np.random.default_rng(9)
+    vocab = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(800)]
+    fresh = lambda n: list(rng.choice(vocab, n))
+    rows, group = [], []
+    base = fresh(300)
+    for k in range(150):  # a crowd of near copies, all different
+        w = list(base)
+        for p in rng.integers(0, 300, 2):
+            w[p] = str(rng.choice(vocab))
+        rows.append((500 + k, " ".join(w)))
+        group.append("crowd")
+    for k in range(60):
+        w = fresh(200)
+        rows.append((k, " ".join(w)))
+        group.append(k)
+        if k % 3 == 0:
+            w[100] = "changed"
+            rows.append((1000 + k, " ".join(w).upper()))
+            group.append(k)
+    lone, other = " ".join(fresh(90)), " ".join(fresh(90))
+    rows += [(None, lone), (2000, " ".join(fresh(80))), (2000, " ".join(fresh(80))), (2001, rows[200][1]), (2002, other), (2002, other), (None, other), (2003, None), (2004, " \n")]
+    group += ["lone", "a", "b", group[200], "other", "other", "other", "empty", "empty"]
+    monkeypatch.setattr(simhash.wide_links, "__defaults__", (simhash.TABLES, simhash.TABLE_BITS, part_rows))
+    monkeypatch.setattr(simhash, "WALK_ROWS", 300)
+    df = docs_of(spark, rows, extra=True)
+    left = simhash.dedup_stage(spark, df, "")
+    assert left.columns == df.columns
+    want = {}
+    for (i, t), g in zip(rows, group, strict=True):
+        if g not in want or (i is not None, -(i or 0)) > (want[g][0] is not None, -(want[g][0] or 0)):
+            want[g] = (i, t)
+    assert Counter((r.doc_id, r.text) for r in left.collect()) == Counter(want.values())
+    assert simhash.dedup_stage(spark, spark.createDataFrame([], DOCS), "").count() == 0
+
+
+def test_near_copies_against_jaccard(spark):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where(F.size(F.split("text", " ")) >= 50).collect()]
+    grams = [shingles(t) for _, t in docs]
+    holders = {}
+    for k, g in enumerate(grams):
+        for x in g:
+            holders.setdefault(x, []).append(k)
+    pairs = {(a, b) for own in holders.values() if len(own) < 100 for n, a in enumerate(own) for b in own[n + 1 :]}
+    alike = {(a, b): len(grams[a] & grams[b]) / len(grams[a] | grams[b]) for a, b in pairs}
+    _, classes_of = simhash.near_copies(docs_of(spark, docs))
+    rows, _ = simhash.near_copies(docs_of(spark, docs))
+    fps = {r.doc_id: r.fp for r in rows.select("row.doc_id", "fp").collect()}
+    component = {bytes(r.fp): r.component for r in classes_of.collect()}
+    of = [component[bytes(fps[i])] for i, _ in docs]
+    true = [p for p, s in alike.items() if s >= 0.8]
+    assert len(true) > 20 and np.mean([of[a] == of[b] for a, b in true]) >= 0.95
+    far = [p for p, s in alike.items() if s < 0.6]
+    assert np.mean([of[a] == of[b] for a, b in far]) < 0.01
+
+
 def test_pipeline(spark, small):
     import public_tokenizers as P
 
     got = {r.doc_id: r for r in corpus_pipeline.run(spark, small).collect()}
     docs = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
     docs = [(i, t) for i, t in docs if plain_quality(t)]
-    fps = [plain_fingerprint(t) for _, t in docs]
-    label = classes(len(docs), lambda i, j: bin(fps[i] ^ fps[j]).count("1") <= 2)
+    label = classes(len(docs), near(docs))
     least = {}
     for k, (i, _) in enumerate(docs):
         least[label[k]] = min(i, least.get(label[k], i))

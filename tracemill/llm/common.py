@@ -7,7 +7,6 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,7 +48,6 @@ def release_memory() -> None:
 def releasing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``run`` for ``mapInArrow``, which releases memory when its task ends."""
 
-    @wraps(run)
     def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
             yield from run(batches)
@@ -66,9 +64,10 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def chunk_count(df: DataFrame, per_split: int = 2, least: int = 4) -> int:
-    """How many chunks to deal documents into; it follows the number of input splits."""
-    return max(least, per_split * df.rdd.getNumPartitions())
+def chunk_count(docs: DataFrame, chunk_bytes: int, least: int = 4) -> int:
+    """How many chunks to deal documents into, so that a chunk holds about ``chunk_bytes`` of text."""
+    text_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(least, -(-text_bytes // chunk_bytes))
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:

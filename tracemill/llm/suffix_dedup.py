@@ -26,14 +26,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import chunk_count, whole_text
+from tracemill.llm.common import chunk_count, release_memory, releasing, whole_text
 
 LENGTH = 100
 GRAM = 36
 #: Grams that occur more often than this are settled by aggregation instead of within one task.
 HOT = 20_000
-#: Text bytes that are hashed at once within a task.
-PIECE = 2 << 20
+#: Text bytes that are hashed at once within a task, and those of a chunk of documents.
+PIECE, CHUNK_BYTES = 1 << 19, 12 << 20
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -212,7 +212,8 @@ def suffix_sort(raw: np.ndarray, start: np.ndarray, bucket: np.ndarray, length:
     return order, fresh
 
 
-_SPAN = "gram long, chunk int, doc long, tie long, first int, last int, content binary, hot boolean"
+#: ``again`` marks stretches that the chunk itself has earlier; they need no comparison.
+_SPAN = "gram long, chunk int, doc long, tie long, first int, last int, content binary, hot boolean, again boolean"
 _VERDICT = "chunk int, doc long, tie long, first int, last int"
 
 
@@ -222,7 +223,8 @@ def _verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if not found:
         return
     t = pa.Table.from_batches(found)
-    t = t.filter(pc.invert(t.column("hot")))
+    yield from t.filter(t.column("again")).select(["chunk", "doc", "tie", "first", "last"]).to_batches()
+    t = t.filter(pc.invert(pc.or_(t.column("hot"), t.column("again"))))
     gram, chunk, doc, tie, first, last = (t.column(c).to_numpy() for c in ("gram", "chunk", "doc", "tie", "first", "last"))
     if not len(t):
         return
@@ -343,15 +345,28 @@ def _class_firsts(left: pa.Table, right: pa.Table) -> pa.Table:
     s = spans_of(texts, gram, with_content=True)
     first = np.unique(s.group, return_index=True)[1]  # spans come in corpus order
     hot = total[np.searchsorted(gram, s.gram[first])] > HOT if len(first) else np.zeros(0, bool)
+    later = np.ones(len(s.doc), bool)
+    later[first] = False
+    later = np.flatnonzero(later)
+    # spans that follow each other make one stretch
+    begins = np.flatnonzero(np.r_[True, (s.doc[later][1:] != s.doc[later][:-1]) | (s.first[later][1:] != s.last[later][:-1] + 1)]) if len(later) else later
+    a, b = later[begins], later[np.r_[begins[1:], len(later)][: len(begins)] - 1]
+    row, n = np.concatenate((first, a)), len(first)
     chunk = left.column("chunk")[0].as_py() if len(left) else 0
-    return pa.table({
-        "gram": pa.array(s.gram[first].view(np.int64)), "chunk": pa.array(np.full(len(first), chunk, np.int32)), "doc": pa.array(doc[s.doc[first]]), "tie": pa.array(tie[s.doc[first]]),
-        "first": pa.array(s.first[first].astype(np.int32)), "last": pa.array(s.last[first].astype(np.int32)), "content": pa.array([s.content[k] for k in first], pa.binary()), "hot": pa.array(hot),
+    out = pa.table({
+        "gram": pa.array(s.gram[row].view(np.int64)), "chunk": pa.array(np.full(len(row), chunk, np.int32)), "doc": pa.array(doc[s.doc[row]]), "tie": pa.array(tie[s.doc[row]]),
+        "first": pa.array(s.first[row].astype(np.int32)), "last": pa.array(np.concatenate((s.last[first], s.last[b])).astype(np.int32)),
+        "content": pa.array([*(s.content[k] for k in first), *[None] * len(a)], pa.binary()), "hot": pa.array(np.concatenate((hot, np.zeros(len(a), bool)))), "again": pa.array(np.arange(len(row)) >= n),
     })
+    del s, texts
+    release_memory()
+    return out
 
 
 def covered_runs(n: int, first: np.ndarray, last: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """Maximal runs [start, end) of the bytes covered by strings that start in the given ranges."""
+    if not len(first):
+        return np.zeros((0, 2), np.int64)
     edge = np.zeros(n + 1, np.int64)
     np.add.at(edge, first, 1)
     np.add.at(edge, last + length, -1)
@@ -364,12 +379,8 @@ def _removals(left: pa.Table, right: pa.Table) -> list[tuple[bytes, np.ndarray]]
     texts, doc, tie, row_of, _ = _ordered(left)
     number = {(int(d), int(t)): k for k, (d, t) in enumerate(zip(doc, tie, strict=True))}
     told = [number[d, t] for d, t in zip(right.column("doc").to_pylist(), right.column("tie").to_pylist(), strict=True)]
-    s = spans_of(texts, with_content=True) if len(texts) else Spans(*[np.zeros(0, np.int64)] * 5)
-    again = np.ones(len(s.doc), bool)
-    again[np.unique(s.group, return_index=True)[1]] = False  # repeated within the chunk
-    which = np.concatenate((np.array(told, np.int64), s.doc[again]))
-    first = np.concatenate((right.column("first").to_numpy(), s.first[again]))
-    last = np.concatenate((right.column("last").to_numpy(), s.last[again]))
+    which = np.array(told, np.int64)
+    first, last = right.column("first").to_numpy(), right.column("last").to_numpy()
     order = np.argsort(which, kind="stable")
     bounds = np.searchsorted(which[order], np.arange(len(texts) + 1))
     runs = [covered_runs(len(t), first[order[a:b]], last[order[a:b]]) for t, a, b in zip(texts, bounds[:-1], bounds[1:], strict=True)]
@@ -385,18 +396,18 @@ def _kept(text: bytes, runs: np.ndarray) -> bytes:
 
 def _plan(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The documents dealt into chunks, and the verdicts on their spans."""
-    n_chunks = chunk_count(docs)
+    n_chunks = chunk_count(docs, CHUNK_BYTES)
     text = whole_text()
     dealt = docs.select(
         F.pmod(F.xxhash64("doc_id", text), F.lit(n_chunks)).cast("int").alias("chunk"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"),
         F.xxhash64(text).alias("tie"), text.alias("text"), F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("row"),
     ).repartition(n_chunks, "chunk")
-    grams = dealt.mapInArrow(_wanted, "chunk int, gram long, n long")
+    grams = dealt.mapInArrow(releasing(_wanted), "chunk int, gram long, n long")
     again = grams.withColumn("total", F.sum("n").over(Window.partitionBy("gram"))).where("total > 1").select("chunk", "gram", "total")
     spans = dealt.groupBy("chunk").cogroup(again.groupBy("chunk")).applyInArrow(_class_firsts, _SPAN)
-    # one exchange for both ways; the spans of a hot gram are dealt by their content
-    spread = spans.repartition(F.when(F.col("hot"), F.xxhash64("content")).otherwise(F.col("gram")))
-    mild, hot = spread.mapInArrow(_verdicts, _VERDICT), spread.mapInArrow(_only_hot, _SPAN)
+    # one exchange for both ways; the spans of a hot gram are dealt by their content, what needs no comparison by its place
+    spread = spans.repartition(F.when(F.col("again"), F.xxhash64("chunk", "doc", "first")).when(F.col("hot"), F.xxhash64("content")).otherwise(F.col("gram")))
+    mild, hot = spread.mapInArrow(releasing(_verdicts), _VERDICT), spread.mapInArrow(_only_hot, _SPAN)
     return dealt, mild.unionByName(_hot_verdicts(hot))
 
 
@@ -412,6 +423,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = _removals(left, right)
         kept = [_kept(t, r) for t, r in rows]
+        release_memory()
         return pa.table({
             "doc_id": pa.array([x["doc_id"] for x in left.column("row").to_pylist()], pa.int64()), "n_bytes": pa.array([len(t) for t, _ in rows], pa.int64()),
             "n_removed": pa.array([len(t) - len(k) for (t, _), k in zip(rows, kept, strict=True)], pa.int64()), "n_spans": pa.array([len(r) for _, r in rows], pa.int64()),
@@ -433,6 +445,7 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         kept = [_kept(t, r).decode("utf-8", "ignore") for t, r in _removals(left, right)]
+        release_memory()
         return pa.table({"row": left.column("row"), "new_text": pa.array(kept, pa.string())})
 
     kind = dealt.schema["row"].dataType.simpleString()
