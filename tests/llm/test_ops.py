@@ -84,7 +84,7 @@ def test_lm_scores(spark, texts):
         w = tok(t)
         assert (r.doc_id, r.n_tokens, r.n_known, r.train_tokens) == (i, len(w), sum(c[x] > 0 for x in w), n)
         assert r.base_score == pytest.approx(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w))
-        p = [0.6 * (level(c[b]) + 1) / (n + v + 1) + 0.4 * (min(1.0, level(pairs[a, b]) / max(level(c[a]), 1)) if c[a] else 0) for a, b in zip([None, *w], w, strict=False)]
+        p = [0.6 * (level(c[b]) + 1) / (n + v + 1) + 0.4 * min(1.0, level(pairs[a, b]) / max(level(c[a]), 1)) if c[a] else (level(c[b]) + 1) / (n + v + 1) for a, b in zip([None, *w], w, strict=False)]
         exact.append(abs(r.score - sum(map(math.log10, p))) <= 0.02 * abs(r.score) + 1e-9)
     assert np.mean(exact) > 0.95  # the filter has few false positives
 
@@ -110,8 +110,8 @@ def test_lm_filter_grows_with_the_ngrams(spark, monkeypatch):
     model = lm_scoring.fit(docs_of(spark, [(k, " ".join(f"w{k * 1000 + j}" for j in range(1000))) for k in range(60)]))
     rows = lm_scoring.score(docs_of(spark, [(0, " ".join(f"w{j}" for j in range(1000))), *((k, " ".join(f"u{k * 1000 + j}" for j in range(1000))) for k in range(1, 4))]), model).orderBy("doc_id").collect()
     assert [r.n_known for r in rows] == [1001, 1, 1, 1] and rows[0].train_tokens == 60_060
-    for r in rows[1:]:  # words that were never met: log10 of 0.6 / (N + V + 1) each
-        assert r.score == pytest.approx(1000 * math.log10(0.6 / (60_060 + 60_001 + 1)), rel=0.01)
+    for r in rows[1:]:  # words that were never met after such words: log10 of 1 / (N + V + 1) each
+        assert r.score == pytest.approx(1000 * math.log10(1 / (60_060 + 60_001 + 1)), rel=0.01)
 
 
 def test_lm_probabilities_end_at_one(spark):

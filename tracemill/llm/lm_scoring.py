@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import materialise, whole_text
+from tracemill.llm.common import materialise, release_memory, releasing, whole_text
 
 #: Text for each bucket of n-grams, and for each chunk of documents that is scored.
 BUCKET_BYTES, CHUNK_BYTES = 16 << 20, 24 << 20
@@ -31,8 +31,10 @@ PROBES = 3
 MOST_LEVELS = 48
 #: Weight of the pair's relative frequency against the word's.
 PAIR_WEIGHT = 0.4
-#: Text that is counted at once within a task.
-COUNT_BYTES = 7 << 20
+#: Text that is counted at once within a task, and that whose tokens are at hand at once.
+COUNT_BYTES, SLICE_BYTES = 7 << 20, 2 << 20
+#: Words whose hash a worker remembers.
+REMEMBERED = 300_000
 
 _U = np.uint64
 END = _U(0x2545F4914F6CDD1D)
@@ -49,24 +51,68 @@ def pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(a * _U(3) + mix(b + _U(0x9E3779B97F4A7C15)))
 
 
+_number: dict[bytes, int] = {}
+_hash = np.zeros(1 << 16, np.uint64)
+
+
+def _codes(words: list[bytes]) -> np.ndarray:
+    """A number for each word, by which ``_hash`` has its hash."""
+    global _hash
+    found = list(map(_number.get, words))
+    if None in found:
+        known = len(_number)
+        fresh = [k for k, x in enumerate(found) if x is None]
+        for k in fresh:
+            found[k] = _number.setdefault(words[k], len(_number))
+        if len(_number) > len(_hash):
+            _hash = np.concatenate((_hash, np.zeros(max(len(_hash), len(_number) - len(_hash)), np.uint64)))
+        _hash[known : len(_number)] = [xxhash.xxh64_intdigest(w) for w in dict.fromkeys(words[k] for k in fresh)]
+    return np.array(found, np.int64)
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The different values, sorted."""
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
+
+
 class Tokens:
-    """Hashes of the tokens of some texts: the words, ASCII letters lower-cased, then one end each."""
+    """The tokens of some texts: the words, ASCII letters lower-cased, then one end each.
+
+    ``word`` has the hashes of the different tokens, sorted, ``index`` each token's place in it.
+    """
 
     def __init__(self, texts: list[str]):
-        number: dict[bytes, int] = {}
-        flat: list[int] = []
+        if len(_number) > REMEMBERED:
+            _number.clear()
+        words: list[bytes] = []
         self.count = np.zeros(len(texts), np.int64)
         for k, text in enumerate(texts):
-            words = text.encode("utf-8", "replace").lower().split()
-            flat += [number.setdefault(w, len(number)) for w in words]
-            flat.append(-1)
-            self.count[k] = len(words) + 1
-        hashes = np.array([xxhash.xxh64_intdigest(w) for w in number], np.uint64)
-        self.hash = np.append(hashes, END)[np.array(flat, np.int64)]
+            own = text.encode("utf-8", "replace").lower().split()
+            words += own
+            self.count[k] = len(own) + 1
+        codes = _codes(words)
+        here = np.zeros(len(_number), bool)
+        here[codes] = True
+        here = np.flatnonzero(here)
+        hashes = np.append(_hash[here], END)
+        order = np.argsort(hashes)
+        self.word = hashes[order]
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        of_code = np.zeros(len(_number), np.int32)
+        of_code[here] = place[:-1]
+        self.end = place[-1]
         self.first = np.cumsum(self.count) - self.count
-        self.before = np.empty_like(self.hash)
-        self.before[1:] = self.hash[:-1]
-        self.before[:1] = END  # the end of a text stands before the next one's first word
+        self.index = np.full(len(words) + len(texts), self.end, np.int32)
+        is_word = np.ones(len(self.index), bool)
+        is_word[self.first + self.count - 1] = False
+        self.index[is_word] = of_code[codes]
+
+    def pairs(self) -> np.ndarray:
+        """A hash for each token with the one before it; the end of a text stands before the next one's first word."""
+        hashes = self.word[self.index]
+        return pair_key(np.concatenate((np.array([END])[: len(hashes)], hashes[:-1])), hashes)
 
 
 def levels_of(counts: np.ndarray) -> np.ndarray:
@@ -174,11 +220,14 @@ def _joined(pieces: pa.ChunkedArray, dtype: type) -> np.ndarray:
 def ngram_counts(docs: DataFrame, buckets: int) -> DataFrame:
     """``(bucket, words, word_n, pairs, pair_n)``: sorted hashes and their counts, summed within each task only."""
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for texts in _batches(batches, 0, COUNT_BYTES):
             tokens, columns, some = Tokens(texts), [pa.array(np.arange(buckets, dtype=np.int32))], np.zeros(buckets, bool)
-            for keys in (tokens.hash, pair_key(tokens.before, tokens.hash)):
-                gram, n = np.unique(keys, return_counts=True)
+            pairs = np.sort(tokens.pairs())
+            starts = np.flatnonzero(np.r_[True, pairs[1:] != pairs[:-1]]) if len(pairs) else np.zeros(0, np.int64)
+            n_words = np.bincount(tokens.index, minlength=len(tokens.word))
+            for gram, n in ((tokens.word[n_words > 0], n_words[n_words > 0]), (pairs[starts], np.diff(np.append(starts, len(pairs))))):
                 edges = _edges(gram, buckets)
                 columns += [_cut(gram, edges), _cut(n.astype(np.uint32), edges)]
                 some |= np.diff(edges) > 0
@@ -199,8 +248,13 @@ def fit(docs: DataFrame) -> Model:
     buckets = _bucket_count(docs)
 
     def summed(group: pa.Table, grams: str, counts: str) -> tuple[np.ndarray, np.ndarray]:
-        gram, back = np.unique(_joined(group.column(grams), np.uint64), return_inverse=True)
-        return gram, np.bincount(back, _joined(group.column(counts), np.uint32), len(gram)).astype(np.int64)
+        gram, n = _joined(group.column(grams), np.uint64), _joined(group.column(counts), np.uint32)
+        if not len(gram):
+            return gram, n.astype(np.int64)
+        order = np.argsort(gram)
+        gram = gram[order]
+        starts = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
+        return gram[starts], np.add.reduceat(n[order].astype(np.int64), starts)
 
     def make(group: pa.Table) -> pa.Table:
         parts = [summed(group, "words", "word_n"), summed(group, "pairs", "pair_n")]
@@ -220,12 +274,11 @@ def fit(docs: DataFrame) -> Model:
     return Model(table.drop("total", "distinct"), buckets, int(n), int(v))
 
 
-def _tokens(texts: list[str]) -> tuple[list[Tokens], list[np.ndarray], np.ndarray, np.ndarray]:
-    """The tokens and pairs of texts, slice by slice, and the sorted distinct words and pairs of all."""
+def _tokens(texts: list[str]) -> tuple[list[Tokens], np.ndarray, np.ndarray]:
+    """The tokens of texts, slice by slice, and the sorted distinct words and pairs of all."""
     tokens = [Tokens(own) for own in _slices(texts)]
-    pairs = [pair_key(t.before, t.hash) for t in tokens]
     none = np.zeros(0, np.uint64)
-    return tokens, pairs, np.unique(np.concatenate([none, *(np.unique(t.hash) for t in tokens)])), np.unique(np.concatenate([none, *map(np.unique, pairs)]))
+    return tokens, distinct(np.concatenate([none, *(t.word for t in tokens if len(t.count))])), distinct(np.concatenate([none, *(distinct(t.pairs()) for t in tokens)]))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -233,19 +286,20 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     ``score`` is the sum over tokens of log10 of ``(1 - w) * (c + 1) / (N + V + 1)`` plus ``w`` times
     the pair's count over the count of the token before, counts from the filter, and no probability
-    above 1. Null texts are empty: one token, the end. Rows are kept as they come; only doc_id and
+    above 1; where the token before was never seen, w is 0. Null texts are empty: one token, the end. Rows are kept as they come; only doc_id and
     text are read.
     """
     text_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_chunks = max(4, -(-text_bytes // CHUNK_BYTES))
+    n_chunks = max(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-text_bytes // CHUNK_BYTES))
     dealt = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_chunks)).cast("int").alias("chunk"), F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).repartition(n_chunks, "chunk")
     buckets, total, rows = model.buckets, model.n, model.n + model.v + 1
 
     def wanted(group: pa.Table) -> pa.Table:
-        _, _, words, pairs = _tokens(group.column("text").to_pylist())
+        _, words, pairs = _tokens(group.column("text").to_pylist())
         at = [_edges(words, buckets), _edges(pairs, buckets)]
         chunk = np.full(buckets, group.column("chunk")[0].as_py(), np.int32)
         found = pa.table({"chunk": chunk, "bucket": np.arange(buckets, dtype=np.int32), "words": _cut(words, at[0]), "pairs": _cut(pairs, at[1])})
+        release_memory()
         return found.filter(pa.array((np.diff(at[0]) > 0) | (np.diff(at[1]) > 0)))
 
     def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
@@ -267,31 +321,36 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         right = right.sort_by("bucket")  # the order of the n-grams
-        tokens, pairs, word, distinct = _tokens(left.column("text").to_pylist())
+        tokens, words, pairs = _tokens(left.column("text").to_pylist())
         seen, exact = count_of(_joined(right.column("word_level"), np.uint8)), _joined(right.column("word_n"), np.int64)
-        seen_pair = count_of(_joined(right.column("pair_level"), np.uint8))
+        seen_pair = _joined(right.column("pair_level"), np.uint8)
         out: list[list[np.ndarray]] = [[], [], [], []]
-        for own, keys in zip(tokens, pairs, strict=True):
-            at = np.searchsorted(word, own.hash)
-            c, single = exact[at], seen[at]
-            context = np.concatenate((seen[np.searchsorted(word, END)][None], single[:-1]))
-            pair = seen_pair[np.searchsorted(distinct, keys)]
-            ratio = np.where(context > 0, np.minimum(pair / np.maximum(context, 1), 1.0), 0.0)
-            p = np.minimum((1 - PAIR_WEIGHT) * (single + 1) / rows + PAIR_WEIGHT * ratio, 1.0)
+        for own in tokens:
+            at = np.searchsorted(words, own.word)  # sorted in sorted
+            c, single = exact[at][own.index], seen[at][own.index]
+            context = np.concatenate((seen[at[own.end]][None], single[:-1]))
+            keys = own.pairs()
+            order = np.argsort(keys)
+            levels = np.empty(len(keys), np.uint8)
+            levels[order] = seen_pair[np.searchsorted(pairs, keys[order])]
+            ratio = np.minimum(count_of(levels) / np.maximum(context, 1), 1.0)
+            weight = np.where(context > 0, PAIR_WEIGHT, 0.0)  # after an unseen token the word decides alone
+            p = np.minimum((1 - weight) * (single + 1) / rows + weight * ratio, 1.0)
             for k, x in enumerate((own.count, np.add.reduceat((c > 0).astype(np.int64), own.first), np.add.reduceat(np.log10((c + 1) / rows), own.first), np.add.reduceat(np.log10(p), own.first))):
                 out[k].append(x)
         a, b, base, scores = (np.concatenate(x) if x else np.zeros(0) for x in out)
+        release_memory()
         return pa.table({"doc_id": left.column("doc_id").cast(pa.int64()), "n_tokens": pa.array(a, pa.int64()), "n_known": pa.array(b, pa.int64()), "train_tokens": pa.array(np.full(len(a), total), pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(scores, pa.float64())})
 
     schema = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return dealt.groupBy("chunk").cogroup(answered.repartition(n_chunks, "chunk").groupBy("chunk")).applyInArrow(run, schema)
 
 
-def _slices(texts: list[str], most: int = 2 << 20) -> Iterator[list[str]]:
+def _slices(texts: list[str]) -> Iterator[list[str]]:
     k = 0
     while k < len(texts):
         end, size = k, 0
-        while end < len(texts) and (end == k or size < most):
+        while end < len(texts) and (end == k or size < SLICE_BYTES):
             size += len(texts[end])
             end += 1
         yield texts[k:end]
