@@ -352,10 +352,13 @@ def test_suffix_sort_is_a_sort():
 
 def test_sharding(spark, texts):
     df = docs_of(spark, texts, extra=True)
-    store = sharding.store_documents(df, arrivals=5, target_bytes=200_000)
+    store = sharding.store_documents(df, arrivals=5, target_bytes=2_000_000)
     assert Counter(map(str, (r.row for r in store.read().collect()))) == Counter(map(str, df.collect()))
     first, last = store.manifest(5), store.manifest()
     assert store.version() > 5 and last.count() < first.count() and first.agg(F.sum("rows")).first()[0] == last.agg(F.sum("rows")).first()[0] == len(texts)
+    assert last.agg(F.max("files")).first()[0] < first.agg(F.sum("files")).first()[0] and store.read(3).count() < len(texts)
+    arrived = Counter((r.row.doc_id, r.since) for r in store.history().where("since <= 5").collect())
+    assert arrived == Counter((i, (i or 0) % 5 + 1) for i, _ in texts)
     assert last.where("tier < 100").groupBy("tier").count().where(F.col("count") >= sharding.MIN_MERGE).count() == 0
     with pytest.raises(sharding.Conflict):
         store.commit(last, store.version())
@@ -363,7 +366,7 @@ def test_sharding(spark, texts):
     store.append(df.limit(1), 9)
     assert store.read().count() == len(texts) + 1
     store.vacuum()
-    assert store.read().count() == len(texts) + 1
+    assert store.read().count() == len(texts) + 1 and store.history().count() == store.manifest().where(F.col("since") == store.version()).agg(F.sum("rows")).first()[0]
     empty = sharding.store_documents(df.limit(0))
     assert empty.read().count() == 0
 
