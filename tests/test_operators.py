@@ -220,13 +220,102 @@ def test_vcf_and_fit(spark, tmp_path):
         reads.append((r, seq, x.tolist()))
     df = spark.createDataFrame(reads, "readid long, seq string, x array<double>")
     model = spark.createDataFrame([(k, v + 0.3, 1.0) for k, v in levels.items()], "kmer string, level_mean double, level_stdv double")
-    new, change = train.fit(lambda m: segment.prepare_reads(df, m, 2), model, 1, 2, str(tmp_path / "ckpt"))
-    assert change[0] > 0
+    new, params, change = train.fit(lambda m: segment.prepare_reads(df, m, 2), model, 1, 2, str(tmp_path / "ckpt"))
+    assert change[0] > 0 and math.exp(params["m1"]) + math.exp(params["e2"]) == pytest.approx(1)
     seen = {s[k : k + 2] for _, s, _ in reads for k in range(11)} - {"AA"}
     off = [abs(r.level_mean - levels[r.kmer]) for r in new.collect() if r.kmer in seen]
     assert np.mean(off) < 0.3
 
 
+def test_fit_in_batches(spark, tmp_path):
+    from tracemill.operators import train
+
+    rng = np.random.default_rng(2)
+    levels = {a + b: float(k) for k, (a, b) in enumerate(itertools.product("ACGT", repeat=2))}
+    reads = []
+    for r in range(9):
+        seq = "".join(rng.choice(list("ACGT"), 10))
+        reads.append((f"b{r}-f00d", seq, np.concatenate([rng.normal(levels[seq[k : k + 2]], 0.3, 6) for k in range(9)]).tolist()))
+    df = spark.createDataFrame(reads, "readid string, seq string, x array<double>")
+    model = spark.createDataFrame([(k, v + 0.3, 1.0) for k, v in levels.items()], "kmer string, level_mean double, level_stdv double")
+    log = str(tmp_path / "log")
+    new, _, change = train.fit(lambda m: segment.prepare_reads(df, m, 2), model, 1, 2, str(tmp_path / "c"), batch_size=4, log=log)
+    assert len(change) == 2 and new.count() == 16  # the ninth read makes no batch
+    assert spark.read.csv(log, header=True).count() == 2
+    assert spark.read.parquet(str(tmp_path / "c" / "model-0-0")).count() == 16
+    # rolling means by hand: the start value, then the reads of both batches in order of id
+    counts = segment.expected_counts(segment.prepare_reads(df, model, 2), 2).where("readid < 'b4'").collect()
+    first = {}
+    for kmer, level in levels.items():
+        own = [level + 0.3]
+        for r in sorted({c.readid for c in counts}):
+            mine = [c for c in counts if c.readid == r and c.kmer == kmer and (c.tail is None or c.tail >= 0.5)]
+            if mine:
+                own.append(sum(c.wx for c in mine) / sum(c.w for c in mine))
+        first[kmer] = np.mean(own)
+    got = {r.kmer: r.level_mean for r in spark.read.parquet(str(tmp_path / "c" / "model-0-0")).collect()}
+    assert got == pytest.approx(first)
+    assert len(train.fit(lambda m: segment.prepare_reads(df, m, 2), model, 1, 2, str(tmp_path / "d"), batch_size=4, max_batches=1)[2]) == 1
+
+
+def test_blocks_and_band():
+    rng = np.random.default_rng(6)
+    mu = rng.normal(0, 1, 120)
+    x = np.repeat(mu, rng.integers(2, 9, 120))
+    x = x + rng.normal(0, 0.2, len(x))
+    sd = np.full(120, 0.3)
+    whole, parts, narrow = segment.Lattice(x, mu, sd), segment.Lattice(x, mu, sd, block=37), segment.Lattice(x, mu, sd, band=60)
+    assert parts.zf == pytest.approx(whole.zf) and parts.zb == pytest.approx(whole.zb) and whole.zb == pytest.approx(whole.zf)
+    assert [(s, n) for s, n, _ in parts.path()] == [(s, n) for s, n, _ in whole.path()] == [(s, n) for s, n, _ in narrow.path()]
+    assert np.allclose([p for *_, p in parts.path()], [p for *_, p in whole.path()])
+    for a, b in zip(parts.sums(), whole.sums(), strict=True):
+        assert np.allclose(a, b)
+    pM, pE = whole.posteriors()
+    mass = np.exp(np.logaddexp(pM[1:, 1:], pE[1:, 1:]))
+    assert np.allclose(mass.sum(1), 1) and np.allclose(whole.sums()[0], mass.sum(0))
+
+
+def test_long_read_stays_small():
+    import tracemalloc
+
+    rng = np.random.default_rng(8)
+    mu = rng.normal(0, 1, 2000)
+    x = np.repeat(mu, 5) + rng.normal(0, 0.2, 10_000)
+    tracemalloc.start()
+    lat = segment.Lattice(x, mu, np.full(2000, 0.3), block=2000)
+    found = lat.path()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 2000 and peak < 100 << 20
+
+
+def test_repeated_and_null_readids(spark):
+    model = spark.createDataFrame([("AA", 0.0, 1.0), ("AC", 1.0, 1.0)], "kmer string, level_mean double, level_stdv double")
+    reads = spark.createDataFrame([("u-1", "AAC", [0.0, 0.1, 1.0, 1.1]), ("u-1", "AAC", [0.0, 0.1, 1.0, 1.1]), (None, "AAC", [0.0] * 5), ("u-2", None, [0.0]), ("u-3", "AAC", None)], "readid string, seq string, x array<double>")
+    rows = segment.segment_reads(segment.prepare_reads(reads, model, 2), 2).collect()
+    assert sum(r.readid == "u-1" and r.error is None for r in rows) == 4 and sum(r.readid is None for r in rows) == 2
+    assert {r.readid: r.error for r in rows if r.error} == {"u-2": "no sequence", "u-3": "no signal"}
+
+
+def test_rna_is_turned_back(spark):
+    bases = "ACGT"
+    level = lambda k: float(sum(bases.index(c) * 4**j for j, c in enumerate(k)) % 97) / 10
+    kmers = ["".join(k) for k in itertools.product(bases, repeat=5)]
+    model = spark.createDataFrame([(k, level(k), 0.25) for k in kmers], "kmer string, level_mean double, level_stdv double")
+    seq = "GATTACATTCAGGC"
+    run = "A" * 9 + seq[::-1]  # the pore meets the tail first
+    x = np.repeat([level(run[k : k + 5][::-1]) for k in range(len(run) - 4)], 6)
+    calls = spark.createDataFrame([("r1", None, "f", seq, 9.0, len(x) + 3, 3, None, 0.0, 1.0), ("low", None, "f", seq, 1.0, 10, 0, None, 0.0, 1.0)], "readid string, signalid string, raw_file string, seq string, qs double, ns int, ts int, sp int, shift double, scale double")
+    signals = spark.createDataFrame([("f", "r1", [7.0, 7.0, 7.0, *x.tolist()])], "raw_file string, signalid string, pa array<double>").withColumn("adc", F.lit(None).cast("array<smallint>"))
+    prepared = segment.prepare(calls, signals, model, "rna002", 5.0)
+    assert [r.seq for r in prepared.collect()] == [run]
+    rows = segment.segment_reads(prepared, 5, X.pore("rna002")[3], is_rna=True).orderBy("start").collect()
+    padded = seq + "A" * 9
+    assert [r.basepos for r in rows] == list(range(len(padded) - 3, 1, -1)) and all(r.base == padded[r.basepos] and r.motif == padded[r.basepos - 2 : r.basepos + 3] for r in rows)
+    # within the tail all levels are equal, so its inner borders may lie anywhere
+    assert [r.start for r in rows][7:] == list(range(0, len(x), 6))[7:]
+
+
 def edits_loop(a, b):
     row = list(range(len(b) + 1))
     for x in a:

@@ -189,7 +189,15 @@ PORES = [
 ]
 
 
+def pore(name: str) -> tuple[str, bool, int, dict[str, float]]:
+    """Name, whether it reads RNA, k, and the transition logs of a pore type."""
+    for own, rna, k, m1, e2 in PORES:
+        if own == name:
+            return own, rna, k, {"m1": math.log(m1), "e1": 0.0, "e2": math.log(e2)}
+    raise ValueError(f"no pore type {name!r}; there are {', '.join(p[0] for p in PORES)}")
+
+
 def pore_defaults(spark):
     """k, molecule and transition logs of each pore type; a fixed small table for broadcasting."""
-    rows = [(name, rna, k, {"m1": math.log(m1), "e1": 0.0, "e2": math.log(e2)}) for name, rna, k, m1, e2 in PORES]
+    rows = [pore(p[0]) for p in PORES]
     return spark.createDataFrame(rows, "pore string, is_rna boolean, k int, params map<string,double>")

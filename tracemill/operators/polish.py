@@ -189,7 +189,10 @@ def polish_reads(prepared: DataFrame, model: DataFrame, k: int = 5, pore: str =
         raise ValueError("models of more than five letters have too many states")
     params = {n: math.log(p) for n, p in PROBABILITIES[pore].items()}
     mean, stdv = np.full(4**k, np.nan), np.ones(4**k)
-    for row in model.select("kmer", "level_mean", "level_stdv").limit(4**k).collect():
+    rows = model.select("kmer", "level_mean", "level_stdv").limit(4**k + 1).collect()
+    if len(rows) > 4**k or len({r.kmer for r in rows}) < len(rows):
+        raise ValueError("the model has more rows than k-mers")
+    for row in rows:
         mean[_number(row.kmer)], stdv[_number(row.kmer)] = row.level_mean, row.level_stdv
     kind = prepared.schema["readid"].dataType.simpleString()
 

@@ -1,8 +1,9 @@
 """Segmentation of series against expected levels: a two-state hidden Markov model as a Spark job.
 
-Spark prepares the reads, joins the levels and formats the segments; within a task the recurrences
-run over one read at a time, vectorised over the positions of its sequence. State M enters a k-mer,
-state E stays in it; a k-mer owns at least two samples.
+Spark selects, joins and prepares the reads, joins the levels and formats the segments; within a task the
+recurrences run over one read at a time, vectorised over a band of positions of its sequence. State M
+enters a k-mer, state E stays in it; a k-mer owns at least two samples. Only the band is stored, and of
+a long read only a block of samples at a time, so a read's memory is bounded by block times band.
 """
 
 from __future__ import annotations
@@ -15,30 +16,54 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.functions import exprs as X
+from tracemill.operators import filters, joins
 
 #: Logs of the transitions: enter the next k-mer, first extension, further extension.
 PARAMS = {"m1": float(np.log(0.5)), "e1": 0.0, "e2": float(np.log(0.5))}
 BAND = 400
+#: Samples of a read whose scores are held at once.
+BLOCK = 20_000
+#: Above this shift a read is scaled from raw readings, not from calibrated ones.
+CALIBRATED_SHIFT = 400
 _NONE = -np.inf
 
 
-def prepare_reads(reads: DataFrame, model: DataFrame, k: int = 5, window: int = 3, n_sigmas: float = 3.0) -> DataFrame:
-    """``(readid, seq, x, mu, sd, error)`` from ``reads(readid, seq, x)``; x is Hampel-filtered in the row.
+def prepare(reads: DataFrame, signals: DataFrame, model: DataFrame, pore: str = "dna_r10_400", min_q: float | None = None) -> DataFrame:
+    """Reads of basecalls and their signals, ready to be segmented: everything before the recurrence.
 
-    Reads that can't be segmented have an error and empty arrays.
+    ``reads(readid, signalid, raw_file, seq, qs, ns, ts, sp, shift, scale)`` of quality ``min_q`` on are joined to
+    ``signals(raw_file, signalid, adc, pa)``; a null signalid is the readid, a null sp is 0. The part of the signal
+    that the read covers is scaled and Hampel-filtered, the sequence is turned the way the molecule runs, and the
+    levels are joined. Reads without a signal have an error like all others that can't be segmented.
     """
-    from tracemill.operators.filters import validate
+    is_rna, k = X.pore(pore)[1:3]
+    good = filters.min_qscore(reads.withColumn("signalid", F.coalesce("signalid", "readid")), min_q)
+    joined = good.join(signals.select("raw_file", "signalid", "adc", "pa"), ["raw_file", "signalid"], "left")
+    raw = F.when(F.col("shift") <= CALIBRATED_SHIFT, F.col("pa").cast("array<double>")).otherwise(F.col("adc").cast("array<double>"))
+    x = X.znorm(X.signal_window(raw, F.coalesce("sp", F.lit(0)), F.col("ts"), F.col("ns")), F.col("shift"), F.col("scale"))
+    return prepare_reads(joined.select("readid", "signalid", X.orient_sequence(F.col("seq"), is_rna).alias("seq"), x.alias("x")), model, k, is_rna=is_rna)
 
-    checked = validate(reads.withColumn("n_samples", F.size("x")), k)
-    filtered = checked.withColumn("x", hampel_array(F.col("x"), window, n_sigmas))
-    rows = filtered.where("error IS NULL").select("readid", F.posexplode(X.kmers(F.col("seq"), k)).alias("n", "kmer"))
-    levels = rows.join(F.broadcast(model), "kmer").groupBy("readid").agg(F.array_sort(F.collect_list(F.struct("n", "level_mean", "level_stdv"))).alias("lv"))
-    out = filtered.join(levels, "readid", "left")
+
+def prepare_reads(reads: DataFrame, model: DataFrame, k: int = 5, window: int = 3, n_sigmas: float = 3.0, is_rna: bool = False) -> DataFrame:
+    """``(readid, signalid, seq, x, mu, sd, error)`` from ``reads(readid, seq, x)``; x is Hampel-filtered in the row.
+
+    The sequence is in the molecule's direction; an RNA model's k-mers are turned to match. Reads that
+    can't be segmented have an error and empty arrays. Levels are joined by the sequence, so repeated or
+    null readids are rows like any other.
+    """
+    signal = F.coalesce("signalid", F.col("readid").cast("string")) if "signalid" in reads.columns else F.col("readid").cast("string")
+    plain = reads.select("readid", signal.alias("signalid"), "seq", "x", F.coalesce(F.size("x"), F.lit(0)).alias("n_samples"))
+    checked = filters.validate(plain, k).withColumn("error", F.coalesce(F.when(F.col("x").isNull(), "no signal"), F.when(F.col("seq").isNull(), "no sequence"), "error"))
+    filtered = checked.select("readid", "signalid", "seq", hampel_array(F.col("x"), window, n_sigmas).alias("x"), "error", F.md5("seq").alias("_seq"))
+    levels = model.select(F.reverse("kmer").alias("kmer"), "level_mean", "level_stdv") if is_rna else model
+    kmers = checked.where("error IS NULL").select(F.md5("seq").alias("_seq"), "seq").dropDuplicates(["_seq"]).select("_seq", F.posexplode(X.kmers(F.col("seq"), k)).alias("n", "kmer"))
+    found = joins.attach_levels(kmers, levels).groupBy("_seq").agg(F.array_sort(F.collect_list(F.struct("n", "level_mean", "level_stdv"))).alias("lv"))
+    out = filtered.join(found, "_seq", "left")
     complete = F.size("lv") == F.length("seq") - k + 1
     error = F.coalesce(F.col("error"), F.when(~F.coalesce(complete, F.lit(False)), "k-mer outside the model"))
     none = F.array().cast("array<double>")
     pick = lambda f: F.when(error.isNull(), F.transform("lv", lambda s: s[f])).otherwise(none)
-    return out.select("readid", "seq", F.coalesce("x", none).alias("x"), pick("level_mean").alias("mu"), pick("level_stdv").alias("sd"), error.alias("error"))
+    return out.select("readid", "signalid", "seq", F.coalesce("x", none).alias("x"), pick("level_mean").alias("mu"), pick("level_stdv").alias("sd"), error.alias("error"))
 
 
 def hampel_array(signal, window: int = 3, n_sigmas: float = 3.0):
@@ -56,84 +81,192 @@ def hampel_array(signal, window: int = 3, n_sigmas: float = 3.0):
 
 
 class Lattice:
-    """Forward and backward scores of one read. Rows are borders between samples, columns k-mers."""
+    """Forward and backward scores of one read. Rows are borders between samples, columns the k-mers of a band.
 
-    def __init__(self, x: np.ndarray, mu: np.ndarray, sd: np.ndarray, params: dict[str, float] = PARAMS, band: int = BAND):
+    A row's band begins at ``n0``; a row is stored with one more place on either side. Rows are computed in
+    blocks: of a read of more than one block only the rows at the blocks' edges are kept, and a block is
+    computed again from them when it is needed.
+    """
+
+    def __init__(self, x: np.ndarray, mu: np.ndarray, sd: np.ndarray, params: dict[str, float] = PARAMS, band: int = BAND, block: int = BLOCK):
         self.x, self.params = x, params
         self.T, self.N = len(x) + 1, len(mu) + 1
-        z = (x[:, None] - mu) / sd
-        self.score = -0.5 * z * z - np.log(sd) - X.LOG_2PI / 2  # sample, k-mer
-        half = max(1, min(band // 2, self.N // 2 + 1))
-        centre = np.arange(self.T) * self.N // self.T
-        n = np.arange(self.N)
-        self.inside = (n >= (centre - half)[:, None]) & (n <= (centre + half)[:, None])
-        self._forward()
-        self._backward()
-        self.zf, self.zb = self.fE[-1, -1], self.bE[0, 0]
-
-    def _forward(self) -> None:
-        p = self.params
-        self.fM, self.fE = np.full((self.T, self.N), _NONE), np.full((self.T, self.N), _NONE)
-        self.fE[0, 0] = 0.0
-        with np.errstate(invalid="ignore"):
-            for t in range(1, self.T):
-                s = self.score[t - 1]
-                self.fM[t, 1:] = self.fE[t - 1, :-1] + s + p["m1"]
-                self.fE[t, 1:] = np.logaddexp(self.fM[t - 1, 1:] + s + p["e1"], self.fE[t - 1, 1:] + s + p["e2"])
-                self.fM[t, ~self.inside[t]] = _NONE
-                self.fE[t, ~self.inside[t]] = _NONE
-
-    def _backward(self) -> None:
-        p = self.params
-        self.bM, self.bE = np.full((self.T, self.N), _NONE), np.full((self.T, self.N), _NONE)
-        self.bE[-1, -1] = 0.0
-        for t in range(self.T - 2, -1, -1):
-            s = self.score[t]
-            stay = np.full(self.N, _NONE)
-            stay[1:] = self.bE[t + 1, 1:] + s
-            enter = np.full(self.N, _NONE)
-            enter[:-1] = self.bM[t + 1, 1:] + s + p["m1"]
-            self.bM[t] = stay + p["e1"]
-            self.bE[t] = np.logaddexp(stay + p["e2"], enter)
-            self.bM[t, ~self.inside[t]] = _NONE
-            self.bE[t, ~self.inside[t]] = _NONE
+        self.half = max(1, min(band // 2, self.N // 2))
+        self.W = 2 * self.half + 1
+        self.n0 = np.arange(self.T) * self.N // self.T - self.half
+        pad = np.full(self.half + 2, 0.0)
+        self._shift = self.half + 2 - 1  # where column 0's level would be
+        self._mu, self._sd = np.r_[pad, mu, pad], np.r_[pad + 1, sd, pad + 1]
+        outside = np.full(self.half + 2, _NONE)
+        self._base = np.r_[outside, -np.log(sd) - X.LOG_2PI / 2, outside]
+        self.edges = list(range(0, self.T, block)) + [self.T]
+        with np.errstate(invalid="ignore", over="ignore"):
+            self._ahead, self._back = self._passes()
+        self.zf, self.zb = float(self._last[1][self.half + 1]), float(self._first[1][self.half + 1])
+
+    def _score(self, t: int) -> np.ndarray:
+        """Log density of the sample before border ``t`` under the levels of the row's band."""
+        at = self.n0[t] + self._shift
+        own = slice(at, at + self.W)
+        z = (self.x[t - 1] - self._mu[own]) / self._sd[own]
+        return self._base[own] - 0.5 * z * z
+
+    def _rows(self, n: int) -> np.ndarray:
+        return np.full((n, 2, self.W + 2), _NONE)
+
+    def _forward(self, t: int, before: np.ndarray, out: np.ndarray) -> None:
+        p, d, w = self.params, self.n0[t] - self.n0[t - 1], self.W
+        s = self._score(t)
+        m, e = before
+        out[0, 1:-1] = e[d : d + w] + s + p["m1"]
+        out[1, 1:-1] = np.logaddexp(m[1 + d : 1 + d + w] + s + p["e1"], e[1 + d : 1 + d + w] + s + p["e2"])
+
+    def _backward(self, t: int, after: np.ndarray, out: np.ndarray) -> None:
+        p, d, w = self.params, self.n0[t + 1] - self.n0[t], self.W
+        s = np.full(w + 2, _NONE)
+        s[1:-1] = self._score(t + 1)
+        stay = (after[1] + s)[1 - d : 1 - d + w]
+        enter = (after[0] + s)[2 - d : 2 - d + w] + p["m1"]
+        out[0, 1:-1] = stay + p["e1"]
+        out[1, 1:-1] = np.logaddexp(stay + p["e2"], enter)
+
+    def _passes(self) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Rows of each block, forward and backward; with several blocks only the first, or last, row of each."""
+        one = len(self.edges) == 2
+        ahead, back, row = [], [], self._rows(1)[0]
+        row[1, self.half + 1] = 0.0
+        for a, b in zip(self.edges[:-1], self.edges[1:], strict=True):
+            rows = self._rows(b - a) if one else self._rows(2)
+            for t in range(a, b):
+                own = rows[t - a if one else t % 2]
+                if t:
+                    self._forward(t, row, own)
+                else:
+                    own[:] = row
+                row = own
+                if t == a and not one:
+                    ahead.append(own.copy())
+            if one:
+                ahead.append(rows)
+        self._last = row.copy()
+        row = self._rows(1)[0]
+        row[1, self.half + 1] = 0.0
+        for a, b in zip(self.edges[-2::-1], self.edges[:0:-1], strict=True):
+            rows = self._rows(b - a) if one else self._rows(2)
+            for t in range(b - 1, a - 1, -1):
+                own = rows[t - a if one else t % 2]
+                if t < self.T - 1:
+                    self._backward(t, row, own)
+                else:
+                    own[:] = row
+                row = own
+                if t == b - 1 and not one:
+                    back.append(own.copy())
+            if one:
+                back.append(rows)
+        self._first = row.copy()
+        return ahead, back[::-1]
+
+    def _block(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """All rows of a block, forward and backward."""
+        if len(self.edges) == 2:
+            return self._ahead[0], self._back[0]
+        a, b = self.edges[k], self.edges[k + 1]
+        ahead, back = self._rows(b - a), self._rows(b - a)
+        ahead[0], back[-1] = self._ahead[k], self._back[k]
+        for t in range(a + 1, b):
+            self._forward(t, ahead[t - 1 - a], ahead[t - a])
+        for t in range(b - 2, a - 1, -1):
+            self._backward(t, back[t + 1 - a], back[t - a])
+        return ahead, back
+
+    def blocks(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """First row and the log posteriors (rows, M and E, band) of each block; and what the stays in it sum to."""
+        before = None
+        for k, a in enumerate(self.edges[:-1]):
+            with np.errstate(invalid="ignore"):
+                ahead, back = self._block(k)
+                stays = 0.0
+                for j in range(len(ahead)):
+                    prior = ahead[j - 1] if j else before
+                    if prior is not None and self._want_stays:
+                        t = a + j
+                        d = self.n0[t] - self.n0[t - 1]
+                        stays += float(np.exp(prior[1][1 + d : 1 + d + self.W] + self._score(t) + self.params["e2"] + back[j][1][1:-1] - self.zf).sum())
+                before = ahead[-1].copy()
+                yield a, ahead[:, :, 1:-1] + back[:, :, 1:-1] - self.zf, stays
+
+    _want_stays = False
 
     def posteriors(self) -> tuple[np.ndarray, np.ndarray]:
-        """Log posteriors of M and E."""
-        with np.errstate(invalid="ignore"):
-            return self.fM + self.bM - self.zf, self.fE + self.bE - self.zf
+        """Log posteriors of M and E as whole matrices: for small reads."""
+        out = np.full((2, self.T, self.N), _NONE)
+        for a, p, _ in self.blocks():
+            for j in range(len(p)):
+                n = self.n0[a + j] + np.arange(self.W)
+                inside = (n >= 0) & (n < self.N)
+                out[:, a + j, n[inside]] = p[j][:, inside]
+        return out[0], out[1]
 
     def path(self) -> list[tuple[int, int, float]]:
         """(first sample, k-mer, probability) of each segment of the path with the best summed log posteriors."""
-        pM, pE = self.posteriors()
-        M, E = np.full((self.T, self.N), _NONE), np.full((self.T, self.N), _NONE)
-        E[0, 0] = 0.0
-        from_m = np.zeros((self.T, self.N), bool)
-        for t in range(1, self.T):
-            M[t, 1:] = E[t - 1, :-1] + pM[t, 1:]
-            a, b = M[t - 1], E[t - 1]
-            from_m[t] = a >= b
-            E[t, 1:] = np.maximum(a, b)[1:] + pE[t, 1:]
-        out, t, n, in_m, last = [], self.T - 1, self.N - 1, False, self.T - 1
+        row, from_m = self._rows(1)[0], np.zeros((self.T, -(-self.W // 8)), np.uint8)
+        row[1, self.half + 1] = 0.0
+        for a, p, _ in self.blocks():
+            for j in range(len(p)):
+                t = a + j
+                if not t:
+                    continue
+                d = self.n0[t] - self.n0[t - 1]
+                m, e = row[0][1 + d : 1 + d + self.W], row[1][1 + d : 1 + d + self.W]
+                from_m[t] = np.packbits(m >= e)
+                new = self._rows(1)[0]
+                new[0, 1:-1] = row[1][d : d + self.W] + p[j, 0]
+                new[1, 1:-1] = np.maximum(m, e) + p[j, 1]
+                row = new
+        line, t, n, in_m = np.zeros((self.T, 2), np.int64), self.T - 1, self.N - 1, False
+        starts = []
         while t > 0:
+            line[t] = n, not in_m
             if in_m:
-                p = np.exp(np.r_[pM[t, n], pE[t + 1 : last + 1, n]])
-                out.append((t - 1, n - 1, float(np.median(p))))
-                t, n, in_m, last = t - 1, n - 1, False, t - 1
+                starts.append(t)
+                n, in_m = n - 1, False
             else:
-                in_m = bool(from_m[t, n])
-                t -= 1
-        return out[::-1]
+                at = n - self.n0[t]
+                in_m = bool(from_m[t, at >> 3] >> (7 - (at & 7)) & 1)
+            t -= 1
+        p_of = np.zeros(self.T)
+        for a, p, _ in self.blocks():
+            t = np.arange(max(a, 1), a + len(p))
+            p_of[t] = np.exp(p[t - a, line[t, 1], line[t, 0] - self.n0[t]])
+        starts = starts[::-1]
+        return [(s - 1, int(line[s, 0]) - 1, float(np.median(p_of[s:e]))) for s, e in zip(starts, [*starts[1:], self.T], strict=True)]
+
+    def sums(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, float]:
+        """Expected weight and moments of each k-mer, and the expected logs of entering and of staying."""
+        w, enter, stay = np.zeros((3, self.N + 1)), 0.0, 0.0
+        self._want_stays = True
+        for a, p, stays in self.blocks():
+            first = max(a, 1)
+            g = np.exp(np.logaddexp(p[first - a :, 0], p[first - a :, 1]))
+            n = np.clip(self.n0[first : a + len(p)][:, None] + np.arange(self.W), 0, self.N)
+            x = self.x[first - 1 : a + len(p) - 1]
+            for k, v in enumerate((g, g * x[:, None], g * (x * x)[:, None])):
+                w[k] += np.bincount(n.ravel(), v.ravel(), self.N + 1)
+            enter += float(np.exp(p[:, 0]).sum())
+            stay += stays
+        self._want_stays = False
+        with np.errstate(divide="ignore"):
+            return *w[:, 1 : self.N], float(np.log(enter)), float(np.log(stay))
 
 
 def _lattices(batch: pa.RecordBatch, params: dict[str, float], band: int):
     names = batch.schema.names
     for k in range(batch.num_rows):
-        row = {c: batch.column(names.index(c))[k].as_py() for c in ("readid", "seq", "error")}
+        row = {c: batch.column(names.index(c))[k].as_py() for c in ("readid", "signalid", "seq", "error") if c in names}
         if row["error"] is None:
-            x, mu, sd = (np.array(batch.column(names.index(c))[k].as_py(), float) for c in ("x", "mu", "sd"))
-            row["lattice"] = Lattice(x, mu, sd, params, band)
-            lat = row["lattice"]
+            x, mu, sd = (batch.column(names.index(c))[k].values.to_numpy(zero_copy_only=False).astype(float) for c in ("x", "mu", "sd"))
+            lat = row["lattice"] = Lattice(x, mu, sd, params, band)
             if not np.isfinite(lat.zf) or not np.isfinite(lat.zb):
                 row["error"] = "score is not finite"
             elif abs(lat.zf - lat.zb) / (lat.T * lat.N) > 1e-8:
@@ -141,35 +274,35 @@ def _lattices(batch: pa.RecordBatch, params: dict[str, float], band: int):
         yield row
 
 
-def segment_reads(prepared: DataFrame, k: int = 5, params: dict[str, float] = PARAMS, band: int = BAND) -> DataFrame:
-    """``(readid, start, end, basepos, base, motif, state, posterior_probability, polish, error)``.
+def segment_reads(prepared: DataFrame, k: int = 5, params: dict[str, float] = PARAMS, band: int = BAND, is_rna: bool = False) -> DataFrame:
+    """``(readid, signalid, start, end, basepos, base, motif, state, posterior_probability, polish, error)``.
 
-    Reads with an error give one row that holds nothing else.
+    Reads with an error give one row that holds nothing else. For RNA the base's position and the motif are
+    turned back to the 5' to 3' direction.
     """
     kind = prepared.schema["readid"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["readid", "signalid", "start", "end", "basepos", "base", "motif", "posterior_probability", "error"]
+        types = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.float64(), pa.string()]
         for batch in batches:
-            out = []
             for row in _lattices(batch, params, band):
+                out = []
                 if row["error"]:
-                    out.append((row["readid"], None, None, None, None, row["error"]))
-                    continue
-                found = row["lattice"].path()
-                ends = [s for s, _, _ in found[1:]] + [len(row["lattice"].x)]
-                out += [(row["readid"], s, e, n + k // 2, p, None) for (s, n, p), e in zip(found, ends, strict=True)]
-            if out:
+                    out.append((row["readid"], row["signalid"], None, None, None, None, None, None, row["error"]))
+                else:
+                    seq, found = row["seq"], row["lattice"].path()
+                    ends = [s for s, _, _ in found[1:]] + [len(row["lattice"].x)]
+                    for (s, n, p), e in zip(found, ends, strict=True):
+                        at = n + k // 2
+                        motif = seq[max(0, at - k // 2) : at + k // 2 + 1]
+                        out.append((row["readid"], row["signalid"], s, e, len(seq) - at - 1 if is_rna else at, seq[at], motif[::-1] if is_rna else motif, p, None))
                 cols = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cols[0], batch.schema.field("readid").type), *[pa.array(c, pa.int32()) for c in cols[1:4]], pa.array(cols[4], pa.float64()), pa.array(cols[5], pa.string())],
-                    ["readid", "start", "end", "basepos", "posterior_probability", "error"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], batch.schema.field("readid").type), *[pa.array(c, t) for c, t in zip(cols[1:], types, strict=True)]], names)
 
-    raw = prepared.mapInArrow(run, f"readid {kind}, start int, end int, basepos int, posterior_probability double, error string")
-    named = raw.join(prepared.select("readid", "seq"), "readid")
-    return named.select(
-        "readid", "start", "end", "basepos", F.substring("seq", F.col("basepos") + 1, F.lit(1)).alias("base"), X.motif(F.col("seq"), F.col("basepos"), k).alias("motif"),
-        F.when(F.col("error").isNull(), "M").alias("state"), "posterior_probability", F.lit("NA").alias("polish"), "error",
+    schema = f"readid {kind}, signalid string, start int, end int, basepos int, base string, motif string, posterior_probability double, error string"
+    return prepared.mapInArrow(run, schema).select(
+        "readid", "signalid", "start", "end", "basepos", "base", "motif", F.when(F.col("error").isNull(), "M").alias("state"), "posterior_probability", F.lit("NA").alias("polish"), "error"
     )
 
 
@@ -179,7 +312,11 @@ def log_likelihood(prepared: DataFrame, params: dict[str, float] = PARAMS, band:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(r["readid"], getattr(r.get("lattice"), "zf", None), getattr(r.get("lattice"), "zb", None), r["lattice"].T * r["lattice"].N if "lattice" in r else None, r["error"]) for r in _lattices(batch, params, band)]
+            rows = []
+            for r in _lattices(batch, params, band):
+                lat = r.get("lattice")
+                rows.append((r["readid"], lat and lat.zf, lat and lat.zb, lat and lat.T * lat.N, r["error"]))
+                del lat, r
             if rows:
                 c = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c[0], batch.schema.field("readid").type), pa.array(c[1], pa.float64()), pa.array(c[2], pa.float64()), pa.array(c[3], pa.int64()), pa.array(c[4], pa.string())], ["readid", "zf", "zb", "cells", "error"])
@@ -188,7 +325,10 @@ def log_likelihood(prepared: DataFrame, params: dict[str, float] = PARAMS, band:
 
 
 def expected_counts(prepared: DataFrame, k: int = 5, params: dict[str, float] = PARAMS, band: int = BAND) -> DataFrame:
-    """``(readid, kmer, w, wx, wxx, m1, e2)``: expected weight and moments of each k-mer, expected log transitions."""
+    """``(readid, kmer, w, wx, wxx, m1, e2, tail, zf)``: expected weight and moments of each k-mer, expected log transitions.
+
+    ``tail`` is the read's new mean of the tail's k-mer (all A), null where it has none, ``zf`` its score.
+    """
     kind = prepared.schema["readid"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,24 +337,20 @@ def expected_counts(prepared: DataFrame, k: int = 5, params: dict[str, float] =
                 if row["error"]:
                     continue
                 lat = row["lattice"]
-                pM, pE = lat.posteriors()
-                g = np.exp(np.logaddexp(pM[1:, 1:], pE[1:, 1:]))
-                w, wx, wxx = g.sum(0), (g * lat.x[:, None]).sum(0), (g * lat.x[:, None] ** 2).sum(0)
-                with np.errstate(invalid="ignore"):
-                    stay = lat.fE[:-1, 1:] + lat.score + params["e2"] + lat.bE[1:, 1:] - lat.zf
-                m1, e2 = float(np.logaddexp.reduce(pM[np.isfinite(pM)])), float(np.logaddexp.reduce(stay[np.isfinite(stay)], initial=_NONE))
+                w, wx, wxx, m1, e2 = lat.sums()
                 names = [row["seq"][j : j + k] for j in range(lat.N - 1)]
-                n = len(names)
+                n, tail = len(names), np.array(names) == "A" * k
+                mean = float(wx[tail].sum() / w[tail].sum()) if w[tail].sum() > 0 else None
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["readid"]] * n, batch.schema.field("readid").type), pa.array(names), pa.array(w), pa.array(wx), pa.array(wxx), pa.array([m1] * n), pa.array([e2] * n)],
-                    ["readid", "kmer", "w", "wx", "wxx", "m1", "e2"],
+                    [pa.array([row["readid"]] * n, batch.schema.field("readid").type), pa.array(names), pa.array(w), pa.array(wx), pa.array(wxx), pa.array([m1] * n), pa.array([e2] * n), pa.array([mean] * n, pa.float64()), pa.array([lat.zf] * n)],
+                    ["readid", "kmer", "w", "wx", "wxx", "m1", "e2", "tail", "zf"],
                 )
 
-    return prepared.mapInArrow(run, f"readid {kind}, kmer string, w double, wx double, wxx double, m1 double, e2 double")
+    return prepared.mapInArrow(run, f"readid {kind}, kmer string, w double, wx double, wxx double, m1 double, e2 double, tail double, zf double")
 
 
-def posterior_rows(prepared: DataFrame, min_p: float = 0.01, params: dict[str, float] = PARAMS, band: int = BAND) -> DataFrame:
-    """Sparse ``(readid, t, n, base, p)``: posteriors of sample and k-mer of at least ``min_p``."""
+def posterior_rows(prepared: DataFrame, min_p: float = 0.01, params: dict[str, float] = PARAMS, band: int = BAND, k: int = 5) -> DataFrame:
+    """Sparse ``(readid, t, n, base, p)``: posteriors of sample and k-mer of at least ``min_p``; base is the k-mer's middle."""
     kind = prepared.schema["readid"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,11 +358,13 @@ def posterior_rows(prepared: DataFrame, min_p: float = 0.01, params: dict[str, f
             for row in _lattices(batch, params, band):
                 if row["error"]:
                     continue
-                pM, pE = row["lattice"].posteriors()
-                g = np.exp(np.logaddexp(pM[1:, 1:], pE[1:, 1:]))
-                t, n = np.nonzero(g >= min_p)
-                bases = np.array(list(row["seq"]))[np.minimum(n + 2, len(row["seq"]) - 1)] if len(n) else []
-                yield pa.RecordBatch.from_arrays([pa.array([row["readid"]] * len(t), batch.schema.field("readid").type), pa.array(t.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(list(bases), pa.string()), pa.array(g[t, n])], ["readid", "t", "n", "base", "p"])
+                lat, letters = row["lattice"], np.array(list(row["seq"]))
+                for a, p, _ in lat.blocks():
+                    g = np.exp(np.logaddexp(p[:, 0], p[:, 1]))
+                    j, at = np.nonzero(g >= min_p)
+                    j, at = j[a + j > 0], at[a + j > 0]
+                    t, n = a + j - 1, lat.n0[a + j] + at - 1
+                    yield pa.RecordBatch.from_arrays([pa.array([row["readid"]] * len(t), batch.schema.field("readid").type), pa.array(t.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(letters[n + k // 2].tolist(), pa.string()), pa.array(g[j, at])], ["readid", "t", "n", "base", "p"])
 
     return prepared.mapInArrow(run, f"readid {kind}, t int, n int, base string, p double")
 

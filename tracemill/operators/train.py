@@ -1,42 +1,107 @@
-"""Re-estimation of the level model from expected counts."""
+"""Re-estimation of the level model and of the transitions from expected counts."""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.operators import aggs, segment, windows
-from tracemill.operators.filters import reject_training_outliers
+from tracemill.operators import aggs, joins, segment, windows
+
+#: Reads of a batch, the observations that a rolling mean looks back on, and the least mean of a plausible tail.
+BATCH, HISTORY, LEAST_TAIL = 24, 100, 0.5
+
+
+def plausible(counts: DataFrame, least: float = LEAST_TAIL) -> DataFrame:
+    """Expected counts without the emissions of reads whose new tail mean is below ``least``."""
+    return counts.where(F.col("tail").isNull() | (F.col("tail") >= least))
 
 
 def train_pooled(prepared: DataFrame, model: DataFrame, k: int = 5, params: dict[str, float] = segment.PARAMS) -> DataFrame:
     """One step from the pooled statistics of all reads; unseen k-mers keep their levels."""
-    return aggs.emission_update(reject_training_outliers(segment.expected_counts(prepared, k, params), "A" * k), model)
+    return aggs.emission_update(plausible(segment.expected_counts(prepared, k, params)), model)
 
 
-def train_rolling(prepared: DataFrame, model: DataFrame, k: int = 5, n: int = 100, params: dict[str, float] = segment.PARAMS) -> DataFrame:
-    """Levels of each read by itself, then the mean of each k-mer's last ``n`` observations in order of readid."""
-    per_read = aggs.emission_update(reject_training_outliers(segment.expected_counts(prepared, k, params), "A" * k), model, "readid")
-    start = model.select(F.col("kmer").alias("param"), F.lit(0).cast("long").alias("seq_no"), F.col("level_mean").alias("value"), F.col("level_stdv").alias("stdv"))
-    seen = per_read.select(F.col("kmer").alias("param"), (F.col("readid").cast("long") + 1).alias("seq_no"), F.col("level_mean").alias("value"), F.col("level_stdv").alias("stdv"))
+def observations(counts: DataFrame) -> DataFrame:
+    """Levels of each k-mer from each read by itself: ``(param, seq_no, level_mean, level_stdv)``, in order of readid."""
+    w = F.sum("w")
+    mean = F.sum("wx") / w
+    rows = plausible(counts).groupBy("readid", "kmer").agg(w.alias("w"), mean.alias("level_mean"), F.sqrt(F.greatest(F.sum("wxx") / w - mean * mean, F.lit(1e-12))).alias("level_stdv"))
+    # the model's own levels come before any read
+    return rows.where("w > 0").select(F.col("kmer").alias("param"), F.struct(F.lit(1).alias("after"), F.col("readid").cast("string").alias("readid")).alias("seq_no"), "level_mean", "level_stdv")
+
+
+def rolling_model(seen: DataFrame, model: DataFrame, n: int = HISTORY) -> DataFrame:
+    """Mean of the last ``n`` observations of each k-mer, its levels in ``model`` the first of them."""
+    start = model.select(F.col("kmer").alias("param"), F.struct(F.lit(0).alias("after"), F.lit(None).cast("string").alias("readid")).alias("seq_no"), "level_mean", "level_stdv")
     both = start.unionByName(seen)
-    mean = windows.rolling(both.select("param", "seq_no", "value"), n).groupBy("param").agg(F.max_by("mean", "seq_no").alias("level_mean"))
-    stdv = windows.rolling(both.select("param", "seq_no", F.col("stdv").alias("value")), n).groupBy("param").agg(F.max_by("mean", "seq_no").alias("level_stdv"))
-    return mean.join(stdv, "param").withColumnRenamed("param", "kmer")
+    out = None
+    for level in ("level_mean", "level_stdv"):
+        own = windows.rolling(both.select("param", "seq_no", F.col(level).alias("value")), n).groupBy("param").agg(F.max_by("mean", "seq_no").alias(level))
+        out = own if out is None else out.join(own, "param")
+    return out.withColumnRenamed("param", "kmer")
 
 
-def fit(prepare, model: DataFrame, epochs: int = 1, k: int = 5, checkpoint: str | None = None) -> tuple[DataFrame, list[float]]:
-    """Train for some epochs; ``prepare(model)`` gives the prepared reads. Returns the model and the mean score change of each."""
-    changes = []
+def train_rolling(prepared: DataFrame, model: DataFrame, k: int = 5, n: int = HISTORY, params: dict[str, float] = segment.PARAMS) -> DataFrame:
+    """Levels of each read by itself, then the mean of each k-mer's last ``n`` observations in order of readid."""
+    return rolling_model(observations(segment.expected_counts(prepared, k, params)), model, n)
+
+
+def new_transitions(counts: DataFrame, params: dict[str, float]) -> dict[str, float]:
+    """Transition logs from the expected counts of all reads; the first extension stays as it is."""
+    per_read = counts.groupBy("readid").agg(F.first("m1").alias("m1"), F.first("e2").alias("e2"))
+    found = {r.param: r.value for r in aggs.transition_update(per_read).collect()}  # two rows
+    return params | {name: math.log(v) for name, v in found.items() if v and v > 0}
+
+
+def fit(
+    prepare: Callable[[DataFrame], DataFrame], model: DataFrame, epochs: int = 1, k: int = 5, checkpoint: str | None = None, params: dict[str, float] = segment.PARAMS,
+    batch_size: int | None = None, max_batches: int | None = None, log: str | None = None,
+) -> tuple[DataFrame, dict[str, float], list[float]]:
+    """Train for some epochs; ``prepare(model)`` gives the prepared reads. Returns the model, the transitions and the mean score change of each step.
+
+    Without a ``batch_size`` each epoch is one step over the pooled counts of all reads. With one, reads are
+    taken in batches in order of readid, the last partial batch is left out, and after each batch the levels are
+    the rolling means of all reads so far. Each step's model goes to ``checkpoint`` (which cuts the lineage, so
+    executors may be lost), and a row with its step, transitions and score change to ``log``.
+    """
+    changes: list[float] = []
+    first, seen = model, None
     for epoch in range(epochs):
-        before = segment.log_likelihood(prepare(model)).where("error IS NULL").select("readid", F.col("zf").alias("z"))
-        new = train_pooled(prepare(model), model, k)
-        if checkpoint:  # cuts the lineage where executors can be lost
-            new.write.mode("overwrite").parquet(f"{checkpoint}/model-{epoch}")
-            new = new.sparkSession.read.schema(model.schema).parquet(f"{checkpoint}/model-{epoch}")
-        after = segment.log_likelihood(prepare(new)).where("error IS NULL").select("readid", F.col("zf").alias("z"))
-        from tracemill.operators.joins import pair_pre_post
-
-        changes.append(aggs.mean_delta_z(pair_pre_post(before, after)).first()[0])
-        model = new
-    return model, changes
+        reads = prepare(model)
+        batches = [(0, lambda rows: rows)]
+        if batch_size:
+            ids = windows.batch_no(reads.where("error IS NULL").select("readid"), ["readid"], batch_size)
+            if checkpoint:
+                ids.write.mode("overwrite").parquet(f"{checkpoint}/batches-{epoch}")
+                ids = ids.sparkSession.read.schema(ids.schema).parquet(f"{checkpoint}/batches-{epoch}")
+            count = ids.agg(F.max("batch")).first()[0]
+            numbers = range(0 if count is None else min(count + 1, max_batches or count + 1))
+            batches = [(b, lambda rows, b=b: rows.join(ids.where(F.col("batch") == b).select("readid"), "readid", "left_semi")) for b in numbers]
+        for b, chosen in batches:
+            counts = segment.expected_counts(chosen(prepare(model)), k, params)
+            before = counts.groupBy("readid").agg(F.first("zf").alias("z"))
+            if batch_size:
+                own = observations(counts)
+                seen = own if seen is None else seen.unionByName(own)
+                if checkpoint:
+                    own.write.mode("overwrite").parquet(f"{checkpoint}/seen-{epoch}-{b}")
+                    seen = own.sparkSession.read.schema(own.schema).parquet(*[f"{checkpoint}/seen-{e}-{x}" for e in range(epoch + 1) for x in range(b + 1 if e == epoch else len(batches))])
+                new = rolling_model(seen, first)
+            else:
+                new = aggs.emission_update(plausible(counts), model)
+            params = new_transitions(counts, params)
+            if checkpoint:
+                new.write.mode("overwrite").parquet(f"{checkpoint}/model-{epoch}-{b}")
+                new = new.sparkSession.read.schema(model.schema).parquet(f"{checkpoint}/model-{epoch}-{b}")
+            after = segment.log_likelihood(chosen(prepare(new)), params).where("error IS NULL").select("readid", F.col("zf").alias("z"))
+            changes.append(aggs.mean_delta_z(joins.pair_pre_post(before, after)).first()[0])
+            if log:
+                from tracemill.sources import sinks
+
+                row = (epoch, b, *(params[n] for n in ("m1", "e1", "e2")), changes[-1])
+                sinks.write_param_log(new.sparkSession.createDataFrame([row], "epoch int, batch int, m1 double, e1 double, e2 double, zchange double"), log)
+            model = new
+    return model, params, changes

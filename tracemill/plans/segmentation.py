@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tracemill.functions import exprs as X
 from tracemill.operators import aggs, segment, train
 from tracemill.plans.base import query
+from tracemill.plans.series import _h
 from tracemill.plans.views import with_views as V
+from tracemill.sources.scratch import scratch
 
 
 def _prepared(v, model=None):
@@ -20,6 +23,31 @@ def _(v):
     return _prepared(v).select("readid", F.length("seq").cast("long").alias("bases"), F.size("x").cast("long").alias("samples"), "error", "mu")
 
 
+_PORE = "rna002"
+_Z = """b AS (SELECT * FROM basecalls WHERE qs >= 3), z AS (SELECT b.readid, p.pos - b.ts AS pos, ((CASE WHEN b.shift <= 400 THEN p.x ELSE floor(p.x + 450) END) - b.shift) / b.scale AS x
+FROM points p JOIN b ON p.readid = b.user_id WHERE p.pos >= b.ts AND b.user_id % 11 <> 0), """
+
+
+@query("a1_prepare_signals", V("points", "basecalls") + ", " + _Z + _h(3, 3).replace("FROM points", "FROM z") + """,
+f AS (SELECT readid, list(round(filtered, 6) ORDER BY pos) AS x FROM hampel GROUP BY readid)
+SELECT b.readid, coalesce(b.signalid, b.readid) AS signalid, CASE WHEN reverse(b.seq) LIKE 'AAAAAAAAA%' THEN reverse(b.seq) ELSE concat('AAAAAAAAA', reverse(b.seq)) END AS seq, coalesce(f.x, []) AS x,
+CASE WHEN f.x IS NULL THEN 'no signal' WHEN len(f.x) < 2 * (length(b.seq) + CASE WHEN reverse(b.seq) LIKE 'AAAAAAAAA%' THEN 0 ELSE 9 END - 4) THEN 'signal too short' END AS error FROM b LEFT JOIN f USING (readid)""")
+def _(v):
+    """The whole preparation of an RNA pore: quality, signals, window, scale, Hampel filter, orientation, levels."""
+    rows = segment.prepare(v.basecalls(), v.raw_signals(), v.all_kmers(), _PORE, 3.0)
+    return rows.select("readid", "signalid", "seq", F.transform("x", lambda x: F.round(x, 6)).alias("x"), "error")
+
+
+@query("a5_segment_rna", V("points", "basecalls") + """, r AS (SELECT concat('read-', user_id) AS readid, ns - ts AS samples, length(seq) + CASE WHEN reverse(seq) LIKE 'AAAAAAAAA%' THEN 0 ELSE 9 END AS bases FROM basecalls WHERE user_id % 11 <> 0)
+SELECT readid, bases - 4 AS segments, CAST(0 AS BIGINT) AS gaps, CAST(0 AS BIGINT) AS empty, CAST(samples AS INTEGER) AS last_end, CAST(2 AS INTEGER) AS first_pos, CAST(bases - 3 AS INTEGER) AS last_pos FROM r WHERE samples >= 2 * (bases - 4)""")
+def _(v):
+    """Segments of all reads by an RNA pore, as invariants: they follow each other without gaps, from the 3' end to the 5' end."""
+    _, is_rna, k, params = X.pore(_PORE)
+    found = segment.segment_reads(segment.prepare(v.basecalls(), v.raw_signals(), v.all_kmers(), _PORE), k, params, is_rna=is_rna)
+    ends = found.where("error IS NULL").groupBy("readid").agg(F.max_by("basepos", "start").alias("first_pos"), F.min_by("basepos", "start").alias("last_pos"))
+    return segment.segment_invariants(found).join(ends, "readid")
+
+
 @query("a5_segment_reads")
 def _(v):
     """Segments of every series; held against a brute-force search over all paths in the tests."""
@@ -76,18 +104,27 @@ def _(v):
     return train.train_pooled(_prepared(v), v.model())
 
 
+@query("a10_fit")
+def _(v):
+    """An epoch over the pooled counts of all reads, with new transitions and the scores before and after; held against known levels in the tests."""
+    new, params, changes = train.fit(lambda m: _prepared(v, m), v.model(), checkpoint=scratch(v.spark, "fit"))
+    return new.withColumns({"m1": F.lit(params["m1"]), "e2": F.lit(params["e2"]), "zchange": F.lit(changes[-1])})
+
+
 @query("a8_train_rolling")
 def _(v):
     return train.train_rolling(_prepared(v), v.model())
 
 
-_STATS = "stats AS (SELECT kmer, CAST(1 AS DOUBLE) AS w, CAST(n % 7 AS DOUBLE) AS wx, CAST((n % 7) * (n % 7) AS DOUBLE) AS wxx FROM event_kmers WHERE kmer < 'G')"
+# k-mers from G on have no weight, so they keep their levels
+_STATS = "stats AS (SELECT kmer, CAST(kmer < 'G' AS INTEGER) * CAST(1 AS DOUBLE) AS w, CAST(kmer < 'G' AS INTEGER) * CAST(n % 7 AS DOUBLE) AS wx, CAST(kmer < 'G' AS INTEGER) * CAST((n % 7) * (n % 7) AS DOUBLE) AS wxx FROM event_kmers)"
 
 
 @query("g20_emission_update", V("event_kmers", "model") + f", {_STATS}, s AS (SELECT kmer, sum(w) AS w, sum(wx) AS wx, sum(wxx) AS wxx FROM stats GROUP BY kmer) SELECT kmer, round(CASE WHEN w > 0 THEN wx / w ELSE level_mean END, 6) AS level_mean, round(CASE WHEN w > 0 THEN sqrt(greatest(wxx / w - (wx / w) * (wx / w), 1e-12)) ELSE level_stdv END, 6) AS level_stdv FROM model LEFT JOIN s USING (kmer)")
 def _(v):
     n = F.col("n") % 7
-    stats = v.event_kmers().where("kmer < 'G'").select("kmer", F.lit(1.0).alias("w"), n.cast("double").alias("wx"), (n * n).cast("double").alias("wxx"))
+    w = (F.col("kmer") < "G").cast("double")
+    stats = v.event_kmers().select("kmer", w.alias("w"), (w * n).alias("wx"), (w * n * n).alias("wxx"))
     return aggs.emission_update(stats, v.model()).select("kmer", F.round("level_mean", 6).alias("level_mean"), F.round("level_stdv", 6).alias("level_stdv"))
 
 

@@ -15,6 +15,8 @@ SQL = {
     "triples": "SELECT readid, pos // 3 AS n, substring('ACGT', CAST(sum(event_id) % 4 AS INTEGER) + 1, 1) AS base FROM points GROUP BY readid, pos // 3",
     "event_reads": "SELECT readid, s.seq, p.x FROM (SELECT readid, string_agg(base, '' ORDER BY n) AS seq FROM triples GROUP BY readid) s "
     "JOIN (SELECT readid, list((x - 50.0) / 50.0 ORDER BY pos) AS x FROM points GROUP BY readid) p USING (readid)",
+    "basecalls": "SELECT concat('read-', readid) AS readid, CASE WHEN readid % 2 = 0 THEN concat('signal-', readid) END AS signalid, concat('run', readid % 5) AS raw_file, seq, CAST(readid % 20 AS DOUBLE) AS qs, "
+    "CAST(len(x) AS INTEGER) AS ns, CAST(readid % 3 AS INTEGER) AS ts, CASE WHEN readid % 2 = 0 THEN 0 END AS sp, CAST(CASE WHEN readid % 4 = 0 THEN 500 ELSE 50 END AS DOUBLE) AS shift, CAST(50 AS DOUBLE) AS scale, readid AS user_id FROM event_reads",
     "event_kmers": "SELECT readid, i - 1 AS n, substring(seq, CAST(i AS INTEGER), 5) AS kmer FROM (SELECT readid, seq, unnest(range(1, length(seq) - 3)) AS i FROM event_reads)",
     "model": "SELECT DISTINCT kmer, round((" + " + ".join(f"{w} * (instr('ACGT', substring(kmer, {k}, 1)) - 1)" for k, w in enumerate(_WEIGHTS, 1)) + ") / CAST(50 AS DOUBLE) - CAST(2.13 AS DOUBLE), 6) AS level_mean, CAST(0.25 AS DOUBLE) AS level_stdv FROM event_kmers",
     "borders": "SELECT DISTINCT event_type AS tool, user_id AS readid, CAST(floor((epoch(ts) - epoch(TIMESTAMP '2024-01-01 00:00:00')) / 3600) AS BIGINT) AS border FROM events",
@@ -34,7 +36,7 @@ SQL = {
     "param_obs": "SELECT event_type AS param, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS seq_no, value FROM events",
 }
 _NEEDS = {
-    "triples": ["points"], "event_reads": ["triples"], "event_kmers": ["event_reads"], "model": ["event_kmers"], "tool_segments": ["borders"], "metrics": ["metrics_wide"], "pairs": ["reads"],
+    "triples": ["points"], "event_reads": ["triples"], "basecalls": ["event_reads"], "event_kmers": ["event_reads"], "model": ["event_kmers"], "tool_segments": ["borders"], "metrics": ["metrics_wide"], "pairs": ["reads"],
 }
 
 
@@ -71,11 +73,40 @@ class Views:
         return self.table("events").select(F.col("user_id").alias("readid"), (F.row_number().over(order) - 1).cast("long").alias("pos"), F.col("value").alias("x"), "event_id")
 
     def event_reads(self) -> DataFrame:
-        points = self.points()
-        triple = points.groupBy("readid", F.floor(F.col("pos") / 3).alias("n")).agg(F.substring(F.lit("ACGT"), (F.sum("event_id") % 4).cast("int") + 1, F.lit(1)).alias("base"))
-        seq = triple.groupBy("readid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "base"))), lambda s: s["base"]), "").alias("seq"))
-        x = points.groupBy("readid").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: (s["x"] - 50.0) / 50.0).alias("x"))
-        return seq.join(x, "readid")
+        base = F.substring(F.lit("ACGT"), (F.sum("event_id") % 4).cast("int") + 1, F.lit(1))
+        triple = self.points().groupBy("readid", F.floor(F.col("pos") / 3).alias("n")).agg(base.alias("base"), F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("xs"))
+        whole = triple.groupBy("readid").agg(F.array_sort(F.collect_list(F.struct("n", "base", "xs"))).alias("t"))
+        x = F.transform(F.flatten(F.transform("t", lambda s: s["xs"])), lambda s: (s["x"] - 50.0) / 50.0)
+        return whole.select("readid", F.array_join(F.transform("t", lambda s: s["base"]), "").alias("seq"), x.alias("x"))
+
+    def basecalls(self) -> DataFrame:
+        """Basecalled reads with their tags: text ids, a signal id for every second one, a start offset, two ways of scaling."""
+        i = F.col("readid")
+        return self.event_reads().select(
+            F.concat(F.lit("read-"), i).alias("readid"), F.when(i % 2 == 0, F.concat(F.lit("signal-"), i)).alias("signalid"), F.concat(F.lit("run"), i % 5).alias("raw_file"), "seq",
+            (i % 20).cast("double").alias("qs"), F.size("x").alias("ns"), (i % 3).cast("int").alias("ts"), F.when(i % 2 == 0, 0).alias("sp"),
+            F.when(i % 4 == 0, 500.0).otherwise(50.0).alias("shift"), F.lit(50.0).alias("scale"), i.alias("user_id"),
+        )
+
+    def raw_signals(self) -> DataFrame:
+        """Their signals, calibrated and as readings; those of every eleventh series are missing."""
+        i = F.col("readid")
+        value = lambda f: F.transform("p", lambda s: f(s["x"]))
+        rows = self.points().groupBy("readid").agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("p")).where(i % 11 != 0)
+        return rows.select(
+            F.concat(F.lit("run"), i % 5).alias("raw_file"), F.when(i % 2 == 0, F.concat(F.lit("signal-"), i)).otherwise(F.concat(F.lit("read-"), i)).alias("signalid"),
+            value(lambda x: F.floor(x + 450).cast("smallint")).alias("adc"), value(lambda x: x).alias("pa"),
+        )
+
+    def all_kmers(self) -> DataFrame:
+        """The levels of every 5-mer over the letters that ``event_kmers`` has."""
+        letters = self.event_kmers().select(F.explode(F.split("kmer", "")).alias("c")).where("c <> ''").distinct()
+        level, rows = F.lit(0), letters.select(F.col("c").alias("kmer"))
+        for _ in range(4):
+            rows = rows.join(F.broadcast(letters), F.length("kmer") > 0).select(F.concat("kmer", "c").alias("kmer"))  # four letters at most
+        for k, w in enumerate(_WEIGHTS, 1):
+            level = level + (F.instr(F.lit("ACGT"), F.substring("kmer", k, 1)) - 1) * w
+        return rows.select("kmer", F.round(level / F.lit(50.0) - F.lit(2.13), 6).alias("level_mean"), F.lit(0.25).alias("level_stdv"))
 
     def event_kmers(self) -> DataFrame:
         from tracemill.functions.exprs import kmers
