@@ -64,10 +64,10 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def chunk_count(docs: DataFrame, chunk_bytes: int, least: int = 4) -> int:
-    """How many chunks to deal documents into, so that a chunk holds about ``chunk_bytes`` of text."""
+def chunk_count(docs: DataFrame, chunk_bytes: int) -> int:
+    """How many chunks to deal documents into: one for about ``chunk_bytes`` of text, and some for each core."""
     text_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(least, -(-text_bytes // chunk_bytes))
+    return max(4 * docs.sparkSession.sparkContext.defaultParallelism, -(-text_bytes // chunk_bytes))
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:

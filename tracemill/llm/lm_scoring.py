@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import materialise, release_memory, releasing, whole_text
+from tracemill.llm.common import chunk_count, materialise, release_memory, releasing, whole_text
 
 #: Text for each bucket of n-grams, and for each chunk of documents that is scored.
 BUCKET_BYTES, CHUNK_BYTES = 16 << 20, 24 << 20
@@ -289,8 +289,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     above 1; where the token before was never seen, w is 0. Null texts are empty: one token, the end. Rows are kept as they come; only doc_id and
     text are read.
     """
-    text_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_chunks = max(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-text_bytes // CHUNK_BYTES))
+    n_chunks = chunk_count(docs, CHUNK_BYTES)
     dealt = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_chunks)).cast("int").alias("chunk"), F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).repartition(n_chunks, "chunk")
     buckets, total, rows = model.buckets, model.n, model.n + model.v + 1
 
