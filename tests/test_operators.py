@@ -326,6 +326,35 @@ def edits_loop(a, b):
     return row[-1]
 
 
+def test_free_lead_and_far_peaks(spark):
+    rng = np.random.default_rng(12)
+    for _ in range(200):
+        a, b = ("".join(rng.choice(list("ACG"), rng.integers(0, 14))) for _ in range(2))
+        assert X.edit_count(a, b, True) == min(edits_loop(a, b[k:]) for k in range(len(b) + 1))
+    x = rng.integers(0, 50, 120).astype(float)
+    tops = sorted((k for k in range(1, 119) if x[k] > x[k - 1] and x[k] > x[k + 1] and x[k] >= 10), key=lambda k: (-x[k], k))
+    kept = []
+    for k in tops:
+        if all(abs(k - j) >= 5 for j in kept):
+            kept.append(k)
+    got = windows.find_peaks(series(spark, x).withColumnRenamed("x", "score"), 10.0, 5)
+    assert sorted(r.pos for r in got.collect()) == sorted(kept) and len(kept) < len(tops)
+
+
+def test_rolling_in_ranges(spark):
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=137)
+    df = spark.createDataFrame([("p", k, float(v)) for k, v in enumerate(x)], "param string, seq_no long, value double")
+    for r in windows.rolling(df, 7, 10).collect():
+        own = x[max(0, r.seq_no - 6) : r.seq_no + 1]
+        assert r["mean"] == pytest.approx(own.mean()) and r["median"] == pytest.approx(np.median(own))
+
+
+def test_missing_reports(spark, tmp_path):
+    assert aggs.count_sv(readers.read_vcf(spark, str(tmp_path / "none.vcf"))).first().n_sv == 0
+    assert readers.read_assembly_info(spark, str(tmp_path / "none.txt")).count() == 0
+
+
 def test_edits_of_whole_sequences(spark, small):
     rng = np.random.default_rng(3)
     text = "".join(rng.choice(list("ACGT"), 400))

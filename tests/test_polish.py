@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pytest
 
-from tracemill.operators import polish
+from tracemill.operators import polish, segment
 
 
 def all_paths(p: polish.Polisher):
@@ -68,3 +68,31 @@ def test_polish_reads(spark):
     assert [g[1] for g in good if g[3] == "M"] == [seq[k : k + 2] for k in range(7)]
     assert all(g[1] == g[2] for g in good)
     assert [r.error for r in rows if r.readid == 2] == ["sequence shorter than k-mer"]
+
+
+def test_kmer_posteriors_against_all_walks(spark):
+    import itertools
+
+    rng = np.random.default_rng(3)
+    names = ["".join(p) for p in itertools.product("ACGT", repeat=1)]
+    level = dict(zip(names, (-1.0, -0.2, 0.5, 1.3), strict=True))
+    x = rng.normal(size=5)
+    model = spark.createDataFrame([(n, v, 0.6) for n, v in level.items()], "kmer string, level_mean double, level_stdv double")
+    reads = spark.createDataFrame([(1, "AC", x.tolist())], "readid long, seq string, x array<double>")
+    prepared = segment.prepare_reads(reads, model, 1, window=99)
+    got = {(r.t, r.kmer): r.p for r in polish.kmer_posterior_rows(prepared, model, 1, 0.0).collect()}
+    p, total, own = segment.PARAMS, 0.0, {}
+    for states in itertools.product(names, repeat=5):
+        for cuts in itertools.product((0, 1), repeat=4):  # where a next k-mer begins
+            borders = [k + 1 for k, c in enumerate(cuts) if c]
+            runs = list(itertools.pairwise([0, *borders, 5]))
+            if any(len(set(states[a:b])) > 1 for a, b in runs) or any(b - a < 2 for a, b in runs[1:]):
+                continue
+            score = sum(-0.5 * ((v - level[s]) / 0.6) ** 2 for v, s in zip(x, states, strict=True))
+            score += (len(runs) - 1) * p["m1"] + p["e2"] * sum(b - a - 2 for a, b in runs[1:])
+            first = runs[0][1]  # goes on from before the signal, or is entered from one of four
+            weight = math.exp(score) * (math.exp(p["e2"] * first) + (4 * math.exp(p["m1"] + p["e2"] * (first - 2)) if first > 1 else 0))
+            total += weight
+            for t, s in enumerate(states):
+                own[t, s] = own.get((t, s), 0.0) + weight
+    assert all(abs(v - own.get(k, 0.0) / total) < 1e-6 for k, v in got.items())

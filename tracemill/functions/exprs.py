@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import os
+from functools import partial
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -148,20 +149,20 @@ def linspace_borders(start: Column, end: Column, n: Column) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.floor(start + i * step))).otherwise(F.array().cast("array<bigint>"))
 
 
-def edit_count(a: str | None, b: str | None) -> int | None:
+def edit_count(a: str | None, b: str | None, free_lead: bool = False) -> int | None:
     """Edit distance with unit costs: Myers' bit vectors, a whole column of the table as one number.
 
-    What both begin or end with costs nothing. Spark's levenshtein walks each text from its start for
+    What both begin or end with costs nothing; with ``free_lead`` neither does what ``b`` has before it. Spark's levenshtein walks each text from its start for
     every letter, which doesn't end on whole reads.
     """
     if a is None or b is None:
         return None
-    k = len(os.path.commonprefix([a, b]))
+    k = 0 if free_lead else len(os.path.commonprefix([a, b]))
     a, b = a[k:], b[k:]
     k = len(os.path.commonprefix([a[::-1], b[::-1]]))
     a, b = a[: len(a) - k], b[: len(b) - k]
     if not a or not b:
-        return max(len(a), len(b))
+        return len(a) if free_lead else max(len(a), len(b))
     m = len(a)
     equal = {c: int("".join("1" if x == c else "0" for x in reversed(a)), 2) for c in set(a) & set(b)}
     full, up, down, edits = (1 << m) - 1, (1 << m) - 1, 0, m
@@ -170,13 +171,13 @@ def edit_count(a: str | None, b: str | None) -> int | None:
         across = (((eq & up) + up) ^ up) | eq
         more, less = down | (full & ~(across | up)), up & across
         edits += (more >> (m - 1) & 1) - (less >> (m - 1) & 1)
-        more, less = (more << 1 | 1) & full, (less << 1) & full
+        more, less = (more << 1 | (not free_lead)) & full, (less << 1) & full
         up, down = less | (full & ~(eq | down | more)), more & (eq | down)
     return edits
 
 
-def edits(a: Column, b: Column) -> Column:
-    return F.udf(edit_count, "long", useArrow=True)(a, b)
+def edits(a: Column, b: Column, free_lead: bool = False) -> Column:
+    return F.udf(partial(edit_count, free_lead=free_lead), "long", useArrow=True)(a, b)
 
 
 # Molecule, k, and the probabilities of entering and of staying in a k-mer, by pore type.

@@ -67,6 +67,15 @@ def length_stats(lengths: DataFrame, group: str = "grp", length: str = "len") ->
     return wide.unpivot([group], ["n50", "mean", "median", "max", "min"], "metric", "value")
 
 
+def quality_stats(reads: DataFrame, group: str = "grp", quality: str = "qs") -> DataFrame:
+    """``(group, metric, value)``: mean, median, max and min."""
+    stats = reads.groupBy(group).agg(
+        (F.sum(F.col(quality).cast("decimal(28,6)")) / F.count(quality)).cast("double").alias("mean"), F.percentile(quality, F.lit(0.5)).alias("median"),
+        F.max(quality).cast("double").alias("max"), F.min(quality).cast("double").alias("min"),
+    )
+    return stats.unpivot([group], ["mean", "median", "max", "min"], "metric", "value")
+
+
 def median_scores(scores: DataFrame, qualities: list[str]) -> DataFrame:
     """Median of each quality by tool; NaN is left out."""
     clean = scores.where(~F.isnan("score"))

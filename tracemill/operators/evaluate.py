@@ -36,11 +36,16 @@ def compare_tools(borders: DataFrame, tools: list[str], w: int = 0) -> DataFrame
     return aggs.subset_overlap(joins.common_reads(borders), tools, w)
 
 
-def score_tools(segments: DataFrame, signals: DataFrame, w: int = 6) -> DataFrame:
-    """``(tool, quality, score)`` of every inner border."""
+def scored_borders(segments: DataFrame, signals: DataFrame, w: int = 6) -> DataFrame:
+    """Every inner border with its three scores as columns."""
     order = Window.partitionBy("tool", "readid").orderBy("start")
     inner = segments.withColumns({"_f": F.row_number().over(order), "_n": F.lead("start").over(order)}).where("_f > 1").drop("_f", "_n")
-    scored = aggs.border_scores(joins.score_windows(inner, signals, w))
+    return aggs.border_scores(joins.score_windows(inner, signals, w))
+
+
+def score_tools(segments: DataFrame, signals: DataFrame, w: int = 6) -> DataFrame:
+    """``(tool, quality, score)`` of every inner border."""
+    scored = scored_borders(segments, signals, w)
     return scored.unpivot(["tool", "readid", "start"], ["delta_median", "delta_mad", "homogeneity"], "quality", "score").where("score IS NOT NULL")
 
 
@@ -58,9 +63,9 @@ def metric_report(metrics: DataFrame, names: list[str]) -> DataFrame:
     return scored.join(aggs.aggregated_metric_score(scored, names), "tool")
 
 
-def edit_distance(pairs: DataFrame, a: str = "seq", b: str = "segmented_seq") -> DataFrame:
-    """Edit distance of whole sequences, with unit costs."""
-    return pairs.withColumn("edits", X.edits(F.col(a), F.col(b)))
+def edit_distance(pairs: DataFrame, a: str = "seq", b: str = "segmented_seq", free_lead: bool = False) -> DataFrame:
+    """Edit distance of whole sequences, with unit costs; with ``free_lead`` extra bases that ``b`` begins with cost nothing."""
+    return pairs.withColumn("edits", X.edits(F.col(a), F.col(b), free_lead))
 
 
 def evaluate_reads(basecalled: DataFrame, segmented: DataFrame) -> DataFrame:

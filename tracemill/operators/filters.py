@@ -63,6 +63,11 @@ def pick_read(rows: DataFrame, readid) -> DataFrame:
     return rows.where(F.col("readid") == readid)
 
 
+def head(rows: DataFrame, n: int, *order: str) -> DataFrame:
+    """The first ``n`` rows in this order, which must leave no ties."""
+    return rows.orderBy(*order).limit(n)
+
+
 def z_consistent(rows: DataFrame, tolerance: float = 1e-8) -> DataFrame:
     """Adds ``error`` where forward and backward scores are not finite or differ per cell."""
     finite = ~F.isnan("zf") & ~F.isnan("zb") & (F.abs("zf") != float("inf")) & (F.abs("zb") != float("inf"))

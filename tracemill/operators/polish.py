@@ -179,21 +179,61 @@ def prune_positions(posteriors: DataFrame, mass: float = MASS) -> DataFrame:
     return top_mass(posteriors, ["readid", "t"], F.lit(mass), "p", "n")
 
 
-def polish_reads(prepared: DataFrame, model: DataFrame, k: int = 5, pore: str = "rna004", mass: float = MASS) -> DataFrame:
-    """``(readid, start, end, basepos, motif, state, posterior_probability, polish, error)``.
+def kmer_posterior_rows(prepared: DataFrame, model: DataFrame, k: int = 5, min_p: float = 0.001, params: dict[str, float] = segment.PARAMS) -> DataFrame:
+    """Sparse ``(readid, t, kmer, p)``: posteriors of each sample's k-mer when no sequence is given, of at least ``min_p``."""
+    mean, stdv = _levels(model, k)
+    kind = prepared.schema["readid"].dataType.simpleString()
 
-    As ``segment_reads``, with the proposed k-mer in ``polish`` and state P where the k-mer moved on
-    within a position. The model has at most 4^5 rows and goes to every task.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = np.array([_kmer(q, k) for q in range(4**k)])
+        for batch in batches:
+            for r in batch.select(["readid", "x", "error"]).to_pylist():
+                if r["error"] is None:
+                    z = (np.array(r["x"], float)[:, None] - mean) / stdv
+                    pdf = np.where(np.isfinite(mean), -0.5 * z * z - np.log(stdv) - X.LOG_2PI / 2, -np.inf)
+                    p = np.exp(kmer_posteriors(pdf, k, params["m1"], params["e2"]))
+                    t, q = np.nonzero(p >= min_p)
+                    yield pa.RecordBatch.from_arrays([pa.array([r["readid"]] * len(t), batch.schema.field("readid").type), pa.array(t.astype(np.int32)), pa.array(names[q].tolist(), pa.string()), pa.array(p[t, q])], ["readid", "t", "kmer", "p"])
+
+    return prepared.mapInArrow(run, f"readid {kind}, t int, kmer string, p double")
+
+
+def prune_kmers(posteriors: DataFrame, mass: float = MASS) -> DataFrame:
+    """Of ``(readid, t, kmer, p)`` the likeliest k-mers of each sample that hold ``mass``."""
+    return top_mass(posteriors, ["readid", "t"], F.lit(mass), "p", "kmer")
+
+
+def candidate_cells(positions: DataFrame, kmers: DataFrame, own: DataFrame) -> DataFrame:
+    """``(readid, t, n, kmer)``: likely positions of a sample with its likely k-mers, and with the position's own k-mer.
+
+    From ``positions(readid, t, n)``, ``kmers(readid, t, kmer)`` and ``own(readid, n, kmer)``; each cell once.
     """
+    likely = positions.select("readid", "t", "n").join(kmers.select("readid", "t", "kmer"), ["readid", "t"])
+    given = positions.select("readid", "t", "n").join(own.select("readid", "n", "kmer"), ["readid", "n"])
+    return likely.select("readid", "t", "n", "kmer").unionByName(given.select("readid", "t", "n", "kmer")).distinct()
+
+
+def _levels(model: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Means and deviations by k-mer number; at most 4^5 of them."""
     if k > 5:
         raise ValueError("models of more than five letters have too many states")
-    params = {n: math.log(p) for n, p in PROBABILITIES[pore].items()}
     mean, stdv = np.full(4**k, np.nan), np.ones(4**k)
     rows = model.select("kmer", "level_mean", "level_stdv").limit(4**k + 1).collect()
     if len(rows) > 4**k or len({r.kmer for r in rows}) < len(rows):
         raise ValueError("the model has more rows than k-mers")
     for row in rows:
         mean[_number(row.kmer)], stdv[_number(row.kmer)] = row.level_mean, row.level_stdv
+    return mean, stdv
+
+
+def polish_reads(prepared: DataFrame, model: DataFrame, k: int = 5, pore: str = "rna004", mass: float = MASS) -> DataFrame:
+    """``(readid, start, end, basepos, motif, state, posterior_probability, polish, error)``.
+
+    As ``segment_reads``, with the proposed k-mer in ``polish`` and state P where the k-mer moved on
+    within a position. The model has at most 4^5 rows and goes to every task.
+    """
+    params = {n: math.log(p) for n, p in PROBABILITIES[pore].items()}
+    mean, stdv = _levels(model, k)
     kind = prepared.schema["readid"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

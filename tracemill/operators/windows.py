@@ -36,7 +36,8 @@ def window_edges(points: DataFrame, w: int = 6, value: str = "x") -> DataFrame:
 
 
 def cwt_edges(points: DataFrame, scale: int = 10, value: str = "x") -> DataFrame:
-    """``score``: size of the response to a first derivative of a Gaussian of this scale; zero near the ends."""
+    """``score``: size of the response to a first derivative of a Gaussian of this scale, zero near the ends;
+    ``spread``: the response's standard deviation from three samples before to two after."""
     import math
 
     reach = 4 * scale
@@ -44,7 +45,15 @@ def cwt_edges(points: DataFrame, scale: int = 10, value: str = "x") -> DataFrame
     order = Window.partitionBy("readid").orderBy("pos")
     rows = points.withColumn("_w", F.collect_list(value).over(order.rowsBetween(-reach, reach)))
     dot = F.aggregate(F.zip_with("_w", F.array(*map(F.lit, kernel)), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    return rows.withColumn("score", F.when(F.size("_w") == 2 * reach + 1, F.abs(dot)).otherwise(0.0)).drop("_w")
+    scored = rows.withColumn("score", F.when(F.size("_w") == 2 * reach + 1, F.abs(dot)).otherwise(0.0)).drop("_w")
+    return scored.withColumn("spread", F.stddev_pop("score").over(order.rowsBetween(-3, 2)))
+
+
+def cwt_peaks(points: DataFrame, scale: int = 10, threshold: float = 0.8, distance: int = 3, value: str = "x") -> DataFrame:
+    """Peaks of the wavelet response of at least ``threshold`` where the response is steady: its spread is below half of that."""
+    scores = cwt_edges(points, scale, value)
+    peaks = find_peaks(scores.select("readid", "pos", "score"), threshold, distance)
+    return peaks.join(scores.where(F.col("spread") < threshold / 2).select("readid", "pos"), ["readid", "pos"], "left_semi")
 
 
 def find_peaks(scores: DataFrame, height: float, distance: int = 3) -> DataFrame:
@@ -75,10 +84,19 @@ def running_sum(rows: DataFrame, partition: list[str], order: list, value: str)
     return rows.withColumn("running", F.sum(value).over(Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def rolling(observations: DataFrame, n: int = 100) -> DataFrame:
-    """Mean and median of the last ``n`` values of each parameter: ``(param, seq_no, value, mean, median)``."""
-    frame = Window.partitionBy("param").orderBy("seq_no").rowsBetween(-(n - 1), 0)
-    return observations.withColumns({"mean": F.avg("value").over(frame), "median": X.array_median(F.collect_list("value").over(frame))})
+def rolling(observations: DataFrame, n: int = 100, range_rows: int = 5_000) -> DataFrame:
+    """Mean and median of the last ``n`` values of each parameter: ``(param, seq_no, value, mean, median)``.
+
+    A parameter's rows are numbered by one sort, which spills; the frames are then computed by ranges of
+    ``range_rows`` rows that bring the ``n - 1`` rows before them along, so a hot parameter is many tasks' work.
+    """
+    size = max(range_rows, n)
+    placed = observations.withColumn("_n", F.row_number().over(Window.partitionBy("param").orderBy("seq_no")) - 1)
+    part, at = F.floor(F.col("_n") / size), F.col("_n") % size
+    dealt = placed.withColumn("_part", F.explode(F.when(at > size - n, F.array(part, part + 1)).otherwise(F.array(part))))
+    frame = Window.partitionBy("param", "_part").orderBy("_n").rowsBetween(-(n - 1), 0)
+    rows = dealt.withColumns({"mean": F.avg("value").over(frame), "median": X.array_median(F.collect_list("value").over(frame))})
+    return rows.where(F.col("_part") == part).drop("_n", "_part")
 
 
 def top_mass(rows: DataFrame, partition: list[str], p: float, prob: str = "p", tie: str = "candidate") -> DataFrame:

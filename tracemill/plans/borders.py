@@ -168,8 +168,7 @@ def _even_segments(v):
 
 @query("g8_border_scores", _SIG + " SELECT tool, readid, start, round(delta_median, 6) AS delta_median, round(delta_mad, 6) AS delta_mad, round(homogeneity, 6) AS homogeneity FROM sc")
 def _(v):
-    scored = evaluate.score_tools(_even_segments(v), v.signals(), 6)
-    return scored.groupBy("tool", "readid", "start").pivot("quality", ["delta_median", "delta_mad", "homogeneity"]).agg(F.round(F.first("score"), 6))
+    return evaluate.scored_borders(_even_segments(v), v.signals(), 6).select("tool", "readid", "start", *[F.round(n, 6).alias(n) for n in ("delta_median", "delta_mad", "homogeneity")])
 
 
 @query("g7_median_scores", _SIG + " SELECT tool, round(median(delta_median), 6) AS delta_median, round(median(delta_mad), 6) AS delta_mad, round(median(homogeneity), 6) AS homogeneity FROM sc GROUP BY tool")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracemill.operators import aggs, evaluate
+from tracemill.operators import aggs, evaluate, filters, segment
 from tracemill.plans.base import query
 from tracemill.plans.views import with_views as V
 from tracemill.sources import readers, sinks
@@ -14,10 +14,11 @@ from tracemill.streaming import jobs
 _R = V("reads")
 
 
-@query("s1_read_sam", _R + "SELECT CAST(readid AS VARCHAR) AS readid, concat('s', readid) AS signalid, md5(seq) AS seq_md5, qs, CAST(n_samples AS INTEGER) AS ns, 0 AS sp, raw_file FROM reads WHERE seq <> ''")
+@query("s1_read_sam", _R + "SELECT CAST(readid AS VARCHAR) AS readid, concat('s', readid) AS signalid, md5(CASE WHEN seq = '' THEN '*' ELSE seq END) AS seq_md5, qs, CAST(n_samples AS INTEGER) AS ns, 0 AS sp, raw_file FROM reads")
 def _(v):
     path = scratch(v.spark, "sam")
-    r = v.reads().where("seq <> ''").select(F.col("readid").cast("string").alias("readid"), F.concat(F.lit("s"), "readid").alias("signalid"), "seq", "qs", F.col("n_samples").cast("int").alias("ns"), F.lit(None).cast("int").alias("ts"), F.lit(None).cast("int").alias("sp"), "raw_file", F.lit(None).cast("double").alias("shift"), F.lit(None).cast("double").alias("scale"))
+    # an alignment record without a sequence has a star
+    r = v.reads().select(F.col("readid").cast("string").alias("readid"), F.concat(F.lit("s"), "readid").alias("signalid"), F.when(F.col("seq") == "", "*").otherwise(F.col("seq")).alias("seq"), "qs", F.col("n_samples").cast("int").alias("ns"), F.lit(None).cast("int").alias("ts"), F.lit(None).cast("int").alias("sp"), "raw_file", F.lit(None).cast("double").alias("shift"), F.lit(None).cast("double").alias("scale"))
     sinks.sam_lines(r).write.text(path)
     return readers.read_sam(v.spark, path).select("readid", "signalid", F.md5(F.col("seq").cast("binary")).alias("seq_md5"), "qs", "ns", "sp", "raw_file")
 
@@ -112,8 +113,7 @@ def _(v):
     path = scratch(v.spark, "json")
     wide = v.metrics().where("metric <> 'label'").groupBy("tool").pivot("metric").agg(F.first("value")).drop("tool")
     sinks.write_metric_json(wide.repartition(8, *wide.columns[:1]), path)
-    rows = v.spark.read.text(path).select(F.explode(F.from_json("value", "map<string,string>")).alias("metric", "value"))
-    return rows.groupBy(F.lit("t").alias("tool"), "metric").agg(F.count("*").alias("n"))
+    return readers.read_metric_json(v.spark, path, "t", whole=False).groupBy("tool", "metric").agg(F.count("*").alias("n"))
 
 
 @query("s16_kv_report", V("metrics") + "SELECT 'report' AS tool, metric, value FROM metrics")
@@ -123,6 +123,44 @@ def _(v):
     return readers.read_kv_report(v.spark, path, "report")
 
 
+@query("s16_fixed_report", V("metrics") + "SELECT 'report' AS tool, metric, value FROM metrics WHERE metric IN ('present', 'missing')")
+def _(v):
+    path = scratch(v.spark, "report")
+    v.metrics().select(F.concat(F.lit("\tNumber of reads "), "metric", F.lit(" in total is "), "value")).write.text(path)
+    return readers.read_fixed_report(v.spark, path, "report", {m: f"Number of reads {m} in total is " for m in ("present", "missing")})
+
+
+@query("f9_head", _R + "SELECT readid, raw_file, qs FROM reads ORDER BY readid LIMIT 500")
+def _(v):
+    return filters.head(v.reads(), 500, "readid").select("readid", "raw_file", "qs")
+
+
+@query("f9_pick_read", _R + "SELECT readid, raw_file, md5(seq) AS seq_md5 FROM reads WHERE readid = (SELECT max(doc_id) FROM documents)")
+def _(v):
+    last = v.table("documents").agg(F.max("doc_id")).first()[0]
+    return filters.pick_read(v.reads(), last).select("readid", "raw_file", F.md5(F.col("seq").cast("binary")).alias("seq_md5"))
+
+
+@query("g5_quality_stats", _R + """, s AS (SELECT raw_file AS grp, CAST(sum(CAST(qs AS DECIMAL(28,6))) AS DOUBLE) / count(qs) AS mean, median(qs) AS median, max(qs) AS max, min(qs) AS min FROM reads GROUP BY raw_file)
+SELECT grp, metric, round(value, 6) AS value FROM (UNPIVOT s ON mean, median, max, min INTO NAME metric VALUE value)""")
+def _(v):
+    return aggs.quality_stats(v.reads(), "raw_file").select(F.col("raw_file").alias("grp"), "metric", F.round("value", 6).alias("value"))
+
+
+@query("k2_write_errors", V("event_reads") + "SELECT readid, CASE WHEN length(seq) < 5 THEN 'sequence shorter than k-mer' ELSE 'signal too short' END AS error FROM event_reads WHERE length(seq) < 5 OR len(x) < 2 * (length(seq) - 4)")
+def _(v):
+    """Failed reads go to a file beside the segments."""
+    path, kind = scratch(v.spark, "segments"), v.event_reads().schema["readid"].dataType.simpleString()
+    sinks.write_errors(segment.segment_reads(segment.prepare_reads(v.event_reads(), v.model())), path)
+    return v.spark.read.schema(f"readid {kind}, error string").parquet(f"{path}.errors")
+
+
+@query("e7_edits_after_lead")
+def _(v):
+    """Whole sequences, extra bases before the segmented one for nothing; held against a loop in the tests."""
+    return evaluate.edit_distance(v.pairs().where("present"), free_lead=True).select("readid", "edits")
+
+
 @query("s17_load_datasets", "SELECT l_returnflag AS pore, l_linestatus AS dataset, count(*) AS n FROM lineitem GROUP BY 1, 2")
 def _(v):
     path = scratch(v.spark, "datasets")

@@ -59,8 +59,13 @@ def _(v):
 @query("w3_cwt_peaks")
 def _(v):
     """Wavelet response of each series and its peaks; checked against NumPy in the tests."""
-    scores = windows.cwt_edges(v.points().select("readid", "pos", "x"), scale=2)
-    return windows.find_peaks(scores, 10.0, 3)
+    return windows.cwt_peaks(v.points().select("readid", "pos", "x"), 2, 40.0, 3)
+
+
+@query("w3b_find_peaks_5")
+def _(v):
+    """Peaks of which the higher suppress those nearer than five samples; checked against a loop in the tests."""
+    return windows.find_peaks(v.points().select("readid", "pos", F.col("x").alias("score")), 50.0, 5)
 
 
 @query("w3b_find_peaks", V("points") + """, s AS (SELECT readid, pos, x, lag(x) OVER w AS l, lead(x) OVER w AS r FROM points WINDOW w AS (PARTITION BY readid ORDER BY pos)),

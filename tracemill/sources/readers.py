@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -120,18 +121,29 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.trim(F.get("l", F.lit(0))).alias("id"), F.array_join(F.transform(F.slice("l", F.lit(2), F.size("l")), F.trim), "").alias("seq"))
 
 
+def _or_none(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A commented table; no rows where there is no such file."""
+    try:
+        return spark.read.csv(path, sep="\t", comment="#", schema=schema)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def read_assembly_info(spark: SparkSession, path: str) -> DataFrame:
-    """``(contig, length, coverage)``; lines that begin with # are comments."""
-    return spark.read.csv(path, sep="\t", comment="#", schema="contig string, length long, coverage double")
+    """``(contig, length, coverage)``; lines that begin with # are comments. A missing file has no contigs."""
+    return _or_none(spark, path, "contig string, length long, coverage double")
 
 
 def read_vcf(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.csv(path, sep="\t", comment="#", schema="chrom string, pos long, id string, ref string, alt string, qual string, filter string, info string")
+    """Variants; a missing file has none."""
+    return _or_none(spark, path, "chrom string, pos long, id string, ref string, alt string, qual string, filter string, info string")
 
 
-def read_metric_json(spark: SparkSession, path: str, tool: str) -> DataFrame:
-    """``(tool, metric, value)`` of a flat JSON object; ``lengths`` is dropped, ``n50`` renamed."""
-    rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,string>")).alias("metric", "value"))
+def read_metric_json(spark: SparkSession, path: str, tool: str, whole: bool = True) -> DataFrame:
+    """``(tool, metric, value)`` of a flat JSON object for each file, or each line; ``lengths`` is dropped, ``n50`` renamed."""
+    rows = spark.read.text(path, wholetext=whole).select(F.explode(F.from_json("value", "map<string,string>")).alias("metric", "value"))
     return rows.where("metric <> 'lengths'").select(F.lit(tool).alias("tool"), F.when(F.col("metric") == "n50", "n50_length").otherwise(F.col("metric")).alias("metric"), "value")
 
 
@@ -142,6 +154,13 @@ def read_kv_report(spark: SparkSession, path: str, tool: str) -> DataFrame:
     return rows.select(F.lit(tool).alias("tool"), F.regexp_extract("value", pattern, 1).alias("metric"), F.regexp_extract("value", pattern, 2).alias("value"))
 
 
+def read_fixed_report(spark: SparkSession, path: str, tool: str, prefixes: dict[str, str]) -> DataFrame:
+    """``(tool, metric, value)`` of lines that begin with a metric's prefix; the value is what follows it."""
+    rows = spark.read.text(path).select(F.regexp_replace("value", r"^\s+", "").alias("line"))
+    found = [F.when(F.col("line").startswith(p), F.struct(F.lit(m).alias("metric"), F.trim(F.substring("line", F.lit(len(p) + 1), F.length("line"))).alias("value"))) for m, p in prefixes.items()]
+    return rows.select(F.explode(F.array_compact(F.array(*found))).alias("r")).select(F.lit(tool).alias("tool"), "r.metric", "r.value")
+
+
 def with_dataset(rows: DataFrame, depth: int = 2) -> DataFrame:
     """Adds ``pore`` and ``dataset`` from the last folders of each row's file: .../pore/dataset/file."""
     parts = F.split(F.col("_metadata.file_path"), "/")

@@ -17,8 +17,9 @@ def write_segments(segments: DataFrame, path: str, csv: bool = False) -> None:
         rows.write.parquet(path, compression="zstd")
 
 
-def write_errors(segments: DataFrame, path: str) -> None:
-    segments.where("error IS NOT NULL").write.parquet(f"{path.rstrip('/')}.errors")
+def write_errors(segments: DataFrame, path: str, part: str = "") -> None:
+    """Reads that failed, beside the segments; a part that is written again is replaced."""
+    segments.where("error IS NOT NULL").write.mode("overwrite" if part else "error").parquet(f"{path.rstrip('/')}.errors/{part}")
 
 
 def write_kmer_model(model: DataFrame, path: str) -> None:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState
 
 from tracemill.operators import segment
+from tracemill.sources import sinks
 
 
 def stream_segment(reads: DataFrame, model: DataFrame, out: str, checkpoint: str, k: int = 5) -> StreamingQuery:
@@ -22,7 +24,7 @@ def stream_segment(reads: DataFrame, model: DataFrame, out: str, checkpoint: str
     def each(batch: DataFrame, number: int) -> None:
         found = segment.segment_reads(segment.prepare_reads(batch, model, k), k)
         found.where("error IS NULL").drop("error").write.mode("overwrite").parquet(f"{out}/batch={number}")
-        found.where("error IS NOT NULL").select("readid", "error").write.mode("overwrite").parquet(f"{out}.errors/batch={number}")
+        sinks.write_errors(found.select("readid", "error"), out, f"batch={number}")
 
     return reads.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -31,13 +33,15 @@ def stream_rolling_param(observations: DataFrame, n: int = 100) -> DataFrame:
     """Mean of the last ``n`` values of each parameter after each of ``(param, seq_no, value)``."""
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = list(state.get[0]) if state.exists else []
-        rows = []
-        for row in pd.concat(list(frames)).sort_values("seq_no").itertuples():
-            last = [*last, row.value][-n:]
-            rows.append((key[0], row.seq_no, row.value, sum(last) / len(last)))
-        state.update((last,))
-        yield pd.DataFrame(rows, columns=["param", "seq_no", "value", "mean"])
+        last = np.array(state.get[0] if state.exists else [], float)
+        new = pd.concat(list(frames)).sort_values("seq_no")
+        values = np.concatenate((last, new["value"].to_numpy(float)))
+        until = np.concatenate(([0.0], np.cumsum(values)))[len(last) + 1 :]
+        end = np.arange(len(last) + 1, len(values) + 1)
+        begin = np.maximum(0, end - n)
+        means = (until - np.concatenate(([0.0], np.cumsum(values)))[begin]) / (end - begin)
+        state.update((values[-n:].tolist(),))
+        yield pd.DataFrame({"param": key[0], "seq_no": new["seq_no"].to_numpy(), "value": new["value"].to_numpy(), "mean": means})
 
     return observations.groupBy("param").applyInPandasWithState(update, "param string, seq_no long, value double, mean double", "last array<double>", "append", "NoTimeout")
 
