@@ -142,6 +142,62 @@ def test_decontamination_recall_and_precision(spark):
     assert clean.columns == df.columns and {r.doc_id for r in clean.collect()} == {d for d, _ in docs} - {d for d, _ in got}
 
 
+def test_decontamination_by_brute_force():
+    """All documents against all items, word by word: nothing but hits within the distance, and nearly all of them."""
+    strip = "\"'`.,;:!?()[]{}<>*#$%&|-–—…«»„“”‘’¡¿"
+    plain = lambda t: [w for w in (x.lower().strip(strip) for x in t.split()) if w]
+
+    def least(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [row[0] + 1]
+            for j, y in enumerate(b):
+                new.append(min(row[j] + (x != y), row[j + 1] + 1, new[-1] + 1))
+            row = new
+        return min(row)
+
+    rng = np.random.default_rng(21)
+    vocab = [f"v{k}" for k in range(60)]
+    opening = "which of the following is"
+    items = [(k, opening + " " + " ".join(rng.choice(vocab, rng.integers(8, 30)))) for k in range(40)]
+    items += [(100, items[0][1]), (101, "one two three four five six"), (102, "tiny")]  # equal items, short items
+    docs = []
+    for d in range(90):
+        w = items[int(rng.integers(40))][1].split()
+        for _ in range(int(rng.integers(0, 9))):
+            p, kind = int(rng.integers(len(w))), rng.integers(3)
+            w = [*w[:p], *([[str(rng.choice(vocab))], [], [w[p], str(rng.choice(vocab))]][kind]), *w[p + 1 :]]
+        docs.append(" ".join([*rng.choice(vocab, 20), *w, *rng.choice(vocab, 20)]) + (". One, two (three) four FIVE!" if d % 10 == 0 else ""))
+    ready = decontamination.prepare(items)
+    found = decontamination.find(ready, [decontamination.word_hashes(t) for t in docs])
+    got = {(d, i): hit for d, hits in enumerate(found) for i, hit in hits.items()}
+    want = {}
+    for d, t in enumerate(docs):
+        for i, text in items:
+            a = plain(text)
+            if (x := least(a, plain(t))) <= int(0.2 * len(a) + 1e-9):
+                want[d, i] = x
+    assert set(got) <= set(want) and len(got) >= 0.97 * len(want) and len(want) > 50
+    assert np.mean([got[k][0] == want[k] for k in got]) > 0.95
+    assert all((d, 100) in got for d, i in got if i == 0)
+
+
+def test_decontamination_of_equal_openings():
+    import time
+    import tracemalloc
+
+    rng = np.random.default_rng(22)
+    opening = "which of the following is"
+    items = [(k, opening + " " + " ".join(f"i{k}x{j}" for j in range(int(rng.integers(10, 40))))) for k in range(600)]
+    text = " ".join(f"{opening} q{k}" for k in range(600))
+    start = time.time()
+    ready = decontamination.prepare(items)
+    tracemalloc.start()
+    assert decontamination.find(ready, [decontamination.word_hashes(text), decontamination.word_hashes(text + " " + items[5][1])]) == [{}, {5: (0, 3600, len(items[5][1].split()))}]
+    assert tracemalloc.get_traced_memory()[1] < 400 << 20 and time.time() - start < 30
+    tracemalloc.stop()
+
+
 def test_edit_distance():
     def plain(a, b):
         row = [0] * (len(b) + 1)
@@ -286,6 +342,9 @@ def test_split_units_hold_the_whole_budget(spark):
     joined = common.connected_components(spark.createDataFrame([(r.a, r.b) for r in links], "a long, b long")).collect()
     got = {r.node: r.component for r in joined}
     label = classes(len(fps), lambda i, j: bin(fps[i] ^ fps[j]).count("1") <= 4)
+    more = simhash.near_fingerprints(spark.createDataFrame([(x,) for x in fps], "fp long"), 4, 8, blocks=6).collect()
+    again = {r.node: r.component for r in common.connected_components(spark.createDataFrame([(r.a, r.b) for r in more], "a long, b long")).collect()}
+    assert again == got  # more blocks, the same classes
     least = {}
     for k, x in enumerate(fps):
         least[label[k]] = min(x, least.get(label[k], x))

@@ -330,6 +330,6 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Last pipeline stage: the documents with their token ids; the text is what the ids decode to."""
+    """Last pipeline stage: the documents with their token ids; the text is what the ids decode to, so a null text comes out empty."""
     coded = encode(docs)
     return coded.withColumn("text", F.col("decoded").cast("string")).withColumn("n_tokens", F.size("ids").cast("long")).drop("decoded")

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import BLANKS, whole_text
+from tracemill.llm.common import BLANKS, materialise, whole_text
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_lower")
 
@@ -126,8 +126,18 @@ def ablations(rows: DataFrame, policy: Policy) -> DataFrame:
     )
 
 
+def stored_ledger(docs: DataFrame) -> DataFrame:
+    """The ledger, written to the shared folder and read again: policies and ablations read it, not the texts."""
+    return materialise(ledger(docs), "ledger")
+
+
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the production policy does on its own to all documents, from the stored bits."""
+    return ablations(stored_ledger(spark.read.parquet(f"{sf_dir}/documents.parquet")), PRODUCTION)
+
+
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ledger(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    rows = stored_ledger(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     rows = apply_policy(apply_policy(rows, PRODUCTION), BASE, "_base")
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~F.col("_base")).alias("base_failed"), "kept", "failure_bits")
 
@@ -138,7 +148,7 @@ def rejecting_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 _RULES_SQL = " | ".join(f"(CASE WHEN {rule} THEN {BIT[name]} ELSE 0 END)" for name, rule in RULES)
-ORACLE_SQL = rf"""
+_MEASURED = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, [x FOR x IN string_split(t, chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS ls FROM d),
 wi AS (SELECT doc_id, unnest(range(1, len(ws) - 1)) AS i, ws FROM w WHERE len(ws) >= 3),
@@ -153,6 +163,11 @@ m AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words,
   CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
   CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words FROM w LEFT JOIN cov USING (doc_id)),
 b AS (SELECT *, CAST({_RULES_SQL} AS BIGINT) AS failure_bits FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+"""
+ORACLE_SQL = _MEASURED + """SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed, failure_bits = 0 AS kept, failure_bits FROM b
 """
+ABLATIONS_SQL = _MEASURED + ", r(rule, bit) AS (VALUES " + ", ".join(f"('{name}', {BIT[name]})" for name, _ in RULES) + """)
+SELECT 'production-1' AS version, rule, count(*) FILTER (WHERE failure_bits & bit <> 0) AS failed, count(*) FILTER (WHERE failure_bits = bit) AS only_this,
+  count(*) FILTER (WHERE failure_bits IN (bit, 0)) AS kept_without FROM b, r GROUP BY rule
+"""

@@ -6,6 +6,7 @@ from tracemill.llm import bpe, decontamination, html_extraction, lm_scoring, qua
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "quality_ablations": quality_rules.quality_ablations,
     "op2_lm_scoring": lm_scoring.op2_lm_scoring,
     "op3_decontamination": decontamination.op3_decontamination,
     "op4_warc": warc.op4_warc,
@@ -18,6 +19,7 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op1_quality_rules": quality_rules.ORACLE_SQL,
+    "quality_ablations": quality_rules.ABLATIONS_SQL,
     "op4_warc": warc.ORACLE_SQL,
     "op8_sharding": sharding.ORACLE_SQL,
 }

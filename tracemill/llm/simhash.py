@@ -235,11 +235,14 @@ def _walk(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([pa.array(a[k : k + 50_000]), pa.array(b[k : k + 50_000])], ["a", "b"])
 
 
-def near_fingerprints(fps: DataFrame, budget: int = BUDGET, unit_rows: int = UNIT_ROWS) -> DataFrame:
+def near_fingerprints(fps: DataFrame, budget: int = BUDGET, unit_rows: int = UNIT_ROWS, blocks: int | None = None) -> DataFrame:
     """Links ``(a, b)`` between distinct fingerprints that span every class of the relation
-    "differs in at most ``budget`` bits"; ``fps`` has one row per distinct fp."""
-    # with more fingerprints than 2^28 keys of a third of the bits would be shared by too many
-    blocks = budget + 1 if fps.count() < 1 << 28 else budget + 2
+    "differs in at most ``budget`` bits"; ``fps`` has one row per distinct fp.
+
+    ``blocks`` is how many blocks the bits are cut into, ``budget + 1`` or more; with more of them units
+    are smaller, but a fingerprint is in more of them. The links are the same.
+    """
+    blocks = blocks or budget + 1
     rows, links = _units(fps, budget, blocks), []
     for depth in range(64 // SPLIT_BITS + 1):
         hot = materialise(rows.groupBy("unit").count().where(F.col("count") > unit_rows).select("unit"), "hot")
