@@ -401,14 +401,14 @@ def _plan(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     dealt = docs.select(
         F.pmod(F.xxhash64("doc_id", text), F.lit(n_chunks)).cast("int").alias("chunk"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"),
         F.xxhash64(text).alias("tie"), text.alias("text"), F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("row"),
-    ).repartition(n_chunks, "chunk")
+    ).repartitionById(n_chunks, F.col("chunk"))
     grams = dealt.mapInArrow(releasing(_wanted), "chunk int, gram long, n long")
-    again = grams.withColumn("total", F.sum("n").over(Window.partitionBy("gram"))).where("total > 1").select("chunk", "gram", "total")
+    again = grams.withColumn("total", F.sum("n").over(Window.partitionBy("gram"))).where("total > 1").select("chunk", "gram", "total").repartitionById(n_chunks, F.col("chunk"))
     spans = dealt.groupBy("chunk").cogroup(again.groupBy("chunk")).applyInArrow(_class_firsts, _SPAN)
     # one exchange for both ways; the spans of a hot gram are dealt by their content, what needs no comparison by its place
     spread = spans.repartition(F.when(F.col("again"), F.xxhash64("chunk", "doc", "first")).when(F.col("hot"), F.xxhash64("content")).otherwise(F.col("gram")))
     mild, hot = spread.mapInArrow(releasing(_verdicts), _VERDICT), spread.mapInArrow(_only_hot, _SPAN)
-    return dealt, mild.unionByName(_hot_verdicts(hot))
+    return dealt, mild.unionByName(_hot_verdicts(hot)).repartitionById(n_chunks, F.col("chunk"))
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
