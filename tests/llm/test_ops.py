@@ -323,7 +323,7 @@ def classes(n, linked):
 def test_simhash(spark, texts, unit_rows, monkeypatch):
     rows = [(i if i is not None else 999, t) for i, t in texts]
     fps = [plain_fingerprint(t) for _, t in rows]
-    monkeypatch.setattr(simhash.near_fingerprints, "__defaults__", (simhash.BUDGET, unit_rows))
+    monkeypatch.setattr(simhash.near_fingerprints, "__defaults__", (simhash.BUDGET, unit_rows, None))
     got = Counter((r.doc_id, r.fp & (1 << 64) - 1, r.component_id) for r in simhash.near_duplicates(docs_of(spark, rows, extra=True)).collect())
     label = classes(len(rows), lambda i, j: bin(fps[i] ^ fps[j]).count("1") <= 2)
     least = {}

@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,6 +60,27 @@ def releasing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]
     return released
 
 
+def portions(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int) -> Iterator[pa.Table]:
+    """Batches sorted by ``keys``, some at a time: at least ``rows`` rows, and all rows of a key together."""
+    held: list[pa.RecordBatch] = []
+    count = 0
+    for batch in batches:
+        held.append(batch)
+        count += len(batch)
+        if count >= rows:
+            table = pa.Table.from_batches(held).combine_chunks()
+            last = 0
+            for key in keys:
+                column = table.column(key).combine_chunks()
+                change = pc.indices_nonzero(pc.not_equal(column.slice(1), column.slice(0, count - 1)))
+                last = max(last, change[-1].as_py() + 1 if len(change) else 0)
+            if last:
+                yield table.slice(0, last)
+                held, count = table.slice(last).combine_chunks().to_batches(), count - last
+    if count:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors."""
     path = shared_dir(df.sparkSession, name)

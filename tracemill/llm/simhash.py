@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import connected_components, materialise, releasing, whole_text
+from tracemill.llm.common import connected_components, materialise, portions, releasing, whole_text
 
 BUDGET = 2
 #: A unit of work with more fingerprints than this is split.
@@ -43,7 +43,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 WORDS = 4
 #: Samples of bits, and the bits of each: fingerprints that agree in one sample meet in a unit.
 TABLES, TABLE_BITS = 48, 18
-#: Fingerprints that a salted part of a unit holds; also those that are walked together.
+#: Fingerprints that a salted part of a unit holds; rows of units that are walked together.
 PART_ROWS, WALK_ROWS = 1500, 50_000
 
 
@@ -212,11 +212,12 @@ def _split(rows: DataFrame, hot: DataFrame, budget: int) -> DataFrame:
 
 
 def _walk(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.RecordBatch]:
-    """All units of a partition at once; returns the links of each fingerprint to its root."""
-    found = list(batches)
-    if not found:
-        return
-    table = pa.Table.from_batches(found)
+    """Units one after another, some at a time; returns the links of each fingerprint to its root."""
+    for table in portions(batches, ["unit"], WALK_ROWS):
+        yield from _walked(table, budget)
+
+
+def _walked(table: pa.Table, budget: int) -> Iterator[pa.RecordBatch]:
     unit = table.column("unit").combine_chunks().dictionary_encode().indices.to_numpy()
     fp = table.column("fp").to_numpy().view(np.uint64)
     side = table.column("side").to_numpy()
@@ -249,7 +250,7 @@ def near_fingerprints(fps: DataFrame, budget: int = BUDGET, unit_rows: int = UNI
         cold = rows
         if split := depth < 64 // SPLIT_BITS and hot.limit(1).count() > 0:
             cold = rows.join(hot, "unit", "left_anti")
-        links.append(cold.select("fp", "unit", "side", "crossing").repartition("unit").mapInArrow(releasing(partial(_walk, budget=budget)), "a long, b long"))
+        links.append(cold.select("fp", "unit", "side", "crossing").repartition("unit").sortWithinPartitions("unit").mapInArrow(releasing(partial(_walk, budget=budget)), "a long, b long"))
         if not split:
             break
         rows = materialise(_split(rows, hot, budget), "units")
@@ -362,21 +363,7 @@ def _walk_units(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.R
         linked = np.flatnonzero(root != np.arange(len(fp)))
         return pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[root[linked]])], ["a", "b"])
 
-    held: list[pa.RecordBatch] = []
-    count = 0
-    for batch in batches:
-        held.append(batch)
-        count += len(batch)
-        if count >= WALK_ROWS:
-            rows = pa.Table.from_batches(held)
-            unit, salt = rows.column("unit").to_numpy(), rows.column("salt").to_numpy()
-            last = int(np.flatnonzero(np.r_[True, (unit[1:] != unit[:-1]) | (salt[1:] != salt[:-1])])[-1])
-            if last:
-                yield walk(rows.slice(0, last))
-                held = rows.slice(last).combine_chunks().to_batches()
-                count = len(rows) - last
-    if count:
-        yield walk(pa.Table.from_batches(held))
+    yield from map(walk, portions(batches, ["unit", "salt"], WALK_ROWS))
 
 
 def wide_links(nodes: DataFrame, budget: int, tables: int = TABLES, bits: int = TABLE_BITS, part_rows: int = PART_ROWS) -> DataFrame:
