@@ -211,6 +211,11 @@ class Coder:
         self.raw = _gather(self.raw, (np.cumsum(self.n_raw) - self.n_raw)[stay], self.n_raw[stay])
         self.n_ids, self.n_raw, self.met = self.n_ids[stay], self.n_raw[stay], self.met[stay] // 2
 
+    def rest(self) -> None:
+        """Between tasks only the words met most often are remembered: an idle worker stays small."""
+        if len(self.number) > REMEMBERED // 4:
+            self._forget(REMEMBERED // 4)
+
     def _numbers(self, words: list[str]) -> np.ndarray:
         """Each word's place among the known ones; those not known yet are encoded and decoded."""
         number = self.number
@@ -301,6 +306,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
                 lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids).astype(np.int64)))
                 yield pa.RecordBatch.from_arrays([rows.slice(k, end - k), lists, pa.array([r.tobytes() for r in raw], pa.binary())], ["row", "ids", "decoded"])
                 k = end
+        own.rest()
 
     out = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row")).mapInArrow(run, schema)
     return out.select("row.*", F.col("ids").alias(ids_col), F.col("decoded").alias(decoded_col))
@@ -320,6 +326,7 @@ def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None
                 a.append(hashlib.sha256(ids).hexdigest())
                 b.append(hashlib.sha256(raw).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a), pa.array(b)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        own.rest()
 
     rows = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -33,7 +33,7 @@ BLOCK_WORDS = 2_000_000
 #: Longest run of words that selects windows.
 RUN = 3
 #: Words whose hash a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 #: Words of text that are looked at at once.
 WORDS_AT_ONCE = 1_000_000
 #: Pairs of places, or of windows and items, that are looked at at once.
