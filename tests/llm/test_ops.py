@@ -536,6 +536,88 @@ def test_templates_by_brute_force(spark):
     assert Counter((r.page_id, r.text) for r in html_extraction.main_text(df).collect()) == want
 
 
+@pytest.fixture(scope="module")
+def given(spark, small):
+    return [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
+
+
+def run_query(spark, small, name):
+    return registry.QUERIES[name](spark, small).collect()
+
+
+def test_query_op2(spark, small, given):
+    tok = lambda t: [*(w.lower() for w in t.encode().split()), None]
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in given}
+    c = Counter(w for i, t in given if not held[i] for w in tok(t))
+    n, v = c.total(), len(c)
+    got = {r.doc_id: r for r in run_query(spark, small, "op2_lm_scoring")}
+    assert len(got) == len(given)
+    for i, t in given:
+        w, r = tok(t), got[i]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(w), sum(c[x] > 0 for x in w), n) and r.score <= 0
+        assert r.base_score == pytest.approx(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w))
+
+
+def test_query_op3(spark, small, given):
+    got = {(r.doc_id, r.item_id) for r in run_query(spark, small, "op3_decontamination")}
+    items = {r.item_id: decontamination.word_hashes(r.text) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()}
+    want = set()
+    for i, t in given:
+        w = np.array([decontamination.word_hashes(t)], np.uint64)
+        want |= {(i, k) for k, b in items.items() if decontamination.edit_distances(np.array([b], np.uint64), w, np.array([w.shape[1]]))[0][0] <= decontamination.allowed(len(b))}
+    assert got <= want and len(got) >= 0.97 * len(want) > 0
+
+
+def test_query_op6(spark, small, given):
+    fps = [plain_fingerprint(t) for _, t in given]
+    label = classes(len(given), lambda i, j: (fps[i] ^ fps[j]).bit_count() <= 2)
+    least = {}
+    for k, (i, _) in enumerate(given):
+        least[label[k]] = min(i, least.get(label[k], i))
+    want = {i: (f"{fps[k]:016x}", least[label[k]]) for k, (i, _) in enumerate(given)}
+    assert {r.doc_id: (r.fingerprint, r.component_id) for r in run_query(spark, small, "op6_simhash")} == want
+
+
+def test_query_op7(spark, small, given):
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in run_query(spark, small, "op7_suffix_dedup")} == plain_removal(given)
+
+
+def test_query_op9(spark, small, given):
+    import public_tokenizers as P
+    import tiktoken
+
+    ref = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(P.path("byte_bpe_50k.tiktoken")), special_tokens={})
+    want = {}
+    for i, t in given:
+        ids = ref.encode_ordinary(t)
+        want[i] = (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
+    assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in run_query(spark, small, "op9_bpe")} == want
+
+
+def test_query_op10(spark, small):
+    """The given pages hold one article each, of paragraphs without nested blocks: its text by plain patterns."""
+    import html as H
+
+    got = {r.page_id: r for r in run_query(spark, small, "op10_html_extraction")}
+    pages = spark.read.parquet(f"{small}/pages.parquet").collect()
+    assert len(got) == len(pages)
+    for p in pages:
+        body = re.search(r"<article>(.*)</article>", p.html or "", re.S)
+        text = re.sub(r"<br>", " ", body[1] if body else "")
+        blocks = [" ".join(H.unescape(re.sub(r"</?(?:b|i|em|a|span)\b[^>]*>", "", x)).split()) for x in re.split(r"</?(?:p|h1|h2|ul|li|div)\b[^>]*>", text)]
+        want = "\n".join(b for b in blocks if b)
+        assert (got[p.page_id].text, got[p.page_id].n_chars, got[p.page_id].url) == (want, len(want), p.url)
+
+
+def test_clashing_columns(spark, texts, tmp_path):
+    df = docs_of(spark, texts, extra=True)
+    for c in ("bucket", "words", "pairs", "bits", "score", "host", "digest"):
+        df = df.withColumn(c, F.lit("x"))
+    assert lm_scoring.score(df, lm_scoring.fit(df)).count() == len(texts)
+    pages = spark.createDataFrame([(k, "u", "x" * 2000) for k in range(3)], PAGES).withColumns({c: F.lit("x") for c in ("d", "n", "p", "refers_to", "archive", "payload")})
+    assert sorted(r.refers_to or -1 for r in warc.read_back(warc.archive_pages(pages)).collect()) == [-1, 2, 2]
+
+
 def test_components(spark):
     rng = np.random.default_rng(0)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(1000 + k, 1001 + k) for k in range(40)] + [(2000, 2001 + k) for k in range(50)]
