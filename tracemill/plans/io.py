@@ -213,11 +213,12 @@ def _(v):
     return v.spark.table(name)
 
 
-@query("t1_stream_segment", V("event_reads") + "SELECT count(*) AS reads, CAST(sum(length(seq) - 4) AS BIGINT) AS segments FROM event_reads WHERE length(seq) >= 5 AND len(x) >= 2 * (length(seq) - 4)")
+@query("t1_stream_segment", V("event_reads") + "SELECT readid, length(seq) - 4 AS segments, CAST(len(x) AS BIGINT) AS samples, CAST(len(x) AS INTEGER) AS last_end FROM event_reads WHERE length(seq) >= 5 AND len(x) >= 2 * (length(seq) - 4)")
 def _(v):
+    """Every read of the stream, as its segments were written: how many, the samples in them, and where the last ends."""
     source, out, point, model = (scratch(v.spark, n) for n in ("stream-in", "stream-out", "stream-state", "stream-model"))
     v.event_reads().write.parquet(source)
     v.model().write.parquet(model)
     stream = v.spark.readStream.schema("readid long, seq string, x array<double>").parquet(source)
     jobs.stream_segment(stream, v.spark.read.schema("kmer string, level_mean double, level_stdv double").parquet(model), out, point).awaitTermination()
-    return v.spark.read.parquet(out).agg(F.count_distinct("readid").alias("reads"), F.count("*").alias("segments"))
+    return v.spark.read.parquet(out).groupBy("readid").agg(F.count("*").alias("segments"), F.sum(F.col("end") - F.col("start")).cast("long").alias("samples"), F.max("end").alias("last_end"))
