@@ -275,6 +275,15 @@ def test_blocks_and_band():
     assert np.allclose(mass.sum(1), 1) and np.allclose(whole.sums()[0], mass.sum(0))
 
 
+def test_band_rows(spark):
+    model = spark.createDataFrame([("AA", 0.0, 1.0), ("AC", 1.0, 1.0), ("CA", 1.0, 1.0)], "kmer string, level_mean double, level_stdv double")
+    seq = "AC" * 15
+    prepared = segment.prepare_reads(spark.createDataFrame([("r", seq, [0.5] * 77)], "readid string, seq string, x array<double>"), model, 2)
+    lat = segment.Lattice(np.full(77, 0.5), np.zeros(29), np.ones(29), band=12)
+    got = {r.t: (r.low, r.high) for r in segment.band_rows(prepared, 12).collect()}
+    assert got == {t: (max(0, int(n)), min(lat.N - 1, int(n) + lat.W - 1)) for t, n in enumerate(lat.n0)}
+
+
 def test_long_read_stays_small():
     import tracemalloc
 

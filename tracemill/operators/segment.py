@@ -80,6 +80,15 @@ def hampel_array(signal, window: int = 3, n_sigmas: float = 3.0):
     return F.when(n > window, F.transform(signal, lambda x, i: F.when((i >= half) & (i < n - half - 1), at(x, i)).otherwise(x))).otherwise(signal)
 
 
+def band_rows(prepared: DataFrame, band: int = BAND) -> DataFrame:
+    """``(readid, t, low, high)``: the columns (0 before the first k-mer) that each border's band holds, borders between samples."""
+    rows = prepared.where("error IS NULL").select("readid", (F.size("x") + 1).cast("long").alias("rows"), (F.size("mu") + 1).cast("long").alias("columns"))
+    half = F.greatest(F.lit(1), F.least(F.lit(band // 2), F.floor(F.col("columns") / 2)))
+    rows = rows.select("readid", "rows", "columns", half.alias("half"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)).alias("t"))
+    centre = F.floor(F.col("t") * F.col("columns") / F.col("rows"))
+    return rows.select("readid", "t", F.greatest(F.lit(0), centre - F.col("half")).alias("low"), F.least(F.col("columns") - 1, centre + F.col("half")).alias("high"))
+
+
 class Lattice:
     """Forward and backward scores of one read. Rows are borders between samples, columns the k-mers of a band.
 

@@ -23,6 +23,15 @@ def _(v):
     return _prepared(v).select("readid", F.length("seq").cast("long").alias("bases"), F.size("x").cast("long").alias("samples"), "error", "mu")
 
 
+@query("p24_pore_defaults", V("reads") + """, p(i, pore, is_rna, k) AS (VALUES (0, 'rna002', true, 5), (1, 'rna004', true, 9), (2, 'dna_r9', false, 5), (3, 'dna_r10_260', false, 9), (4, 'dna_r10_400', false, 9))
+SELECT readid, pore, is_rna, CAST(k AS INTEGER) AS k, CAST(greatest(0, length(seq) - k + 1) AS INTEGER) AS segments FROM reads JOIN p ON readid % 5 = i""")
+def _(v):
+    """What a read's pore type means for its segmentation: molecule, k and so the number of segments."""
+    names = F.array(*[F.lit(p[0]) for p in X.PORES])
+    rows = v.reads().withColumn("pore", F.get(names, (F.col("readid") % 5).cast("int"))).join(F.broadcast(X.pore_defaults(v.spark)), "pore")
+    return rows.select("readid", "pore", "is_rna", "k", F.greatest(F.lit(0), F.length("seq") - F.col("k") + 1).alias("segments"))
+
+
 _PORE = "rna002"
 _Z = """b AS (SELECT * FROM basecalls WHERE qs >= 3), z AS (SELECT b.readid, p.pos - b.ts AS pos, ((CASE WHEN b.shift <= 400 THEN p.x ELSE floor(p.x + 450) END) - b.shift) / b.scale AS x
 FROM points p JOIN b ON p.readid = b.user_id WHERE p.pos >= b.ts AND b.user_id % 11 <> 0), """
@@ -65,6 +74,13 @@ def _(v):
     return segment.segment_errors(segment.segment_reads(_prepared(v)))
 
 
+@query("a3_band", V("event_reads") + """, r AS (SELECT readid, len(x) + 1 AS nr, length(seq) - 3 AS nc FROM event_reads WHERE length(seq) >= 5 AND len(x) >= 2 * (length(seq) - 4)),
+b AS (SELECT readid, nc, t, t * nc // nr AS c, greatest(1, least(10, nc // 2)) AS h FROM (SELECT *, unnest(range(nr)) AS t FROM r))
+SELECT readid, t, CAST(greatest(0, c - h) AS BIGINT) AS low, CAST(least(nc - 1, c + h) AS BIGINT) AS high FROM b""")
+def _(v):
+    return segment.band_rows(_prepared(v), 20)
+
+
 @query("a6_log_likelihood")
 def _(v):
     return segment.log_likelihood(_prepared(v))
