@@ -114,6 +114,21 @@ def test_lm_filter_grows_with_the_ngrams(spark, monkeypatch):
         assert r.score == pytest.approx(1000 * math.log10(1 / (60_060 + 60_001 + 1)), rel=0.01)
 
 
+def test_tokens_while_words_are_forgotten(monkeypatch):
+    import xxhash
+
+    monkeypatch.setattr(lm_scoring, "REMEMBERED", 50)
+    rng = np.random.default_rng(0)
+    vocab = [f"W{k}" for k in range(400)]
+    for _ in range(40):
+        texts = [" ".join(rng.choice(vocab, rng.integers(0, 30))) for _ in range(3)]
+        got, want = lm_scoring.Tokens(texts), []
+        for t in texts:
+            want += [xxhash.xxh64_intdigest(w) for w in t.lower().encode().split()] + [int(lm_scoring.END)]
+        assert got.word[got.index].tolist() == want and got.count.tolist() == [len(t.split()) + 1 for t in texts]
+    assert len(lm_scoring._number) < 200
+
+
 def test_lm_probabilities_end_at_one(spark):
     df = docs_of(spark, [(0, "x " * (1 << 15))])
     assert lm_scoring.score(df, lm_scoring.fit(df)).first().score <= 0
@@ -430,6 +445,25 @@ def test_sharding(spark, texts):
     assert empty.read().count() == 0
 
 
+def test_two_writers_at_once(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    df = docs_of(spark, [(k, f"text {k}") for k in range(10)])
+    store = sharding.store_documents(df, arrivals=1)
+    others = [sharding.ShardStore(spark, store.root, store.schema["row"].dataType) for _ in range(3)]
+
+    def write(own):
+        try:
+            return own.append(df, 1)
+        except sharding.Conflict:
+            return None
+
+    with ThreadPoolExecutor(3) as pool:
+        done = [v for v in pool.map(write, others) if v]
+    assert done and len(set(done)) == len(done) and max(done) == store.version()
+    assert store.read().count() == 10 * (1 + len(done))  # every committed append is there, and no other
+
+
 def test_bpe_is_tiktokens(spark, texts):
     import public_tokenizers as P
     import tiktoken

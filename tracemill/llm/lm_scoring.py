@@ -33,8 +33,8 @@ MOST_LEVELS = 48
 PAIR_WEIGHT = 0.4
 #: Text that is counted at once within a task, and that whose tokens are at hand at once.
 COUNT_BYTES, SLICE_BYTES = 7 << 20, 2 << 20
-#: Words whose hash a worker remembers.
-REMEMBERED = 300_000
+#: Words whose hash a worker remembers; beyond it only the half met most often stays.
+REMEMBERED = 500_000
 
 _U = np.uint64
 END = _U(0x2545F4914F6CDD1D)
@@ -53,11 +53,23 @@ def pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 _number: dict[bytes, int] = {}
 _hash = np.zeros(1 << 16, np.uint64)
+_met = np.zeros(1 << 16, np.int32)
+
+
+def _forget(most: int) -> None:
+    """Keep only the ``most`` words met most often."""
+    global _number
+    n = len(_number)
+    stay = np.sort(np.argsort(-_met[:n], kind="stable")[:most])
+    words = list(_number)
+    _number = {words[k]: j for j, k in enumerate(stay.tolist())}
+    _hash[: len(stay)], _met[: len(stay)] = _hash[stay], _met[stay] // 2
+    _met[len(stay) :] = 0
 
 
 def _codes(words: list[bytes]) -> np.ndarray:
     """A number for each word, by which ``_hash`` has its hash."""
-    global _hash
+    global _hash, _met
     found = list(map(_number.get, words))
     if None in found:
         known = len(_number)
@@ -65,7 +77,8 @@ def _codes(words: list[bytes]) -> np.ndarray:
         for k in fresh:
             found[k] = _number.setdefault(words[k], len(_number))
         if len(_number) > len(_hash):
-            _hash = np.concatenate((_hash, np.zeros(max(len(_hash), len(_number) - len(_hash)), np.uint64)))
+            more = max(len(_hash), len(_number) - len(_hash))
+            _hash, _met = np.concatenate((_hash, np.zeros(more, np.uint64))), np.concatenate((_met, np.zeros(more, np.int32)))
         _hash[known : len(_number)] = [xxhash.xxh64_intdigest(w) for w in dict.fromkeys(words[k] for k in fresh)]
     return np.array(found, np.int64)
 
@@ -84,7 +97,7 @@ class Tokens:
 
     def __init__(self, texts: list[str]):
         if len(_number) > REMEMBERED:
-            _number.clear()
+            _forget(REMEMBERED // 2)
         words: list[bytes] = []
         self.count = np.zeros(len(texts), np.int64)
         for k, text in enumerate(texts):
@@ -95,6 +108,7 @@ class Tokens:
         here = np.zeros(len(_number), bool)
         here[codes] = True
         here = np.flatnonzero(here)
+        _met[here] += 1
         hashes = np.append(_hash[here], END)
         order = np.argsort(hashes)
         self.word = hashes[order]
