@@ -403,6 +403,7 @@ def plain_removal(rows):
 def test_suffix_dedup(spark, texts, hot, piece, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
     monkeypatch.setattr(suffix_dedup, "PIECE", piece)
+    monkeypatch.setattr(suffix_dedup, "SPANS_AT_ONCE", 20 if piece == 1000 else 20_000)
     rows = [(i, t) for i, t in texts if i is not None] + [(300, "ab" * 400), (301, "ab" * 200), (302, "q" * 100)]
     want = plain_removal(rows)
     got = suffix_dedup.repeated_passages(docs_of(spark, rows, extra=True)).collect()

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import chunk_count, release_memory, releasing, whole_text
+from tracemill.llm.common import chunk_count, portions, release_memory, releasing, whole_text
 
 LENGTH = 100
 GRAM = 36
@@ -34,6 +34,8 @@ GRAM = 36
 HOT = 20_000
 #: Text bytes that are hashed at once within a task, and those of a chunk of documents.
 PIECE, CHUNK_BYTES = 1 << 19, 12 << 20
+#: Spans that are compared at once, but for a gram that has more.
+SPANS_AT_ONCE = 20_000
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -218,11 +220,12 @@ _VERDICT = "chunk int, doc long, tie long, first int, last int"
 
 
 def _verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Covered string starts of the spans of a partition that holds all spans of its grams."""
-    found = list(batches)
-    if not found:
-        return
-    t = pa.Table.from_batches(found)
+    """Covered string starts of spans that come gram after gram, all spans of a gram together; some grams at a time."""
+    for table in portions(batches, ["gram"], SPANS_AT_ONCE):
+        yield from _settled(table)
+
+
+def _settled(t: pa.Table) -> Iterator[pa.RecordBatch]:
     yield from t.filter(t.column("again")).select(["chunk", "doc", "tie", "first", "last"]).to_batches()
     t = t.filter(pc.invert(pc.or_(t.column("hot"), t.column("again"))))
     gram, chunk, doc, tie, first, last = (t.column(c).to_numpy() for c in ("gram", "chunk", "doc", "tie", "first", "last"))
@@ -407,7 +410,7 @@ def _plan(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     spans = dealt.groupBy("chunk").cogroup(again.groupBy("chunk")).applyInArrow(_class_firsts, _SPAN)
     # one exchange for both ways; the spans of a hot gram are dealt by their content, what needs no comparison by its place
     spread = spans.repartition(F.when(F.col("again"), F.xxhash64("chunk", "doc", "first")).when(F.col("hot"), F.xxhash64("content")).otherwise(F.col("gram")))
-    mild, hot = spread.mapInArrow(releasing(_verdicts), _VERDICT), spread.mapInArrow(_only_hot, _SPAN)
+    mild, hot = spread.sortWithinPartitions("gram").mapInArrow(releasing(_verdicts), _VERDICT), spread.mapInArrow(_only_hot, _SPAN)
     return dealt, mild.unionByName(_hot_verdicts(hot)).repartitionById(n_chunks, F.col("chunk"))
 
 
