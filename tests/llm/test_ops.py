@@ -545,7 +545,7 @@ def test_site_templates(spark):
 
 
 def test_article_parts_stay(spark):
-    body = "<header>site</header><article><header><h1>Real title</h1></header><p title='it's > odd'>Body</p><div class='legal'><p>The court held</p></div><div class=tags>kept</div><ul class='comments'><li>first!</ul><p a=\"x>y\">tail</p></article>"
+    body = "<header>site</header><article><header><h1>Real title</h1></header><p title='it's > odd'>Body</p><div class='legal'><p>The court held</p></div><div class=tags>kept</div><div class='notice'><p>we moved</div><ul class='comments'><li>first!</ul><p a=\"x>y\">tail</p></article>"
     assert html_extraction.Page(page(body)).text() == "Real title\nodd'>Body\nThe court held\nkept\ntail"
     deep = "<div><b>" * 20_000 + "<p>x<p>y" + "</b>" * 20_000
     assert html_extraction.Page(deep).text() == "x\ny" and html_extraction.Page("<article>" * 5000 + "z").text() == "z"

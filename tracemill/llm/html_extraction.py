@@ -51,10 +51,10 @@ NAMES = re.compile(
     r"related|recommended|widget|login|search|toolbar|pagination|pager|legal|copyright|skip|hidden|tags|meta|byline)(?:$|[\s_-])",
     re.I,
 )
-#: The same within an article, where other words may name its parts: adverts, reader comments, menus, sidebars and calls to sign up or share.
+#: The same within an article, where other words may name its parts: adverts, notices, reader comments, menus, sidebars, footers and calls to sign up or share.
 ARTICLE_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adv|advert\w*|adsense|adslot|sponsor\w*|promo|cookies?|consent|gdpr|popup|modal|overlay|newsletter|subscribe|signup|"
-    r"share|sharing|social|sidebar|nav|navbar|navigation|breadcrumbs?|comments?|commentlist|disqus|respond|replies)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|adv|advert\w*|adsense|adslot|sponsor\w*|promo|banner|notices?|cookies?|consent|gdpr|popup|modal|overlay|newsletter|subscribe|signup|"
+    r"share|sharing|social|sidebar|menu|footer|nav|navbar|navigation|breadcrumbs?|comments?|commentlist|disqus|respond|replies)(?:$|[\s_-])",
     re.I,
 )
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+)>", re.S)
