@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracemill.llm import bpe, decontamination, html_extraction, lm_scoring, quality_rules, sharding, simhash, suffix_dedup, toxicity, warc
+from tracemill.llm import bpe, decontamination, html_extraction, lm_scoring, minhash, quality_rules, sharding, simhash, suffix_dedup, toxicity, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_sharding": sharding.op8_sharding,
     "op9_bpe": bpe.op9_bpe,
     "op10_html_extraction": html_extraction.op10_html_extraction,
+    "op11_minhash": minhash.op11_minhash,
 }
 ORACLE_SQL = {
     "op1_quality_rules": quality_rules.ORACLE_SQL,
