@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracemill.llm import bpe, decontamination, html_extraction, lm_scoring, minhash, prefix_trie, quality_rules, sharding, simhash, suffix_dedup, toxicity, warc
+from tracemill.llm import bpe, decontamination, html_extraction, lm_scoring, minhash, phrases, prefix_trie, quality_rules, sharding, simhash, suffix_dedup, toxicity, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_bpe": bpe.op9_bpe,
     "op10_html_extraction": html_extraction.op10_html_extraction,
     "op11_minhash": minhash.op11_minhash,
+    "op12_phrases": phrases.op12_phrases,
     "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
 ORACLE_SQL = {
@@ -24,5 +25,6 @@ ORACLE_SQL = {
     "quality_ablations": quality_rules.ABLATIONS_SQL,
     "op4_warc": warc.ORACLE_SQL,
     "op8_sharding": sharding.ORACLE_SQL,
+    "op12_phrases": phrases.ORACLE_SQL,
     "op13_prefix_trie": prefix_trie.ORACLE_SQL,
 }
