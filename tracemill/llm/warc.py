@@ -19,7 +19,7 @@ from typing import BinaryIO
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.llm.common import materialise, shared_dir
@@ -102,15 +102,18 @@ class Reader:
             del self.buffer[:whole]
 
 
+def _payload() -> Column:
+    return F.encode(F.coalesce("html", F.lit("")), "UTF-8")
+
+
 def revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame:
-    """``(page_id, refers_to)`` of the pages whose payload a page with a larger id has too.
+    """``(page_id, d, refers_to)`` of the pages whose payload a page with a larger id has too; d is the payload's digest.
 
-    Only digests, lengths and ids are shuffled. Of equal page_ids each row counts.
+    Only digests, lengths and ids are shuffled. An id may have several payloads, each counts by itself.
     """
-    payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    ids = pages.select("page_id", payload.alias("p")).where(F.octet_length("p") >= min_bytes).select("page_id", F.unhex(F.sha1("p")).alias("d"))
+    ids = pages.select("page_id", _payload().alias("p")).where(F.octet_length("p") >= min_bytes).select("page_id", F.unhex(F.sha1("p")).alias("d"))
     last = ids.groupBy("d").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return ids.join(last, "d").where("page_id < refers_to").select("page_id", "refers_to").distinct()
+    return ids.join(last, "d").where("page_id < refers_to").select("page_id", "d", "refers_to").distinct()
 
 
 def write_monolithic(pages: DataFrame, folder: str) -> DataFrame:
@@ -230,7 +233,7 @@ def archive_pages(pages: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame:
     repeated records, an empty table gives no archive.
     """
     spark = pages.sparkSession
-    rows = pages.select("page_id", "url", "html").join(revisits(pages, min_bytes), "page_id", "left")
+    rows = pages.select("page_id", "url", "html", F.unhex(F.sha1(_payload())).alias("d")).join(revisits(pages, min_bytes), ["page_id", "d"], "left").select("page_id", "url", "html", "refers_to")
     raw = materialise(write_monolithic(rows, shared_dir(spark, "warc-raw")), "warc-list")
     n = max(1, raw.count())
     return materialise(normalise(raw.repartition(min(n, 10_000)), shared_dir(spark, "warc")), "warc-index")
