@@ -252,6 +252,19 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read_back(warc.archive_pages(spark.createDataFrame([], PAGES))).count() == 0
 
 
+def test_warc_repeated_ids(spark):
+    """An id with several payloads, null ids, a very long payload: a record for each row, by brute force."""
+    x, y, z = ("<p>" + c * 1500 for c in "xyz")
+    rows = [(5, "u", x), (5, "u", y), (9, "u", x), (12, "u", y), (7, "u", z), (7, "v", z), (None, "u", x), (13, "u", "w" * 20_000_000), (14, "u", "w" * 20_000_000), (15, "u", "short"), (15, "u", "short")]
+    got = sorted(((r.page_id, r.record_type, r.refers_to, r.payload_digest) for r in warc.read_back(warc.archive_pages(spark.createDataFrame(rows, PAGES))).collect()), key=repr)
+    want = []
+    for i, _, h in rows:
+        last = max(j for j, _, other in rows if other == h and j is not None) if len(h) >= 1000 else i
+        ref = last if i is not None and i != last else None
+        want.append((i, "revisit" if ref else "response", ref, hashlib.sha1(h.encode()).hexdigest()))
+    assert got == sorted(want, key=repr)
+
+
 def test_toxicity():
     rng = np.random.default_rng(0)
     vocab = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(500)]
@@ -551,6 +564,39 @@ def test_article_parts_stay(spark):
     assert html_extraction.Page(deep).text() == "x\ny" and html_extraction.Page("<article>" * 5000 + "z").text() == "z"
 
 
+def test_what_is_no_template(spark):
+    """Stories that several pages carry, small hosts, empty mains, class words, teasers."""
+    story = "<article><h1>T{0}</h1><div class='content'><p>The full syndicated story.</p></div></article>"
+    rows = [(k, f"http://a.org/{k}", page(story.format(k) if k < 5 else f"<article><h1>T{k}</h1><div class='content'><p>Own story {k}.</p></div></article>", k)) for k in range(400)]
+    rows += [(1000 + k, f"http://b.org/{k}", page(story.format(k), k)) for k in range(10)]  # all pages of the host
+    rows += [(2000 + k, f"http://c.org/{k}", page(f"<div><p>home about contact</p></div><div><p>Story number {k}</p></div>", k)) for k in range(4)]
+    got = {r.page_id: r.text for r in html_extraction.main_text(spark.createDataFrame(rows, PAGES)).collect()}
+    assert all(got[k] == f"T{k}\nThe full syndicated story." for k in range(5)) and got[399] == "T399\nOwn story 399."
+    assert all(got[1000 + k] == f"T{k}\nThe full syndicated story." for k in range(10))
+    assert all(got[2000 + k] == f"Story number {k}" for k in range(4))
+    text = lambda body: html_extraction.Page(page(body)).text()
+    assert text("<h1>Story</h1><p>Body text before.</p><main></main><p>after</p>") == "Story\nBody text before.\nafter"
+    for name in ("legal", "side by-side", "article header", "related work"):
+        assert text(f"<div class='{name}'><p>The court held</p></div><p>b</p>") == "The court held\nb"
+    assert text("<div class='site-header'>x</div><div class='related-posts'>y</div><div class='sidebar'>z</div><p>b</p>") == "b"
+    assert text("<article><h1>Own</h1><p>a</p></article><article><h2><a href='/x'>Other</a></h2><p>teaser</p></article>") == "Own\na"
+    assert text("<article><h2><a href='/x'>One</a></h2><p>t</p></article><article><h2><a href='/y'>Two</a></h2></article>") == "One\nt\nTwo"
+
+
+def test_tags_that_never_end():
+    import time
+
+    start = time.time()
+    for unit in ("<a ", "<!", "<a =\">\" ", "</script ", "<script></script ", "<p x='", "&", "<![CDATA[", "<!--", "a=\"<", "< "):
+        html_extraction.Page(unit * (1_000_000 // len(unit))).text()
+        html_extraction.Page("<p>x</p>" + unit * 1000 + ">").text()
+    assert time.time() - start < 25
+    one = time.time()
+    assert html_extraction.Page("<p>x</p>" + "<a " * 333_000).text().startswith("x\n<a <a") and time.time() - one < 1
+    assert html_extraction.Page("<p>1 < 2 & <b>3</b> <3</p>").text() == "1 < 2 & 3 <3"
+    assert html_extraction.Page("<p title=\"a>b\">x</p><p title=\"a>y</p><p>z</p>").text() == "x\ny\nz"
+
+
 def test_templates_by_brute_force(spark):
     rng = np.random.default_rng(4)
     shared = [f"shared {k}" for k in range(6)]
@@ -565,7 +611,7 @@ def test_templates_by_brute_force(spark):
     want = Counter()
     for page_id, host, parts in tree.values():
         pages = {html_of[k] for k, (_, h, _) in tree.items() if h == host}
-        often = {p for p in parts if sum(f"<p>{p}</p>" in h for h in pages) >= max(html_extraction.MIN_PAGES, html_extraction.MIN_SHARE * len(pages))}
+        often = {p for p in parts if sum(f"<p>{p}</p>" in h for h in pages) >= max(min(html_extraction.MIN_PAGES, len(pages)), html_extraction.MIN_SHARE * len(pages))}
         want[page_id, "\n".join(p for p in parts if p not in often)] += 1
     df = spark.createDataFrame(rows, PAGES + ", digest string, host string")  # names that are used inside
     assert Counter((r.page_id, r.text) for r in html_extraction.main_text(df).collect()) == want

@@ -20,10 +20,11 @@ from pyspark.sql import functions as F
 
 from tracemill.llm.common import materialise, releasing
 
-#: A subtree is template when it occurs in this many different pages of a host at least ...
-MIN_PAGES = 5
-#: ... and in this share of the host's different pages.
-MIN_SHARE = 0.01
+#: A subtree is template when it occurs in this share of a host's different pages, and in MIN_PAGES of them
+#: or all, on a host of SITE different pages or more.
+MIN_SHARE, MIN_PAGES, SITE = 0.3, 4, 3
+#: Within an article, an element that holds more than this share of its text is no template, however often it recurs.
+MOST_TEXT = 0.5
 
 # Element names, as HTML defines them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -47,17 +48,21 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 #: Words of class and id names that mark furniture.
 NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|adv|advert\w*|adsense|adslot|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup|"
-    r"share|sharing|social|sidebar|side|aside|menu|nav|navbar|navigation|breadcrumbs?|header|masthead|topbar|footer|colophon|comments?|commentlist|disqus|respond|replies|reply|"
-    r"related|recommended|widget|login|search|toolbar|pagination|pager|legal|copyright|skip|hidden|tags|meta|byline)(?:$|[\s_-])",
+    r"share|sharing|social|sidebar|aside|menu|nav|navbar|navigation|breadcrumbs?|header|masthead|topbar|footer|colophon|comments?|commentlist|disqus|respond|replies|reply|"
+    r"related-(?:posts?|articles?|links?|stories|news|content)|recommended|widget|login|search|toolbar|pagination|pager|copyright|skip|hidden)(?:$|[\s_-])",
     re.I,
 )
+#: Class names that tell of the article's own parts; beside one of them a name above doesn't count.
+OWN = re.compile(r"(?:^|\s)(?:article|content|entry|post|story|body|text|main)(?:$|\s)", re.I)
 #: The same within an article, where other words may name its parts: adverts, notices, reader comments, menus, sidebars, footers and calls to sign up or share.
 ARTICLE_NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|adv|advert\w*|adsense|adslot|sponsor\w*|promo|banner|notices?|cookies?|consent|gdpr|popup|modal|overlay|newsletter|subscribe|signup|"
     r"share|sharing|social|sidebar|menu|footer|nav|navbar|navigation|breadcrumbs?|comments?|commentlist|disqus|respond|replies)(?:$|[\s_-])",
     re.I,
 )
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+)>", re.S)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+)>")
+#: The same without regard to quotes, for what follows a tag that never ends with them.
+_PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _ATTR = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 
 
@@ -79,30 +84,49 @@ class Page:
         self._holds: list[int] = []
         self._in_article = [False]
         self._roots: list[int] | None = None
-        stack, at, n = [0], 0, len(source)
-        find = _TAG.search
-        while at < n:
-            m = find(source, at)
-            start = m.start() if m else n
-            if start > at:
-                self.runs.append((stack[-1], source[at:start]))
-            if not m:
-                break
-            at = m.end()
-            name = m[2]
-            if name is None:
-                if source.startswith("<![CDATA[", start):
-                    self.runs.append((stack[-1], html.escape(source[start + 9 : at - 3])))
+        stack, at, n, text = [0], 0, len(source), 0
+        limit, tag = source.rfind(">") + 1, _TAG
+        while (start := source.find("<", at)) >= 0:
+            kind = source[start + 1 : start + 2]
+            m, run = None, None
+            if kind in ("!", "?"):
+                comment, data = source.startswith("<!--", start), source.startswith("<![CDATA[", start)
+                mark = "-->" if comment else "]]>" if data else ">"
+                end = source.find(mark, start + (4 if comment else 9 if data else 2))
+                if end < 0 and not comment and not data:
+                    at = start + 1  # no more > at all
+                    continue
+                at = n if end < 0 else end + len(mark)
+                run = html.escape(source[start + 9 : n if end < 0 else end]) if data else None
+            else:
+                m = tag.match(source, start, limit)
+                if m is None and tag is _TAG and start < limit and _PLAIN_TAG.match(source, start, limit):
+                    tag = _PLAIN_TAG  # a quote is never closed: from here on they count as any character
+                    m = tag.match(source, start, limit)
+                if m is None:
+                    if start >= limit:
+                        break
+                    at = start + 1
+                    continue
+                at = m.end()
+            if start > text:
+                self.runs.append((stack[-1], source[text:start]))
+            text = at
+            if run is not None:
+                self.runs.append((stack[-1], run))
+            if m is None:
                 continue
-            name = name.lower()
+            name = m[2].lower()
             if m[1]:
                 self._close(stack, name)
                 continue
             self._open(stack, name, m[3])
             if name in RAW and not m[3].endswith("/"):
-                close = re.compile(rf"</{name}\b[^>]*>", re.I).search(source, at)
-                at = close.end() if close else n
+                close = re.compile(rf"</{name}\b[^>]*>", re.I).search(source, at, max(limit, at))
+                text = at = close.end() if close else n
                 self._close(stack, name)
+        if text < n:
+            self.runs.append((stack[-1], source[text:]))
         for e in stack:
             self.end[e] = len(self.tag)
 
@@ -160,20 +184,42 @@ class Page:
             return True
         names = f"{found.get('class', '')} {found.get('id', '')}"
         known = ARTICLE_NAMES if self._in_article[e] else NAMES
-        return found.get("role", "").lower() in ROLES or bool(known.search(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", names)))
+        return found.get("role", "").lower() in ROLES or not OWN.search(names) and bool(known.search(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", names)))
+
+    def sizes(self) -> list[int]:
+        """Characters of text within each element, without those around it."""
+        out = [0] * len(self.tag)
+        for e, text in self.runs:
+            if text is not None:
+                out[e] += len(text.strip())
+        for e in range(len(out) - 1, 0, -1):
+            if self.tag[e] not in RAW:
+                out[self.parent[e]] += out[e]
+        return out
+
+    def _teaser(self, e: int) -> bool:
+        """Whether the first heading of an article leads elsewhere."""
+        for x in range(e + 1, self.end[e]):
+            if self.tag[x] in ("h1", "h2", "h3", "h4", "h5", "h6"):
+                return self.tag[self.parent[x]] == "a" or any(self.tag[y] == "a" and "href" in self.attrs[y].lower() for y in range(x + 1, self.end[x]))
+        return False
 
     def region(self) -> list[int]:
-        """The outermost elements that hold the article: articles, else main, else the whole page."""
+        """The outermost elements that hold the article: articles with text, else main, else the whole page.
+
+        Articles whose headings are links are teasers where another one has a heading of its own.
+        """
         if self._roots is None:
-            self._roots, marked = [0], {0: False}
+            self._roots, marked, sizes = [0], {0: False}, self.sizes()
             for name in ("article", "main"):
                 found, last = [], 0
                 for e, t in enumerate(self.tag):
-                    if t == name and e >= last and not self._marked(e, marked):
+                    if t == name and e >= last and sizes[e] and not self._marked(e, marked):
                         found.append(e)
                         last = self.end[e]
                 if found:
-                    self._roots = found
+                    own = [e for e in found if not self._teaser(e)] if len(found) > 1 else found
+                    self._roots = own or found
                     break
         return self._roots
 
@@ -189,7 +235,7 @@ class Page:
 
     def subtrees(self) -> dict[int, int]:
         """Hash of each element that may be template: containers, and outside articles text blocks too."""
-        inside = {x for e in self.region() if self.tag[e] in ROOTS for x in range(e, self.end[e])}
+        inside, sizes = {x: e for e in self.region() if self.tag[e] in ROOTS for x in range(e, self.end[e])}, self.sizes()
         own: dict[int, list[str]] = {}
         for e, text in self.runs:
             if text is not None and (t := text.strip()):
@@ -201,7 +247,7 @@ class Page:
             done[e] = _digest(content)
             children.setdefault(self.parent[e], []).append(done[e])
             tag = self.tag[e]
-            if tag in BLOCK and tag not in ROOTS and not (tag in TEXTUAL and e in inside):
+            if tag in BLOCK and tag not in ROOTS and not (e in inside and (tag in TEXTUAL or sizes[e] > MOST_TEXT * sizes[inside[e]])):
                 out[e] = done[e]
         return out
 
@@ -258,9 +304,10 @@ def site_templates(hashes: DataFrame, min_pages: int = MIN_PAGES, min_share: flo
     """
     seen = hashes.select("host", "hash", "digest").distinct()
     counts = seen.groupBy("host", "hash").agg(F.count("*").alias("n_pages"))
-    sizes = hashes.select("host", "digest").distinct().groupBy("host").agg(F.count("*").alias("host_pages"))
-    often = counts.where(F.col("n_pages") >= min_pages)
-    return often.join(sizes, "host").where(F.col("n_pages") >= min_share * F.col("host_pages")).select("host", "hash", "n_pages")
+    sizes = hashes.select("host", "digest").distinct().groupBy("host").agg(F.count("*").alias("host_pages")).where(F.col("host_pages") >= SITE)
+    pages = F.col("host_pages")
+    often = counts.where("n_pages > 1").join(sizes, "host")
+    return often.where(F.col("n_pages") >= F.greatest(min_share * pages, F.least(pages, F.lit(min_pages)))).select("host", "hash", "n_pages")
 
 
 def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
@@ -269,8 +316,8 @@ def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
     A null or empty page has the empty text; a null url belongs to the host with the empty name.
     A page is known by its host and source, so a page_id may be null or occur on several hosts.
     Repeated rows stay repeated; columns besides page_id, url and html are not read; an empty
-    table gives no rows. On a host of fewer than ``min_pages`` different pages nothing recurs often
-    enough to be a template; there only the elements' own marks tell furniture from text.
+    table gives no rows. A host of fewer than SITE different pages has no template: two pages can't tell
+    it from a story that both have. There the elements' own marks tell furniture from text.
     """
     hashes = materialise(subtree_hashes(pages), "subtrees")
     found = hashes.join(site_templates(hashes, min_pages, min_share), ["host", "hash"])
