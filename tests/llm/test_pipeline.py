@@ -11,7 +11,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from test_ops import DOCS, classes, docs_of
 
-from tracemill.llm import decontamination, quality_rules, simhash
+from tracemill.llm import common, decontamination, quality_rules, simhash
 
 
 def plain_quality(t):
@@ -56,6 +56,34 @@ def near(docs):
     return lambda i, j: (fps[i] ^ fps[j]).bit_count() <= 39
 
 
+def test_split_units_lose_no_link(spark):
+    """Pairs at 0.8 to 0.95 among unrelated fingerprints in few units: split units find the classes of whole ones."""
+    rng = np.random.default_rng(12)
+    fps = [rng.integers(0, 1 << 63, 4, dtype=np.uint64) for _ in range(400)]
+    pairs = 0
+    for k in range(160):
+        flip = np.zeros(256, bool)
+        flip[rng.choice(256, int(rng.integers(12, 40)), replace=False)] = True
+        fps.append(fps[k] ^ np.packbits(flip, bitorder="little").view(np.uint64))
+        pairs += 1
+    nodes = spark.createDataFrame([(k, x.tobytes()) for k, x in enumerate(fps)], "node long, fp binary")
+
+    def classes(part_rows, bits):
+        found = common.connected_components(simhash.wide_links(nodes, 39, 60, bits, part_rows)).collect()
+        return {r.node: r.component for r in found}
+
+    whole = classes(1500, 3)  # units of 70 fingerprints
+    assert classes(12, 3) == whole and sum(whole.get(400 + k) == whole.get(k, -1) for k in range(160)) >= 0.99 * pairs
+    assert classes(12, 18) == classes(1500, 18)
+
+
+def test_table_sizes_keep_the_recall():
+    for n in (0, 1, 10_000, 10**8, 10**9, 10**11):
+        tables, bits = simhash.table_sizes(n, 39)
+        assert 1 - (1 - (1 - 39 / 256) ** bits) ** tables > 0.9 and n / 2**bits <= 1500
+    assert simhash.table_sizes(10_000, 39) == (48, 18)
+
+
 def shingles(t):
     w = t.lower().split()
     return {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
@@ -87,6 +115,7 @@ def test_near_copies(spark, part_rows, monkeypatch):
     rows += [(None, lone), (2000, " ".join(fresh(80))), (2000, " ".join(fresh(80))), (2001, rows[200][1]), (2002, other), (2002, other), (None, other), (2003, None), (2004, " \n")]
     group += ["lone", "a", "b", group[200], "other", "other", "other", "empty", "empty"]
     monkeypatch.setattr(simhash.wide_links, "__defaults__", (simhash.TABLES, simhash.TABLE_BITS, part_rows))
+    monkeypatch.setattr(simhash, "table_sizes", lambda n, budget: (simhash.TABLES, simhash.TABLE_BITS))
     monkeypatch.setattr(simhash, "WALK_ROWS", 300)
     df = docs_of(spark, rows, extra=True)
     left = simhash.dedup_stage(spark, df, "")

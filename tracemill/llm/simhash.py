@@ -43,7 +43,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 WORDS = 4
 #: Samples of bits, and the bits of each: fingerprints that agree in one sample meet in a unit.
 TABLES, TABLE_BITS = 48, 18
-#: Fingerprints that a salted part of a unit holds; rows of units that are walked together.
+#: Fingerprints of a unit beyond which it is walked in blocks, and of a block; rows of units that are walked together.
 PART_ROWS, WALK_ROWS = 1500, 50_000
 
 
@@ -329,58 +329,99 @@ def _samples(fp: np.ndarray, tables: int, bits: int) -> np.ndarray:
     return np.stack([(flat[:, rng.choice(flat.shape[1], bits, replace=False)] * weight).sum(axis=1, dtype=np.uint64) + np.uint64(t << 40) for t in range(tables)], axis=1)
 
 
-_UNIT = "unit long, salt int, node long, fp binary"
+_UNIT = "unit long, node long, fp binary"
 
 
 def _sampled_units(batches: Iterator[pa.RecordBatch], tables: int, bits: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k in range(0, len(batch), 2000):
             part = batch.slice(k, 2000)
-            fp = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint64).reshape(len(part), -1)
-            units = _samples(fp, tables, bits).view(np.int64)
+            units = _samples(_wide(part.column(1)), tables, bits).view(np.int64)
             again = pa.array(np.repeat(np.arange(len(part)), tables))
-            yield pa.RecordBatch.from_arrays([pa.array(units.ravel()), pa.array(np.zeros(units.size, np.int32)), part.column(0).take(again), part.column(1).take(again)], ["unit", "salt", "node", "fp"])
+            yield pa.RecordBatch.from_arrays([pa.array(units.ravel()), part.column(0).take(again), part.column(1).take(again)], ["unit", "node", "fp"])
 
 
-def _walk_units(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.RecordBatch]:
-    """Links of each unit to the roots of its forest. Units come one after another; few are held at once."""
+def _wide(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
+
+
+def _walk_units(batches: Iterator[pa.RecordBatch], budget: int, keys: tuple[str, ...] = ("unit",)) -> Iterator[pa.RecordBatch]:
+    """Links of each unit to the roots of its forest. Units come one after another; few are held at once.
+
+    Rows with a ``side`` make a pair of trie nodes: those of side 0 are walked against those of side 1.
+    """
 
     def walk(rows: pa.Table) -> pa.RecordBatch:
-        unit = rows.column("unit").to_numpy() * 1_000_003 + rows.column("salt").to_numpy()
-        border = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]])
-        size = np.diff(np.r_[border, len(unit)])
+        key = np.column_stack([rows.column(c).to_numpy() for c in keys])
+        border = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
+        size = np.diff(np.r_[border, len(key)])
         many = np.flatnonzero(np.repeat(size, size) > 1)  # most fingerprints are alone in their units
         if not len(many):
             return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, ["a", "b"])
-        node = rows.column("node").to_numpy()[many]
-        fp = np.frombuffer(b"".join(rows.column("fp").take(pa.array(many)).to_pylist()), np.uint64).reshape(len(many), -1)
+        node, fp = rows.column("node").to_numpy()[many], _wide(rows.column("fp").take(pa.array(many)))
+        side = rows.column("side").to_numpy()[many] if "side" in rows.column_names else np.zeros(len(many), np.int32)
         number = np.repeat(np.arange(len(size)), size)[many]
-        order = np.lexsort((*fp.T[::-1], number))
-        fp, node, number = fp[order], node[order], number[order]
-        starts = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
+        order = np.lexsort((*fp.T[::-1], side, number))
+        fp, node, number, side = fp[order], node[order], number[order], side[order]
+        starts = np.flatnonzero(np.r_[True, (number[1:] != number[:-1]) | (side[1:] != side[:-1])])
         ends = np.r_[starts[1:], len(number)]
-        root = trie_links(fp, np.column_stack((starts, ends, starts, ends)), budget)
+        runs = np.column_stack((starts, ends, starts, ends))
+        if "side" in rows.column_names:
+            two = np.flatnonzero(number[starts[1:]] == number[starts[:-1]])
+            runs = np.column_stack((starts[two], ends[two], starts[two + 1], ends[two + 1]))
+        root = trie_links(fp, runs, budget)
         linked = np.flatnonzero(root != np.arange(len(fp)))
         return pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[root[linked]])], ["a", "b"])
 
-    yield from map(walk, portions(batches, ["unit", "salt"], WALK_ROWS))
+    yield from map(walk, portions(batches, list(keys), WALK_ROWS))
+
+
+def _near_the_least(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if len(batch):
+            apart = np.bitwise_count(_wide(batch.column(1)) ^ _wide(batch.column(3))).sum(axis=1, dtype=np.int64)
+            yield batch.select([0, 2]).rename_columns(["a", "b"]).filter(pa.array(apart <= budget))
+
+
+def table_sizes(n: int, budget: int, least_bits: int = TABLE_BITS, tables: int = TABLES, words: int = WORDS) -> tuple[int, int]:
+    """Tables and bits of their samples for ``n`` fingerprints: bits so that evenly spread ones are some hundred
+    to a unit, and as many tables as keep the chance that a pair at the budget meets."""
+    bits = max(least_bits, math.ceil(math.log2(max(n, 1) / (PART_ROWS / 2))))
+    stay = 1 - budget / (64 * words)
+    missed = (1 - stay**least_bits) ** tables
+    return (tables if bits == least_bits else math.ceil(math.log(missed) / math.log(1 - stay**bits))), bits
 
 
 def wide_links(nodes: DataFrame, budget: int, tables: int = TABLES, bits: int = TABLE_BITS, part_rows: int = PART_ROWS) -> DataFrame:
     """Links ``(a, b)`` between the ``nodes(node, fp)``, one row for each different wide fingerprint.
 
-    Two fingerprints meet where they agree in one of ``tables`` samples of ``bits`` bits. A unit of more
-    than ``part_rows`` fingerprints is dealt into parts at random, differently in each table; the least
-    fingerprint of the unit is in all of its parts and ties them. A part gives a forest, never all pairs.
+    Two fingerprints meet where they agree in one of ``tables`` samples of ``bits`` bits. In a unit of more
+    than ``part_rows`` of them each is first compared with the least; where that and the other units leave
+    more than one class, the fingerprints outside the largest class are walked against all, block by
+    block. So every pair that meets is linked or in one class already, whatever the size of the unit. A
+    unit gives a forest, never all pairs.
     """
     units = nodes.select("node", "fp").mapInArrow(releasing(partial(_sampled_units, tables=tables, bits=bits)), _UNIT)
     counted = units.groupBy("unit").agg(F.count("*").alias("n"), F.min(F.struct("node", "fp")).alias("least")).where(F.col("n") > part_rows)
-    hot = materialise(counted.select("unit", F.ceil(F.col("n") / part_rows).cast("int").alias("parts"), "least"), "hot-units")
-    if hot.limit(1).count():
-        salted = units.join(hot.select("unit", "parts"), "unit").select("unit", F.pmod(F.xxhash64("node", "unit"), F.col("parts")).cast("int").alias("salt"), "node", "fp")
-        ties = hot.select("unit", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), "least.node", "least.fp")
-        units = units.join(hot.select("unit"), "unit", "left_anti").unionByName(salted).unionByName(ties)
-    return units.repartition("unit", "salt").sortWithinPartitions("unit", "salt").mapInArrow(releasing(partial(_walk_units, budget=budget)), "a long, b long")
+    hot = materialise(counted.select("unit", "least.node", "least.fp"), "hot-units")
+    walk = "a long, b long"
+    if not hot.limit(1).count():
+        return units.repartition("unit").sortWithinPartitions("unit").mapInArrow(releasing(partial(_walk_units, budget=budget)), walk)
+    cold = units.join(hot.select("unit"), "unit", "left_anti").repartition("unit").sortWithinPartitions("unit").mapInArrow(releasing(partial(_walk_units, budget=budget)), walk)
+    crowd = materialise(units.join(hot.select("unit", F.col("node").alias("least"), F.col("fp").alias("least_fp")), "unit").where("node <> least"), "hot-rows")
+    stars = crowd.select("node", "fp", "least", "least_fp").mapInArrow(partial(_near_the_least, budget=budget), walk)
+    links = materialise(cold.unionByName(stars), "links")
+    labelled = materialise(crowd.join(connected_components(links), "node", "left").select("unit", "node", "fp", F.coalesce("component", "node").alias("class")), "labelled")
+    sizes = labelled.groupBy("unit", "class").agg(F.count("*").alias("m"))
+    main = sizes.groupBy("unit").agg(F.max_by("class", F.struct("m", "class")).alias("main"), F.sum("m").alias("all"), F.max("m").alias("most"), F.count("*").alias("k"))
+    rows = labelled.join(main.where("k > 1"), "unit")
+    np_, nq = F.ceil((F.col("all") - F.col("most")) / part_rows).cast("int"), F.ceil(F.col("all") / part_rows).cast("int")
+    block = lambda k, n: F.pmod(F.xxhash64("node", F.lit(k)), n).cast("int")
+    few = rows.where(F.col("class") != F.col("main")).select("unit", block(0, np_).alias("p"), F.explode(F.sequence(F.lit(0), nq - 1)).alias("q"), F.lit(0).alias("side"), "node", "fp")
+    many = rows.select("unit", F.explode(F.sequence(F.lit(0), np_ - 1)).alias("p"), block(1, nq).alias("q"), F.lit(1).alias("side"), "node", "fp")
+    keys = ("unit", "p", "q")
+    left = few.unionByName(many).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(releasing(partial(_walk_units, budget=budget, keys=keys)), walk)
+    return links.unionByName(left)
 
 
 def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
@@ -402,7 +443,8 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
     rows = materialise(marked.withColumn("uid", F.monotonically_increasing_id()), "fingerprinted")
     order = F.struct(F.col("row.doc_id").isNull().alias("no_id"), F.col("row.doc_id").alias("id"), "uid")
     nodes = materialise(rows.groupBy("fp").agg(F.min(order).alias("first")).withColumn("node", F.monotonically_increasing_id()), "nodes")
-    classes = connected_components(wide_links(nodes, wide_budget(similarity)))
+    budget = wide_budget(similarity)
+    classes = connected_components(wide_links(nodes, budget, *table_sizes(nodes.count(), budget)))
     return rows, nodes.join(classes, "node", "left").select("fp", F.coalesce("component", "node").alias("component"), "first")
 
 
