@@ -1,9 +1,10 @@
 """Segmentation of series against expected levels: a two-state hidden Markov model as a Spark job.
 
-Spark selects, joins and prepares the reads, joins the levels and formats the segments; within a task the
-recurrences run over one read at a time, vectorised over a band of positions of its sequence. State M
-enters a k-mer, state E stays in it; a k-mer owns at least two samples. Only the band is stored, and of
-a long read only a block of samples at a time, so a read's memory is bounded by block times band.
+Spark selects, joins and prepares the reads, joins the levels, deals the reads to tasks by their number
+and sorts them by length; within a task the recurrences run over many reads of like length at once
+(``lanes``), vectorised over a band of positions of their sequences. State M enters a k-mer, state E
+stays in it; a k-mer owns at least two samples. Only the band is stored, and of a read too long for a
+lane only a block of samples at a time, so a read's memory is bounded by block times band.
 """
 
 from __future__ import annotations
@@ -17,12 +18,15 @@ from pyspark.sql import functions as F
 
 from tracemill.functions import exprs as X
 from tracemill.operators import filters, joins
+from tracemill.operators.lanes import Lane, Lanes, dealt
 
 #: Logs of the transitions: enter the next k-mer, first extension, further extension.
 PARAMS = {"m1": float(np.log(0.5)), "e1": 0.0, "e2": float(np.log(0.5))}
 BAND = 400
 #: Samples of a read whose scores are held at once.
 BLOCK = 20_000
+#: Cells of the lattices that are computed together, and the most reads of one group.
+LANE_CELLS, MOST_LANES = 1_000_000, 512
 #: Above this shift a read is scaled from raw readings, not from calibrated ones.
 CALIBRATED_SHIFT = 400
 _NONE = -np.inf
@@ -269,18 +273,35 @@ class Lattice:
             return *w[:, 1 : self.N], float(np.log(enter)), float(np.log(stay))
 
 
-def _lattices(batch: pa.RecordBatch, params: dict[str, float], band: int):
+def spread(prepared: DataFrame) -> DataFrame:
+    """Reads dealt to tasks by number, whatever their bytes, and sorted by length within: the kernel's cost goes by samples."""
+    session = prepared.sparkSession
+    n = max(session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
+    return prepared.repartition(n, F.xxhash64("readid", "seq", "x")).sortWithinPartitions(F.size("x"))
+
+
+def _lattices(batch: pa.RecordBatch, params: dict[str, float], band: int) -> Iterator[list[dict]]:
+    """The rows of a batch in groups, each row with an error or its lattice."""
     names = batch.schema.names
-    for k in range(batch.num_rows):
-        row = {c: batch.column(names.index(c))[k].as_py() for c in ("readid", "signalid", "seq", "error") if c in names}
-        if row["error"] is None:
-            x, mu, sd = (batch.column(names.index(c))[k].values.to_numpy(zero_copy_only=False).astype(float) for c in ("x", "mu", "sd"))
-            lat = row["lattice"] = Lattice(x, mu, sd, params, band)
+    rows = batch.select([c for c in ("readid", "signalid", "seq", "error") if c in names]).to_pylist()
+    good = [k for k, row in enumerate(rows) if row["error"] is None]
+    if len(good) < len(rows):
+        yield [row for row in rows if row["error"] is not None]
+    x, mu, sd = (batch.column(names.index(c)) for c in ("x", "mu", "sd"))
+    of = lambda column, k: column[k].values.to_numpy(zero_copy_only=False).astype(float)
+    for group, alone in dealt([(len(x[k].values), len(mu[k].values)) for k in good], band, LANE_CELLS, MOST_LANES):
+        own = [good[j] for j in group]
+        reads = [(of(x, k), of(mu, k), of(sd, k)) for k in own]
+        lanes = None if alone else Lanes(reads, params, band)
+        for j, k in enumerate(own):
+            lat = rows[k]["lattice"] = Lattice(*reads[j], params, band) if alone else Lane(lanes, j)
             if not np.isfinite(lat.zf) or not np.isfinite(lat.zb):
-                row["error"] = "score is not finite"
+                rows[k]["error"] = "score is not finite"
             elif abs(lat.zf - lat.zb) / (lat.T * lat.N) > 1e-8:
-                row["error"] = "forward and backward scores differ"
-        yield row
+                rows[k]["error"] = "forward and backward scores differ"
+        yield [rows[k] for k in own]
+        for k in own:
+            del rows[k]["lattice"]
 
 
 def segment_reads(prepared: DataFrame, k: int = 5, params: dict[str, float] = PARAMS, band: int = BAND, is_rna: bool = False) -> DataFrame:
@@ -295,11 +316,12 @@ def segment_reads(prepared: DataFrame, k: int = 5, params: dict[str, float] = PA
         names = ["readid", "signalid", "start", "end", "basepos", "base", "motif", "posterior_probability", "error"]
         types = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.float64(), pa.string()]
         for batch in batches:
-            for row in _lattices(batch, params, band):
+            for group in _lattices(batch, params, band):
                 out = []
-                if row["error"]:
-                    out.append((row["readid"], row["signalid"], None, None, None, None, None, None, row["error"]))
-                else:
+                for row in group:
+                    if row["error"]:
+                        out.append((row["readid"], row["signalid"], None, None, None, None, None, None, row["error"]))
+                        continue
                     seq, found = row["seq"], row["lattice"].path()
                     ends = [s for s, _, _ in found[1:]] + [len(row["lattice"].x)]
                     for (s, n, p), e in zip(found, ends, strict=True):
@@ -310,7 +332,7 @@ def segment_reads(prepared: DataFrame, k: int = 5, params: dict[str, float] = PA
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], batch.schema.field("readid").type), *[pa.array(c, t) for c, t in zip(cols[1:], types, strict=True)]], names)
 
     schema = f"readid {kind}, signalid string, start int, end int, basepos int, base string, motif string, posterior_probability double, error string"
-    return prepared.mapInArrow(run, schema).select(
+    return spread(prepared).mapInArrow(run, schema).select(
         "readid", "signalid", "start", "end", "basepos", "base", "motif", F.when(F.col("error").isNull(), "M").alias("state"), "posterior_probability", F.lit("NA").alias("polish"), "error"
     )
 
@@ -321,16 +343,15 @@ def log_likelihood(prepared: DataFrame, params: dict[str, float] = PARAMS, band:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for r in _lattices(batch, params, band):
-                lat = r.get("lattice")
-                rows.append((r["readid"], lat and lat.zf, lat and lat.zb, lat and lat.T * lat.N, r["error"]))
-                del lat, r
-            if rows:
+            for group in _lattices(batch, params, band):
+                rows = []
+                for r in group:
+                    lat = r.get("lattice")
+                    rows.append((r["readid"], lat and lat.zf, lat and lat.zb, lat and lat.T * lat.N, r["error"]))
                 c = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c[0], batch.schema.field("readid").type), pa.array(c[1], pa.float64()), pa.array(c[2], pa.float64()), pa.array(c[3], pa.int64()), pa.array(c[4], pa.string())], ["readid", "zf", "zb", "cells", "error"])
 
-    return prepared.mapInArrow(run, f"readid {kind}, zf double, zb double, cells bigint, error string")
+    return spread(prepared).mapInArrow(run, f"readid {kind}, zf double, zb double, cells bigint, error string")
 
 
 def expected_counts(prepared: DataFrame, k: int = 5, params: dict[str, float] = PARAMS, band: int = BAND) -> DataFrame:
@@ -342,20 +363,25 @@ def expected_counts(prepared: DataFrame, k: int = 5, params: dict[str, float] =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in _lattices(batch, params, band):
-                if row["error"]:
-                    continue
-                lat = row["lattice"]
-                w, wx, wxx, m1, e2 = lat.sums()
-                names = [row["seq"][j : j + k] for j in range(lat.N - 1)]
-                n, tail = len(names), np.array(names) == "A" * k
-                mean = float(wx[tail].sum() / w[tail].sum()) if w[tail].sum() > 0 else None
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["readid"]] * n, batch.schema.field("readid").type), pa.array(names), pa.array(w), pa.array(wx), pa.array(wxx), pa.array([m1] * n), pa.array([e2] * n), pa.array([mean] * n, pa.float64()), pa.array([lat.zf] * n)],
-                    ["readid", "kmer", "w", "wx", "wxx", "m1", "e2", "tail", "zf"],
-                )
-
-    return prepared.mapInArrow(run, f"readid {kind}, kmer string, w double, wx double, wxx double, m1 double, e2 double, tail double, zf double")
+            for group in _lattices(batch, params, band):
+                ids, kmers, sums, rest = [], [], [], []
+                for row in group:
+                    if row["error"]:
+                        continue
+                    lat = row["lattice"]
+                    w, wx, wxx, m1, e2 = lat.sums()
+                    names = [row["seq"][j : j + k] for j in range(lat.N - 1)]
+                    tail = np.array(names) == "A" * k
+                    mean = float(wx[tail].sum() / w[tail].sum()) if w[tail].sum() > 0 else None
+                    ids += [row["readid"]] * len(names)
+                    kmers += names
+                    sums.append(np.stack((w, wx, wxx)))
+                    rest += [(m1, e2, mean, lat.zf)] * len(names)
+                if ids:
+                    columns = [pa.array(c, pa.float64()) for c in (*np.concatenate(sums, axis=1), *zip(*rest, strict=True))]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field("readid").type), pa.array(kmers), *columns], ["readid", "kmer", "w", "wx", "wxx", "m1", "e2", "tail", "zf"])
+
+    return spread(prepared).mapInArrow(run, f"readid {kind}, kmer string, w double, wx double, wxx double, m1 double, e2 double, tail double, zf double")
 
 
 def posterior_rows(prepared: DataFrame, min_p: float = 0.01, params: dict[str, float] = PARAMS, band: int = BAND, k: int = 5) -> DataFrame:
@@ -364,7 +390,7 @@ def posterior_rows(prepared: DataFrame, min_p: float = 0.01, params: dict[str, f
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in _lattices(batch, params, band):
+            for row in (r for group in _lattices(batch, params, band) for r in group):
                 if row["error"]:
                     continue
                 lat, letters = row["lattice"], np.array(list(row["seq"]))
@@ -375,7 +401,7 @@ def posterior_rows(prepared: DataFrame, min_p: float = 0.01, params: dict[str, f
                     t, n = a + j - 1, lat.n0[a + j] + at - 1
                     yield pa.RecordBatch.from_arrays([pa.array([row["readid"]] * len(t), batch.schema.field("readid").type), pa.array(t.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(letters[n + k // 2].tolist(), pa.string()), pa.array(g[j, at])], ["readid", "t", "n", "base", "p"])
 
-    return prepared.mapInArrow(run, f"readid {kind}, t int, n int, base string, p double")
+    return spread(prepared).mapInArrow(run, f"readid {kind}, t int, n int, base string, p double")
 
 
 def segment_invariants(segments: DataFrame) -> DataFrame:
