@@ -166,6 +166,81 @@ def test_find_peaks(spark):
     assert sorted(r.pos for r in got) == sorted(kept)
 
 
+def test_peaks_of_long_reads():
+    """A million peaks in one run, and a run that goes over several batches."""
+    import pyarrow as pa
+
+    n = 1_000_000
+    rng = np.random.default_rng(3)
+    for score in (np.arange(n, dtype=float), rng.random(n)):
+        begins = np.zeros(n, bool)
+        begins[0] = True
+        table = pa.table({"readid": np.zeros(n, np.int64), "pos": np.arange(n) * 2, "score": score, "begins": begins})
+        kept = pa.Table.from_batches(windows._suppress(iter(table.to_batches(max_chunksize=10_000)), 5)).column("pos").to_numpy()
+        assert (np.diff(kept) >= 5).all() and len(kept) > n / 5
+
+
+def test_extract_edges_by_loops(spark):
+    rng = np.random.default_rng(21)
+    rows, spans, want = [], [], set()
+    for r in range(12):
+        x = np.repeat(rng.normal(0, 3, 12), 9) + rng.normal(0, 0.2, 108)
+        a, b = int(rng.integers(0, 20)), int(rng.integers(80, 140))
+        rows += [(r, k, float(v)) for k, v in enumerate(x)]
+        if r % 4:
+            spans.append((r, a, b))
+            part = np.array(hampel_loop(x, 6, 5.0))[a:b]
+            j = np.arange(-8, 9)
+            kernel = -j / 4 * np.exp(-(j**2) / 8) / np.sqrt(2)
+            score = np.array([abs((part[k - 8 : k + 9] * kernel).sum()) if 8 <= k < len(part) - 8 else 0.0 for k in range(len(part))])
+            tops, kept = [k for k in range(1, len(part) - 1) if score[k] > score[k - 1] and score[k] > score[k + 1] and score[k] >= 2], []
+            for k in sorted(tops, key=lambda k: (-score[k], k)):
+                if all(abs(k - m) >= 6 for m in kept):
+                    kept.append(k)
+            want |= {(r, a + k) for k in kept if np.std(score[max(0, k - 3) : k + 3]) < 1}
+    got = windows.extract_edges(spark.createDataFrame(rows, "readid long, pos long, x double"), spark.createDataFrame(spans, "readid long, start long, end long"), 2.0, 2, 6)
+    assert {(r.readid, r.pos) for r in got.collect()} == want and want
+
+
+def test_numbered(spark):
+    rng = np.random.default_rng(5)
+    rows = [(["a", "b", None][int(rng.integers(3))], int(k), "z") for k in rng.permutation(500)]
+    df = spark.createDataFrame(rows, "param string, seq_no long, other string")
+    want = {}
+    for p, s, _ in sorted(rows, key=lambda r: r[1]):
+        want[p, s] = sum(1 for q, t, _ in rows if q == p and t < s)
+    got = windows.numbered(df, "param", "seq_no")
+    assert got.columns == ["param", "seq_no", "other", "n"] and {(r.param, r.seq_no): r.n for r in got.collect()} == want
+    assert windows.numbered(df.limit(0), "param", "seq_no").count() == 0
+
+
+def test_stream_rolling(spark, tmp_path):
+    """Ten small batches in any order, rows that come twice: the batch window's rows. With gaps each batch by itself."""
+    from tracemill.streaming import jobs
+
+    rng = np.random.default_rng(17)
+    x = {(p, k): float(rng.normal()) for p in "ab" for k in range(1, 80)}
+    keys = list(x)
+    rng.shuffle(keys)
+    keys += keys[:10]
+    schema = "param string, seq_no long, value double"
+
+    def run(rows, name, **more):
+        for k in range(10):
+            spark.createDataFrame([(p, s, x[p, s]) for p, s in rows[k::10]], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / name / "in"))
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name / "in"))
+        out = jobs.stream_rolling_param(stream, 7, **more).writeStream.format("parquet").option("path", str(tmp_path / name / "out")).option("checkpointLocation", str(tmp_path / name / "c"))
+        out.trigger(availableNow=True).start().awaitTermination()
+        return spark.read.schema(schema + ", mean double").parquet(str(tmp_path / name / "out")).collect()
+
+    got = run(keys, "ordered")
+    assert len(got) == len(x)
+    for r in got:
+        assert r["mean"] == pytest.approx(np.mean([x[r.param, k] for k in range(max(1, r.seq_no - 6), r.seq_no + 1)]))
+    gaps = run([k for k in x if k[1] % 3 == 0], "gaps", consecutive=False)
+    assert len(gaps) == 52
+
+
 def test_cwt_edges(spark):
     rng = np.random.default_rng(4)
     x = np.r_[np.zeros(60), np.ones(60) * 3] + rng.normal(0, 0.1, 120)

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemill.functions import exprs as X
+from tracemill.sources.scratch import scratch
 
 
 def hampel(points: DataFrame, window: int = 3, n_sigmas: float = 3.0) -> DataFrame:
@@ -60,13 +66,56 @@ def find_peaks(scores: DataFrame, height: float, distance: int = 3) -> DataFrame
     """``(readid, pos, score)`` of strict local maxima of at least ``height``.
 
     Of maxima nearer than ``distance`` the higher stays, of equal ones the earlier. Plateaus are no peaks.
+    Maxima form runs whose neighbours are nearer than ``distance``; nothing outside a run can suppress one in
+    it, so only a run is held at once, and each peak looks at its few neighbours.
     """
     order = Window.partitionBy("readid").orderBy("pos")
-    tops = scores.withColumns({"_l": F.lag("score").over(order), "_r": F.lead("score").over(order)}).where("score > _l AND score > _r").where(F.col("score") >= height)
-    per_read = tops.groupBy("readid").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "pos"))).alias("c"))
-    empty = F.array().cast(per_read.schema["c"].dataType)
-    kept = F.aggregate("c", empty, lambda acc, p: F.when(F.exists(acc, lambda q: F.abs(q["pos"] - p["pos"]) < distance), acc).otherwise(F.array_append(acc, p)))
-    return per_read.select("readid", F.explode(kept).alias("p")).select("readid", "p.pos", (-F.col("p.s")).alias("score"))
+    tops = scores.select("readid", "pos", "score", F.lag("score").over(order).alias("_l"), F.lead("score").over(order).alias("_r")).where("score > _l AND score > _r").where(F.col("score") >= height)
+    runs = tops.select("readid", "pos", F.col("score").cast("double").alias("score"), F.coalesce(F.col("pos") - F.lag("pos").over(order) >= distance, F.lit(True)).alias("begins"))
+    kinds = {f.name: f.dataType.simpleString() for f in runs.schema.fields}
+    kept = runs.sortWithinPartitions("readid", "pos").mapInArrow(partial(_suppress, distance=distance), f"readid {kinds['readid']}, pos {kinds['pos']}, score double")
+    return kept.select("readid", "pos", F.col("score").cast(scores.schema["score"].dataType).alias("score"))
+
+
+def _suppress(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
+    """The peaks that stay of runs in order; a run that goes on in the next batch waits for it."""
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch] if held is None else [*held, batch])
+        begins = table.column("begins").to_numpy(zero_copy_only=False)
+        last = len(begins) - 1 - int(np.argmax(begins[::-1])) if begins.any() else 0
+        if last:
+            yield from _stay(table.slice(0, last), distance)
+        held = table.slice(last).to_batches()
+    if held:
+        yield from _stay(pa.Table.from_batches(held), distance)
+
+
+def _stay(table: pa.Table, distance: int) -> list[pa.RecordBatch]:
+    begins, pos, score = (table.column(c).to_numpy(zero_copy_only=False) for c in ("begins", "pos", "score"))
+    run = np.cumsum(begins)
+    alive = np.ones(len(pos), bool)
+    crowded = np.bincount(run)[run] > 1
+    for k in np.lexsort((pos, -score))[crowded[np.lexsort((pos, -score))]].tolist():
+        if not alive[k]:
+            continue
+        for step in (-1, 1):
+            j = k + step
+            while 0 <= j < len(pos) and run[j] == run[k] and abs(pos[j] - pos[k]) < distance:
+                alive[j] = False
+                j += step
+    return table.select(["readid", "pos", "score"]).filter(pa.array(alive)).to_batches()
+
+
+def extract_edges(points: DataFrame, spans: DataFrame, threshold: float = 0.8, scale: int = 10, distance: int = 3) -> DataFrame:
+    """``(readid, pos, score)``: change points of the part of each signal that its read covers.
+
+    ``points(readid, pos, x)`` are whole signals; they are Hampel-filtered before they are cut to
+    ``spans(readid, start, end)``, the end not included, and positions stay those of the whole signal. Reads
+    without a span, or with one outside the signal, have no edges.
+    """
+    inside = hampel(points, 6, 5.0).join(spans.select("readid", "start", "end"), "readid").where("pos >= start AND pos < end")
+    return cwt_peaks(inside.select("readid", "pos", "filtered"), scale, threshold, distance, "filtered")
 
 
 def diff(borders: DataFrame) -> DataFrame:
@@ -84,14 +133,31 @@ def running_sum(rows: DataFrame, partition: list[str], order: list, value: str)
     return rows.withColumn("running", F.sum(value).over(Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
 
 
+def numbered(rows: DataFrame, partition: str, order: str, name: str = "n") -> DataFrame:
+    """Rows with their number from 0 within ``partition``, in ``order``, without sorting a whole partition in one task.
+
+    Rows are dealt by range over both columns and stored; a task numbers the rows of its range, and what
+    the ranges before it hold of the same key is added. Only counts of a range and key are joined.
+    """
+    ranged = rows.repartitionByRange(partition, order).sortWithinPartitions(partition, order).withColumns({"_range": F.spark_partition_id(), "_id": F.monotonically_increasing_id()})
+    path = scratch(rows.sparkSession, "ranges")
+    ranged.write.parquet(path)
+    stored = rows.sparkSession.read.schema(ranged.schema).parquet(path)
+    counts = stored.groupBy(partition, "_range").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(partition).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(F.col(partition).alias("_key"), "_range", (before - F.col("_first")).alias("_shift"))
+    joined = stored.join(starts, (stored["_range"] == starts["_range"]) & stored[partition].eqNullSafe(starts["_key"]))
+    return joined.select(*[stored[c] for c in rows.columns], (F.col("_id") + F.col("_shift")).alias(name))
+
+
 def rolling(observations: DataFrame, n: int = 100, range_rows: int = 5_000) -> DataFrame:
     """Mean and median of the last ``n`` values of each parameter: ``(param, seq_no, value, mean, median)``.
 
-    A parameter's rows are numbered by one sort, which spills; the frames are then computed by ranges of
-    ``range_rows`` rows that bring the ``n - 1`` rows before them along, so a hot parameter is many tasks' work.
+    Rows are numbered by ranges, and the frames are then computed by ranges of ``range_rows`` rows that bring
+    the ``n - 1`` rows before them along, so a hot parameter is many tasks' work from the beginning.
     """
     size = max(range_rows, n)
-    placed = observations.withColumn("_n", F.row_number().over(Window.partitionBy("param").orderBy("seq_no")) - 1)
+    placed = numbered(observations.select("param", "seq_no", "value"), "param", "seq_no", "_n")
     part, at = F.floor(F.col("_n") / size), F.col("_n") % size
     dealt = placed.withColumn("_part", F.explode(F.when(at > size - n, F.array(part, part + 1)).otherwise(F.array(part))))
     frame = Window.partitionBy("param", "_part").orderBy("_n").rowsBetween(-(n - 1), 0)

@@ -50,7 +50,7 @@ def _(v):
     return out.withColumns({"found_ratio": F.round("found_ratio", 9), "segmented_ratio": F.round("segmented_ratio", 9)})
 
 
-@query("e8_extract_edges", _EDGES + """, s AS (SELECT readid, pos, score, lag(score) OVER w AS l, lead(score) OVER w AS r FROM edges WINDOW w AS (PARTITION BY readid ORDER BY pos))
+@query("window_edge_peaks", _EDGES + """, s AS (SELECT readid, pos, score, lag(score) OVER w AS l, lead(score) OVER w AS r FROM edges WINDOW w AS (PARTITION BY readid ORDER BY pos))
 SELECT readid, pos, round(score, 6) AS score FROM s WHERE score > l AND score > r AND score >= 1.5""")
 def _(v):
     return windows.find_peaks(_edges(v), 1.5, 2).withColumn("score", F.round("score", 6))

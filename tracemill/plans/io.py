@@ -193,10 +193,10 @@ def _(v):
 
 @query("t2_stream_rolling_param", V("param_obs") + "SELECT param, seq_no, value, round(avg(value) OVER (PARTITION BY param ORDER BY seq_no ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), 9) AS mean FROM param_obs")
 def _(v):
-    """The streaming job over all events, read back when it has caught up; equal to the batch window."""
+    """The streaming job over all events, read back when it has caught up; equal to the batch window, though rows come out of order."""
     source, out, point = (scratch(v.spark, n) for n in ("stream-in", "stream-out", "stream-state"))
-    v.param_obs().write.parquet(source)
-    stream = v.spark.readStream.schema("param string, seq_no long, value double").parquet(source)
+    v.param_obs().repartition(6, "value").write.parquet(source)
+    stream = v.spark.readStream.schema("param string, seq_no long, value double").option("maxFilesPerTrigger", 2).parquet(source)
     jobs.stream_rolling_param(stream, 100).writeStream.format("parquet").option("path", out).option("checkpointLocation", point).outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return v.spark.read.schema("param string, seq_no long, value double, mean double").parquet(out).withColumn("mean", F.round("mean", 9))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from tracemill.functions import exprs as X
@@ -56,18 +58,45 @@ def _(v):
     return _edges(v).groupBy("readid").agg(F.count("*").alias("samples"), F.count_if(F.col("score") >= 1.5).alias("edges"))
 
 
-@query("w3_cwt_peaks")
+def _peaks_sql(source: str, height: float, distance: int, name: str = "peaks") -> str:
+    """The greedy choice as a fold: highest first, of equal ones the earlier."""
+    return f"""tops AS (SELECT readid, pos, score FROM (SELECT readid, pos, score, lag(score) OVER w AS l, lead(score) OVER w AS r FROM {source} WINDOW w AS (PARTITION BY readid ORDER BY pos)) WHERE score > l AND score > r AND score >= CAST({height} AS DOUBLE)),
+kept AS (SELECT readid, unnest(list_reduce(list([pos] ORDER BY score DESC, pos), lambda a, x: CASE WHEN len(list_filter(a, lambda q: abs(q - x[1]) < {distance})) > 0 THEN a ELSE list_concat(a, x) END)) AS pos FROM tops GROUP BY readid),
+{name} AS (SELECT readid, pos, score FROM kept JOIN tops USING (readid, pos))"""
+
+
+def _cwt_sql(source: str, value: str, scale: int) -> str:
+    """The wavelet's response and its spread."""
+    reach = 4 * scale
+    kernel = ", ".join(f"CAST({-j / scale**2 * math.exp(-(j**2) / (2 * scale**2)) / math.sqrt(scale)!r} AS DOUBLE)" for j in range(-reach, reach + 1))
+    return f"""cwt AS (SELECT readid, pos, CASE WHEN len(w) = {2 * reach + 1} THEN abs(list_inner_product(w, [{kernel}])) ELSE 0.0 END AS score FROM (SELECT readid, pos, list({value}) OVER (PARTITION BY readid ORDER BY pos ROWS BETWEEN {reach} PRECEDING AND {reach} FOLLOWING) AS w FROM {source})),
+steady AS (SELECT readid, pos, score, stddev_pop(score) OVER (PARTITION BY readid ORDER BY pos ROWS BETWEEN 3 PRECEDING AND 2 FOLLOWING) AS spread FROM cwt)"""
+
+
+@query("w3_cwt_peaks", V("points") + ", " + _cwt_sql("points", "x", 2) + ", " + _peaks_sql("cwt", 40.0, 3) + " SELECT p.readid, p.pos, round(p.score, 6) AS score FROM peaks p JOIN steady s USING (readid, pos) WHERE spread < 20")
 def _(v):
-    """Wavelet response of each series and its peaks; checked against NumPy in the tests."""
-    return windows.cwt_peaks(v.points().select("readid", "pos", "x"), 2, 40.0, 3)
+    """Wavelet response of each series and its peaks."""
+    return windows.cwt_peaks(v.points().select("readid", "pos", "x"), 2, 40.0, 3).withColumn("score", F.round("score", 6))
 
 
-@query("w3b_find_peaks_5")
+@query("w3b_find_peaks_5", V("points") + ", s AS (SELECT readid, pos, x AS score FROM points), " + _peaks_sql("s", 50.0, 5) + " SELECT readid, pos, score FROM peaks")
 def _(v):
-    """Peaks of which the higher suppress those nearer than five samples; checked against a loop in the tests."""
+    """Peaks of which the higher suppress those nearer than five samples."""
     return windows.find_peaks(v.points().select("readid", "pos", F.col("x").alias("score")), 50.0, 5)
 
 
+_SPANS = "spans AS (SELECT readid, readid % 7 AS start, max(pos) + 1 - readid % 3 AS \"end\" FROM points GROUP BY readid HAVING readid % 5 <> 0)"
+
+
+@query("e8_extract_edges", V("points") + ", " + _h(6, 5) + ", " + _SPANS + ", part AS (SELECT h.readid, pos, filtered FROM hampel h JOIN spans s ON h.readid = s.readid AND pos >= start AND pos < \"end\"), " + _cwt_sql("part", "filtered", 2) + ", " + _peaks_sql("cwt", 30.0, 6) + " SELECT p.readid, p.pos, round(p.score, 6) AS score FROM peaks p JOIN steady s USING (readid, pos) WHERE spread < 15")
+def _(v):
+    """Edges of the part of each signal that its read covers, at positions of the whole signal."""
+    points = v.points().select("readid", "pos", "x")
+    start, end = (F.col("readid") % 7).alias("start"), (F.max("pos") + 1 - F.col("readid") % 3).alias("end")
+    spans = points.groupBy("readid").agg(end).withColumn("start", start).where(F.col("readid") % 5 != 0)
+    return windows.extract_edges(points, spans, 30.0, 2, 6).withColumn("score", F.round("score", 6))
+
+
 @query("w3b_find_peaks", V("points") + """, s AS (SELECT readid, pos, x, lag(x) OVER w AS l, lead(x) OVER w AS r FROM points WINDOW w AS (PARTITION BY readid ORDER BY pos)),
 tops AS (SELECT readid, pos, x FROM s WHERE x > l AND x > r AND x >= 50)
 SELECT readid, pos, x AS score FROM tops t""")

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tracemill.operators import segment
 from tracemill.sources import sinks
@@ -29,21 +29,66 @@ def stream_segment(reads: DataFrame, model: DataFrame, out: str, checkpoint: str
     return reads.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stream_rolling_param(observations: DataFrame, n: int = 100) -> DataFrame:
-    """Mean of the last ``n`` values of each parameter after each of ``(param, seq_no, value)``."""
+class _Rolling(StatefulProcessor):
+    """Keeps of each parameter its last values, the number it expects next, and the rows that came too early."""
 
-    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = np.array(state.get[0] if state.exists else [], float)
-        new = pd.concat(list(frames)).sort_values("seq_no")
-        values = np.concatenate((last, new["value"].to_numpy(float)))
-        until = np.concatenate(([0.0], np.cumsum(values)))[len(last) + 1 :]
+    def __init__(self, n: int, consecutive: bool, first: int):
+        self.n, self.consecutive, self.first = n, consecutive, first
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last, self.early, self.next = handle.getListState("last", "value double"), handle.getListState("early", "seq_no long, value double"), handle.getValueState("next", "seq_no long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: object) -> Iterator[pd.DataFrame]:
+        last = np.array([r[0] for r in self.last.get()] if self.last.exists() else [], float)
+        waiting = np.array([tuple(r) for r in self.early.get()] if self.early.exists() else [], _WAITING)
+        expected = self.next.get()[0] if self.next.exists() else self.first
+        for frame in rows:
+            new = np.array(list(zip(frame["seq_no"].tolist(), frame["value"].tolist(), strict=True)), _WAITING)
+            waiting = np.sort(np.concatenate((waiting, new)), order="seq_no", kind="stable")
+            if self.consecutive:
+                waiting = waiting[waiting["seq_no"] >= expected]  # told before: the row came a second time
+                waiting = waiting[np.r_[True, np.diff(waiting["seq_no"]) > 0][: len(waiting)]]
+                ready = int((waiting["seq_no"] == expected + np.arange(len(waiting))).argmin()) if len(waiting) and waiting["seq_no"][-1] != expected + len(waiting) - 1 else len(waiting)
+                told, waiting = waiting[:ready], waiting[ready:]
+                expected += ready
+                if ready:
+                    out, last = self._means(key, last, told)
+                    yield out
+        if not self.consecutive and len(waiting):
+            out, last = self._means(key, last, waiting)
+            waiting = waiting[:0]
+            yield out
+        self.last.put([(float(v),) for v in last]) if len(last) else self.last.clear()
+        self.early.put([(int(s), float(v)) for s, v in waiting]) if len(waiting) else self.early.clear()
+        self.next.update((int(expected),))
+
+    def _means(self, key: tuple, last: np.ndarray, told: np.ndarray) -> tuple[pd.DataFrame, np.ndarray]:
+        values = np.concatenate((last, told["value"]))
+        total = np.concatenate(([0.0], np.cumsum(values)))
         end = np.arange(len(last) + 1, len(values) + 1)
-        begin = np.maximum(0, end - n)
-        means = (until - np.concatenate(([0.0], np.cumsum(values)))[begin]) / (end - begin)
-        state.update((values[-n:].tolist(),))
-        yield pd.DataFrame({"param": key[0], "seq_no": new["seq_no"].to_numpy(), "value": new["value"].to_numpy(), "mean": means})
+        begin = np.maximum(0, end - self.n)
+        return pd.DataFrame({"param": key[0], "seq_no": told["seq_no"], "value": told["value"], "mean": (total[end] - total[begin]) / (end - begin)}), values[-self.n :]
+
+    def close(self) -> None:
+        pass
+
 
-    return observations.groupBy("param").applyInPandasWithState(update, "param string, seq_no long, value double, mean double", "last array<double>", "append", "NoTimeout")
+_WAITING = np.dtype([("seq_no", np.int64), ("value", float)])
+
+
+def stream_rolling_param(observations: DataFrame, n: int = 100, consecutive: bool = True, first: int = 1) -> DataFrame:
+    """Mean of the last ``n`` values of each parameter after each of ``(param, seq_no, value)``.
+
+    Numbers that go up by one from ``first`` on give every row once, in order, with the mean of the batch
+    window, in whatever order and batches the rows arrive: a row that comes before its turn waits in the
+    state, one that comes again is passed over. Where numbers have gaps (``consecutive`` false) each
+    micro-batch is taken in order after those before it. A parameter's rows come in frames of Arrow's
+    batch size, so only what waits is held beside a frame. Sets the session's state store to RocksDB,
+    which this kind of state needs.
+    """
+    observations.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = observations.select("param", "seq_no", "value").groupBy("param")
+    return rows.transformWithStateInPandas(_Rolling(n, consecutive, first), "param string, seq_no long, value double, mean double", "Append", "None")
 
 
 def stream_counters(rows: DataFrame, q: float = 10.0) -> DataFrame:
