@@ -5,11 +5,11 @@ are kept, packed as two bit planes; bands of ROWS full minima give its buckets.
 are candidates; their similarity is estimated by counting the bits in which the planes agree, less the
 quarter that agrees by chance, and what is not clearly below the threshold is confirmed on whole sets.
 
-A bucket may hold a crowd of near copies, so pairs are looked at in three rounds, each of which leaves
-out pairs that the links confirmed before have brought into one class: first every member with the
-bucket's first one, then for each member outside the bucket's largest class its best partner, and in
-the end all that is left. The last round covers every pair of a bucket that is not in one class by
-then, so no bucket is capped; a large one is dealt in blocks.
+A bucket may hold a crowd of near copies, so its pairs are never written out. First every member is
+linked with the bucket's first one. Where that leaves more than one class, the members outside the
+largest class are compared with all members by their signatures, in blocks; the sets of those that have
+a candidate travel to the block once, and what is confirmed there comes back as a forest. So every pair
+of a bucket that is not in one class by then is looked at, and no bucket is capped.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ LEAST_ESTIMATE = 0.63
 #: Bytes of a bit plane, padded to whole 64-bit words.
 PLANE = -(-PERMUTATIONS // 64) * 8
 #: Members of a block, of which a large bucket is made; rows of buckets that are compared together.
-BLOCK, TOGETHER = 1000, 20_000
+BLOCK, TOGETHER = 500, 20_000
 
 _U = np.uint64
 _FACTOR = np.random.default_rng(1109).integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) * _U(2) + _U(1)
@@ -141,17 +141,21 @@ def _agreeing(batches: Iterator[pa.RecordBatch], share: int) -> Iterator[pa.Reco
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
-def confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, share: int) -> DataFrame:
-    """The ``pairs(a, b)`` of nodes whose whole sets are alike enough.
+def sets_of(docs: DataFrame, nodes: DataFrame, needed: DataFrame, shingle: int) -> DataFrame:
+    """``(node, set)`` of the ``needed(node)``.
 
-    Only the texts of nodes that are in a pair are read again for their sets: a bitmap of fixed size
-    lets through a few more, which the join drops.
+    Only the texts of those nodes are read again for their sets: a bitmap of fixed size lets through a
+    few more, which the join drops.
     """
-    spark = docs.sparkSession
-    needed = materialise(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "key", "digest"), "node"), "needed")
-    bits = spark.sparkContext.broadcast(bitmap(needed.select("key")))
+    known = materialise(needed.distinct().join(nodes.select("node", "key", "digest"), "node"), "needed")
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(known.select("key")))
     found = _keyed(docs).select("key", "text").mapInArrow(releasing(partial(_sets, shingle=shingle, bits=bits)), "digest binary, set binary")
-    sets = materialise(found.join(needed.select("node", "digest"), "digest").groupBy("node").agg(F.first("set").alias("set")), "sets")
+    return materialise(found.join(known.select("node", "digest"), "digest").groupBy("node").agg(F.first("set").alias("set")), "sets")
+
+
+def confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, share: int) -> DataFrame:
+    """The ``pairs(a, b)`` of nodes whose whole sets are alike enough."""
+    sets = sets_of(docs, nodes, pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))), shingle)
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
     return materialise(both.select("a", "b", "sa", "sb").mapInArrow(releasing(partial(_agreeing, share=share)), "a long, b long"), "links")
 
@@ -162,36 +166,72 @@ def _estimated(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.R
             yield batch.select([0, 1]).filter(pa.array(estimates(_words64(batch.column(2)), _words64(batch.column(3))) >= least))
 
 
-def _compared(batches: Iterator[pa.RecordBatch], least: float, share: int, best: bool) -> Iterator[pa.RecordBatch]:
-    """Candidates of units: members of one block outside the main class against a block of all members."""
-    for table in portions(batches, ["bucket", "p", "q"], TOGETHER):
-        unit = np.column_stack([table.column(c).to_numpy() for c in ("bucket", "p", "q")])
+_UNIT = ["bucket", "p", "q"]
+
+
+def _compared(batches: Iterator[pa.RecordBatch], least: float, share: int) -> Iterator[pa.RecordBatch]:
+    """Members of units that have a candidate: some of one block outside the main class, some of a block of all members."""
+    for table in portions(batches, _UNIT, TOGETHER):
+        unit = np.column_stack([table.column(c).to_numpy() for c in _UNIT])
         border = np.flatnonzero(np.r_[True, (unit[1:] != unit[:-1]).any(axis=1)])
-        node, cls, n, few = (table.column(c).to_numpy(zero_copy_only=False) for c in ("node", "class", "n", "few"))
-        sig = _words64(table.column("sig"))
-        out: list[np.ndarray] = []
+        cls, n, few = (table.column(c).to_numpy(zero_copy_only=False) for c in ("class", "n", "few"))
+        sig, met = _words64(table.column("sig")), np.zeros(len(unit), bool)
         for lo, hi in zip(border, np.r_[border[1:], len(unit)], strict=True):
             own, all_ = lo + np.flatnonzero(few[lo:hi]), lo + np.flatnonzero(~few[lo:hi])
             for k in range(0, len(own), 64):
                 x = own[k : k + 64]
-                near = estimates(sig[x][:, None], sig[all_][None])
                 small, large = np.minimum(n[x][:, None], n[all_][None]), np.maximum(n[x][:, None], n[all_][None])
-                near[(cls[x][:, None] == cls[all_][None]) | (100 * small < share * large)] = -1
-                if not near.size:
-                    continue
-                if best:
-                    at = near.argmax(axis=1)
-                    i = np.flatnonzero(near[np.arange(len(x)), at] >= least)
-                    j = at[i]
-                else:
-                    i, j = np.nonzero(near >= least)
-                out.append(np.column_stack((node[x[i]], node[all_[j]])))
-        pairs = np.sort(np.concatenate(out), axis=1) if out else np.zeros((0, 2), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-
-def _left(members: DataFrame, nodes: DataFrame, links: DataFrame, best: bool, share: int) -> DataFrame:
-    """Candidate pairs within buckets whose members are not yet of one class; the first member has been compared with all."""
+                near = (estimates(sig[x][:, None], sig[all_][None]) >= least) & (cls[x][:, None] != cls[all_][None]) & (100 * small >= share * large)
+                met[x] |= near.any(axis=1)
+                met[all_] |= near.any(axis=0)
+        yield from table.select([*_UNIT, "few", "node", "class"]).filter(pa.array(met)).to_batches()
+
+
+def common_counts(index: tuple[np.ndarray, np.ndarray, int], own: np.ndarray) -> np.ndarray:
+    """How many elements ``own`` has in common with each of some sets, given as the sorted elements of all, whose each is, and their number."""
+    values, owner, n = index
+    first, last = np.searchsorted(values, own, "left"), np.searchsorted(values, own, "right")
+    size = last - first
+    at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first, size)
+    return np.bincount(owner[at], minlength=n)
+
+
+def _confirmed_within(batches: Iterator[pa.RecordBatch], share: int) -> Iterator[pa.RecordBatch]:
+    """Confirmed links of units, a forest over each one's classes."""
+    for table in portions(batches, _UNIT, 1):
+        unit = np.column_stack([table.column(c).to_numpy() for c in _UNIT])
+        border = np.flatnonzero(np.r_[True, (unit[1:] != unit[:-1]).any(axis=1)])
+        few, node, cls = (table.column(c).to_numpy(zero_copy_only=False) for c in ("few", "node", "class"))
+        out = []
+        for lo, hi in zip(border, np.r_[border[1:], len(unit)], strict=True):
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("set").slice(lo, hi - lo)]
+            own, all_ = np.flatnonzero(few[lo:hi]), np.flatnonzero(~few[lo:hi])
+            if not len(own) or not len(all_):
+                continue
+            size = np.array([len(sets[j]) for j in all_])
+            values, owner = np.concatenate([sets[j] for j in all_]), np.repeat(np.arange(len(all_)), size)
+            order = np.argsort(values)
+            index = (values[order], owner[order], len(all_))
+            root = {c: c for c in cls[lo:hi].tolist()}
+
+            def top(c: int, root: dict[int, int] = root) -> int:
+                while root[c] != c:
+                    root[c] = root[root[c]]
+                    c = root[c]
+                return c
+
+            for i in own:
+                common = common_counts(index, sets[i])
+                for j in np.flatnonzero(100 * common >= share * (len(sets[i]) + size - common)):
+                    a, b = top(int(cls[lo + i])), top(int(cls[lo + all_[j]]))
+                    if a != b:
+                        root[a] = b
+                        out.append((node[lo + i], node[lo + all_[j]]))
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
+
+
+def links_left(docs: DataFrame, members: DataFrame, nodes: DataFrame, links: DataFrame, shingle: int, share: int) -> DataFrame:
+    """Confirmed links within buckets whose members are not yet of one class; the first member has been compared with all."""
     classes = connected_components(links)
     labelled = materialise(members.join(classes, "node", "left").select("bucket", "first", "node", F.coalesce("component", "node").alias("class")), "labelled")
     sizes = labelled.groupBy("bucket", "class").agg(F.count("*").alias("m"))
@@ -201,8 +241,13 @@ def _left(members: DataFrame, nodes: DataFrame, links: DataFrame, best: bool, sh
     p, q = (F.pmod(F.xxhash64("node", F.lit(k)), F.col(c)).cast("int") for k, c in enumerate(("np", "nq")))
     few = rows.where(F.col("class") != F.col("main")).select("bucket", p.alias("p"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("q"), F.lit(True).alias("few"), "node", "class", "n", "sig")
     many = rows.select("bucket", F.explode(F.sequence(F.lit(0), F.col("np") - 1)).alias("p"), q.alias("q"), F.lit(False).alias("few"), "node", "class", "n", "sig")
-    units = few.unionByName(many).repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q")
-    return materialise(units.mapInArrow(releasing(partial(_compared, least=LEAST_ESTIMATE, share=share, best=best)), "a long, b long").distinct(), "candidates")
+    units = few.unionByName(many).repartition(*_UNIT).sortWithinPartitions(*_UNIT)
+    met = materialise(units.mapInArrow(releasing(partial(_compared, least=LEAST_ESTIMATE, share=share)), "bucket long, p int, q int, few boolean, node long, class long"), "candidates")
+    if not met.limit(1).count():
+        return links
+    whole = met.join(sets_of(docs, nodes, met.select("node"), shingle), "node").repartition(*_UNIT).sortWithinPartitions(*_UNIT)
+    found = whole.select(*_UNIT, "few", "node", "class", "set").mapInArrow(releasing(partial(_confirmed_within, share=share)), "a long, b long")
+    return links.unionByName(materialise(found, "links"))
 
 
 def signed_nodes(docs: DataFrame, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
@@ -228,12 +273,7 @@ def links_of(docs: DataFrame, nodes: DataFrame, members: DataFrame, shingle: int
     alike = stars.where(100 * F.least("n_a", "n_b") >= share * F.greatest("n_a", "n_b")).select("a", "b", "sig_a", "sig_b")
     pairs = materialise(alike.mapInArrow(releasing(partial(_estimated, least=LEAST_ESTIMATE)), "a long, b long"), "candidates")
     links = confirmed(docs, nodes, pairs, shingle, share)
-    for best in (True, False):
-        pairs = _left(members.where("m > 2"), nodes, links, best, share)
-        if not pairs.limit(1).count():
-            break
-        links = links.unionByName(confirmed(docs, nodes, pairs, shingle, share))
-    return links
+    return links_left(docs, members.where("m > 2"), nodes, links, shingle, share)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, share: int = SHARE) -> DataFrame:
