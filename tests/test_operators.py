@@ -333,6 +333,31 @@ def test_fit_in_batches(spark, tmp_path):
     assert len(train.fit(lambda m: segment.prepare_reads(df, m, 2), model, 1, 2, str(tmp_path / "d"), batch_size=4, max_batches=1)[2]) == 1
 
 
+def test_batches_are_prepared_once(spark, tmp_path):
+    from tracemill.operators import train
+
+    """A step reads its own batch only, whatever came before; the state stays bounded."""
+    model = spark.createDataFrame([("A", 1.0, 0.5), ("C", 3.0, 0.5)], "kmer string, level_mean double, level_stdv double")
+    rng = np.random.default_rng(2)
+    rows = [(f"r{k:03}", "ACAC", np.repeat([1.0, 3, 1, 3], 3) + rng.normal(0, 0.1, 12)) for k in range(40)]
+    df = spark.createDataFrame([(i, s, x.tolist()) for i, s, x in rows], "readid string, seq string, x array<double>")
+    calls = []
+
+    def prepare(m):
+        calls.append(1)
+        return segment.prepare_reads(df, m, 1)
+
+    _, _, changes = train.fit(prepare, model, 2, 1, str(tmp_path / "c"), batch_size=10, max_batches=3)
+    assert len(calls) == 1 and len(changes) == 6
+    for e in range(2):
+        for b in range(3):
+            counts = spark.read.parquet(str(tmp_path / "c" / f"counts-{e}-{b}"))
+            assert {r.readid for r in counts.select("readid").distinct().collect()} == {f"r{k:03}" for k in range(10 * b, 10 * b + 10)}
+    state = spark.read.parquet(str(tmp_path / "c" / "state-1-2"))
+    assert {len(r.seen) for r in state.collect()} == {61}
+    assert {len(r.seen) for r in train.merge_history(state.select("param", "seen"), train.observations(counts.withColumn("tail", F.lit(None).cast("double"))), 20).collect()} == {20}
+
+
 def test_blocks_and_band():
     rng = np.random.default_rng(6)
     mu = rng.normal(0, 1, 120)

@@ -33,6 +33,8 @@ CONTAINED = 100
 HOT, MOST_HOT = 50_000, 2_000
 #: Text and suffixes that are at hand at once.
 TEXT_BYTES, SUFFIXES = 8 << 20, 250_000
+#: Suffixes that a task gathers before it passes them on.
+HELD = 1_000_000
 #: Partial tops for each language before the last ranking.
 SALTS = 64
 
@@ -105,40 +107,58 @@ def _count_pairs(batches: Iterator[pa.RecordBatch], words: object) -> Iterator[p
 _W = [f"w{k}" for k in range(1, MOST + 1)]
 
 
+def _combined(rows: np.ndarray, n: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Equal suffixes as one row with their summed counts."""
+    mixed = rows[:, 0]
+    for k in range(1, MOST):
+        mixed = mix(mixed * _U(3) + rows[:, k])
+    order = np.argsort(mixed)
+    rows = rows[order]
+    first = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]).any(axis=1)]) if len(rows) else np.zeros(0, np.int64)
+    return rows[first], np.add.reduceat(n[order], first) if len(first) else n, whole[order][first]
+
+
+def _of_portion(lang: str, tokens: list[bytes], words: np.ndarray, pairs: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    h, ok = _frequent(lang, tokens, words)
+    both = np.flatnonzero(ok[:-1] & ok[1:])
+    key = pair_keys(h[both], h[both + 1], lang)
+    goes_on = np.zeros(len(h) + MOST, bool)
+    goes_on[both] = in_bitmap(pairs, key)
+    padded = np.concatenate((h, np.zeros(MOST, np.uint64)))
+    key, at = key[goes_on[both]], both[goes_on[both]]
+    rows = np.zeros((len(at), MOST), np.uint64)
+    rows[:, 0] = h[at]
+    alive = np.ones(len(at), bool)
+    for k in range(1, MOST):
+        alive &= goes_on[at + k - 1]
+        rows[:, k] = np.where(alive, padded[at + k], _U(0))
+    return _combined(rows, np.ones(len(rows), np.int64), np.where(np.isin(key, hot), MOST, 2).astype(np.int32))
+
+
 def _suffixes(batches: Iterator[pa.RecordBatch], words: object, pairs: object, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """``(lang, w1.., n, whole)``: different suffixes of a portion and how often each occurs; w is 0 after the last word.
+    """``(lang, w1.., n, whole)``: different suffixes of a task's texts and how often each occurs; w is 0 after the last word.
 
     ``whole`` is the length from which phrases are counted in one place: 2, or MOST for openings in ``hot``.
     """
+    held: dict[str, list[tuple[np.ndarray, ...]]] = {}
+    count = 0
+
+    def told() -> Iterator[pa.RecordBatch]:
+        for lang, parts in held.items():
+            rows, n, whole = _combined(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+            for k in range(0, len(rows), 50_000):
+                own = slice(k, k + 50_000)
+                columns = [pa.array(rows[own, j].view(np.int64)) for j in range(MOST)]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n[own]), pa.string()), *columns, pa.array(n[own]), pa.array(whole[own])], ["lang", *_W, "n", "whole"])
+        held.clear()
+
     for lang, tokens in _by_lang(batches):
-        h, ok = _frequent(lang, tokens, words.value)
-        if len(h) < 2:
-            continue
-        both = np.flatnonzero(ok[:-1] & ok[1:])
-        key = pair_keys(h[both], h[both + 1], lang)
-        goes_on = np.zeros(len(h) + MOST, bool)
-        goes_on[both] = in_bitmap(pairs.value, key)
-        padded = np.concatenate((h, np.zeros(MOST, np.uint64)))
-        at = both[goes_on[both]]
-        key = key[goes_on[both]]
-        rows = np.zeros((len(at), MOST), np.uint64)
-        rows[:, 0] = h[at]
-        alive = np.ones(len(at), bool)
-        for k in range(1, MOST):
-            alive &= goes_on[at + k - 1]
-            rows[:, k] = np.where(alive, padded[at + k], _U(0))
-        mixed = rows[:, 0]
-        for k in range(1, MOST):
-            mixed = mix(mixed * _U(3) + rows[:, k])
-        order = np.argsort(mixed)
-        rows, key = rows[order], key[order]
-        first = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]).any(axis=1)]) if len(rows) else np.zeros(0, np.int64)
-        n = np.diff(np.r_[first, len(rows)])
-        whole = np.where(np.isin(key[first], hot), MOST, 2).astype(np.int32)
-        for k in range(0, len(first), 50_000):
-            own = slice(k, k + 50_000)
-            columns = [pa.array(rows[first[own], j].view(np.int64)) for j in range(MOST)]
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n[own]), pa.string()), *columns, pa.array(n[own]), pa.array(whole[own])], ["lang", *_W, "n", "whole"])
+        held.setdefault(lang, []).append(part := _of_portion(lang, tokens, words.value, pairs.value, hot))
+        count += len(part[0])
+        if count > HELD:
+            yield from told()
+            count = 0
+    yield from told()
 
 
 def multikey_quicksort(words: np.ndarray, weight: np.ndarray, least: int, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

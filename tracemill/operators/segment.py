@@ -58,11 +58,17 @@ def prepare_reads(reads: DataFrame, model: DataFrame, k: int = 5, window: int =
     signal = F.coalesce("signalid", F.col("readid").cast("string")) if "signalid" in reads.columns else F.col("readid").cast("string")
     plain = reads.select("readid", signal.alias("signalid"), "seq", "x", F.coalesce(F.size("x"), F.lit(0)).alias("n_samples"))
     checked = filters.validate(plain, k).withColumn("error", F.coalesce(F.when(F.col("x").isNull(), "no signal"), F.when(F.col("seq").isNull(), "no sequence"), "error"))
-    filtered = checked.select("readid", "signalid", "seq", hampel_array(F.col("x"), window, n_sigmas).alias("x"), "error", F.md5("seq").alias("_seq"))
+    filtered = checked.select("readid", "signalid", "seq", hampel_array(F.col("x"), window, n_sigmas).alias("x"), "error")
+    return with_levels(filtered, model, k, is_rna)
+
+
+def with_levels(reads: DataFrame, model: DataFrame, k: int = 5, is_rna: bool = False) -> DataFrame:
+    """``(readid, signalid, seq, x, mu, sd, error)``: filtered reads with the levels of their k-mers, joined by the sequence."""
+    rows = reads.select("readid", "signalid", "seq", "x", "error", F.md5("seq").alias("_seq"))
     levels = model.select(F.reverse("kmer").alias("kmer"), "level_mean", "level_stdv") if is_rna else model
-    kmers = checked.where("error IS NULL").select(F.md5("seq").alias("_seq"), "seq").dropDuplicates(["_seq"]).select("_seq", F.posexplode(X.kmers(F.col("seq"), k)).alias("n", "kmer"))
+    kmers = rows.where("error IS NULL").select("_seq", "seq").dropDuplicates(["_seq"]).select("_seq", F.posexplode(X.kmers(F.col("seq"), k)).alias("n", "kmer"))
     found = joins.attach_levels(kmers, levels).groupBy("_seq").agg(F.array_sort(F.collect_list(F.struct("n", "level_mean", "level_stdv"))).alias("lv"))
-    out = filtered.join(found, "_seq", "left")
+    out = rows.join(found, "_seq", "left")
     complete = F.size("lv") == F.length("seq") - k + 1
     error = F.coalesce(F.col("error"), F.when(~F.coalesce(complete, F.lit(False)), "k-mer outside the model"))
     none = F.array().cast("array<double>")

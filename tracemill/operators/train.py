@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.operators import aggs, joins, segment, windows
+from tracemill.sources.scratch import scratch
 
 #: Reads of a batch, the observations that a rolling mean looks back on, and the least mean of a plausible tail.
 BATCH, HISTORY, LEAST_TAIL = 24, 100, 0.5
@@ -56,52 +57,81 @@ def new_transitions(counts: DataFrame, params: dict[str, float]) -> dict[str, fl
     return params | {name: math.log(v) for name, v in found.items() if v and v > 0}
 
 
+def history(model: DataFrame) -> DataFrame:
+    """``(param, seen)``: the state that batches are merged into, each k-mer's own levels as its first observation."""
+    return model.select(F.col("kmer").alias("param"), F.array(F.struct("level_mean", "level_stdv")).alias("seen"))
+
+
+def merge_history(state: DataFrame, new: DataFrame, n: int = HISTORY) -> DataFrame:
+    """``(param, seen)`` with a batch's observations ``(param, seq_no, level_mean, level_stdv)`` behind those seen so far.
+
+    Only the last ``n`` stay, so the state is bounded however many batches there were; a batch adds one
+    observation a read at most. Parameters that are new begin with the batch.
+    """
+    own = new.groupBy("param").agg(F.array_sort(F.collect_list(F.struct("seq_no", "level_mean", "level_stdv"))).alias("new"))
+    fresh = F.transform(F.coalesce("new", F.array().cast(own.schema["new"].dataType)), lambda o: F.struct(o["level_mean"].alias("level_mean"), o["level_stdv"].alias("level_stdv")))
+    both = F.concat(F.coalesce("seen", F.array().cast(state.schema["seen"].dataType)), fresh)
+    return state.join(own, "param", "full").select("param", F.slice(both, F.greatest(F.size(both) - n + 1, F.lit(1)), F.lit(n)).alias("seen"))
+
+
+def model_of(state: DataFrame) -> DataFrame:
+    """``(kmer, level_mean, level_stdv)``: means of what the state has seen."""
+    mean = lambda c: F.aggregate("seen", F.lit(0.0), lambda s, o: s + o[c]) / F.size("seen")
+    return state.select(F.col("param").alias("kmer"), mean("level_mean").alias("level_mean"), mean("level_stdv").alias("level_stdv"))
+
+
+def _kept(df: DataFrame, path: str, *partition: str) -> DataFrame:
+    """Written to ``path`` and read back, which cuts the lineage: executors may be lost."""
+    df.write.mode("overwrite").partitionBy(*partition).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def fit(
     prepare: Callable[[DataFrame], DataFrame], model: DataFrame, epochs: int = 1, k: int = 5, checkpoint: str | None = None, params: dict[str, float] = segment.PARAMS,
-    batch_size: int | None = None, max_batches: int | None = None, log: str | None = None,
+    batch_size: int | None = None, max_batches: int | None = None, log: str | None = None, is_rna: bool = False,
 ) -> tuple[DataFrame, dict[str, float], list[float]]:
     """Train for some epochs; ``prepare(model)`` gives the prepared reads. Returns the model, the transitions and the mean score change of each step.
 
     Without a ``batch_size`` each epoch is one step over the pooled counts of all reads. With one, reads are
-    taken in batches in order of readid, the last partial batch is left out, and after each batch the levels are
-    the rolling means of all reads so far. Each step's model goes to ``checkpoint`` (which cuts the lineage, so
-    executors may be lost), and a row with its step, transitions and score change to ``log``.
+    prepared once, and taken in batches in order of readid, the last partial batch left out: they are stored
+    by batch, so a step reads its own reads only, joins them to the current levels and merges what they tell
+    into the last HISTORY observations of each k-mer; the levels are the means of those. So the work is in
+    proportion to the batches. Each step's model goes to ``checkpoint`` (in batches a shared scratch folder
+    where there is none), and a row with its step, transitions and score change to ``log``.
     """
     changes: list[float] = []
-    first, seen = model, None
+    spark = model.sparkSession
+    if batch_size and not checkpoint:
+        checkpoint = scratch(spark, "fit")
+    reads, numbers, state = None, range(1), None
+    if batch_size:
+        prepared = prepare(model)
+        ids = windows.batch_no(prepared.where("error IS NULL").select("readid"), ["readid"], batch_size)
+        reads = _kept(prepared.join(ids, "readid").repartition("batch"), f"{checkpoint}/reads", "batch")
+        count = reads.agg(F.max("batch")).first()[0]
+        numbers = range(0 if count is None else min(count + 1, max_batches or count + 1))
+        state = _kept(history(model), f"{checkpoint}/state-start")
     for epoch in range(epochs):
-        reads = prepare(model)
-        batches = [(0, lambda rows: rows)]
-        if batch_size:
-            ids = windows.batch_no(reads.where("error IS NULL").select("readid"), ["readid"], batch_size)
+        for b in numbers:
+            chosen = (lambda m, b=b: segment.with_levels(reads.where(F.col("batch") == b), m, k, is_rna)) if batch_size else prepare
+            counts = segment.expected_counts(chosen(model), k, params)
             if checkpoint:
-                ids.write.mode("overwrite").parquet(f"{checkpoint}/batches-{epoch}")
-                ids = ids.sparkSession.read.schema(ids.schema).parquet(f"{checkpoint}/batches-{epoch}")
-            count = ids.agg(F.max("batch")).first()[0]
-            numbers = range(0 if count is None else min(count + 1, max_batches or count + 1))
-            batches = [(b, lambda rows, b=b: rows.join(ids.where(F.col("batch") == b).select("readid"), "readid", "left_semi")) for b in numbers]
-        for b, chosen in batches:
-            counts = segment.expected_counts(chosen(prepare(model)), k, params)
+                counts = _kept(counts, f"{checkpoint}/counts-{epoch}-{b}")
             before = counts.groupBy("readid").agg(F.first("zf").alias("z"))
             if batch_size:
-                own = observations(counts)
-                seen = own if seen is None else seen.unionByName(own)
-                if checkpoint:
-                    own.write.mode("overwrite").parquet(f"{checkpoint}/seen-{epoch}-{b}")
-                    seen = own.sparkSession.read.schema(own.schema).parquet(*[f"{checkpoint}/seen-{e}-{x}" for e in range(epoch + 1) for x in range(b + 1 if e == epoch else len(batches))])
-                new = rolling_model(seen, first)
+                state = _kept(merge_history(state, observations(counts)), f"{checkpoint}/state-{epoch}-{b}")
+                new = model_of(state)
             else:
                 new = aggs.emission_update(plausible(counts), model)
             params = new_transitions(counts, params)
             if checkpoint:
-                new.write.mode("overwrite").parquet(f"{checkpoint}/model-{epoch}-{b}")
-                new = new.sparkSession.read.schema(model.schema).parquet(f"{checkpoint}/model-{epoch}-{b}")
-            after = segment.log_likelihood(chosen(prepare(new)), params).where("error IS NULL").select("readid", F.col("zf").alias("z"))
+                new = _kept(new.select(*model.columns), f"{checkpoint}/model-{epoch}-{b}")
+            after = segment.log_likelihood(chosen(new), params).where("error IS NULL").select("readid", F.col("zf").alias("z"))
             changes.append(aggs.mean_delta_z(joins.pair_pre_post(before, after)).first()[0])
             if log:
                 from tracemill.sources import sinks
 
                 row = (epoch, b, *(params[n] for n in ("m1", "e1", "e2")), changes[-1])
-                sinks.write_param_log(new.sparkSession.createDataFrame([row], "epoch int, batch int, m1 double, e1 double, e2 double, zchange double"), log)
+                sinks.write_param_log(spark.createDataFrame([row], "epoch int, batch int, m1 double, e1 double, e2 double, zchange double"), log)
             model = new
     return model, params, changes

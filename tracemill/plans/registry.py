@@ -3,6 +3,6 @@
 from __future__ import annotations
 
 from tracemill.plans.base import ORACLE_SQL, QUERIES
-from tracemill.plans import borders, compositions, io, metrics, polish, segmentation, sequences, series  # noqa: F401  (they register themselves)
+from tracemill.plans import borders, compositions, io, metrics, polish, segmentation, lattice, sequences, series  # noqa: F401  (they register themselves)
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -57,12 +57,6 @@ def _(v):
     return segment.segment_invariants(found).join(ends, "readid")
 
 
-@query("a5_segment_reads")
-def _(v):
-    """Segments of every series; held against a brute-force search over all paths in the tests."""
-    return segment.segment_reads(_prepared(v))
-
-
 @query("a16_segment_invariants", V("event_reads") + """SELECT readid, length(seq) - 4 AS segments, CAST(0 AS BIGINT) AS gaps, CAST(0 AS BIGINT) AS empty, CAST(len(x) AS INTEGER) AS last_end
 FROM event_reads WHERE length(seq) >= 5 AND len(x) >= 2 * (length(seq) - 4)""")
 def _(v):
@@ -81,11 +75,6 @@ def _(v):
     return segment.band_rows(_prepared(v), 20)
 
 
-@query("a6_log_likelihood")
-def _(v):
-    return segment.log_likelihood(_prepared(v))
-
-
 @query("f10_z_consistent", V("event_reads") + "SELECT count(*) AS reads, CAST(0 AS BIGINT) AS inconsistent FROM event_reads WHERE length(seq) >= 5 AND len(x) >= 2 * (length(seq) - 4)")
 def _(v):
     from tracemill.operators.filters import z_consistent
@@ -94,32 +83,12 @@ def _(v):
     return rows.agg(F.count("*").alias("reads"), F.count_if(F.col("error").isNotNull()).alias("inconsistent"))
 
 
-@query("a7_expected_counts")
-def _(v):
-    return segment.expected_counts(_prepared(v))
-
-
 @query("a7_expected_weight", V("event_reads") + "SELECT readid, CAST(len(x) AS BIGINT) AS weight FROM event_reads WHERE length(seq) >= 5 AND len(x) >= 2 * (length(seq) - 4)")
 def _(v):
     """Every sample belongs to some k-mer: expected weights sum to the number of samples."""
     return segment.expected_counts(_prepared(v)).groupBy("readid").agg(F.round(F.sum("w")).cast("long").alias("weight"))
 
 
-@query("a17_posterior_rows")
-def _(v):
-    return segment.posterior_rows(_prepared(v))
-
-
-@query("g25_base_posterior")
-def _(v):
-    return aggs.base_posterior(segment.posterior_rows(_prepared(v)))
-
-
-@query("a9_train_pooled")
-def _(v):
-    return train.train_pooled(_prepared(v), v.model())
-
-
 @query("a10_fit")
 def _(v):
     """An epoch over the pooled counts of all reads, with new transitions and the scores before and after; held against known levels in the tests."""
@@ -127,9 +96,24 @@ def _(v):
     return new.withColumns({"m1": F.lit(params["m1"]), "e2": F.lit(params["e2"]), "zchange": F.lit(changes[-1])})
 
 
-@query("a8_train_rolling")
+@query("a10_fit_batches")
 def _(v):
-    return train.train_rolling(_prepared(v), v.model())
+    """Steps over batches of 24 reads, the first four; the model after them. Held against loops in the tests."""
+    return train.fit(lambda m: _prepared(v, m), v.model(), batch_size=train.BATCH, max_batches=4)[0]
+
+
+@query("a8_merge_history", V("param_obs") + """SELECT param, count(*) AS observations, round(avg(value), 9) AS level_mean, round(avg(2 * value), 9) AS level_stdv
+FROM (SELECT *, row_number() OVER (PARTITION BY param ORDER BY seq_no DESC) AS back FROM param_obs) WHERE back <= 100 GROUP BY param""")
+def _(v):
+    """The state of the last hundred observations, merged from three batches; equal to the last hundred of all."""
+    rows = v.param_obs().select("param", "seq_no", F.col("value").alias("level_mean"), (F.col("value") * 2).alias("level_stdv"))
+    last = rows.agg(F.max("seq_no")).first()[0] or 0
+    state = rows.limit(0).select("param", F.array(F.struct("level_mean", "level_stdv")).alias("seen"))
+    for lo, hi in ((0, last // 2), (last // 2, last - 30), (last - 30, last)):
+        state = train.merge_history(state, rows.where((F.col("seq_no") > lo) & (F.col("seq_no") <= hi)))
+    return train.model_of(state).join(state.select(F.col("param").alias("kmer"), F.size("seen").cast("long").alias("observations")), "kmer").select(
+        F.col("kmer").alias("param"), "observations", F.round("level_mean", 9).alias("level_mean"), F.round("level_stdv", 9).alias("level_stdv")
+    )
 
 
 # k-mers from G on have no weight, so they keep their levels
@@ -142,9 +126,3 @@ def _(v):
     w = (F.col("kmer") < "G").cast("double")
     stats = v.event_kmers().select("kmer", w.alias("w"), (w * n).alias("wx"), (w * n * n).alias("wxx"))
     return aggs.emission_update(stats, v.model()).select("kmer", F.round("level_mean", 6).alias("level_mean"), F.round("level_stdv", 6).alias("level_stdv"))
-
-
-@query("g21_transition_update")
-def _(v):
-    counts = segment.expected_counts(_prepared(v)).select("readid", "m1", "e2").distinct()
-    return aggs.transition_update(counts)
