@@ -1,14 +1,114 @@
-"""The five-state lattice against all paths, and on a signal with a changed k-mer."""
+"""The five-state lattice against a plain one with an edge list and against all paths, and on a signal with a changed k-mer."""
 
 import math
 
 import numpy as np
 import pytest
 
+from tracemill.functions import exprs as X
 from tracemill.operators import polish, segment
-
-
-def all_paths(p: polish.Polisher):
+from tracemill.operators.polish import STEPS, kmer_posteriors
+
+
+def _hamming(a: int, b: int) -> int:
+    x, n = a ^ b, 0
+    while x:
+        n += bool(x & 3)
+        x >>= 2
+    return n
+
+
+def _likely(log_p: np.ndarray, mass: float) -> np.ndarray:
+    order = np.argsort(-log_p, kind="stable")
+    before = np.concatenate(([0.0], np.cumsum(np.exp(log_p[order]))[:-1]))
+    return np.sort(order[before < mass])
+
+
+class Polisher:
+    """The same lattice with a dictionary of nodes and a list of edges, and cells of its own."""
+
+    def __init__(self, x: np.ndarray, kmers: list[int], mean: np.ndarray, stdv: np.ndarray, k: int, params: dict[str, float], mass: float = 0.97797, simple: dict[str, float] = segment.PARAMS):
+        self.k, self.T, self.N = k, len(x), len(kmers)
+        z = (x[:, None] - mean) / stdv
+        pdf = np.where(np.isfinite(mean), -0.5 * z * z - np.log(stdv) - X.LOG_2PI / 2, -np.inf)
+        plain = segment.Lattice(x, mean[kmers], stdv[kmers], simple)
+        pM, pE = plain.posteriors()
+        by_position = np.logaddexp(pM, pE)[1:, 1:]
+        by_kmer = kmer_posteriors(pdf, k, simple["m1"], simple["e2"])
+        self.cells = {(0, 0, -1)}
+        for t in range(self.T):
+            likely = set(_likely(by_kmer[t], mass).tolist())
+            for n in _likely(by_position[t], mass).tolist():
+                self.cells |= {(t + 1, n + 1, q) for q in likely | {kmers[n]} if np.isfinite(pdf[t, q])}
+        self._edges(pdf, kmers, params)
+        self._sums()
+
+    def _edges(self, pdf: np.ndarray, kmers: list[int], params: dict[str, float]) -> None:
+        """Nodes and weighted edges, every edge after all edges into its source."""
+        self.node: dict[tuple, int] = {((0, 0, -1), "E"): 0}
+        self.edges: list[tuple[int, int, float]] = []
+        quarter = 4 ** (self.k - 1)
+        for cell in sorted(self.cells - {(0, 0, -1)}):
+            t, n, q = cell
+            score = pdf[t - 1, kmers[n - 1]] + pdf[t - 1, q] - 2 * _hamming(kmers[n - 1], q)
+            for to, source, name, step, moves in STEPS:
+                row = t if to == "I" else t - 1
+                if row == 0:
+                    sources = [(0, 0, -1)] if n == 1 and to == "A" else []  # any k-mer may be the first
+                else:
+                    sources = [(row, n - step, p) for p in ((q // 4 + b * quarter for b in range(4)) if moves else (q,))]
+                for s in sources:
+                    at = self.node.get((s, source))
+                    if at is not None:
+                        self.edges.append((at, self.node.setdefault((cell, to), len(self.node)), params[name] + score))
+        self.ends = [v for (cell, s), v in self.node.items() if s == "E" and cell[:2] == (self.T, self.N)]
+
+    def _sums(self) -> None:
+        n = len(self.node)
+        f, b = [-math.inf] * n, [-math.inf] * n
+        f[0] = 0.0
+        for u, v, w in self.edges:
+            f[v] = _log_add(f[v], f[u] + w)
+        for v in self.ends:
+            b[v] = 0.0
+        for u, v, w in reversed(self.edges):
+            b[u] = _log_add(b[u], b[v] + w)
+        self.zf, self.zb = -math.inf, b[0]
+        for v in self.ends:
+            self.zf = _log_add(self.zf, f[v])
+        self.log_p = [x + y - self.zf if self.zf > -math.inf else -math.inf for x, y in zip(f, b, strict=True)]
+
+    def path(self) -> list[tuple[str, int, int, int, float]]:
+        """(state M or P, first sample, position, proposed k-mer, probability) of the segments of the best path."""
+        best, back = [-math.inf] * len(self.node), [-1] * len(self.node)
+        best[0] = 0.0
+        for u, v, _ in self.edges:
+            if best[u] + self.log_p[v] > best[v]:
+                best[v], back[v] = best[u] + self.log_p[v], u
+        if not self.ends:
+            return []
+        names = list(self.node)
+        v = max(self.ends, key=lambda e: (best[e], names[e][0][2]))  # the later k-mer of equals
+        line = []
+        while v > 0:
+            line.append(v)
+            v = back[v]
+        out: list[list] = []
+        for v in reversed(line):
+            (t, n, q), state = names[v]
+            if state in "AP":
+                out.append(["M" if state == "A" else "P", t - 1, n - 1, q, []])
+            out[-1][4].append(math.exp(self.log_p[v]))
+        return [(*s[:4], float(np.median(s[4]))) for s in out]
+
+
+def _log_add(a: float, b: float) -> float:
+    if a < b:
+        a, b = b, a
+    return a if b == -math.inf else a + math.log1p(math.exp(b - a))
+
+
+def all_paths(p: Polisher):
     out = {}
     for u, v, w in p.edges:
         out.setdefault(u, []).append((v, w))
@@ -31,7 +131,7 @@ def test_sums_and_path():
     for n in (1, 2, 3):
         kmers = [5, 6, 11][:n]  # CC CG GT: each a successor of the one before
         x = np.repeat(mean[kmers], 2) + rng.normal(0, 0.2, 2 * n)
-        p = polish.Polisher(x, kmers, mean, stdv, 2, params, mass=0.7)
+        p = Polisher(x, kmers, mean, stdv, 2, params, mass=0.7)
         paths = all_paths(p)
         assert paths
         z = np.logaddexp.reduce([s for s, _ in paths])
@@ -55,6 +155,51 @@ def _best_nodes(p):
     return line
 
 
+@pytest.mark.parametrize("seed", range(8))
+def test_arrays_equal_the_edge_list(seed):
+    rng = np.random.default_rng(seed)
+    params = {n: math.log(v) for n, v in polish.PROBABILITIES["rna004"].items()}
+    mean, stdv = rng.normal(0, 1, 64), 0.3 + rng.random(64)
+    kmers = [int(rng.integers(64))]
+    for _ in range(int(rng.integers(0, 6))):
+        kmers.append(kmers[-1] * 4 % 64 + int(rng.integers(4)))
+    x = np.repeat(mean[kmers], rng.integers(2, 5, len(kmers))) + rng.normal(0, 0.3, 1)
+    plain = Polisher(x, kmers, mean, stdv, 3, params, mass=[0.5, 0.9, 0.98][seed % 3])
+    t, n, q = np.array(sorted(plain.cells - {(0, 0, -1)})).T
+    mixed = rng.permutation(len(t))
+    lattice = polish.Cells(x, np.array(kmers), (t - 1)[mixed], (n - 1)[mixed], q[mixed], mean, stdv, 3, params)
+    assert lattice.zf == pytest.approx(plain.zf) and lattice.zb == pytest.approx(plain.zb)
+    place = {c: k for k, c in enumerate(zip((lattice.t + 1).tolist(), (lattice.n + 1).tolist(), lattice.q.tolist(), strict=True))}
+    for (cell, state), v in plain.node.items():
+        if v and plain.log_p[v] > -30:
+            assert lattice.log_p["APSEI".index(state), place[cell]] == pytest.approx(plain.log_p[v], abs=1e-6)
+    a, b = lattice.path(), plain.path()
+    assert [s[:4] for s in a] == [s[:4] for s in b] and [s[4] for s in a] == pytest.approx([s[4] for s in b])
+
+
+def test_a_long_read_stays_small():
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    params = {n: math.log(v) for n, v in polish.PROBABILITIES["rna004"].items()}
+    mean, stdv = rng.normal(0, 1, 1024), np.full(1024, 0.3)
+    kmers = [0]
+    for _ in range(1999):
+        kmers.append(kmers[-1] * 4 % 1024 + int(rng.integers(4)))
+    kmers = np.array(kmers)
+    x = np.repeat(mean[kmers], 5) + rng.normal(0, 0.1, 10_000)
+    t = np.repeat(np.arange(10_000), 20)
+    n = np.clip(t // 5 + np.tile(np.repeat([-1, 0, 1, 0], 5), 10_000), 0, 1999)
+    q = np.where(np.tile(np.arange(20), 10_000) % 5 == 0, kmers[n], rng.integers(0, 1024, len(t)))
+    t, n, q = np.unique(np.stack((t, n, q)), axis=1)
+    tracemalloc.start()
+    lattice = polish.Cells(x, kmers, t, n, q, mean, stdv, 5, params)
+    found = lattice.path()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) >= 1990 and abs(lattice.zf - lattice.zb) < 1e-3 and peak < 100 << 20
+
+
 def test_polish_reads(spark):
     from tracemill.operators import segment
 

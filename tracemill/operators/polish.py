@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from tracemill.functions import exprs as X
 from tracemill.operators import segment
 from tracemill.operators.windows import top_mass
+from tracemill.sources.scratch import scratch
 
 #: Share of the posterior that the kept positions, or k-mers, of a sample hold.
 MASS = 0.97797
@@ -55,14 +56,6 @@ def _kmer(number: int, k: int) -> str:
     return "".join("ACGT"[number >> 2 * j & 3] for j in range(k - 1, -1, -1))
 
 
-def _hamming(a: int, b: int) -> int:
-    x, n = a ^ b, 0
-    while x:
-        n += bool(x & 3)
-        x >>= 2
-    return n
-
-
 def kmer_posteriors(score: np.ndarray, k: int, match: float, extend: float) -> np.ndarray:
     """Log posterior of each k-mer by sample when any successor may follow: no sequence is given."""
     t, size = score.shape
@@ -84,96 +77,128 @@ def kmer_posteriors(score: np.ndarray, k: int, match: float, extend: float) -> n
         return both - np.logaddexp.reduce(both, axis=1, keepdims=True)
 
 
-def _likely(log_p: np.ndarray, mass: float) -> np.ndarray:
-    order = np.argsort(-log_p, kind="stable")
-    before = np.concatenate(([0.0], np.cumsum(np.exp(log_p[order]))[:-1]))
-    return np.sort(order[before < mass])
-
-
-class Polisher:
-    """The five-state lattice of one read over its candidate cells."""
-
-    def __init__(self, x: np.ndarray, kmers: list[int], mean: np.ndarray, stdv: np.ndarray, k: int, params: dict[str, float], mass: float = MASS, simple: dict[str, float] = segment.PARAMS):
-        self.k, self.T, self.N = k, len(x), len(kmers)
-        z = (x[:, None] - mean) / stdv
-        pdf = np.where(np.isfinite(mean), -0.5 * z * z - np.log(stdv) - X.LOG_2PI / 2, -np.inf)
-        plain = segment.Lattice(x, mean[kmers], stdv[kmers], simple)
-        pM, pE = plain.posteriors()
-        by_position = np.logaddexp(pM, pE)[1:, 1:]
-        by_kmer = kmer_posteriors(pdf, k, simple["m1"], simple["e2"])
-        self.cells = {(0, 0, -1)}
-        for t in range(self.T):
-            likely = set(_likely(by_kmer[t], mass).tolist())
-            for n in _likely(by_position[t], mass).tolist():
-                self.cells |= {(t + 1, n + 1, q) for q in likely | {kmers[n]} if np.isfinite(pdf[t, q])}
-        self._edges(pdf, kmers, params)
-        self._sums()
-
-    def _edges(self, pdf: np.ndarray, kmers: list[int], params: dict[str, float]) -> None:
-        """Nodes and weighted edges, every edge after all edges into its source."""
-        self.node: dict[tuple, int] = {((0, 0, -1), "E"): 0}
-        self.edges: list[tuple[int, int, float]] = []
-        quarter = 4 ** (self.k - 1)
-        for cell in sorted(self.cells - {(0, 0, -1)}):
-            t, n, q = cell
-            score = pdf[t - 1, kmers[n - 1]] + pdf[t - 1, q] - 2 * _hamming(kmers[n - 1], q)
-            for to, source, name, step, moves in STEPS:
-                row = t if to == "I" else t - 1
-                if row == 0:
-                    sources = [(0, 0, -1)] if n == 1 and to == "A" else []  # any k-mer may be the first
-                else:
-                    sources = [(row, n - step, p) for p in ((q // 4 + b * quarter for b in range(4)) if moves else (q,))]
-                for s in sources:
-                    at = self.node.get((s, source))
-                    if at is not None:
-                        self.edges.append((at, self.node.setdefault((cell, to), len(self.node)), params[name] + score))
-        self.ends = [v for (cell, s), v in self.node.items() if s == "E" and cell[:2] == (self.T, self.N)]
-
-    def _sums(self) -> None:
-        n = len(self.node)
-        f, b = [-math.inf] * n, [-math.inf] * n
-        f[0] = 0.0
-        for u, v, w in self.edges:
-            f[v] = _log_add(f[v], f[u] + w)
-        for v in self.ends:
-            b[v] = 0.0
-        for u, v, w in reversed(self.edges):
-            b[u] = _log_add(b[u], b[v] + w)
-        self.zf, self.zb = -math.inf, b[0]
-        for v in self.ends:
-            self.zf = _log_add(self.zf, f[v])
-        self.log_p = [x + y - self.zf if self.zf > -math.inf else -math.inf for x, y in zip(f, b, strict=True)]
+_STATE = {name: k for k, name in enumerate("APSEI")}
+
+
+class Cells:
+    """The five-state lattice of one read over its candidate cells, as sorted arrays.
+
+    Cells ``(t, n, q)`` (sample, position, proposed k-mer) are sorted; a sample's cells are a row, and a
+    transition finds its sources in the row before, or for I in its own, by binary search. Scores are held
+    for the cells only, five numbers each.
+    """
+
+    def __init__(self, x: np.ndarray, kmers: np.ndarray, t: np.ndarray, n: np.ndarray, q: np.ndarray, mean: np.ndarray, stdv: np.ndarray, k: int, params: dict[str, float]):
+        self.size, self.quarter, self.params = 4**k, 4 ** (k - 1), params
+        order = np.lexsort((q, n, t))
+        self.t, self.n, self.q = t[order], n[order], q[order]
+        self.key = self.n * self.size + self.q
+        self.row = np.searchsorted(self.t, np.arange(len(x) + 1))
+        own = kmers[self.n]
+        differ = own ^ self.q
+        pdf = lambda m: -0.5 * ((x[self.t] - mean[m]) / stdv[m]) ** 2 - np.log(stdv[m]) - X.LOG_2PI / 2
+        self.score = pdf(own) + pdf(self.q) - 2.0 * np.bitwise_count((differ | differ >> 1) & 0x5555555555555555)
+        last = slice(self.row[-2], self.row[-1]) if len(x) else slice(0, 0)
+        self.ends = last.start + np.flatnonzero(self.n[last] == len(kmers) - 1)
+        with np.errstate(invalid="ignore"):
+            self.ahead = self._forward()
+            self.zf = float(np.logaddexp.reduce(self.ahead[_STATE["E"], self.ends], initial=-np.inf))
+            self.back, self.zb = self._backward()
+            self.log_p = self.ahead + self.back - self.zf if self.zf > -np.inf else np.full(self.ahead.shape, -np.inf)
+
+    def _find(self, row: int, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of keys among a row's cells, and which of them are there."""
+        lo, hi = self.row[row], self.row[row + 1]
+        if row < 0 or lo == hi:
+            return np.zeros(len(want), np.int64), np.zeros(len(want), bool)
+        at = lo + np.minimum(np.searchsorted(self.key[lo:hi], want), hi - lo - 1)
+        return at, self.key[at] == want
+
+    def _sources(self, r: int) -> list[tuple[int, int, float, np.ndarray, np.ndarray]]:
+        """(to, from, transition, places, which are there) of all steps from the row before into row ``r``, in the steps' order."""
+        own = slice(self.row[r], self.row[r + 1])
+        out = []
+        known: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+        for to, source, name, step, moves in STEPS:
+            if to == "I":
+                continue
+            for b in range(4) if moves else (-1,):
+                if (step, b) not in known:
+                    letters = self.q[own] // 4 + b * self.quarter if moves else self.q[own]
+                    known[step, b] = self._find(r - 1, (self.n[own] - step) * self.size + letters)
+                out.append((_STATE[to], _STATE[source], self.params[name], *known[step, b]))
+        return out
+
+    def _positions(self, r: int) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+        """The cells of each further position of a row, [lo, hi), and those of the position before with the same k-mer."""
+        lo, hi = self.row[r], self.row[r + 1]
+        border = lo + np.flatnonzero(np.r_[True, self.n[lo + 1 : hi] != self.n[lo : hi - 1]]) if hi > lo else np.zeros(0, np.int64)
+        return [(a, b, *self._find(r, (self.n[a:b] - 1) * self.size + self.q[a:b])) for a, b in zip(border, np.r_[border[1:], hi], strict=True)]
+
+    def _forward(self) -> np.ndarray:
+        out, p = np.full((5, len(self.t)), -np.inf), self.params
+        for r in range(len(self.row) - 1):
+            own = slice(self.row[r], self.row[r + 1])
+            if r == 0:  # any k-mer may be the first
+                out[0, own] = np.where(self.n[own] == 0, p["a1"], -np.inf)
+            for to, source, w, at, there in self._sources(r) if r else ():
+                out[to, own] = np.logaddexp(out[to, own], np.where(there, out[source, at] + w, -np.inf))
+            out[:4, own] += self.score[own]
+            for a, b, at, there in self._positions(r):
+                skip = np.logaddexp(out[3, at] + p["i1"], out[4, at] + p["i2"])
+                out[4, a:b] = np.where(there, skip + self.score[a:b], -np.inf)
+        return out
+
+    def _backward(self) -> tuple[np.ndarray, float]:
+        out, p, start = np.full((5, len(self.t)), -np.inf), self.params, -np.inf
+        out[3, self.ends] = 0.0
+        for r in range(len(self.row) - 2, -1, -1):
+            own = slice(self.row[r], self.row[r + 1])
+            for a, b, at, there in reversed(self._positions(r)):
+                value = (out[4, a:b] + self.score[a:b])[there]
+                for s, name in ((3, "i1"), (4, "i2")):
+                    out[s, at[there]] = np.logaddexp(out[s, at[there]], value + p[name])
+            if r == 0:
+                start = np.logaddexp.reduce(np.where(self.n[own] == 0, out[0, own] + self.score[own] + p["a1"], -np.inf), initial=-np.inf)
+            for to, source, w, at, there in self._sources(r) if r else ():
+                np.logaddexp.at(out[source], at[there], (out[to, own] + self.score[own])[there] + w)
+        return out, float(start)
 
     def path(self) -> list[tuple[str, int, int, int, float]]:
         """(state M or P, first sample, position, proposed k-mer, probability) of the segments of the best path."""
-        best, back = [-math.inf] * len(self.node), [-1] * len(self.node)
-        best[0] = 0.0
-        for u, v, _ in self.edges:
-            if best[u] + self.log_p[v] > best[v]:
-                best[v], back[v] = best[u] + self.log_p[v], u
-        if not self.ends:
+        n = len(self.t)
+        best, back = np.full((5, n), -np.inf), np.full((5, n), -1, np.int64)
+        for r in range(len(self.row) - 1):
+            own = slice(self.row[r], self.row[r + 1])
+            if r == 0:
+                best[0, own] = np.where(self.n[own] == 0, 0.0, -np.inf)
+            for to, source, _, at, there in self._sources(r) if r else ():
+                value = np.where(there, best[source, at], -np.inf)
+                better = value > best[to, own]
+                best[to, own], back[to, own] = np.where(better, value, best[to, own]), np.where(better, source * n + at, back[to, own])
+            best[:4, own] += self.log_p[:4, own]
+            for a, b, at, there in self._positions(r):
+                for s in (3, 4):
+                    value = np.where(there, best[s, at], -np.inf)
+                    better = value > best[4, a:b]
+                    best[4, a:b], back[4, a:b] = np.where(better, value, best[4, a:b]), np.where(better, s * n + at, back[4, a:b])
+                best[4, a:b] += self.log_p[4, a:b]
+        good = [v for v in self.ends if best[3, v] > -np.inf]
+        if not good:
             return []
-        names = list(self.node)
-        v = max(self.ends, key=lambda e: (best[e], names[e][0][2]))  # the later k-mer of equals
-        line = []
-        while v > 0:
-            line.append(v)
-            v = back[v]
+        at, line = 3 * n + max(good, key=lambda v: (best[3, v], self.q[v])), []  # the later k-mer of equals
+        while at >= 0:
+            line.append(at)
+            at = back.ravel()[at]
         out: list[list] = []
         for v in reversed(line):
-            (t, n, q), state = names[v]
-            if state in "AP":
-                out.append(["M" if state == "A" else "P", t - 1, n - 1, q, []])
-            out[-1][4].append(math.exp(self.log_p[v]))
+            state, cell = divmod(int(v), n)
+            if state in (0, 1):
+                out.append(["MP"[state], int(self.t[cell]), int(self.n[cell]), int(self.q[cell]), []])
+            out[-1][4].append(math.exp(self.log_p[state, cell]))
         return [(*s[:4], float(np.median(s[4]))) for s in out]
 
 
-def _log_add(a: float, b: float) -> float:
-    if a < b:
-        a, b = b, a
-    return a if b == -math.inf else a + math.log1p(math.exp(b - a))
-
-
 def prune_positions(posteriors: DataFrame, mass: float = MASS) -> DataFrame:
     """Of ``(readid, t, n, p)`` the likeliest positions of each sample that hold ``mass``."""
     return top_mass(posteriors, ["readid", "t"], F.lit(mass), "p", "n")
@@ -226,36 +251,58 @@ def _levels(model: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     return mean, stdv
 
 
+def likely_cells(prepared: DataFrame, model: DataFrame, k: int = 5, mass: float = MASS) -> DataFrame:
+    """``(readid, t, n, kmer)``: the cells of each read's lattice, from the likely positions and k-mers of its samples.
+
+    Posteriors are taken down to a size at which all that is left out is less than what ``mass`` leaves.
+    """
+    positions = prune_positions(segment.posterior_rows(prepared, (1 - mass) / (2 * segment.BAND), k=k), mass)
+    kmers = prune_kmers(kmer_posterior_rows(prepared, model, k, (1 - mass) / (2 * 4**k)), mass)
+    own = prepared.where("error IS NULL").select("readid", F.posexplode(X.kmers(F.col("seq"), k)).alias("n", "kmer"))
+    return candidate_cells(positions, kmers, own)
+
+
 def polish_reads(prepared: DataFrame, model: DataFrame, k: int = 5, pore: str = "rna004", mass: float = MASS) -> DataFrame:
     """``(readid, start, end, basepos, motif, state, posterior_probability, polish, error)``.
 
     As ``segment_reads``, with the proposed k-mer in ``polish`` and state P where the k-mer moved on
-    within a position. The model has at most 4^5 rows and goes to every task.
+    within a position. Spark makes the candidate cells; a task runs the recurrences over those of a read.
+    Reads are stored under a number of their own first, so repeated or null readids are reads like any
+    other. The model has at most 4^5 rows and goes to every task.
     """
     params = {n: math.log(p) for n, p in PROBABILITIES[pore].items()}
     mean, stdv = _levels(model, k)
+    path = scratch(prepared.sparkSession, "polish")
+    prepared.withColumn("uid", F.monotonically_increasing_id()).write.parquet(path)
+    stored = prepared.sparkSession.read.schema(prepared.withColumn("uid", F.lit(0).cast("long")).schema).parquet(path)
+    reads = stored.withColumn("readid", F.col("uid"))
+    cells = likely_cells(reads, model, k, mass)
+    lists = cells.groupBy("readid").agg(F.collect_list(F.struct(F.col("t").cast("int").alias("t"), F.col("n").cast("int").alias("n"), X.kmer_to_int(F.col("kmer")).cast("int").alias("q"))).alias("cells"))
+    rows = stored.select("uid", "readid", "seq", "x", "error").join(lists.select(F.col("readid").alias("uid"), "cells"), "uid", "left").drop("uid")
     kind = prepared.schema["readid"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["readid", "start", "end", "basepos", "motif", "state", "posterior_probability", "polish", "error"]
         types = [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.float64(), pa.string(), pa.string()]
         for batch in batches:
-            rows = []
-            for r in batch.select(["readid", "seq", "x", "error"]).to_pylist():
-                error, found = r["error"], []
+            out = []
+            for j, (readid, seq, error) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("readid", "seq", "error")), strict=True)):
+                found = []
                 if error is None:
-                    seq, x = r["seq"], np.array(r["x"], float)
-                    lattice = Polisher(x, [_number(seq[j : j + k]) for j in range(len(seq) - k + 1)], mean, stdv, k, params, mass)
+                    own = batch.column("cells")[j].values
+                    t, n, q = (own.field(c).to_numpy().astype(np.int64) for c in ("t", "n", "q")) if own is not None else (np.zeros(0, np.int64),) * 3
+                    x = batch.column("x")[j].values.to_numpy(zero_copy_only=False).astype(float)
+                    lattice = Cells(x, np.array([_number(seq[i : i + k]) for i in range(len(seq) - k + 1)]), t, n, q, mean, stdv, k, params)
                     found = lattice.path()
-                    error = None if found and abs(lattice.zf - lattice.zb) <= 1e-8 * len(lattice.node) else "no path through the likely cells"
+                    error = None if found and abs(lattice.zf - lattice.zb) <= 1e-8 * max(1, len(t)) else "no path through the likely cells"
                 if error:
-                    rows.append((r["readid"], *[None] * 7, error))
+                    out.append((readid, *[None] * 7, error))
                     continue
                 ends = [s[1] for s in found[1:]] + [len(x)]
-                for (state, start, n, q, p), end in zip(found, ends, strict=True):
-                    rows.append((r["readid"], start, end, n + k // 2, seq[n : n + k], state, p, _kmer(q, k), None))
-            if rows:
-                c = list(zip(*rows, strict=True))
+                for (state, start, i, q_, p), end in zip(found, ends, strict=True):
+                    out.append((readid, start, end, i + k // 2, seq[i : i + k], state, p, _kmer(q_, k), None))
+            if out:
+                c = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c[0], batch.schema.field("readid").type), *[pa.array(v, t) for v, t in zip(c[1:], types, strict=True)]], names)
 
-    return prepared.mapInArrow(run, f"readid {kind}, start int, end int, basepos int, motif string, state string, posterior_probability double, polish string, error string")
+    return rows.mapInArrow(run, f"readid {kind}, start int, end int, basepos int, motif string, state string, posterior_probability double, polish string, error string")
