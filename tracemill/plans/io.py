@@ -91,6 +91,16 @@ def _(v):
     return readers.read_changepoints(v.spark, path)
 
 
+@query("k8_append_edges", V("borders") + "SELECT CAST(readid AS VARCHAR) AS readid, list(border ORDER BY tool, border) AS edges FROM borders GROUP BY readid")
+def _(v):
+    """Edges appended batch by batch, signals coming again, and one batch written twice."""
+    path = scratch(v.spark, "edges")
+    batches = sorted(r.tool for r in v.borders().select("tool").distinct().limit(1000).collect())  # event types
+    for tool in [*batches, *batches[:1]]:
+        sinks.append_edges(v.borders().where(F.col("tool") == tool), path, tool)
+    return readers.read_edges(v.spark, path) if batches else v.spark.createDataFrame([], "readid string, edges array<long>")
+
+
 @query("s12_fasta", _R + "SELECT CAST(readid AS VARCHAR) AS id, md5(seq) AS seq_md5 FROM reads")
 def _(v):
     path = scratch(v.spark, "fasta")
@@ -185,6 +195,33 @@ def _(v):
     return readers.normalize_segments(rows)
 
 
+_ANY = "SELECT *, CASE WHEN event_id % 9 <> 0 THEN event_id END AS place FROM events"
+
+
+@query("s11_detect_format", V("reads") + f""", e AS ({_ANY})
+SELECT 'segments' AS layout, concat('u', user_id) AS readid, event_id AS start, substring(event_type, 1, 1) AS base FROM e UNION ALL
+SELECT 'eventalign', concat('u', user_id), event_id, substring(replace(event_type, 'U', 'T'), 3, 1) FROM e WHERE length(event_type) >= 5 UNION ALL
+SELECT 'dtw', concat('u', user_id), place, substring(replace(event_type, 'U', 'T'), 3, 1) FROM e WHERE length(event_type) >= 5 AND place IS NOT NULL UNION ALL
+SELECT 'resquiggle', CAST(readid AS VARCHAR), place, substring(seq, CAST(event_id % 40 + 1 AS INTEGER), 1) FROM e JOIN reads ON readid = user_id WHERE place IS NOT NULL""")
+def _(v):
+    """Segments of all four layouts, each told by its header, in one form."""
+    e = v.table("events").withColumns({"id": F.concat(F.lit("u"), "user_id"), "place": F.when(F.col("event_id") % 9 == 0, "*").otherwise(F.col("event_id").cast("string")), "motif": F.substring("event_type", 1, 5)})
+    long = e.where(F.length("event_type") >= 5)
+    reads = v.reads().select(F.col("readid").cast("string").alias("readid"), "seq")
+    layouts = [
+        e.select(F.col("id").alias("readid"), F.col("event_id").alias("start"), (F.col("event_id") + 1).alias("end"), F.lit(0).alias("basepos"), F.substring("event_type", 1, 1).alias("base")),
+        long.select(F.col("user_id").alias("read_index"), F.col("id").alias("read_name"), F.col("event_id").alias("start_idx"), F.col("event_id").alias("end_idx"), F.col("motif").alias("reference_kmer")),
+        long.select(F.col("id").alias("aln_read_id"), F.col("place").alias("dtw_start"), F.lit(1).alias("dtw_length"), F.col("motif").alias("seq_kmer")),
+        e.select(F.col("user_id").cast("string").alias("read_id"), (F.col("event_id") % 40).cast("int").alias("kmer_idx"), F.col("place").alias("start_raw_idx"), F.col("place").alias("end_raw_idx")),
+    ]
+    out = None
+    for rows in layouts:
+        layout = readers.detect_format(rows.columns)
+        own = readers.normalize_segments(rows, layout, reads).select(F.lit(layout).alias("layout"), F.col("readid").cast("string").alias("readid"), F.col("start").cast("long").alias("start"), "base")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 @query("e7_edit_distance", "SELECT doc_id, levenshtein(coalesce(lang, ''), coalesce(source, '')) AS edits FROM documents")
 def _(v):
     rows = v.table("documents").select("doc_id", F.coalesce("lang", F.lit("")).alias("a"), F.coalesce("source", F.lit("")).alias("b"))

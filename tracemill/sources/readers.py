@@ -81,7 +81,14 @@ def event_table_borders(events: DataFrame, is_rna: bool = False) -> DataFrame:
 
 
 def read_changepoints(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("readid string, border long").parquet(path)
+    """``(readid, border)`` of all batches."""
+    return spark.read.schema("readid string, border long, batch string").parquet(path).select("readid", "border")
+
+
+def read_edges(spark: SparkSession, path: str) -> DataFrame:
+    """``(readid, edges)``: the edges of each signal, those of a later batch behind those of an earlier one."""
+    rows = spark.read.schema("readid string, border long, batch string").parquet(path)
+    return rows.groupBy("readid").agg(F.transform(F.sort_array(F.collect_list(F.struct("batch", "border"))), lambda e: e["border"]).alias("edges"))
 
 
 _LAYOUTS = {

@@ -43,9 +43,12 @@ def write_metric_json(stats: DataFrame, path: str) -> None:
     stats.select(F.to_json(F.struct("*"))).write.text(path)
 
 
-def append_edges(edges: DataFrame, path: str) -> None:
-    """Edges of a signal that comes again are added; readers group them."""
-    edges.write.parquet(path, mode="append")
+def append_edges(edges: DataFrame, path: str, batch: str = "0") -> None:
+    """``(readid, border)`` of one batch, added to what ``path`` has; a batch that is written again replaces itself.
+
+    A signal that comes again in another batch gets its new edges behind the earlier ones: see ``read_edges``.
+    """
+    edges.select(F.col("readid").cast("string").alias("readid"), F.col("border").cast("long").alias("border")).write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch}")
 
 
 def sam_lines(reads: DataFrame) -> DataFrame:
