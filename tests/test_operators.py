@@ -435,6 +435,27 @@ def edits_loop(a, b):
     return row[-1]
 
 
+def test_few_edits_along_diagonals():
+    import time
+
+    rng = np.random.default_rng(31)
+    for _ in range(400):
+        a = "".join(rng.choice(list("AC"), rng.integers(0, 30)))
+        b = list(a)
+        for _ in range(int(rng.integers(0, 6))):
+            k = int(rng.integers(len(b) + 1))
+            b[k : k + int(rng.integers(0, 2))] = list(rng.choice(list("AC"), rng.integers(0, 2)))
+        b = "".join(b)
+        want = edits_loop(a, b)
+        assert X.edit_count(a, b) == want and X.few_edits(a, b) == want and X.few_edits(a, b, want - 1) is None
+        c = "".join(rng.choice(list("ACG"), rng.integers(0, 90)))
+        assert X.edit_count(a, c) == edits_loop(a, c)
+    long = "".join(rng.choice(list("ACGT"), 1_000_000))
+    other = long[:1000] + "T" + long[1000:700_000] + long[700_003:]
+    start = time.time()
+    assert X.edit_count(long, other) == edits_loop(long[990:1010], other[990:1011]) + 3 and time.time() - start < 2
+
+
 def test_free_lead_and_far_peaks(spark):
     rng = np.random.default_rng(12)
     for _ in range(200):

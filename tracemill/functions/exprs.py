@@ -149,8 +149,45 @@ def linspace_borders(start: Column, end: Column, n: Column) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.floor(start + i * step))).otherwise(F.array().cast("array<bigint>"))
 
 
+#: Edits up to which two texts are compared along diagonals before a whole table is computed.
+FEW_EDITS = 32
+
+
+def _common(a: str, b: str, i: int, j: int) -> int:
+    """How many letters ``a`` from i on and ``b`` from j on have in common: doubled steps, then halved ones."""
+    most, n, step = min(len(a) - i, len(b) - j), 0, 16
+    while n < most and a[i + n : i + n + step] == b[j + n : j + n + step]:
+        n, step = n + step, 2 * step
+    if n >= most:
+        return most
+    while step > 1:
+        step //= 2
+        if n + step <= most and a[i + n : i + n + step] == b[j + n : j + n + step]:
+            n += step
+    return n
+
+
+def few_edits(a: str, b: str, most: int = FEW_EDITS) -> int | None:
+    """The edit distance if it is at most ``most``, else none: how far each diagonal gets with 0, 1, 2, ... edits."""
+    goal, far = len(b) - len(a), {}
+    if abs(goal) > most:
+        return None
+    for edits in range(most + 1):
+        now = {}
+        for k in range(-edits, edits + 1):
+            i = max(far.get(k, -2) + 1, far.get(k - 1, -2), far.get(k + 1, -2) + 1) if edits else 0
+            i = min(i, len(a), len(b) - k)
+            if i < 0 or i + k < 0:
+                continue
+            now[k] = i + _common(a, b, i, i + k)
+        if now.get(goal) == len(a):
+            return edits
+        far = now
+    return None
+
+
 def edit_count(a: str | None, b: str | None, free_lead: bool = False) -> int | None:
-    """Edit distance with unit costs: Myers' bit vectors, a whole column of the table as one number.
+    """Edit distance with unit costs: along diagonals where it is small, else Myers' bit vectors, a whole column of the table as one number.
 
     What both begin or end with costs nothing; with ``free_lead`` neither does what ``b`` has before it. Spark's levenshtein walks each text from its start for
     every letter, which doesn't end on whole reads.
@@ -163,6 +200,8 @@ def edit_count(a: str | None, b: str | None, free_lead: bool = False) -> int | N
     a, b = a[: len(a) - k], b[: len(b) - k]
     if not a or not b:
         return len(a) if free_lead else max(len(a), len(b))
+    if not free_lead and (few := few_edits(a, b)) is not None:
+        return few
     m = len(a)
     equal = {c: int("".join("1" if x == c else "0" for x in reversed(a)), 2) for c in set(a) & set(b)}
     full, up, down, edits = (1 << m) - 1, (1 << m) - 1, 0, m
