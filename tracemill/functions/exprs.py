@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import os
+from collections.abc import Callable
 from functools import partial
 
 from pyspark.sql import Column
@@ -102,16 +103,21 @@ def polish_text(polish: Column) -> Column:
     return F.coalesce(F.nullif(polish, F.lit("")), F.lit("NA"))
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def array_median(values: Column) -> Column:
-    """Exact median: mean of the middle two; null for an empty array."""
-    s, n = F.array_sort(values), F.size(values)
-    low, high = ((n - 1) / 2).cast("int"), (n / 2).cast("int")
-    return F.when(n > 0, (F.get(s, low).cast("double") + F.get(s, high).cast("double")) / 2)
+    """Exact median: mean of the middle two; null elements are left out; null for an empty array."""
+    n = F.size
+    middle = lambda s: (F.get(s, ((n(s) - 1) / 2).cast("int")).cast("double") + F.get(s, (n(s) / 2).cast("int")).cast("double")) / 2
+    return let(F.sort_array(F.array_compact(values)), lambda s: F.when(n(s) > 0, middle(s)))
 
 
 def array_mad(values: Column) -> Column:
     """Unscaled median absolute deviation."""
-    return array_median(F.transform(values, lambda x: F.abs(x - array_median(values))))
+    return let(array_median(values), lambda m: array_median(F.transform(values, lambda x: F.abs(x - m))))
 
 
 def base_from_motif(motif_col: Column) -> Column:

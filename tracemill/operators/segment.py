@@ -81,10 +81,8 @@ def hampel_array(signal, window: int = 3, n_sigmas: float = 3.0):
     half = window // 2
 
     def at(x, i):
-        own = F.slice(signal, i - half + 1, window)
-        m = X.array_median(own)
-        mad = X.array_median(F.transform(own, lambda v: F.abs(v - m)))
-        return F.when(F.abs(x - m) > n_sigmas * X.MAD_SCALE * mad, m).otherwise(x)
+        replaced = lambda m, own: X.let(X.array_median(F.transform(own, lambda v: F.abs(v - m))), lambda mad: F.when(F.abs(x - m) > n_sigmas * X.MAD_SCALE * mad, m).otherwise(x))
+        return X.let(F.slice(signal, i - half + 1, window), lambda own: X.let(X.array_median(own), lambda m: replaced(m, own)))
 
     n = F.size(signal)
     return F.when(n > window, F.transform(signal, lambda x, i: F.when((i >= half) & (i < n - half - 1), at(x, i)).otherwise(x))).otherwise(signal)
