@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tracemill.functions import exprs as X
 from tracemill.operators import aggs, evaluate, filters, joins
 from tracemill.plans.base import query
+from tracemill.plans.metrics import _N50
 from tracemill.plans.views import with_views as V
 
 _R = V("reads")
@@ -162,22 +163,34 @@ def _(v):
     return aggs.read_recovery_stats(v.pairs()).drop("nt_changed")
 
 
-@query("g6_read_recovery_edits")
+# The segmented sequences of ``pairs`` lack a letter, have one changed or one more, or are the same: their distance is one where they
+# differ, for which no table of a distance is needed. What the operator computes is held against a table in the tests.
+_EDITS = "CAST(seq <> segmented_seq AS BIGINT)"
+_RECOVERED = f"""count(*) AS total, count(*) FILTER (WHERE present) AS present, count(*) FILTER (WHERE NOT present) AS missing, count(*) FILTER (WHERE present AND seq = segmented_seq) AS identical,
+  count(*) FILTER (WHERE present AND length(segmented_seq) < length(seq)) AS truncated, CAST(coalesce(sum({_EDITS}) FILTER (WHERE present), 0) AS BIGINT) AS nt_changed"""
+
+
+@query("g6_read_recovery_edits", V("pairs") + f"SELECT {_RECOVERED} FROM pairs")
 def _(v):
-    """All recovery statistics, with the edits; whole sequences are too slow for the SQL engine, the tests have a brute-force version."""
+    """All recovery statistics, with the edits of whole sequences."""
     return aggs.read_recovery_stats(v.pairs())
 
 
-@query("e7_sequence_edits")
+@query("e7_sequence_edits", V("pairs") + f"SELECT readid, {_EDITS} AS edits FROM pairs WHERE present")
 def _(v):
     """Edit distance of each whole basecalled sequence to its segmented one."""
     return evaluate.edit_distance(v.pairs().where("present")).select("readid", F.col("edits").cast("long").alias("edits"))
 
 
-@query("e5_evaluate_reads")
+@query("e5_evaluate_reads", V("pairs") + f""", c AS (SELECT {_RECOVERED} FROM pairs), d AS (SELECT * REPLACE (CAST(total AS DOUBLE) AS total, CAST(present AS DOUBLE) AS present, CAST(missing AS DOUBLE) AS missing, CAST(identical AS DOUBLE) AS identical, CAST(truncated AS DOUBLE) AS truncated, CAST(nt_changed AS DOUBLE) AS nt_changed) FROM c),
+lens AS (SELECT 'all' AS grp, length(segmented_seq) AS len FROM pairs WHERE present), n AS ({_N50.format("lens")}),
+s AS (SELECT avg(len) AS mean_length, median(len) AS median_length, CAST(max(len) AS DOUBLE) AS max_length, CAST(min(len) AS DOUBLE) AS min_length, CAST(any_value(n50) AS DOUBLE) AS n50_length FROM lens JOIN n USING (grp))
+SELECT metric, round(value, 6) AS value FROM (UNPIVOT d ON total, present, missing, identical, truncated, nt_changed INTO NAME metric VALUE value) UNION ALL
+SELECT metric, round(value, 6) AS value FROM (UNPIVOT s ON n50_length, mean_length, median_length, max_length, min_length INTO NAME metric VALUE value)""")
 def _(v):
+    """Recovery, edits and lengths of the segmented reads."""
     p = v.pairs()
-    return evaluate.evaluate_reads(p.select("readid", "seq"), p.where("present").select("readid", F.col("segmented_seq").alias("seq")))
+    return evaluate.evaluate_reads(p.select("readid", "seq"), p.where("present").select("readid", F.col("segmented_seq").alias("seq"))).withColumn("value", F.round("value", 6))
 
 
 @query("g26_segments_to_sequence", V("triples") + "SELECT readid, string_agg(base, '' ORDER BY n DESC) AS seq FROM triples GROUP BY readid")
