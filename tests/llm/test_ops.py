@@ -89,6 +89,21 @@ def test_lm_scores(spark, texts):
     assert np.mean(exact) > 0.95  # the filter has few false positives
 
 
+def test_lm_partitions_are_bounded(spark, texts, monkeypatch):
+    """Several chunks and buckets in a partition give the scores of one in each, and need no further exchange."""
+    df = docs_of(spark, texts)
+    monkeypatch.setattr(lm_scoring, "BUCKET_BYTES", 1 << 14)
+    monkeypatch.setattr(lm_scoring, "CHUNK_BYTES", 1 << 14)
+    rows = lambda d: sorted(map(tuple, d.collect()), key=repr)
+    wide = rows(lm_scoring.score(df, lm_scoring.fit(df)))
+    monkeypatch.setattr(common, "MOST_PARTS", 3)
+    assert common.deal(spark.range(100), "id", 100).rdd.getNumPartitions() == 3
+    scored = lm_scoring.score(df, lm_scoring.fit(df))
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning") == 0 and plan.count("Exchange") <= 5
+    assert rows(scored) == wide
+
+
 def test_bloom_levels_are_never_too_low():
     rng = np.random.default_rng(0)
     keys, counts = rng.integers(1, 1 << 63, 5000).astype(np.uint64), rng.integers(1, 5000, 5000)

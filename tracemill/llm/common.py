@@ -94,6 +94,20 @@ def chunk_count(docs: DataFrame, chunk_bytes: int) -> int:
     return max(4 * docs.sparkSession.sparkContext.defaultParallelism, -(-text_bytes // chunk_bytes))
 
 
+#: Partitions into which chunks or buckets are dealt at most; beyond it a partition holds several of them.
+MOST_PARTS = 4_000
+
+
+def deal(df: DataFrame, key: str, n: int) -> DataFrame:
+    """``df`` with its ``n`` chunks or buckets (numbers in ``key``) dealt evenly, those of a partition in the column part.
+
+    Grouping by part and ``key`` needs no further exchange. The partitions are bounded, so the blocks of the
+    shuffle grow with the text and not with its square.
+    """
+    parts = min(n, MOST_PARTS)
+    return df.withColumn("part", (F.col(key) % parts).cast("int")).repartitionById(parts, F.col("part"))
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """``(node, component)`` for every node of ``edges(a, b)``; component is the smallest node reachable.
 

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import chunk_count, materialise, release_memory, releasing, whole_text
+from tracemill.llm.common import chunk_count, deal, materialise, release_memory, releasing, whole_text
 
 #: Text for each bucket of n-grams, and for each chunk of documents that is scored.
 BUCKET_BYTES, CHUNK_BYTES = 16 << 20, 24 << 20
@@ -282,8 +282,8 @@ def fit(docs: DataFrame) -> Model:
         words, n = parts[0]
         return pa.table({"bucket": group.column("bucket")[:1], "bits": [data.tobytes()], "words": [words.tobytes()], "word_n": [n.tobytes()], "total": [int(n.sum())], "distinct": [len(words)]})
 
-    counts = ngram_counts(docs, buckets).repartitionById(buckets, F.col("bucket"))
-    table = materialise(counts.groupBy("bucket").applyInArrow(make, "bucket int, bits binary, words binary, word_n binary, total long, distinct long"), "ngrams")
+    counts = deal(ngram_counts(docs, buckets), "bucket", buckets)
+    table = materialise(counts.groupBy("part", "bucket").applyInArrow(make, "bucket int, bits binary, words binary, word_n binary, total long, distinct long"), "ngrams")
     n, v = table.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
     return Model(table.drop("total", "distinct"), buckets, int(n), int(v))
 
@@ -304,7 +304,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     text are read.
     """
     n_chunks = chunk_count(docs, CHUNK_BYTES)
-    dealt = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_chunks)).cast("int").alias("chunk"), F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).repartitionById(n_chunks, F.col("chunk"))
+    dealt = deal(docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_chunks)).cast("int").alias("chunk"), F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")), "chunk", n_chunks)
     buckets, total, rows = model.buckets, model.n, model.n + model.v + 1
 
     def wanted(group: pa.Table) -> pa.Table:
@@ -329,8 +329,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         ends = [np.cumsum([0, *(len(x) // 8 for x in asked.column(c).to_pylist())]) for c in ("words", "pairs")]
         return pa.table({"chunk": asked.column("chunk"), "bucket": asked.column("bucket"), "word_level": _cut(levels[0], ends[0]), "word_n": _cut(n, ends[0]), "pair_level": _cut(levels[1], ends[1])})
 
-    asked = dealt.groupBy("chunk").applyInArrow(wanted, "chunk int, bucket int, words binary, pairs binary").repartitionById(buckets, F.col("bucket"))
-    answered = asked.groupBy("bucket").cogroup(model.table.repartitionById(buckets, F.col("bucket")).groupBy("bucket")).applyInArrow(answer, "chunk int, bucket int, word_level binary, word_n binary, pair_level binary")
+    asked = deal(dealt.groupBy("part", "chunk").applyInArrow(wanted, "chunk int, bucket int, words binary, pairs binary"), "bucket", buckets)
+    answered = asked.groupBy("part", "bucket").cogroup(deal(model.table, "bucket", buckets).groupBy("part", "bucket")).applyInArrow(answer, "chunk int, bucket int, word_level binary, word_n binary, pair_level binary")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         right = right.sort_by("bucket")  # the order of the n-grams
@@ -356,7 +356,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         return pa.table({"doc_id": left.column("doc_id").cast(pa.int64()), "n_tokens": pa.array(a, pa.int64()), "n_known": pa.array(b, pa.int64()), "train_tokens": pa.array(np.full(len(a), total), pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(scores, pa.float64())})
 
     schema = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return dealt.groupBy("chunk").cogroup(answered.repartitionById(n_chunks, F.col("chunk")).groupBy("chunk")).applyInArrow(run, schema)
+    return dealt.groupBy("part", "chunk").cogroup(deal(answered, "chunk", n_chunks).groupBy("part", "chunk")).applyInArrow(run, schema)
 
 
 def _slices(texts: list[str]) -> Iterator[list[str]]:
