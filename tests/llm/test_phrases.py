@@ -61,6 +61,7 @@ def rows():
 @pytest.mark.parametrize("hot,most,suffixes", [(50_000, 2000, 250_000), (5, 3, 10)])
 def test_against_brute_force(spark, monkeypatch, rows, hot, most, suffixes):
     monkeypatch.setattr(phrases, "HOT", hot)
+    monkeypatch.setattr(phrases, "HOT_WORD", 4 * hot)
     monkeypatch.setattr(phrases, "MOST_HOT", most)
     monkeypatch.setattr(phrases, "SUFFIXES", suffixes)
     df = spark.createDataFrame(rows, DOCS)
@@ -101,3 +102,32 @@ def test_quicksort_against_counting(seed):
     assert len(got) == len(dict(got)) and dict(got) == {p: c for p, c in want.items() if c >= least}
     row, m, count = phrases.multikey_quicksort(words, weight, least, np.full(n, 4, np.int32))
     assert dict((tuple(words[r, :k].tolist()), c) for r, k, c in zip(row, m, count, strict=True)) == {p: c for p, c in want.items() if c >= least or len(p) < 4}
+
+
+def test_places_are_cut_between_openings(monkeypatch):
+    """Some suffixes at a time, openings whole: the counts of all at once."""
+    import types
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(phrases, "SUFFIXES", 10)
+    monkeypatch.setattr(phrases, "HELD", 40)
+    monkeypatch.setattr(phrases, "MOST_HELD", 30)
+    monkeypatch.setattr(phrases, "TEXT_BYTES", 200)
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice(list("abcd"), 30)) for _ in range(20)]
+    full = types.SimpleNamespace(value=np.full(1 << 23, 255, np.uint8))
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * 20), pa.array([t.encode() for t in texts])], ["lang", "text"])
+    rows = pa.Table.from_batches(phrases._suffixes(iter([batch]), full, full, np.zeros(0, np.uint64), np.zeros(0, np.uint64)))
+    route = rows.column("w1")
+    rows = rows.append_column("route", route).sort_by("route")
+    counts = Counter()
+    ids = {int(phrases._word_ids([c.encode()])[0].view(np.int64)): c for c in "abcd"}
+    for out in phrases._sorted_counts(iter(rows.to_batches(max_chunksize=3)), 2):
+        for r in out.to_pylist():
+            counts["".join(ids[w] for w in r["words"])] += r["f"]
+    want = Counter()
+    for t in texts:
+        w = t.replace(" ", "")
+        want.update(w[k : k + m] for m in range(2, 6) for k in range(len(w) - m + 1))
+    assert counts == {p: f for p, f in want.items() if f >= 2}

@@ -3,8 +3,8 @@
 A phrase that occurs LEAST times is made of words and word pairs that do. Words are counted first, then
 pairs of frequent words; what is frequent goes into a bitmap of fixed size, which tells where a suffix
 of up to MOST words is to be cut (a bit too many only makes a suffix longer). The suffixes are then
-dealt by their leading two words over the cluster, so that all suffixes with one opening are in one
-place, and sorted there word by word with multikey quicksort: each round splits a run of pointers into
+dealt by their leading word over the cluster, or two words where the first is frequent, so that all
+suffixes with one opening are in one place, and sorted there word by word with multikey quicksort: each round splits a run of pointers into
 less, equal and greater at one word, the equal part's size is the count of the phrase up to that word,
 and a part that is too small is left. Openings too frequent for one place are dealt by all their words;
 the counts of their shorter phrases are then sums over the places.
@@ -18,6 +18,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,12 +30,13 @@ from tracemill.llm.words import SEED, bitmap, in_bitmap, mix, text_portions, wor
 LEAST, MOST, TOP = 100, 5, 2000
 #: A phrase goes where a longer one has this percentage of its occurrences.
 CONTAINED = 100
-#: Occurrences of a pair from which its suffixes are dealt by all their words, and the most such pairs.
-HOT, MOST_HOT = 50_000, 2_000
+#: Occurrences of a word from which its suffixes are dealt by two words, those of a pair from which they are dealt by all
+#: words in HOT_PARTS, and the most such words and pairs.
+HOT_WORD, HOT, MOST_HOT, HOT_PARTS = 500_000, 50_000, 2_000, 64
 #: Text and suffixes that are at hand at once.
-TEXT_BYTES, SUFFIXES = 8 << 20, 250_000
-#: Suffixes that a task gathers before it passes them on.
-HELD = 1_000_000
+TEXT_BYTES, SUFFIXES = 4 << 20, 250_000
+#: Suffixes that a task gathers before it combines equal ones, and those different ones beyond which it passes them on.
+HELD, MOST_HELD = 600_000, 500_000
 #: Partial tops for each language before the last ranking.
 SALTS = 64
 
@@ -104,20 +106,27 @@ def _count_pairs(batches: Iterator[pa.RecordBatch], words: object) -> Iterator[p
         yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["key", "n"])
 
 
-_W = [f"w{k}" for k in range(1, MOST + 1)]
+def _mixed(rows: np.ndarray) -> np.ndarray:
+    mixed = rows[:, 0]
+    for k in range(1, MOST):
+        mixed = mix(mixed * _U(3) + rows[:, k])
+    return mixed
 
 
 def _combined(rows: np.ndarray, n: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Equal suffixes as one row with their summed counts."""
-    mixed = rows[:, 0]
-    for k in range(1, MOST):
-        mixed = mix(mixed * _U(3) + rows[:, k])
-    order = np.argsort(mixed)
+    order = np.argsort(_mixed(rows))
     rows = rows[order]
     first = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]).any(axis=1)]) if len(rows) else np.zeros(0, np.int64)
     return rows[first], np.add.reduceat(n[order], first) if len(first) else n, whole[order][first]
 
 
+def _packed(values: np.ndarray, border: np.ndarray) -> pa.Array:
+    """The bytes of an array's rows in pieces."""
+    width = values.itemsize * (values.shape[1] if values.ndim > 1 else 1)
+    return pa.Array.from_buffers(pa.binary(), len(border) - 1, [None, pa.py_buffer((border * width).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
 def _of_portion(lang: str, tokens: list[bytes], words: np.ndarray, pairs: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     h, ok = _frequent(lang, tokens, words)
     both = np.flatnonzero(ok[:-1] & ok[1:])
@@ -135,10 +144,12 @@ def _of_portion(lang: str, tokens: list[bytes], words: np.ndarray, pairs: np.nda
     return _combined(rows, np.ones(len(rows), np.int64), np.where(np.isin(key, hot), MOST, 2).astype(np.int32))
 
 
-def _suffixes(batches: Iterator[pa.RecordBatch], words: object, pairs: object, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """``(lang, w1.., n, whole)``: different suffixes of a task's texts and how often each occurs; w is 0 after the last word.
+def _suffixes(batches: Iterator[pa.RecordBatch], words: object, pairs: object, hot: np.ndarray, hot_words: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """``(lang, w1, part, rest, n, whole)``: for each leading word the different suffixes of a task's texts, packed.
 
-    ``whole`` is the length from which phrases are counted in one place: 2, or MOST for openings in ``hot``.
+    ``rest`` has the further words of each suffix, 0 after the last one, ``n`` how often it occurs. A word in
+    ``hot_words`` comes in parts by the second word, a pair in ``hot`` in HOT_PARTS by all words. ``whole`` is the length
+    from which phrases are counted in one place: 2, or MOST for pairs in ``hot``.
     """
     held: dict[str, list[tuple[np.ndarray, ...]]] = {}
     count = 0
@@ -146,18 +157,30 @@ def _suffixes(batches: Iterator[pa.RecordBatch], words: object, pairs: object, h
     def told() -> Iterator[pa.RecordBatch]:
         for lang, parts in held.items():
             rows, n, whole = _combined(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-            for k in range(0, len(rows), 50_000):
-                own = slice(k, k + 50_000)
-                columns = [pa.array(rows[own, j].view(np.int64)) for j in range(MOST)]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n[own]), pa.string()), *columns, pa.array(n[own]), pa.array(whole[own])], ["lang", *_W, "n", "whole"])
+            part = np.where(np.isin(word_keys(rows[:, 0], lang), hot_words), rows[:, 1], _U(0))
+            part = np.where(whole > 2, mix(rows[:, 1] + _mixed(rows) % _U(HOT_PARTS)), part).view(np.int64)
+            order = np.lexsort((part, rows[:, 0]))
+            rows, n, whole, part = rows[order], n[order], whole[order], part[order]
+            first = np.flatnonzero(np.r_[True, (rows[1:, 0] != rows[:-1, 0]) | (part[1:] != part[:-1])]) if len(rows) else np.zeros(0, np.int64)
+            for k in range(0, len(first), 5_000):
+                own = first[k : k + 5_000]
+                lo, hi = own[0], first[k + 5_000] if k + 5_000 < len(first) else len(rows)
+                border = np.append(own, hi) - lo
+                columns = [pa.array([lang] * len(own), pa.string()), pa.array(rows[own, 0].view(np.int64)), pa.array(part[own]), _packed(rows[lo:hi, 1:], border), _packed(n[lo:hi], border), pa.array(whole[own])]
+                yield pa.RecordBatch.from_arrays(columns, ["lang", "w1", "part", "rest", "n", "whole"])
         held.clear()
 
     for lang, tokens in _by_lang(batches):
         held.setdefault(lang, []).append(part := _of_portion(lang, tokens, words.value, pairs.value, hot))
         count += len(part[0])
+        del tokens, part
         if count > HELD:
-            yield from told()
-            count = 0
+            for own, parts in held.items():
+                held[own] = [_combined(*(np.concatenate(x) for x in zip(*parts, strict=True)))]
+            count = sum(len(p[0]) for parts in held.values() for p in parts)
+            if count > MOST_HELD:
+                yield from told()
+                count = 0
     yield from told()
 
 
@@ -210,18 +233,34 @@ def multikey_quicksort(words: np.ndarray, weight: np.ndarray, least: int, whole:
     return tuple(np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(3))
 
 
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows of whole places, with about SUFFIXES suffixes at a time."""
+    for t in portions(batches, ["route"], 1):
+        route, size = t.column("route").to_numpy(), pc.binary_length(t.column("n")).to_numpy() // 8
+        begins = np.flatnonzero(np.r_[True, route[1:] != route[:-1]])
+        upto = np.cumsum(size)[np.r_[begins[1:], len(route)] - 1]
+        cut = [0, *(begins[np.flatnonzero(np.diff((upto - 1) // SUFFIXES)) + 1]).tolist(), len(route)]
+        for a, b in zip(cut, cut[1:], strict=False):
+            if b > a:
+                yield t.slice(a, b - a)
+
+
 def _sorted_counts(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """``(lang, words, f)`` of the phrases that places of suffixes hold; places are whole, some at a time."""
-    for t in portions(batches, ["route"], SUFFIXES):
+    """``(lang, words, f)`` of the phrases that places of suffixes hold."""
+    for t in _places(batches):
+        n = np.frombuffer(b"".join(t.column("n").to_pylist()), np.int64)
+        size = pc.binary_length(t.column("n")).to_numpy() // 8
         lang = t.column("lang").combine_chunks().dictionary_encode()
         code = lang.indices.to_numpy().astype(np.uint64) + _U(1)
-        words = np.column_stack([code, *(t.column(w).to_numpy().view(np.uint64) for w in _W)])
-        row, length, count = multikey_quicksort(words, t.column("n").to_numpy(), least, t.column("whole").to_numpy() + 1)
+        opening = np.column_stack((code, t.column("w1").to_numpy().view(np.uint64)))
+        words = np.column_stack((np.repeat(opening, size, axis=0), np.frombuffer(b"".join(t.column("rest").to_pylist()), np.uint64).reshape(-1, MOST - 1)))
+        row, length, count = multikey_quicksort(words, n, least, np.repeat(t.column("whole").to_numpy(), size) + 1)
         keep = length > 2  # the language is the first word
         row, length, count = row[keep], length[keep] - 1, count[keep]
         flat = words[np.repeat(row, length), np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length) + 1]
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(length))).astype(np.int32)), pa.array(flat.view(np.int64)))
-        yield pa.RecordBatch.from_arrays([lang.dictionary.take(lang.indices.take(pa.array(row))), lists, pa.array(count)], ["lang", "words", "f"])
+        own = np.repeat(np.arange(len(size)), size)[row]
+        yield pa.RecordBatch.from_arrays([lang.dictionary.take(lang.indices.take(pa.array(own))), lists, pa.array(count)], ["lang", "words", "f"])
 
 
 def phrase_counts(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -234,10 +273,10 @@ def phrase_counts(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataF
     pairs = rows.mapInArrow(releasing(partial(_count_pairs, words=word_bits)), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     pairs = materialise(pairs.where(F.col("n") >= least), "pairs")
     pair_bits = spark.sparkContext.broadcast(bitmap(pairs.select("key")))
-    hot = np.array([r.key for r in pairs.where(F.col("n") >= HOT).orderBy(F.desc("n"), "key").limit(MOST_HOT).collect()], np.int64).view(np.uint64)
-    suffixes = rows.mapInArrow(releasing(partial(_suffixes, words=word_bits, pairs=pair_bits, hot=hot)), f"lang string, {', '.join(f'{w} long' for w in _W)}, n long, whole int")
-    route = F.when(F.col("whole") > 2, F.xxhash64("lang", *_W)).otherwise(F.xxhash64("lang", "w1", "w2"))
-    dealt = suffixes.withColumn("route", route).repartition("route").sortWithinPartitions("route")
+    most = lambda df, count, least: np.array([r.key for r in df.where(F.col(count) >= least).orderBy(F.desc(count), "key").limit(MOST_HOT).collect()], np.int64).view(np.uint64)
+    hot, hot_words = most(pairs, "n", HOT), most(frequent, "f", HOT_WORD)
+    suffixes = rows.mapInArrow(releasing(partial(_suffixes, words=word_bits, pairs=pair_bits, hot=hot, hot_words=hot_words)), "lang string, w1 long, part long, rest binary, n binary, whole int")
+    dealt = suffixes.withColumn("route", F.xxhash64("lang", "w1", "part")).repartition("route").sortWithinPartitions("route")
     found = dealt.mapInArrow(releasing(partial(_sorted_counts, least=least)), "lang string, words array<long>, f long")
     return words, frequent, materialise(found.groupBy("lang", "words").agg(F.sum("f").alias("f")).where(F.col("f") >= least), "phrases")
 
