@@ -241,3 +241,65 @@ def test_kmer_posteriors_against_all_walks(spark):
             for t, s in enumerate(states):
                 own[t, s] = own.get((t, s), 0.0) + weight
     assert all(abs(v - own.get(k, 0.0) / total) < 1e-6 for k, v in got.items())
+
+
+def test_lanes_equal_single_reads():
+    rng = np.random.default_rng(11)
+    params = {n: math.log(v) for n, v in polish.PROBABILITIES["rna004"].items()}
+    mean, stdv, reads = rng.normal(0, 1, 64), 0.3 + rng.random(64), []
+    for size in (5, 1, 3, 5):
+        kmers = [int(rng.integers(64))]
+        for _ in range(size - 1):
+            kmers.append(kmers[-1] * 4 % 64 + int(rng.integers(4)))
+        x = np.repeat(mean[kmers], rng.integers(2, 5, size)) + rng.normal(0, 0.3, 1)
+        cells = np.array(sorted(Polisher(x, kmers, mean, stdv, 3, params, mass=0.9).cells - {(0, 0, -1)})).T
+        reads.append((x, np.array(kmers), cells[0] - 1, cells[1] - 1, cells[2]))
+    reads.append((reads[0][0], reads[0][1], *(np.zeros(0, np.int64),) * 3))  # no cells: no path
+    lanes = polish.CellLanes(reads, mean, stdv, 3, params)
+    for k, read in enumerate(reads):
+        alone = polish.Cells(*read, mean, stdv, 3, params)
+        assert lanes.zf[k] == pytest.approx(alone.zf, abs=1e-9) and lanes.zb[k] == pytest.approx(alone.zb, abs=1e-9)
+        assert [s[:4] for s in lanes.path(k)] == [s[:4] for s in alone.path()] and bool(alone.path()) == bool(len(read[2]))
+        assert [s[4] for s in lanes.path(k)] == pytest.approx([s[4] for s in alone.path()])
+
+
+def test_kmer_lanes_in_blocks():
+    """Reads of unlike length side by side, and a read in blocks of three samples, as each read by itself."""
+    rng = np.random.default_rng(5)
+    scores = [rng.normal(-200, 200, (n, 16)) for n in (11, 7, 1)]
+    scores[1][:, 3] = -np.inf
+    lanes = polish.KmerLanes([11, 7, 1], lambda t, n: np.maximum(np.stack([s[t] for s in scores[:n]]), -1e300), 16, -0.7, -0.4)
+    for rows in (3, 100):
+        got = np.concatenate([p for _, p in lanes.blocks(rows)][::-1])
+        for k, s in enumerate(scores):
+            fM, fE = np.full(16, -np.inf), np.zeros(16)
+            ahead = []
+            with np.errstate(invalid="ignore"):
+                for v in s:
+                    before = np.logaddexp.reduce(fE.reshape(4, 4), axis=0)
+                    fM, fE = before[np.arange(16) >> 2] + v - 0.7, np.logaddexp(fM, fE - 0.4) + v
+                    ahead.append((fM, fE))
+                bM, bE = np.full(16, -np.inf), np.zeros(16)
+                for t in range(len(s) - 1, -1, -1):
+                    want = np.logaddexp(ahead[t][0] + bM, ahead[t][1] + bE)
+                    assert got[t, k] == pytest.approx(np.exp(want - np.logaddexp.reduce(want)), abs=1e-12)
+                    after = np.logaddexp.reduce((bM + s[t] - 0.7).reshape(4, 4), axis=1)
+                    bM, bE = bE + s[t], np.logaddexp(after[np.arange(16) % 4], bE + s[t] - 0.4)
+            assert not got[len(s) :, k].any()
+
+
+def test_pruned_kmers_and_cells_as_by_rows(spark):
+    levels = {a + b: 2.0 * ("ACGT".index(a) * 4 + "ACGT".index(b)) / 5 - 3 for a in "ACGT" for b in "ACGT"}
+    model = spark.createDataFrame([(k, v, 0.9) for k, v in levels.items()], "kmer string, level_mean double, level_stdv double")
+    rng = np.random.default_rng(2)
+    reads = spark.createDataFrame([(j, "ACGTTGCA"[: 8 - j], (rng.normal(0, 1, 20 + j)).tolist()) for j in range(4)], "readid long, seq string, x array<double>")
+    prepared = segment.prepare_reads(reads, model, 2)
+    rows = lambda df, *c: sorted(map(tuple, df.select(*c).collect()))
+    whole = polish.kmer_posterior_rows(prepared, model, 2, 0.001)
+    assert rows(polish.kmer_posterior_rows(prepared, model, 2, 0.001, mass=0.9), "readid", "t", "kmer", "p") == rows(polish.prune_kmers(whole, 0.9), "readid", "t", "kmer", "p")
+    positions = polish.prune_positions(segment.posterior_rows(prepared, 0.1 / (2 * segment.BAND), k=2), 0.9)
+    kmers = polish.prune_kmers(polish.kmer_posterior_rows(prepared, model, 2, 0.1 / 32), 0.9)
+    own = prepared.where("error IS NULL").selectExpr("readid", "explode(sequence(0, length(seq) - 2)) AS n", "seq").selectExpr("readid", "n", "substring(seq, n + 1, 2) AS kmer")
+    want = {(r.readid, r.t, r.n * 16 + polish._number(r.kmer)) for r in polish.candidate_cells(positions, kmers, own).collect()}
+    got = [(r.readid, s.t, c) for r in polish.likely_cells(prepared, model, 2, 0.9).collect() for s in r.cells for c in s.own]
+    assert len(got) == len(set(got)) and set(got) == want

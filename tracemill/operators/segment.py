@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.functions import exprs as X
@@ -277,11 +277,14 @@ class Lattice:
             return *w[:, 1 : self.N], float(np.log(enter)), float(np.log(stay))
 
 
+def tasks(session: SparkSession) -> int:
+    """Partitions of work that goes by samples: a number of the session's, not of the bytes."""
+    return max(session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
+
+
 def spread(prepared: DataFrame) -> DataFrame:
     """Reads dealt to tasks by number, whatever their bytes, and sorted by length within: the kernel's cost goes by samples."""
-    session = prepared.sparkSession
-    n = max(session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
-    return prepared.repartition(n, F.xxhash64("readid", "seq", "x")).sortWithinPartitions(F.size("x"))
+    return prepared.repartition(tasks(prepared.sparkSession), F.xxhash64("readid", "seq", "x")).sortWithinPartitions(F.size("x"))
 
 
 def _lattices(batch: pa.RecordBatch, params: dict[str, float], band: int) -> Iterator[list[dict]]:
