@@ -22,7 +22,7 @@ def _(v):
 @query("a12_prune_kmers")
 def _(v):
     """Likely k-mers of each sample, whatever the sequence; held against all walks over the k-mers in the tests."""
-    return polish.prune_kmers(polish.kmer_posterior_rows(_prepared(v), v.model()))
+    return polish.kmer_posterior_rows(_prepared(v), v.model(), mass=polish.MASS)
 
 
 @query("a13_candidate_cells", V("event_kmers") + """, pos AS (SELECT readid, 2 * n + j AS t, n FROM event_kmers, (SELECT unnest([0, 1, 2]) AS j)),
