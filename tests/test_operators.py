@@ -509,3 +509,17 @@ def test_edits_of_whole_sequences(spark, small):
     lengths = [len(r.segmented_seq) for r in pairs if r.present]
     assert report["nt_changed"] == counts.nt_changed and report["missing"] == len(pairs) - len(want)
     assert report["mean_length"] == pytest.approx(np.mean(lengths)) and report["max_length"] == max(lengths)
+
+
+def test_znorm_rounds_written_halves_as_its_sql(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as entry
+    from conftest import same
+
+    values = [0.13671875, -0.13671875, 0.0099999, 0.0100001, 34234.85546875, 0.5, None, float("nan"), 1e38, *[k / 256 for k in range(-257, 257, 2)]]
+    rows = spark.createDataFrame([(1, values, 0), (2, [], 1), (3, None, 1)], "vec_id long, embedding array<float>, label int")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    same(entry.queries()["p2_znorm"](spark, str(tmp_path)), con, entry.oracle_sql()["p2_znorm"])

@@ -122,8 +122,10 @@ def _(v):
     return v.signals().select("readid", X.signal_window(F.col("signal"), F.lit(2), F.col("label"), F.col("label") + 40).alias("part"))
 
 
-@query("p2_znorm", V("signals") + "SELECT readid, [round((x - 0.01) / 0.5, 6) FOR x IN signal] AS z FROM signals")
+# DuckDB rounds the product with 10^6, so where the written value ends in a half the last bit of the product decides; as decimals the halves go away from zero.
+@query("p2_znorm", V("signals") + "SELECT readid, [coalesce(CAST(TRY_CAST(CAST(z AS VARCHAR) AS DECIMAL(38,6)) AS DOUBLE), z) FOR z IN [(x - 0.01) / 0.5 FOR x IN signal]] AS z FROM signals")
 def _(v):
+    """Scaled signals, to six decimals of the value as it is written, halves away from zero."""
     return v.signals().select("readid", F.transform(X.znorm(F.col("signal"), F.lit(0.01), F.lit(0.5)), lambda x: F.round(x, 6)).alias("z"))
 
 
