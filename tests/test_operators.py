@@ -523,3 +523,16 @@ def test_znorm_rounds_written_halves_as_its_sql(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
     same(entry.queries()["p2_znorm"](spark, str(tmp_path)), con, entry.oracle_sql()["p2_znorm"])
+
+
+def test_random_controls_in_pieces(spark):
+    """Regions that overlap, are empty, or longer than a piece: as each read by itself."""
+    import hashlib
+
+    reads = {1: (7, [(0, 25), (20, 31)]), 2: (3, [(5, 5)]), 3: (50, [(4, 9)]), 4: (0, [(0, 9)])}
+    regions = spark.createDataFrame([(k, n, [{"start": a, "end": b} for a, b in own]) for k, (n, own) in reads.items()], "readid long, n_bases int, regions array<struct<start:long,end:long>>")
+    rank = lambda k, b: (hashlib.md5(f"{k}|{b}|42".encode()).hexdigest(), b)
+    want = {(k, b) for k, (n, own) in reads.items() for b in sorted({b for s, e in own for b in range(s, e)}, key=lambda b, k=k: rank(k, b))[:n]}
+    for piece in (4, 10_000):
+        rows = [tuple(r) for r in evaluate.random_controls(regions, piece=piece).collect()]
+        assert len(rows) == len(set(rows)) and set(rows) == want

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemill.functions import exprs as X
-from tracemill.operators import aggs, joins, windows
+from tracemill.operators import aggs, joins, segment, windows
 
 
 def moves_to_segments(reads: DataFrame) -> DataFrame:
@@ -20,11 +20,17 @@ def moves_to_segments(reads: DataFrame) -> DataFrame:
     return rows.select("readid", (F.row_number().over(down) - 1).alias("position"), "start", F.coalesce(F.lag("start").over(down), F.col("ns")).alias("end"))
 
 
-def random_controls(regions: DataFrame, seed: int = 42) -> DataFrame:
-    """For each read as many positions of its regions as it has bases, without replacement, by a hash of position and seed."""
-    rows = regions.select("readid", "n_bases", F.explode("regions").alias("r")).select("readid", "n_bases", F.explode(F.sequence(F.col("r.start"), F.col("r.end") - 1)).alias("border")).distinct()
-    order = Window.partitionBy("readid").orderBy(F.md5(F.concat_ws("|", "readid", "border", F.lit(seed)).cast("binary")), "border")
-    return rows.withColumn("k", F.row_number().over(order)).where("k <= n_bases").select("readid", "border")
+def random_controls(regions: DataFrame, seed: int = 42, piece: int = 10_000) -> DataFrame:
+    """For each read as many positions of its regions as it has bases, without replacement, by a hash of position and seed.
+
+    Regions are few bytes and many positions: they are dealt in pieces of ``piece`` positions before these are made,
+    and the positions of a read are numbered by ranges of their hash, so no task holds all reads, or the whole of one.
+    """
+    bounds = regions.select("readid", "n_bases", F.explode("regions").alias("r")).where("r.end > r.start").select("readid", "n_bases", F.col("r.end").cast("long").alias("end"), F.explode(F.sequence(F.col("r.start").cast("long"), F.col("r.end").cast("long") - 1, F.lit(piece).cast("long"))).alias("at"))
+    dealt = bounds.repartition(segment.tasks(regions.sparkSession), "readid", "at")
+    rows = dealt.select("readid", "n_bases", F.explode(F.sequence(F.col("at"), F.least(F.col("at") + piece, F.col("end")) - 1)).alias("border")).distinct()
+    order = F.struct(F.md5(F.concat_ws("|", "readid", "border", F.lit(seed)).cast("binary")).alias("hash"), "border")
+    return windows.numbered(rows.withColumn("_order", order), "readid", "_order", "_k").where("_k < n_bases").select("readid", "border")
 
 
 def uniform_controls(regions: DataFrame) -> DataFrame:
