@@ -536,3 +536,12 @@ def test_random_controls_in_pieces(spark):
     for piece in (4, 10_000):
         rows = [tuple(r) for r in evaluate.random_controls(regions, piece=piece).collect()]
         assert len(rows) == len(set(rows)) and set(rows) == want
+
+
+def test_low_complexity_makes_each_sequence_once(spark, small):
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["f2_drop_low_complexity"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert [line.count("regexp_replace(") for line in plan.splitlines() if "Filter (" in line] == [1]
+    rows = spark.createDataFrame([(1, "ACGT"), (2, ""), (3, None), (4, "AAC")], "readid long, seq string")
+    assert [r.readid for r in filters.drop_low_complexity(rows, 0.3).collect()] == [1]

@@ -20,8 +20,8 @@ def skip_counters(reads: DataFrame, q: float | None) -> DataFrame:
 
 
 def drop_low_complexity(reads: DataFrame, limit: float = 0.6) -> DataFrame:
-    """Reads in which no base makes up ``limit`` or more; empty sequences go."""
-    return reads.where(F.greatest(*[X.nt_ratio(F.col("seq"), b) for b in "ACGT"]) < limit)
+    """Reads in which no base makes up ``limit`` or more; empty sequences go. A sequence is made once, however many times it is named."""
+    return reads.where(X.let(F.col("seq"), lambda seq: F.greatest(*[X.nt_ratio(seq, b) for b in "ACGT"])) < limit)
 
 
 def validate(reads: DataFrame, k: int, samples: str = "n_samples", alphabet: str = "ACGT") -> DataFrame:

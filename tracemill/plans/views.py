@@ -65,7 +65,7 @@ class Views:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
     def reads(self) -> DataFrame:
-        letters = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]", "")
+        letters = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]+", "")
         return self.table("documents").select(F.col("doc_id").alias("readid"), F.col("source").alias("raw_file"), (F.col("doc_id") % 20).cast("double").alias("qs"), F.col("n_chars").alias("n_samples"), F.translate(letters, LETTERS, BASES).alias("seq"))
 
     def points(self) -> DataFrame:
