@@ -545,3 +545,11 @@ def test_low_complexity_makes_each_sequence_once(spark, small):
     assert [line.count("regexp_replace(") for line in plan.splitlines() if "Filter (" in line] == [1]
     rows = spark.createDataFrame([(1, "ACGT"), (2, ""), (3, None), (4, "AAC")], "readid long, seq string")
     assert [r.readid for r in filters.drop_low_complexity(rows, 0.3).collect()] == [1]
+
+
+def test_edits_take_pairs_in_small_batches(spark, small):
+    import __spark_entry__ as entry
+
+    for name in ("e7_edits_after_lead", "e7_sequence_edits", "e5_evaluate_reads"):
+        plan = entry.queries()[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+        assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan

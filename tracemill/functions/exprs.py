@@ -222,7 +222,8 @@ def edit_count(a: str | None, b: str | None, free_lead: bool = False) -> int | N
 
 
 def edits(a: Column, b: Column, free_lead: bool = False) -> Column:
-    return F.udf(partial(edit_count, free_lead=free_lead), "long", useArrow=True)(a, b)
+    """``edit_count`` of whole texts. Pairs go to Python by the hundred, not by Arrow's ten thousand: a batch of whole reads is large."""
+    return F.udf(partial(edit_count, free_lead=free_lead), "long", useArrow=False)(a, b)
 
 
 # Molecule, k, and the probabilities of entering and of staying in a k-mer, by pore type.
