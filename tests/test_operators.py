@@ -241,6 +241,37 @@ def test_stream_rolling(spark, tmp_path):
     assert len(gaps) == 52
 
 
+def test_stream_rolling_blocks(spark, tmp_path):
+    """The end comes first: blocks don't wait for each other, a group's state is bounded, nulls and infinite values count as in SQL."""
+    from tracemill.streaming import jobs
+
+    rng = np.random.default_rng(23)
+    x = {(p, k): float(rng.normal()) for p in "ab" for k in range(1, 104)}
+    x["a", 50], x["a", 51], x["b", 20] = None, None, float("inf")
+    schema, at = "param string, seq_no long, value double", {n: str(tmp_path / n) for n in ("in", "out", "c", "d")}
+    late = [k for k in x if k[1] > 30]
+    early = [k for k in x if k[1] <= 30] + late[:5]
+    rng.shuffle(late)
+
+    def come(keys, *more):
+        spark.createDataFrame([*((p, s, x[p, s]) for p, s in keys), *more], schema).coalesce(1).write.mode("append").parquet(at["in"])
+        stream = spark.readStream.schema(schema).parquet(at["in"])
+        out = jobs.stream_rolling_param(stream, 7, block=20).writeStream.format("parquet").option("path", at["out"]).option("checkpointLocation", at["c"])
+        out.trigger(availableNow=True).start().awaitTermination()
+        return {(r.param, r.seq_no): (r.value, r["mean"]) for r in spark.read.schema(schema + ", mean double").parquet(at["out"]).collect()}
+
+    assert set(come(late)) == {k for k in x if k[1] > 40}  # the block of 21 to 40 waits for its first ten
+    kept = spark.read.format("statestore").option("stateVarName", "kept").load(at["c"]).select(F.length("value.early"), F.length("value.last")).collect()
+    assert len(kept) > 2 and max(map(max, kept)) <= 16 * (20 + 6)
+    got = come(early, ("a", None, 1.0), ("a", 0, 1.0), ("b", 3, x["b", 3] + 1))
+    assert set(got) == set(x)
+    for (p, s), (value, mean) in got.items():
+        seen = [x[p, k] for k in range(max(1, s - 6), s + 1) if x[p, k] is not None]
+        assert value == x[p, s] and mean == pytest.approx(np.mean(seen))
+    assert spark.read.parquet(at["out"]).count() == len(x)
+    assert [jobs._means(np.array(v, float), n).tolist() for v, n in (([1, 2, 4], 1), ([1, 2, 3], 9))] == [[1, 2, 4], [1, 1.5, 2]]
+
+
 def test_cwt_edges(spark):
     rng = np.random.default_rng(4)
     x = np.r_[np.zeros(60), np.ones(60) * 3] + rng.normal(0, 0.1, 120)

@@ -29,66 +29,91 @@ def stream_segment(reads: DataFrame, model: DataFrame, out: str, checkpoint: str
     return reads.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+#: Numbers of a parameter that are one group of the rolling job.
+BLOCK = 10_000
+_ROWS = np.dtype([("seq_no", np.int64), ("value", float)])
+
+
 class _Rolling(StatefulProcessor):
-    """Keeps of each parameter its last values, the number it expects next, and the rows that came too early."""
+    """Keeps of each block of a parameter's numbers the number it expects next, its last values, and the rows that came too early.
+
+    A key is a parameter and the first number of the block, which takes the ``n - 1`` numbers before it along and doesn't give them.
+    """
 
     def __init__(self, n: int, consecutive: bool, first: int):
         self.n, self.consecutive, self.first = n, consecutive, first
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last, self.early, self.next = handle.getListState("last", "value double"), handle.getListState("early", "seq_no long, value double"), handle.getValueState("next", "seq_no long")
+        self.kept = handle.getValueState("kept", "next long, last binary, early binary")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: object) -> Iterator[pd.DataFrame]:
-        last = np.array([r[0] for r in self.last.get()] if self.last.exists() else [], float)
-        waiting = np.array([tuple(r) for r in self.early.get()] if self.early.exists() else [], _WAITING)
-        expected = self.next.get()[0] if self.next.exists() else self.first
-        for frame in rows:
-            new = np.array(list(zip(frame["seq_no"].tolist(), frame["value"].tolist(), strict=True)), _WAITING)
-            waiting = np.sort(np.concatenate((waiting, new)), order="seq_no", kind="stable")
-            if self.consecutive:
-                waiting = waiting[waiting["seq_no"] >= expected]  # told before: the row came a second time
-                waiting = waiting[np.r_[True, np.diff(waiting["seq_no"]) > 0][: len(waiting)]]
-                ready = int((waiting["seq_no"] == expected + np.arange(len(waiting))).argmin()) if len(waiting) and waiting["seq_no"][-1] != expected + len(waiting) - 1 else len(waiting)
-                told, waiting = waiting[:ready], waiting[ready:]
-                expected += ready
-                if ready:
-                    out, last = self._means(key, last, told)
-                    yield out
-        if not self.consecutive and len(waiting):
-            out, last = self._means(key, last, waiting)
-            waiting = waiting[:0]
-            yield out
-        self.last.put([(float(v),) for v in last]) if len(last) else self.last.clear()
-        self.early.put([(int(s), float(v)) for s, v in waiting]) if len(waiting) else self.early.clear()
-        self.next.update((int(expected),))
-
-    def _means(self, key: tuple, last: np.ndarray, told: np.ndarray) -> tuple[pd.DataFrame, np.ndarray]:
-        values = np.concatenate((last, told["value"]))
-        total = np.concatenate(([0.0], np.cumsum(values)))
-        end = np.arange(len(last) + 1, len(values) + 1)
-        begin = np.maximum(0, end - self.n)
-        return pd.DataFrame({"param": key[0], "seq_no": told["seq_no"], "value": told["value"], "mean": (total[end] - total[begin]) / (end - begin)}), values[-self.n :]
+        param, begin = key
+        expected, *held = self.kept.get() or (max(self.first, begin - self.n + 1), b"", b"")
+        last, early = np.frombuffer(held[0]), np.frombuffer(held[1], _ROWS)
+        if self.consecutive:
+            new = np.empty(0, _ROWS)
+            for frame in rows:
+                new = _ordered(np.concatenate((new, _array(frame))))
+                new = new[np.r_[True, np.diff(new["seq_no"]) > 0][: len(new)]]
+            again = (new["seq_no"] < expected) | np.isin(new["seq_no"], early["seq_no"])
+            waiting = _ordered(np.concatenate((early, new[~again])))
+            ready = int(np.searchsorted(waiting["seq_no"] - np.arange(len(waiting)), expected, "right"))
+            told, early = waiting[:ready], waiting[ready:]
+            expected += ready
+        else:
+            told = _ordered(np.concatenate([_array(frame) for frame in rows]))
+        if len(told):
+            values = np.concatenate((last, told["value"]))
+            out = pd.DataFrame({"param": param, "seq_no": told["seq_no"], "value": told["value"], "mean": _means(values, self.n)[len(last) :]})
+            last = values[-self.n :]
+            yield out[out["seq_no"] >= begin] if self.consecutive else out
+        self.kept.update((int(expected), last.tobytes(), early.tobytes()))
 
     def close(self) -> None:
         pass
 
 
-_WAITING = np.dtype([("seq_no", np.int64), ("value", float)])
+def _array(frame: pd.DataFrame) -> np.ndarray:
+    rows = np.empty(len(frame), _ROWS)
+    rows["seq_no"], rows["value"] = frame["seq_no"], frame["value"]
+    return rows
+
+
+def _ordered(rows: np.ndarray) -> np.ndarray:
+    return rows[np.lexsort((rows["value"], rows["seq_no"]))]
+
+
+def _means(values: np.ndarray, n: int) -> np.ndarray:
+    """Means of up to ``n`` values; nulls, which pandas holds as NaN, don't count."""
+    known, window = ~np.isnan(values), np.ones(min(n, len(values)))
+    with np.errstate(invalid="ignore"):
+        return np.convolve(np.where(known, values, 0.0), window)[: len(values)] / np.convolve(known, window)[: len(values)]
 
 
-def stream_rolling_param(observations: DataFrame, n: int = 100, consecutive: bool = True, first: int = 1) -> DataFrame:
+def stream_rolling_param(observations: DataFrame, n: int = 100, consecutive: bool = True, first: int = 1, block: int = BLOCK) -> DataFrame:
     """Mean of the last ``n`` values of each parameter after each of ``(param, seq_no, value)``.
 
-    Numbers that go up by one from ``first`` on give every row once, in order, with the mean of the batch
-    window, in whatever order and batches the rows arrive: a row that comes before its turn waits in the
-    state, one that comes again is passed over. Where numbers have gaps (``consecutive`` false) each
-    micro-batch is taken in order after those before it. A parameter's rows come in frames of Arrow's
-    batch size, so only what waits is held beside a frame. Sets the session's state store to RocksDB,
-    which this kind of state needs.
+    Numbers that go up by one from ``first`` on give every row once with the mean of the batch window, in
+    whatever order and batches the rows arrive. They are dealt to groups by blocks of ``block`` numbers (at
+    least ``n``), each of which gets the ``n - 1`` numbers before it as well, so a hot parameter is many
+    tasks' work and a group holds no more than these numbers. Within a block rows are given in order: one
+    that comes before its turn waits in the state, one that comes again is passed over, as is one without a
+    number or with one before ``first``; blocks don't wait for each other. Of different values that come
+    with one number in a micro-batch the least counts. A block that is done keeps its last values and number.
+
+    Where numbers have gaps (``consecutive`` false) each micro-batch is taken in order after those before
+    it: a parameter is then one group, which holds its rows of a micro-batch. Sets the session's state
+    store to RocksDB, which this kind of state needs.
     """
     observations.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    rows = observations.select("param", "seq_no", "value").groupBy("param")
-    return rows.transformWithStateInPandas(_Rolling(n, consecutive, first), "param string, seq_no long, value double, mean double", "Append", "None")
+    rows, size = observations.select("param", "seq_no", "value"), max(block, n)
+    if consecutive:
+        own = F.col("seq_no").cast("long") - first
+        begins = [at - at % size + first for at in (own, own + (n - 1))]
+        rows = rows.where(F.col("seq_no") >= first).withColumn("begin", F.explode(F.sequence(*begins, F.lit(size).cast("long"))))
+    else:
+        rows = rows.withColumn("begin", F.lit(first).cast("long"))
+    return rows.groupBy("param", "begin").transformWithStateInPandas(_Rolling(n, consecutive, first), "param string, seq_no long, value double, mean double", "Append", "None")
 
 
 def stream_counters(rows: DataFrame, q: float = 10.0) -> DataFrame:
